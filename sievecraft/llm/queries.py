@@ -1,6 +1,10 @@
 """The queries of this subpackage, by name, with their SQL where SQL can express them."""
 
 from sievecraft.llm.exact_dedup import OP1_SQL, op1_exact_dedup
+from sievecraft.llm.simhash import op2_simhash_near_dedup
 
-QUERIES = {"op1_exact_dedup": op1_exact_dedup}
+QUERIES = {
+    "op1_exact_dedup": op1_exact_dedup,
+    "op2_simhash_near_dedup": op2_simhash_near_dedup,
+}
 ORACLE_SQL = {"op1_exact_dedup": OP1_SQL}
