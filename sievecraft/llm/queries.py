@@ -1,10 +1,12 @@
 """The queries of this subpackage, by name, with their SQL where SQL can express them."""
 
 from sievecraft.llm.exact_dedup import OP1_SQL, op1_exact_dedup
+from sievecraft.llm.quality import op3_quality_fm
 from sievecraft.llm.simhash import op2_simhash_near_dedup
 
 QUERIES = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_simhash_near_dedup": op2_simhash_near_dedup,
+    "op3_quality_fm": op3_quality_fm,
 }
 ORACLE_SQL = {"op1_exact_dedup": OP1_SQL}
