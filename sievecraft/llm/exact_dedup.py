@@ -51,6 +51,7 @@ def hot_digests(rows: DataFrame, tracked: int = HOT_TRACKED, most: int = HOT_BRO
         rows.select(F.xxhash64("digest").alias("print"), (part / HOT_FAN_IN).cast("int").alias("part"))
         .groupBy("part")
         .agg(F.expr(f"approx_top_k_accumulate(print, {tracked})").alias("sketch"))
+        .groupBy(F.lit(0).alias("all"))  # by a key, since a merge without any row or in an empty partition fails
         .agg(F.expr(f"approx_top_k_combine(sketch, {tracked})").alias("sketch"))
     )
     return sketch.select(F.explode(F.expr(f"approx_top_k_estimate(sketch, {most})")).alias("hot")).select(
