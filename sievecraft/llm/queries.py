@@ -1,6 +1,7 @@
 """The queries of this subpackage, by name, with their SQL where SQL can express them."""
 
 from sievecraft.llm.exact_dedup import OP1_SQL, op1_exact_dedup
+from sievecraft.llm.pii import op4_pii
 from sievecraft.llm.quality import op3_quality_fm
 from sievecraft.llm.simhash import op2_simhash_near_dedup
 
@@ -8,5 +9,6 @@ QUERIES = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_simhash_near_dedup": op2_simhash_near_dedup,
     "op3_quality_fm": op3_quality_fm,
+    "op4_pii": op4_pii,
 }
 ORACLE_SQL = {"op1_exact_dedup": OP1_SQL}
