@@ -1,5 +1,6 @@
 """The queries of this subpackage, by name, with their SQL where SQL can express them."""
 
+from sievecraft.llm.decontaminate import OP7_SQL, op7_decontaminate
 from sievecraft.llm.exact_dedup import OP1_SQL, op1_exact_dedup
 from sievecraft.llm.pii import op4_pii
 from sievecraft.llm.quality import op3_quality_fm
@@ -10,5 +11,6 @@ QUERIES = {
     "op2_simhash_near_dedup": op2_simhash_near_dedup,
     "op3_quality_fm": op3_quality_fm,
     "op4_pii": op4_pii,
+    "op7_decontaminate": op7_decontaminate,
 }
-ORACLE_SQL = {"op1_exact_dedup": OP1_SQL}
+ORACLE_SQL = {"op1_exact_dedup": OP1_SQL, "op7_decontaminate": OP7_SQL}
