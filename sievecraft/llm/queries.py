@@ -5,6 +5,7 @@ from sievecraft.llm.exact_dedup import OP1_SQL, op1_exact_dedup
 from sievecraft.llm.pii import op4_pii
 from sievecraft.llm.quality import op3_quality_fm
 from sievecraft.llm.simhash import op2_simhash_near_dedup
+from sievecraft.llm.url_filter import OP9_SQL, op9_url_filter
 
 QUERIES = {
     "op1_exact_dedup": op1_exact_dedup,
@@ -12,5 +13,6 @@ QUERIES = {
     "op3_quality_fm": op3_quality_fm,
     "op4_pii": op4_pii,
     "op7_decontaminate": op7_decontaminate,
+    "op9_url_filter": op9_url_filter,
 }
-ORACLE_SQL = {"op1_exact_dedup": OP1_SQL, "op7_decontaminate": OP7_SQL}
+ORACLE_SQL = {"op1_exact_dedup": OP1_SQL, "op7_decontaminate": OP7_SQL, "op9_url_filter": OP9_SQL}
