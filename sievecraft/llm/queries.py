@@ -6,13 +6,20 @@ from sievecraft.llm.pii import op4_pii
 from sievecraft.llm.quality import op3_quality_fm
 from sievecraft.llm.simhash import op2_simhash_near_dedup
 from sievecraft.llm.url_filter import OP9_SQL, op9_url_filter
+from sievecraft.llm.warc import OP6_SQL, op6_warc
 
 QUERIES = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_simhash_near_dedup": op2_simhash_near_dedup,
     "op3_quality_fm": op3_quality_fm,
     "op4_pii": op4_pii,
+    "op6_warc": op6_warc,
     "op7_decontaminate": op7_decontaminate,
     "op9_url_filter": op9_url_filter,
 }
-ORACLE_SQL = {"op1_exact_dedup": OP1_SQL, "op7_decontaminate": OP7_SQL, "op9_url_filter": OP9_SQL}
+ORACLE_SQL = {
+    "op1_exact_dedup": OP1_SQL,
+    "op6_warc": OP6_SQL,
+    "op7_decontaminate": OP7_SQL,
+    "op9_url_filter": OP9_SQL,
+}
