@@ -2,6 +2,7 @@
 
 from sievecraft.llm.decontaminate import OP7_SQL, op7_decontaminate
 from sievecraft.llm.exact_dedup import OP1_SQL, op1_exact_dedup
+from sievecraft.llm.packing import op10_best_fit_packing
 from sievecraft.llm.pii import op4_pii
 from sievecraft.llm.quality import op3_quality_fm
 from sievecraft.llm.simhash import op2_simhash_near_dedup
@@ -16,6 +17,7 @@ QUERIES = {
     "op6_warc": op6_warc,
     "op7_decontaminate": op7_decontaminate,
     "op9_url_filter": op9_url_filter,
+    "op10_best_fit_packing": op10_best_fit_packing,
 }
 ORACLE_SQL = {
     "op1_exact_dedup": OP1_SQL,
