@@ -32,9 +32,51 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def delete_folder(spark: SparkSession, path: str) -> None:
+    sc = spark.sparkContext
+    folder = sc._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(sc._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def text_or_empty(column: str = "text"):
     return F.coalesce(F.col(column).cast("string"), F.lit(""))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def fresh(columns: list[str], name: str) -> str:
+    """The name, with underscores before it until no column has it in any case."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
+#: Keys of dropped rows that are broadcast, of 20 bytes each; more are joined by a shuffle.
+MAX_BROADCAST_KEYS = 200_000
+
+
+def text_print(column: str = "text"):
+    """64-bit print of a text: with doc_id it names a row even where ids repeat or are null."""
+    return F.xxhash64(text_or_empty(column))
+
+
+def keep_rows(docs: DataFrame, decisions: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that ``decisions`` (doc_id, print, kept; a row for each row of docs) keeps.
+
+    Dropped keys are few as a rule and are broadcast where their counted number allows, so the texts aren't shuffled.
+    Rows that repeat a kept key, of which decisions keep only one, are thinned to one.
+    """
+    keys = decisions.groupBy("doc_id", "print").agg(F.max("kept").alias("any"), F.sum((~F.col("kept")).cast("long")).alias("dropped"))
+    keys = cut(keys.where("not any or dropped > 0").select(F.col("doc_id").alias("k_id"), F.col("print").alias("k_print"), "any"))
+    same = docs["doc_id"].eqNullSafe(F.col("k_id")) & (F.xxhash64(F.coalesce(docs["text"].cast("string"), F.lit(""))) == F.col("k_print"))
+    n = {r["any"]: r["count"] for r in keys.groupBy("any").count().collect()}
+    small = (lambda x: F.broadcast(x)) if sum(n.values()) <= MAX_BROADCAST_KEYS else (lambda x: x)
+    kept = docs.join(small(keys), same, "left_anti")
+    if n.get(True):
+        again = docs.join(small(keys.where("any")), same, "left_semi").withColumn(fresh(docs.columns, "print"), text_print())
+        thinned = again.dropDuplicates(["doc_id", again.columns[-1]]).select(*docs.columns)
+        kept = kept.unionByName(thinned)
+    return kept

@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sievecraft.llm.common import cut, table, text_or_empty
+from sievecraft.llm.common import cut, keep_rows, table, text_or_empty, text_print
 
 WINDOW = 10
 #: Test words (or phrases) that are broadcast at once; under 200 bytes each.
@@ -40,7 +40,7 @@ def phrases(items: DataFrame, window: int = WINDOW) -> DataFrame:
 
 def _tokenised(docs: DataFrame) -> DataFrame:
     """Documents by key: (doc_id, print of the text), so that repeated and null ids keep their own results."""
-    return docs.select("doc_id", F.xxhash64(text_or_empty()).alias("print"), words().alias("w"))
+    return docs.select("doc_id", text_print().alias("print"), words().alias("w"))
 
 
 def _blocks(rows: DataFrame, key: str) -> list[DataFrame]:
@@ -100,6 +100,23 @@ def indexed(docs: DataFrame, items: DataFrame, window: int = WINDOW, slack: int
     return [(cut(postings(docs, block, window - 1 + slack)), sought.join(F.broadcast(block), "word", "left_semi")) for block in _blocks(anchors, "word")]
 
 
+def all_matches(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame | None:
+    """Distinct occurrences of all phrases of the items, cut; None where no phrase can occur."""
+    hits = None
+    for index, sought in indexed(docs, items, window):
+        here = exact_matches(index, sought)
+        hits = here if hits is None else hits.unionByName(here)
+    return None if hits is None else cut(hits.distinct())
+
+
+def drop_contaminated(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
+    """The rows of ``docs``, with all their columns, in which no phrase of the items occurs."""
+    hits = all_matches(docs, items, window)
+    if hits is None:
+        return docs
+    return keep_rows(docs, hits.select("doc_id", "print", F.lit(False).alias("kept")))
+
+
 def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
     """For each row of ``docs``: n_words, n_hit (words inside any occurrence of a phrase), n_items, items_sha256
     (of the sorted item ids with occurring phrases), contaminated.
@@ -108,15 +125,11 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> Da
     item_id is not counted. Repeated rows are returned each. Other columns are ignored.
     """
     rows = _tokenised(docs).select("doc_id", "print", F.size("w").cast("long").alias("n_words"))
-    hits = None
-    for index, sought in indexed(docs, items, window):
-        here = exact_matches(index, sought)
-        hits = here if hits is None else hits.unionByName(here)
+    hits = all_matches(docs, items, window)
     none = F.sha2(F.lit("").cast("binary"), 256)
     if hits is None:
         zero = F.lit(0).cast("long")
         return rows.select("doc_id", "n_words", zero.alias("n_hit"), zero.alias("n_items"), none.alias("items_sha256"), F.lit(False).alias("contaminated"))
-    hits = cut(hits.distinct())
     key = ["doc_id", "print"]
     of_words = (
         hits.select(*key, F.explode(F.sequence("start", F.col("start") + F.col("length") - 1)).alias("at"))

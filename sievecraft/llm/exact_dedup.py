@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from sievecraft.llm.common import cut, table, text_or_empty
+from sievecraft.llm.common import cut, keep_rows, table, text_or_empty, text_print
 
 #: Of the Misra-Gries summary: every digest of over 3.5 / HOT_TRACKED of all rows is found.
 HOT_TRACKED = 4096
@@ -30,12 +30,13 @@ def normalised(column: str = "text") -> Column:
 
 
 def digests(docs: DataFrame) -> DataFrame:
-    """One narrow row for each document: doc_id, n (code points), digest (32 bytes), rid (of the row)."""
+    """One narrow row for each document: doc_id, n (code points), digest (32 bytes), print (of the text), rid (of the row)."""
     return cut(
         docs.select(
             F.col("doc_id"),
             F.length(text_or_empty()).alias("n"),
             F.unhex(F.sha2(normalised().cast("binary"), 256)).alias("digest"),
+            text_print().alias("print"),
             F.monotonically_increasing_id().alias("rid"),
         )
     )
@@ -67,8 +68,7 @@ def order_of_rows() -> list[Column]:
 def exact_groups(docs: DataFrame) -> DataFrame:
     """Each row of ``docs`` with its group of equal normalised texts.
 
-    Result: doc_id, keep_id, group_size, kept, text_sha256, copies (rows of the group
-    with the winner's doc_id). Null text is empty, empty texts form one group. Of rows
+    Result: doc_id, keep_id, group_size, kept, text_sha256, print (text_print of the row). Null text is empty, empty texts form one group. Of rows
     repeated with one doc_id exactly one is kept. A null doc_id stays only where its
     group has no other. Other columns of ``docs`` are ignored.
     """
@@ -97,12 +97,17 @@ def exact_groups(docs: DataFrame) -> DataFrame:
         .withColumn("keep_id", F.first("doc_id").over(ranked))
         .withColumn("kept", F.col("rank") == 1)
     )
-    columns = ["doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256")]
+    columns = ["doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"), "print"]
     return of_hot.select(*columns).unionByName(of_rest.select(*columns))
 
 
+def drop_exact_copies(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs``, with all their columns, that stay of their groups."""
+    return keep_rows(docs, exact_groups(docs).select("doc_id", "print", "kept"))
+
+
 def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return exact_groups(table(spark, sf_dir, "documents"))
+    return exact_groups(table(spark, sf_dir, "documents")).drop("print")
 
 
 OP1_SQL = r"""

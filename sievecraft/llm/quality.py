@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sievecraft.llm.common import table
+from sievecraft.llm.common import fresh, table
 
 #: At most so many labelled rows are used for fitting.
 MAX_TRAIN = 12_000
@@ -199,8 +199,8 @@ def fit(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> Model
     return train(rows, np.array(got["quality"].to_pylist(), float))
 
 
-def quality_scores(docs: DataFrame, model: Model, keep: list[str] | None = None) -> DataFrame:
-    """The columns ``keep`` (doc_id by default) of every row, and its score between 0 and 1.
+def quality_scores(docs: DataFrame, model: Model, keep: list[str] | None = None, name: str = "score") -> DataFrame:
+    """The columns ``keep`` (doc_id by default) of every row, and its score between 0 and 1 in the column ``name``.
 
     Null and empty texts are scored by their statistics; a missing n_chars is counted from the text.
     """
@@ -210,14 +210,14 @@ def quality_scores(docs: DataFrame, model: Model, keep: list[str] | None = None)
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         indexes = _Indexes()
         for batch in batches:
-            texts, sizes = batch["__text"].to_pylist(), batch["__n_chars"].to_pylist()
+            texts, sizes = batch.column(batch.num_columns - 2).to_pylist(), batch.column(batch.num_columns - 1).to_pylist()
             scores = [shared.value.score(*features(t, n, indexes)) for t, n in zip(texts, sizes, strict=True)]
             kept = batch.select(range(batch.num_columns - 2))
-            yield pa.RecordBatch.from_arrays([*kept.columns, pa.array(scores, pa.float64())], [*kept.schema.names, "score"])
+            yield pa.RecordBatch.from_arrays([*kept.columns, pa.array(scores, pa.float64())], [*kept.schema.names, name])
 
     text, n_chars = _inputs(docs)
-    rows = docs.select(*keep, text.alias("__text"), n_chars.alias("__n_chars"))
-    schema = docs.select(*keep).schema.add("score", "double")
+    rows = docs.select(*keep, text.alias(fresh(keep, "text")), n_chars.alias(fresh(keep, "n_chars")))
+    schema = docs.select(*keep).schema.add(name, "double")
     return rows.mapInArrow(scored, schema)
 
 
@@ -227,5 +227,11 @@ def classify(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) ->
     return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
 
 
+def drop_low_quality(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> DataFrame:
+    """The rows of ``docs``, with all their columns, that the classifier does not reject."""
+    name = fresh(docs.columns, "score")
+    return quality_scores(docs, fit(docs, labels, max_train), docs.columns, name).where(F.col(name) >= THRESHOLD).select(*docs.columns)
+
+
 def op3_quality_fm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sievecraft.llm.common import cut, table
+from sievecraft.llm.common import cut, keep_rows, table, text_print
 from sievecraft.llm.components import components
 
 BITS = 64
@@ -59,15 +59,16 @@ def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
 
 def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        prints = [fingerprint(x or b"") for x in batch.column(1).to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.array(prints, np.uint64).view(np.int64))], ["doc_id", "fp"])
+        prints = [fingerprint(x or b"") for x in batch.column(2).to_pylist()]
+        made = pa.array(np.array(prints, np.uint64).view(np.int64))
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), made], ["doc_id", "print", "fp"])
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """doc_id and fp (64 bits, as a signed long) of each row."""
-    rows = docs.select("doc_id", F.col("text").cast("binary").alias("text"))
+    """doc_id, print (text_print) and fp (64 bits, as a signed long) of each row."""
+    rows = docs.select("doc_id", text_print().alias("print"), F.col("text").cast("binary").alias("text"))
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return rows.mapInArrow(_fingerprints, f"doc_id {kind}, fp bigint")
+    return rows.mapInArrow(_fingerprints, f"doc_id {kind}, print bigint, fp bigint")
 
 
 def _free(mask: int) -> list[int]:
@@ -147,6 +148,14 @@ def _ball(free: list[int]) -> list[int]:
     return [sum(1 << p for p in c) for r in range(1, RADIUS + 1) for c in combinations(free, r)]
 
 
+def _rooted(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Fingerprints of the rows, and fp with root (one fp of its component), both cut."""
+    prints = cut(fingerprints(docs))
+    distinct = cut(prints.select("fp").distinct())
+    roots = components(near_pairs(distinct))
+    return prints, cut(distinct.join(roots, F.col("fp") == F.col("vertex"), "left").select("fp", F.coalesce("root", "fp").alias("root")))
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """Each row of ``docs`` with fingerprint (16 hex digits) and component_id, the smallest doc_id reachable.
 
@@ -154,17 +163,25 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     a row as any other but never names a component, unless the component has only such rows (null).
     Repeated rows are all returned. Other columns of ``docs`` are ignored.
     """
-    prints = cut(fingerprints(docs))
-    classes = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("least")))
-    roots = components(near_pairs(classes.select("fp")))
-    rooted = cut(
-        classes.join(roots, F.col("fp") == F.col("vertex"), "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    )
-    named = rooted.join(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("fp", "component_id")
+    prints, rooted = _rooted(docs)
+    least = rooted.join(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "fp")
+    named = rooted.join(least.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("fp", "component_id")
     return prints.join(named, "fp").select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
     )
 
 
+def drop_near_copies(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs``, with all their columns, that stay: of each component that with the smallest doc_id (null last)."""
+    prints, rooted = _rooted(docs)
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "print")
+    first = prints.groupBy("fp").agg(F.min(order).alias("first")).join(rooted, "fp").groupBy("root").agg(F.min("first").alias("first"))
+    stays = rooted.join(first, "root").select("fp", F.col("first.doc_id").alias("stay_id"), F.col("first.print").alias("stay_print"))
+    kept = F.col("doc_id").eqNullSafe(F.col("stay_id")) & (F.col("print") == F.col("stay_print"))
+    decided = prints.join(stays, "fp").select("doc_id", "print", kept.alias("kept"))
+    again = decided.where("kept").groupBy("doc_id", "print").agg(F.count(F.lit(1)).alias("n"), F.lit(False).alias("kept"))
+    return keep_rows(docs, decided.unionByName(again.where("n > 1").drop("n")))
+
+
 def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sievecraft.llm.common import cut, shared_dir, table
+from sievecraft.llm.common import cut, delete_folder, shared_dir, table
 
 END = "\r\n\r\n"
 #: Smaller payloads are always written whole.
@@ -190,12 +190,6 @@ def read_archives(spark: SparkSession, path: str, payloads: bool = True) -> Data
     return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(parse, schema)
 
 
-def delete_folder(spark: SparkSession, path: str) -> None:
-    sc = spark.sparkContext
-    folder = sc._jvm.org.apache.hadoop.fs.Path(path)
-    folder.getFileSystem(sc._jsc.hadoopConfiguration()).delete(folder, True)
-
-
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Write, read back into the shared checkpoint folder, drop the archives."""
     path = f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
