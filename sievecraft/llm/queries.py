@@ -2,6 +2,7 @@
 
 from sievecraft.llm.decontaminate import OP7_SQL, op7_decontaminate
 from sievecraft.llm.exact_dedup import OP1_SQL, op1_exact_dedup
+from sievecraft.llm.html_extract import op8_html_extract
 from sievecraft.llm.packing import op10_best_fit_packing
 from sievecraft.llm.pii import op4_pii
 from sievecraft.llm.quality import op3_quality_fm
@@ -16,6 +17,7 @@ QUERIES = {
     "op4_pii": op4_pii,
     "op6_warc": op6_warc,
     "op7_decontaminate": op7_decontaminate,
+    "op8_html_extract": op8_html_extract,
     "op9_url_filter": op9_url_filter,
     "op10_best_fit_packing": op10_best_fit_packing,
 }
