@@ -6,6 +6,7 @@ from sievecraft.llm.html_extract import op8_html_extract
 from sievecraft.llm.packing import op10_best_fit_packing
 from sievecraft.llm.pii import op4_pii
 from sievecraft.llm.quality import op3_quality_fm
+from sievecraft.llm.repeated_spans import op5_suffix_dedup
 from sievecraft.llm.simhash import op2_simhash_near_dedup
 from sievecraft.llm.url_filter import OP9_SQL, op9_url_filter
 from sievecraft.llm.warc import OP6_SQL, op6_warc
@@ -15,6 +16,7 @@ QUERIES = {
     "op2_simhash_near_dedup": op2_simhash_near_dedup,
     "op3_quality_fm": op3_quality_fm,
     "op4_pii": op4_pii,
+    "op5_suffix_dedup": op5_suffix_dedup,
     "op6_warc": op6_warc,
     "op7_decontaminate": op7_decontaminate,
     "op8_html_extract": op8_html_extract,
