@@ -52,8 +52,9 @@ def keys_of(host: Column, path: Column, lengths: list[int]) -> Column:
     labels = F.split(host, r"\.")
     suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
     of_length = lambda n: F.transform(suffixes, lambda s: F.struct(s.alias("h"), F.substring(path, 1, n).alias("p")))
-    every = F.flatten(F.array(*[F.when(F.length(path) >= n, of_length(n)).otherwise(F.expr("cast(array() as array<struct<h:string,p:string>>)")) for n in lengths]))
-    return F.when(host != "", every).otherwise(F.expr("cast(array() as array<struct<h:string,p:string>>)"))
+    none = F.expr("cast(array() as array<struct<h:string,p:string>>)")
+    every = F.flatten(F.array(none, *[F.when(F.length(path) >= n, of_length(n)).otherwise(none) for n in lengths]))
+    return F.when(host != "", every).otherwise(none)
 
 
 def _bit(key: Column, level: int, k: int, bits: int) -> Column:
