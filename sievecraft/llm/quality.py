@@ -26,7 +26,8 @@ from sievecraft.llm.common import fresh, table
 MAX_TRAIN = 12_000
 WORD_DIMS = 1 << 14
 FACTORS = 8
-EPOCHS = 6
+#: Minibatches that the model is fitted with, whatever the number of rows.
+STEPS = 600
 BATCH = 128
 RATE = 0.08
 THRESHOLD = 0.3
@@ -117,6 +118,7 @@ def train(rows: list[tuple[np.ndarray, np.ndarray, list[float]]], labels: np.nda
     dims = WORD_DIMS + n_stats
     model = Model(0.0, np.zeros(dims), rng.normal(0, 0.02, (dims, FACTORS)), np.zeros(n_stats), np.ones(n_stats))
     if not rows:
+        model.factors[:] = 0
         return model
     stats = np.array([r[2] for r in rows])
     model.mean, model.scale = stats.mean(axis=0), 3 * stats.std(axis=0) + 0.05
@@ -127,7 +129,7 @@ def train(rows: list[tuple[np.ndarray, np.ndarray, list[float]]], labels: np.nda
     rate = float(np.clip(labels.mean(), 0.01, 0.99))
     model.bias = math.log(rate / (1 - rate))
     g_bias, g_linear, g_factors = 1e-6, np.full(dims, 1e-6), np.full((dims, FACTORS), 1e-6)
-    for _ in range(EPOCHS):
+    for _ in range(math.ceil(STEPS * BATCH / len(rows))):
         order = rng.permutation(len(rows))
         for start in range(0, len(order), BATCH):
             pick = order[start : start + BATCH]
