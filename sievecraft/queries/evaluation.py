@@ -1 +1,300 @@
-QUERIES, SQL = {}, {}
+"""Queries over made-up answers: validation, gates, folds, coverage, verdicts and metrics.
+
+Answers come from MD5 digits of ids by whole-number arithmetic, so any engine can make the same ones.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+from sievecraft.operators import gating as G
+from sievecraft.operators import metrics as M
+from sievecraft.operators import ranking as R
+from sievecraft.operators import relational as J
+from sievecraft.queries.documents import table
+
+
+def digit(salt: str, key: Column, modulus: int) -> Column:
+    """Whole number below ``modulus`` from the first four hex digits of md5(salt || key)."""
+    return (F.conv(F.substring(F.md5(F.concat(F.lit(salt), key.cast("string"))), 1, 4), 16, 10).cast("int") % modulus).cast("int")
+
+
+def d(salt: str, key: str, modulus: int) -> str:
+    return f"(CAST('0x' || substr(md5('{salt}' || CAST({key} AS VARCHAR)), 1, 4) AS INT) % {modulus})"
+
+
+PASS_ROW = {"c": ("c", 41), "p": ("p", 31), "v": ("v", 12), "u": ("u", 23), "m": ("m", 29)}
+CELL = F.concat_ws("/", F.col("doc_id").cast("string"), F.col("pass").cast("string"))
+
+
+def passes(spark, sf_dir):
+    """Two passes over the labelled documents: value 0 or 1 (mostly the label), confidence, peak, some unanswered or malformed."""
+    rows = table(spark, sf_dir, "labels").select("doc_id", "quality", F.explode(F.array(F.lit(1), F.lit(2))).alias("pass"))
+    wrong = digit("v", CELL, 12) == 0
+    value = F.when(digit("n", CELL, 25) == 0, "none").when(wrong, (1 - F.col("quality")).cast("string")).otherwise(F.col("quality").cast("string"))
+    return rows.select(
+        F.col("doc_id").alias("id"), "pass", (digit("u", CELL, 23) > 0).alias("answered"), (digit("m", CELL, 29) == 0).alias("malformed"),
+        value.alias("value"), ((digit("c", CELL, 41) + 60) / F.lit(100.0)).alias("confidence"), ((digit("p", CELL, 31) + 70) / F.lit(100.0)).alias("peak"),
+    )
+
+
+SQL_PASSES = f"""
+    SELECT doc_id AS id, quality, pass, {d('u', 'k', 23)} > 0 AS answered, {d('m', 'k', 29)} = 0 AS malformed,
+           CASE WHEN {d('n', 'k', 25)} = 0 THEN 'none' WHEN {d('v', 'k', 12)} = 0 THEN CAST(1 - quality AS VARCHAR) ELSE CAST(quality AS VARCHAR) END AS value,
+           ({d('c', 'k', 41)} + 60) / 100.0 AS confidence, ({d('p', 'k', 31)} + 70) / 100.0 AS peak
+    FROM (SELECT doc_id, quality, pass, doc_id || '/' || pass AS k FROM labels, (VALUES (1), (2)) p(pass))"""
+
+
+def records(spark, sf_dir):
+    problem = F.when(digit("e", F.col("doc_id"), 17) == 0, "missing role")
+    return table(spark, sf_dir, "labels").where("doc_id % 19 <> 3").select(F.col("doc_id").alias("id"), problem.alias("evidence_problem"))
+
+
+SQL_RECORDS = f"SELECT doc_id AS id, {d('e', 'doc_id', 17)} = 0 AS problem FROM labels WHERE doc_id % 19 <> 3"
+SQL_OUTCOMES = f"""
+    WITH passes AS ({SQL_PASSES}), records AS ({SQL_RECORDS}),
+    a AS (SELECT id, count(*) AS n, count(*) FILTER (answered) AS ok, count(*) FILTER (malformed) AS bad, count(DISTINCT value) AS values, min_by(value, pass) AS first, min(confidence) AS lowest,
+                 count(*) FILTER (confidence - peak > 0.05 + 1e-9) AS over FROM passes GROUP BY id),
+    outcomes AS (
+      SELECT r.id,
+        CASE WHEN problem AND n IS NULL THEN 'insufficient_evidence' WHEN n IS NULL OR ok = 0 THEN 'unanswered' WHEN ok < n THEN 'review' WHEN bad > 0 THEN 'failed_validation'
+             WHEN problem THEN 'insufficient_evidence' WHEN values > 1 THEN 'review' WHEN first = 'none' THEN 'abstain' WHEN over > 0 OR lowest < 0.75 THEN 'review' ELSE 'accepted' END AS kind,
+        CASE WHEN ok = n AND bad = 0 AND (problem OR values = 1) THEN first END AS value, CASE WHEN ok = n AND bad = 0 THEN lowest END AS confidence
+      FROM records r LEFT JOIN a USING (id))"""
+
+
+def outcomes(spark, sf_dir):
+    given = passes(spark, sf_dir).where("id % 13 <> 5")
+    return G.outcomes(records(spark, sf_dir), given, abstain="none")
+
+
+def p6_outcomes(spark, sf_dir):
+    return outcomes(spark, sf_dir).select("id", "kind", "value", F.round("confidence", 6).alias("confidence"))
+
+
+def p3_answer_problems(spark, sf_dir):
+    """Distributions over three levels whose hundredths sum to about 100, as choices or scores, some of them broken."""
+    key = F.col("doc_id")
+    a, b = digit("a", key, 60), digit("b", key, 40)
+    third = 100 - a - b + F.when(digit("t", key, 9) == 0, digit("x", key, 5)).otherwise(0)
+    probabilities = F.map_from_arrays(F.array(F.lit("0"), F.lit("1"), F.lit("2")), F.array(*[x / F.lit(100.0) for x in (a, b, third)]))
+    kind = F.element_at(F.array(F.lit("choice"), F.lit("score"), F.lit("noul")), digit("k", key, 3) + 1)
+    best = F.when((a >= b) & (a >= third), "0").when(b >= third, "1").otherwise("2")
+    choice = F.when(digit("w", key, 7) == 0, "1").when(digit("w", key, 11) == 1, "9").otherwise(best)
+    score = F.round((b + 2 * third) / F.lit(100.0), 2) + F.when(digit("s", key, 5) == 0, 0.2).otherwise(0.0)
+    confidence, noul = digit("c", key, 104) / F.lit(100.0), digit("o", key, 110) / F.lit(100.0)
+    keys = F.when(digit("l", key, 31) == 0, F.array(F.lit("0"), F.lit("1"))).otherwise(F.array(F.lit("0"), F.lit("1"), F.lit("2")))
+    rows = table(spark, sf_dir, "documents").select("doc_id", kind.alias("kind"), keys.alias("keys"), probabilities.alias("p"), choice.alias("choice"), score.alias("score"), confidence.alias("c"), noul.alias("noul"))
+    c = F.col
+    problem = G.answer_problem(c("kind"), c("keys"), c("p"), c("choice"), c("score"), c("c"), c("noul"))
+    return rows.select("doc_id", "kind", problem.alias("problem"))
+
+
+def p5_peaks(spark, sf_dir):
+    key = F.col("doc_id")
+    values = F.array(*[digit(s, key, 60) / F.lit(100.0) for s in "abc"])
+    rows = table(spark, sf_dir, "documents").select("doc_id", F.map_from_arrays(F.array(F.lit("x"), F.lit("y"), F.lit("z")), values).alias("p"), (digit("o", key, 101) / F.lit(100.0)).alias("noul"))
+    value, confidence = G.noul_value(F.col("noul"))
+    beats = G.beats_none(F.lit("x"), F.col("p"), "z")
+    return rows.select("doc_id", F.round(G.peak(F.col("p")), 6).alias("peak"), value.alias("noul_value"), F.round(confidence, 6).alias("noul_confidence"), beats.alias("beats_none"))
+
+
+def p8_folded_kinds(spark, sf_dir):
+    """Outcomes of documents folded to their sources."""
+    cells = outcomes(spark, sf_dir).join(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "source"), "id")
+    return G.fold_kinds(cells, "source").select("source", "kind", F.round("min_confidence", 6).alias("min_confidence"))
+
+
+def w3_reask(spark, sf_dir):
+    both = passes(spark, sf_dir).where("answered and not malformed")
+    cells = both.select("id", "pass", F.when(F.col("confidence") >= 0.8, "accepted").otherwise("review").alias("kind"), F.col("confidence").alias("min_confidence"))
+    return G.reask(cells.where("pass = 1").drop("pass"), cells.where("pass = 2").drop("pass"))
+
+
+def j4_manifest(spark, sf_dir):
+    """Coverage of all documents by outcomes: unknown, missing and repeated ids are made from the ids themselves."""
+    asked = table(spark, sf_dir, "documents").where("doc_id % 7 <> 0").select(F.col("doc_id").alias("id"))
+    told = outcomes(spark, sf_dir).select("id", "kind")
+    return G.manifest(asked, told.unionByName(told.where("id % 31 = 2")))
+
+
+def a2_outcomes_by_kind(spark, sf_dir):
+    return G.by_kind(outcomes(spark, sf_dir))
+
+
+def j1_mapping(spark, sf_dir):
+    asked = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("key"), F.col("doc_id").alias("id")).where("id % 3 <> 1")
+    answers = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("key"))
+    return G.mapping(asked, answers)
+
+
+def labelled(spark, sf_dir):
+    truth = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("id"), F.col("quality").cast("string").alias("expected"))
+    return outcomes(spark, sf_dir).join(truth, "id").withColumn("set", F.when(F.col("id") % 3 == 0, "holdout").otherwise("main"))
+
+
+def a4_scores(spark, sf_dir):
+    return M.scored(labelled(spark, sf_dir), ["set"])
+
+
+def a5_combined(spark, sf_dir):
+    return M.combined(M.scored(labelled(spark, sf_dir), ["set"]))
+
+
+SQL_SCORED = f"""{SQL_OUTCOMES},
+    l AS (SELECT o.*, CAST(quality AS VARCHAR) AS expected, CASE WHEN o.id % 3 = 0 THEN 'holdout' ELSE 'main' END AS set FROM outcomes o JOIN labels ON doc_id = o.id),
+    g AS (SELECT set, count(*) AS total, count(*) FILTER (value = expected) AS correct, count(*) FILTER (kind = 'accepted') AS accepted,
+                 count(*) FILTER (kind = 'accepted' AND value IS DISTINCT FROM expected) AS accepted_wrong, count(*) FILTER (kind = 'review') AS review, count(*) FILTER (kind = 'abstain') AS abstain FROM l GROUP BY set)"""
+RATES = ", ".join(
+    f"floor({v} / total * 1000000 + 0.5) / 1000000 AS {k}"
+    for k, v in {"accuracy": "correct", "coverage": "accepted", "error_rate": "accepted_wrong", "review_rate": "review", "abstain_rate": "abstain"}.items()
+)
+
+
+def a6_latencies(spark, sf_dir):
+    rows = table(spark, sf_dir, "events").select("event_type", digit("lat", F.col("event_id"), 5000).alias("ms"))
+    return M.latencies(rows, ["event_type"], "ms")
+
+
+def a25_retrieval(spark, sf_dir):
+    key = F.col("doc_id")
+    rank = F.when(digit("r", key, 9) > 0, digit("r", key, 9))
+    rows = table(spark, sf_dir, "labels").select(F.when(F.col("toxic") == 0, key).alias("expected_id"), rank.alias("rank"), (digit("z", key, 10) < 3).alias("no_match"))
+    return M.retrieval(rows)
+
+
+def a23_unstable(spark, sf_dir):
+    rows = passes(spark, sf_dir).select(F.col("pass").alias("run"), (F.col("id") % 500).alias("case_id"), F.col("id").alias("key"), F.col("value").alias("choice"))
+    return M.unstable(rows)
+
+
+def a12_merged_parts(spark, sf_dir):
+    verdict = F.element_at(F.array(F.lit("SUPPORTED"), F.lit("CONTRADICTED"), F.lit("NOT_STATED")), digit("q", F.concat_ws("/", "conv_id", "turn"), 3) + 1)
+    rows = table(spark, sf_dir, "conversations").select("conv_id", F.col("turn").alias("part"), verdict.alias("verdict"), (digit("c", F.concat_ws("/", "conv_id", "turn"), 50) / F.lit(50.0)).alias("confidence"))
+    return G.merge_parts(rows, ["conv_id"])
+
+
+def a13_claim_verdicts(spark, sf_dir):
+    names = F.array(*[F.lit(x) for x in ("supported", "contradicted", "partly", "not_stated")])
+    key = F.concat_ws("/", "conv_id", "turn")
+    rows = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("claim"), F.element_at(names, digit("f", key, 4) + 1).alias("verdict"), ((digit("g", key, 40) + 61) / F.lit(100.0)).alias("prob"))
+    return G.claim_verdicts(rows)
+
+
+def _candidates(spark, sf_dir):
+    key = F.concat_ws("/", F.col("conv_id").cast("string"), F.col("turn").cast("string"))
+    score = F.element_at(F.array(F.lit(1.0), F.lit(0.5), F.lit(0.25), F.lit(0.0)), digit("s", key, 4) + 1)
+    rows = table(spark, sf_dir, "conversations").select("conv_id", F.col("turn").alias("id"), score.alias("score"), ((digit("c", key, 60) + 40) / F.lit(100.0)).alias("confidence"), (digit("b", key, 4) > 0).alias("beats"))
+    return R.ranked(rows, ["conv_id"], [F.desc("score"), F.desc("confidence"), F.col("id")])
+
+
+def r7_none_gate(spark, sf_dir):
+    return R.none_gate(_candidates(spark, sf_dir), ["conv_id"]).select("conv_id", "action", "top_id", "candidates", F.round("margin", 6).alias("margin"))
+
+
+def r7_direct_fit_gate(spark, sf_dir):
+    return R.none_gate(_candidates(spark, sf_dir), ["conv_id"], direct_fit=True).select("conv_id", "action")
+
+
+SQL_GATE = f"""
+    WITH c AS (SELECT conv_id, turn AS id, ([1.0, 0.5, 0.25, 0.0])[{d('s', 'k', 4)} + 1] AS score, ({d('c', 'k', 60)} + 40) / 100.0 AS confidence, {d('b', 'k', 4)} > 0 AS beats
+               FROM (SELECT *, conv_id || '/' || turn AS k FROM conversations)),
+    r AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY score DESC, confidence DESC, id) AS rank FROM c),
+    b AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY rank) AS place FROM r WHERE beats),
+    t AS (SELECT conv_id, max(id) FILTER (place = 1) AS top_id, max(score) FILTER (place = 1) AS top_score, max(confidence) FILTER (place = 1) AS top,
+                 max(confidence) FILTER (place = 1) - coalesce(max(confidence) FILTER (place = 2), 0) AS margin FROM b GROUP BY conv_id),
+    a AS (SELECT conv_id, string_agg(CAST(id AS VARCHAR), ', ' ORDER BY rank) FILTER (rank <= 3) AS candidates FROM r GROUP BY conv_id)"""
+
+
+def j16_run_flips(spark, sf_dir):
+    both = passes(spark, sf_dir).where("answered")
+    run = lambda n: both.where(F.col("pass") == n).select(F.col("id").alias("case_id"), (F.col("confidence") > 0.8).cast("string").alias("verdict"), F.col("value").alias("decision"))
+    known = table(spark, sf_dir, "labels").where("doc_id % 4 = 0").select(F.col("doc_id").alias("case_id"))
+    return J.compare_runs(run(1), run(2), known)
+
+
+def j23_paired_replay(spark, sf_dir):
+    both = passes(spark, sf_dir)
+    run = lambda n: both.where(F.col("pass") == n).select(F.col("id").alias("case_id"), (F.col("confidence") >= 0.8).alias("ok"), (F.round(F.col("confidence") - 0.8, 6)).alias("margin"))
+    return J.paired_replay(run(1), run(2), 0.05)
+
+
+QUERIES = {
+    "p3_answer_problems": p3_answer_problems, "p5_peaks": p5_peaks, "p6_outcomes": p6_outcomes, "p8_folded_kinds": p8_folded_kinds, "w3_reask": w3_reask, "j4_manifest": j4_manifest,
+    "a2_outcomes_by_kind": a2_outcomes_by_kind, "j1_mapping": j1_mapping, "a4_scores": a4_scores, "a5_combined": a5_combined, "a6_latencies": a6_latencies, "a25_retrieval": a25_retrieval,
+    "a23_unstable": a23_unstable, "a12_merged_parts": a12_merged_parts, "a13_claim_verdicts": a13_claim_verdicts, "r7_none_gate": r7_none_gate, "r7_direct_fit_gate": r7_direct_fit_gate,
+    "j16_run_flips": j16_run_flips, "j23_paired_replay": j23_paired_replay,
+}
+SQL_OUTCOMES = SQL_OUTCOMES.replace("FROM passes GROUP BY id)", "FROM passes WHERE id % 13 <> 5 GROUP BY id)")
+SQL_SCORED = SQL_SCORED.replace("FROM passes GROUP BY id)", "FROM passes WHERE id % 13 <> 5 GROUP BY id)")
+SQL = {
+    "p6_outcomes": f"{SQL_OUTCOMES} SELECT id, kind, value, round(confidence, 6) AS confidence FROM outcomes",
+    "p3_answer_problems": f"""
+        WITH x AS (SELECT doc_id, {d('a', 'doc_id', 60)} AS a, {d('b', 'doc_id', 40)} AS b, (['choice', 'score', 'noul'])[{d('k', 'doc_id', 3)} + 1] AS kind,
+                          CASE WHEN {d('t', 'doc_id', 9)} = 0 THEN {d('x', 'doc_id', 5)} ELSE 0 END AS extra, {d('c', 'doc_id', 104)} / 100.0 AS c, {d('o', 'doc_id', 110)} / 100.0 AS noul FROM documents),
+        y AS (SELECT *, 100 - a - b + extra AS t FROM x),
+        z AS (SELECT *, CASE WHEN {d('w', 'doc_id', 7)} = 0 THEN '1' WHEN {d('w', 'doc_id', 11)} = 1 THEN '9' WHEN a >= b AND a >= t THEN '0' WHEN b >= t THEN '1' ELSE '2' END AS choice,
+                     round((b + 2 * t) / 100.0, 2) + CASE WHEN {d('s', 'doc_id', 5)} = 0 THEN 0.2 ELSE 0 END AS score, CASE WHEN {d('l', 'doc_id', 31)} = 0 THEN 2 ELSE 3 END AS levels FROM y),
+        v AS (SELECT *, CASE choice WHEN '0' THEN a WHEN '1' THEN b WHEN '2' THEN t ELSE -100000 END / 100.0 AS chosen, greatest(a, b, t) / 100.0 AS peak, (100 + extra) / 100.0 AS total FROM z),
+        s AS (SELECT *, CASE WHEN extra > 0 THEN total ELSE 1.0 END AS scale FROM v)
+        SELECT doc_id, kind, CASE WHEN kind = 'noul' THEN CASE WHEN noul > 1 THEN 'probability' END
+          WHEN c > 1 OR levels = 2 THEN 'distribution' WHEN extra > 1 THEN 'total'
+          WHEN kind = 'choice' AND (choice = '9' OR chosen / scale + 0.01 + 1e-9 < peak / scale) THEN 'choice'
+          WHEN kind = 'score' AND (score < 0 OR score > 2) THEN 'score'
+          WHEN kind = 'score' AND abs(score - (b + 2 * t) / 100.0 / scale) > 0.03 + 1e-9 THEN 'expectation' END AS problem FROM s""",
+    "p5_peaks": f"""
+        WITH x AS (SELECT doc_id, {d('a', 'doc_id', 60)} / 100.0 AS a, {d('b', 'doc_id', 60)} / 100.0 AS b, {d('c', 'doc_id', 60)} / 100.0 AS c, {d('o', 'doc_id', 101)} / 100.0 AS noul FROM documents)
+        SELECT doc_id, CASE WHEN a + b + c > 0 THEN round(greatest(a, b, c) / (a + b + c), 6) END AS peak, CASE WHEN noul >= 0.5 THEN 'true' ELSE 'false' END AS noul_value,
+               round(abs(noul - 0.5) * 2, 6) AS noul_confidence, a > c AS beats_none FROM x""",
+    "p8_folded_kinds": f"""{SQL_OUTCOMES}
+        SELECT source, (['unaccounted', 'failed_validation', 'unanswered', 'insufficient_evidence', 'review', 'abstain', 'accepted'])[
+                 min(list_position(['unaccounted', 'failed_validation', 'unanswered', 'insufficient_evidence', 'review', 'abstain', 'accepted'], kind))] AS kind, round(min(confidence), 6) AS min_confidence
+        FROM outcomes JOIN documents ON doc_id = id GROUP BY source""",
+    "w3_reask": f"""
+        WITH p AS (SELECT id, pass, confidence, CASE WHEN confidence >= 0.8 THEN 'accepted' ELSE 'review' END AS kind FROM ({SQL_PASSES}) WHERE answered AND NOT malformed)
+        SELECT a.id, CASE WHEN a.confidence >= 0.7 AND a.confidence < 0.9 THEN CASE WHEN a.kind = 'accepted' AND b.kind = 'accepted' THEN 'accepted' ELSE 'review' END ELSE a.kind END AS kind,
+               a.confidence >= 0.7 AND a.confidence < 0.9 AS asked_again
+        FROM (SELECT * FROM p WHERE pass = 1) a LEFT JOIN (SELECT * FROM p WHERE pass = 2) b USING (id)""",
+    "j4_manifest": f"""{SQL_OUTCOMES}
+        SELECT coalesce(a.id, o.id) AS id, coalesce(kind, 'unaccounted') AS kind,
+               CASE WHEN a.id IS NULL THEN 'unknown' WHEN o.id IS NULL THEN 'missing' WHEN o.id % 31 = 2 THEN 'repeated' ELSE 'once' END AS state
+        FROM (SELECT doc_id AS id FROM documents WHERE doc_id % 7 <> 0) a FULL JOIN outcomes o USING (id)""",
+    "a2_outcomes_by_kind": f"""{SQL_OUTCOMES}
+        SELECT k.kind, count(o.id) AS n FROM (SELECT unnest(['unaccounted', 'failed_validation', 'unanswered', 'insufficient_evidence', 'review', 'abstain', 'accepted']) AS kind) k LEFT JOIN outcomes o USING (kind) GROUP BY k.kind""",
+    "j1_mapping": """
+        SELECT coalesce(a.id, l.doc_id) AS key, a.id, CASE WHEN a.id IS NULL THEN 'rejected' WHEN l.doc_id IS NULL THEN 'missing' ELSE 'answered' END AS state
+        FROM (SELECT doc_id AS id FROM documents WHERE doc_id % 3 <> 1) a FULL JOIN labels l ON l.doc_id = a.id""",
+    "a4_scores": f"{SQL_SCORED} SELECT *, {RATES} FROM g",
+    "a5_combined": f"{SQL_SCORED}, s AS (SELECT " + ", ".join(f"CAST(sum({c}) AS BIGINT) AS {c}" for c in ("total", "correct", "accepted", "accepted_wrong", "review", "abstain")) + f" FROM g) SELECT *, {RATES} FROM s",
+    "a6_latencies": f"""
+        WITH x AS (SELECT event_type, {d('lat', 'event_id', 5000)} AS ms FROM events)
+        SELECT event_type, count(*) AS n, CAST(floor(quantile_cont(ms, 0.5) + 0.5) AS BIGINT) AS median, CAST(quantile_disc(ms, 0.95) AS BIGINT) AS p95 FROM x GROUP BY event_type""",
+    "a25_retrieval": f"""
+        WITH x AS (SELECT CASE WHEN toxic = 0 THEN doc_id END AS e, nullif({d('r', 'doc_id', 9)}, 0) AS rank, {d('z', 'doc_id', 10)} < 3 AS nm FROM labels),
+        c AS (SELECT count(e) AS answerable, count(*) FILTER (e IS NULL) AS absent, count(*) FILTER (nm) AS no, count(*) FILTER (e IS NULL AND nm) AS ok,
+                     count(*) FILTER (e IS NOT NULL AND NOT nm AND rank <= 1) AS h1, count(*) FILTER (e IS NOT NULL AND NOT nm AND rank <= 5) AS h5 FROM x)
+        SELECT """ + ", ".join(f"floor(coalesce({a} / nullif({b}, 0), 1) * 1000000 + 0.5) / 1000000 AS {n}" for a, b, n in (("h1", "answerable", "hit_at_1"), ("h5", "answerable", "hit_at_5"), ("ok", "no", "no_match_precision"), ("ok", "absent", "no_match_recall"))) + " FROM c",
+    "a23_unstable": f"""
+        WITH x AS (SELECT pass, id % 500 AS case_id, sha256(string_agg(id || '=' || value, ';' ORDER BY id || '=' || value)) AS digest FROM ({SQL_PASSES}) GROUP BY pass, id % 500)
+        SELECT case_id, count(DISTINCT digest) AS digests FROM x GROUP BY case_id HAVING count(DISTINCT digest) > 1""",
+    "a12_merged_parts": f"""
+        WITH x AS (SELECT conv_id, turn, (['SUPPORTED', 'CONTRADICTED', 'NOT_STATED'])[{d('q', 'k', 3)} + 1] AS verdict, {d('c', 'k', 50)} / 50.0 AS confidence FROM (SELECT *, conv_id || '/' || turn AS k FROM conversations)),
+        r AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY CASE verdict WHEN 'CONTRADICTED' THEN 0 WHEN 'SUPPORTED' THEN 1 ELSE 2 END, confidence DESC, turn) AS rn FROM x)
+        SELECT conv_id, verdict, confidence FROM r WHERE rn = 1""",
+    "a13_claim_verdicts": f"""
+        WITH x AS (SELECT conv_id AS claim, (['supported', 'contradicted', 'partly', 'not_stated'])[{d('f', 'k', 4)} + 1] AS v, ({d('g', 'k', 40)} + 61) / 100.0 AS p FROM (SELECT *, conv_id || '/' || turn AS k FROM conversations)),
+        a AS (SELECT claim, bool_or(v = 'supported' AND p >= 0.9) AS yes, bool_or(v = 'contradicted' AND p >= 0.9) AS no, bool_or(v = 'partly' AND p >= 0.9) AS part, bool_or(v <> 'not_stated') AS leans FROM x GROUP BY claim)
+        SELECT claim, CASE WHEN yes AND no THEN 'CONFLICT' WHEN yes THEN 'TRUE' WHEN no THEN 'FALSE' WHEN part THEN 'PARTIAL' WHEN leans THEN 'UNSURE' ELSE 'NOT FOUND' END AS word FROM a""",
+    "r7_none_gate": f"""{SQL_GATE} SELECT conv_id, CASE WHEN top >= 0.6 AND round(margin, 9) >= 0.1 THEN 'act' ELSE 'ask' END AS action, top_id, candidates, round(margin, 6) AS margin FROM a LEFT JOIN t USING (conv_id)""",
+    "r7_direct_fit_gate": f"""{SQL_GATE} SELECT conv_id, CASE WHEN top >= 0.6 AND round(margin, 9) >= 0.1 AND top_score = 1 THEN 'act' ELSE 'ask' END AS action FROM a LEFT JOIN t USING (conv_id)""",
+    "j16_run_flips": f"""
+        WITH p AS (SELECT id, pass, confidence > 0.8 AS verdict, value FROM ({SQL_PASSES}) WHERE answered)
+        SELECT coalesce(a.id, b.id) AS case_id, CASE WHEN b.id IS NULL THEN 'only in a' WHEN a.id IS NULL THEN 'only in b' WHEN a.value = b.value THEN 'same'
+               WHEN a.verdict = b.verdict AND a.id % 4 = 0 THEN 'known drift' WHEN a.verdict = b.verdict THEN 'drift' ELSE 'window change' END AS state
+        FROM (SELECT * FROM p WHERE pass = 1) a FULL JOIN (SELECT * FROM p WHERE pass = 2) b USING (id)""",
+    "j23_paired_replay": f"""
+        WITH p AS (SELECT id, pass, confidence >= 0.8 AS ok, round(confidence - 0.8, 6) AS m FROM ({SQL_PASSES}))
+        SELECT a.id AS case_id, CASE WHEN a.ok = b.ok THEN 'same' WHEN (CASE WHEN b.ok THEN b.m ELSE a.m END) < 0.05 AND (CASE WHEN b.ok THEN a.m ELSE b.m END) > -0.05 THEN 'inconclusive' WHEN b.ok THEN 'gained' ELSE 'lost' END AS state
+        FROM (SELECT * FROM p WHERE pass = 1) a JOIN (SELECT * FROM p WHERE pass = 2) b USING (id)""",
+}
