@@ -11,6 +11,7 @@ of all pieces have is not ranked in one task.
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -31,10 +32,15 @@ TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 #: Groups by hash that the pieces of one length are ranked in.
 SALTS = 32
 #: Words whose ids a task remembers before it starts anew.
-REMEMBER = 400_000
+REMEMBER = 800_000
 PIECES = "doc_id {kind}, piece int, start bigint, length bigint, ids_crc32 bigint"
 
 
+#: How the tokenizer cuts a lower-cased text of Latin-1 characters, which composition leaves as they are, into words.
+LETTER, NUMBER = "a-zA-Z\u00aa\u00b5\u00ba\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff", "0-9\u00b2\u00b3\u00b9\u00bc-\u00be"
+WORDS = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{LETTER}]+|[{NUMBER}]|[^\t-\r \u0085 {LETTER}{NUMBER}]+")
+
+
 class _Ids(dict):
     """Token ids of a text without spaces and line breaks, as little-endian bytes."""
 
@@ -52,12 +58,20 @@ class _Ids(dict):
         made = self[word] = self.encode(word)
         return made
 
+    def words(self, text: str) -> list[str]:
+        """Parts of the text that the tokenizer encodes each for itself: its own words, or what stands between white
+        space, which it drops and never joins across."""
+        try:
+            text.encode("latin-1")
+        except UnicodeEncodeError:
+            return text.replace("\n", " ").split(" ")
+        return WORDS.findall(text.lower())
+
     def of(self, text: str) -> bytes:
-        """Ids of the whole text. The tokenizer drops white space and never joins across it, so words are looked up
-        alone; a text that holds a special token's string is encoded as it stands."""
+        """Ids of the whole text. One that holds a special token's string is encoded as it stands."""
         if "<|" in text:
             return self.encode(text)
-        return b"".join(map(self.__getitem__, text.replace("\n", " ").split(" ")))
+        return b"".join(map(self.__getitem__, self.words(text)))
 
 
 def pieces(docs: DataFrame, capacity: int = CAPACITY, tokenizer: str = TOKENIZER) -> DataFrame:

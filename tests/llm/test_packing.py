@@ -6,7 +6,7 @@ from itertools import combinations
 import numpy as np
 from tokenizers import Tokenizer
 
-from sievecraft.llm.packing import TOKENIZER, fullest, minimum_bin_slack, pack
+from sievecraft.llm.packing import TOKENIZER, _Ids, fullest, minimum_bin_slack, pack
 
 DOCS = "doc_id long, text string, length string, rank int"
 
@@ -45,6 +45,13 @@ def test_plan_uses_everything_within_capacity():
     assert minimum_bin_slack({}) == []
 
 
+def test_words_have_the_ids_of_the_whole_text():
+    ids = _Ids(TOKENIZER)
+    for c in map(chr, range(0x180)):
+        for text in (c, f"a{c}b", c + c, f"1{c}2", f".{c}.", f"A{c}", f"{c}A", f"It's{c}'LL x", c + "\u0301", f"é{c} \n{c}É"):
+            assert ids.of(text) == ids.encode(text), repr(text)
+
+
 def test_pieces_and_places(spark):
     texts = [None, "", "Hello World", "it's  been\tA long\u00a0day\n", "x<|endoftext|> y", "e\u0301 É ǅ İ", "word " * 900, "é" * 50, "same text"] + ["same text"] * 40
     r = random.Random(3)
