@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from sievecraft.plans.lineage import cut
+
 
 def walk(roots: DataFrame, links: DataFrame, max_depth: int = 3) -> DataFrame:
     """Breadth-first walk from each root (root): root, id, depth of the first visit. One join for each level of a small bound.
@@ -16,7 +18,7 @@ def walk(roots: DataFrame, links: DataFrame, max_depth: int = 3) -> DataFrame:
     front = seen
     for depth in range(1, max_depth + 1):
         following = front.join(links, F.col("id") == F.col("src")).select("root", F.col("dst").alias("id")).distinct()
-        front = following.join(seen.select("root", "id"), ["root", "id"], "left_anti").withColumn("depth", F.lit(depth))
+        front = cut(following.join(seen.select("root", "id"), ["root", "id"], "left_anti").withColumn("depth", F.lit(depth)))
         seen = seen.unionByName(front)
     return seen
 
@@ -63,24 +65,27 @@ def folder_units(files: DataFrame, least: int = 5, rounds: int = 12) -> DataFram
     ``files``: path, top. Counting and moving repeat until nothing moves; a round moves one level, so the depth of the tree bounds them.
     """
     parent = F.regexp_replace("unit", "/?[^/]*$", "")
-    rows = files.withColumn("unit", F.regexp_replace("path", "/?[^/]*$", ""))
+    rows = cut(files.withColumn("unit", F.regexp_replace("path", "/?[^/]*$", "")))
     for _ in range(rounds):
         small = rows.groupBy("unit").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") < least).select("unit", F.lit(True).alias("small"))
         marked = rows.join(small, "unit", "left")
         moves = F.col("small").isNotNull() & (F.col("unit") != F.col("top")) & (F.length("unit") > F.length("top"))
-        rows = marked.withColumn("to", F.when(moves, parent).otherwise(F.col("unit"))).select("path", "top", F.col("to").alias("unit"))
+        moved = cut(marked.select("path", "top", F.when(moves, parent).otherwise(F.col("unit")).alias("unit"), moves.alias("moved")))
+        rows = moved.drop("moved")
+        if moved.where("moved").isEmpty():
+            break
     return rows.select("path", "unit")
 
 
 def connected(members: DataFrame, rounds: int = 20) -> DataFrame:
     """Members (member, key) that share keys, directly or not: member, group (the smallest member). Labels pass along keys until stable."""
     labels = members.select("member").distinct().withColumn("group", F.col("member"))
-    pairs = members.select("member", "key").distinct()
+    pairs = cut(members.select("member", "key").distinct())
     for _ in range(rounds):
         of_key = pairs.join(labels, "member").groupBy("key").agg(F.min("group").alias("group"))
         new = pairs.join(of_key, "key").groupBy("member").agg(F.min("group").alias("group"))
         new = new.join(new.select(F.col("member").alias("m"), F.col("group").alias("g")), F.col("group") == F.col("m")).select("member", "g").withColumnRenamed("g", "group")
-        new = new.checkpoint() if members.sparkSession.sparkContext.getCheckpointDir() else new.persist()
+        new = cut(new)
         if new.join(labels, ["member", "group"], "left_anti").isEmpty():
             return new
         labels = new

@@ -1 +1,221 @@
-QUERIES, SQL = {}, {}
+"""Queries over joins, set operations, deduplication, walks and roll-ups."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from sievecraft.operators import graph as G
+from sievecraft.operators import relational as J
+from sievecraft.queries.documents import SQL_SQUEEZED, table
+from sievecraft.queries.evaluation import d, digit
+
+
+def p1_assigned_ids(spark, sf_dir):
+    rows = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("pos"), F.when(F.col("doc_id") % 4 == 0, "  ").when(F.col("doc_id") % 4 == 1, F.concat(F.lit(" id-"), F.col("doc_id") % 40)).otherwise(F.col("doc_id").cast("string")).alias("id"))
+    return J.assign_ids(rows)
+
+
+def p2_safe_keys(spark, sf_dir):
+    rows = table(spark, sf_dir, "pages").select(F.col("page_id").alias("pos"), F.regexp_extract("url", "//([^/]*)", 1).alias("id"))
+    return J.safe_keys(rows)
+
+
+def _lines(spark, sf_dir):
+    """A catalog of the first and last lines of documents."""
+    lines = F.split("text", "\n")
+    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.slice(lines, 1, 2).alias("utterances"), F.array(F.element_at(lines, -1)).alias("negatives"))
+
+
+def j13_duplicate_utterances(spark, sf_dir):
+    return J.duplicate_phrases(_lines(spark, sf_dir)).select(F.md5("phrase").alias("phrase_md5"), F.array_join(F.transform("ids", lambda i: i.cast("string")), ",").alias("ids"))
+
+
+def j12_negative_collisions(spark, sf_dir):
+    return J.negative_collisions(_lines(spark, sf_dir)).select("id", F.md5("phrase").alias("phrase_md5"), "other")
+
+
+SQL_LINES = "SELECT doc_id AS id, string_split(text, chr(10))[1:2] AS u, string_split(text, chr(10))[-1] AS neg FROM documents"
+
+
+def j11_trigger_hits(spark, sf_dir):
+    """Four words of each benchmark item as its trigger, looked for in all documents."""
+    words = F.slice(F.split("text", " "), 2, 4)
+    catalog = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("id"), F.array(F.array_join(words, " ")).alias("utterances"))
+    requests = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("request_id"), "text")
+    return J.trigger_hits(requests, J.triggers(catalog)).select("request_id", "id")
+
+
+def j17_snapshot_changes(spark, sf_dir):
+    rows = table(spark, sf_dir, "pages").select(F.col("url").alias("path"), F.md5("html").alias("sha"), "page_id")
+    rows = rows.groupBy("path").agg(F.min_by("sha", "page_id").alias("sha"), F.min("page_id").alias("page_id"))
+    before, now = rows.where("page_id % 10 <> 1"), rows.where("page_id % 10 <> 2").withColumn("sha", F.when(F.col("page_id") % 5 == 0, F.md5("sha")).otherwise(F.col("sha")))
+    return J.snapshot_changes(before, now)
+
+
+def j18_coverage(spark, sf_dir):
+    lines = table(spark, sf_dir, "lineitem").select(F.concat(F.lit("s"), F.col("l_suppkey").cast("string")).alias("set"), F.col("l_partkey").alias("path")).distinct()
+    return J.coverage(lines.where("path % 7 = 1"), lines.where("path % 5 <> 0 and path % 7 = 1 and length(set) < 3"))
+
+
+def j20_neighbours(spark, sf_dir):
+    chunks = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("source"), F.col("turn").alias("idx"))
+    return J.with_neighbours(chunks.where("(source + idx) % 4 = 0"), chunks)
+
+
+def j8_called_by(spark, sf_dir):
+    rows = table(spark, sf_dir, "lineitem")
+    parts = rows.where("l_linenumber = 1").select(F.col("l_orderkey").alias("path"), F.concat(F.lit("m.name"), F.col("l_partkey").cast("string")).alias("name"))
+    calls = rows.where("l_linenumber > 1").select(F.col("l_orderkey").alias("path"), F.concat(F.lit("name"), F.col("l_partkey").cast("string")).alias("name"))
+    return J.called_by(parts, calls)
+
+
+def j14_without_views(spark, sf_dir):
+    rows = table(spark, sf_dir, "orders").where("o_orderkey % 5 <> 0").select(F.col("o_orderkey").alias("path"), F.when(F.col("o_orderkey") % 3 == 0, F.floor(F.col("o_orderkey") / 2)).alias("upstream"))
+    return J.without_views(rows)
+
+
+def p28_leaking_identities(spark, sf_dir):
+    rows = table(spark, sf_dir, "documents")
+    split = F.when(digit("split", F.col("doc_id"), 10) < 3, "holdout").otherwise("retrospective")
+    identity = F.explode(F.array(F.struct(F.lit("text").alias("kind"), F.md5("text").alias("value")), F.struct(F.lit("line").alias("kind"), F.md5(F.element_at(F.split("text", "\n"), 1)).alias("value"))))
+    return J.leaking_identities(rows.select(split.alias("split"), identity.alias("i")).select("split", "i.kind", "i.value"))
+
+
+def d1_duplicate_sources(spark, sf_dir):
+    return J.duplicate_sources(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text", F.col("lang").alias("description")))
+
+
+def d2_first_by_priority(spark, sf_dir):
+    rows = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("key"), F.col("o_orderkey").alias("id"), "o_orderstatus")
+    parts = [rows.where(F.col("o_orderstatus") == s) for s in "FOP"]
+    return J.first_by_priority(parts, ["key"], [F.col("id")])
+
+
+def d4_only_in_either(spark, sf_dir):
+    a, b = table(spark, sf_dir, "documents").select("doc_id"), table(spark, sf_dir, "labels").select("doc_id")
+    return a.join(b, "doc_id", "left_anti").withColumn("side", F.lit("a")).unionByName(b.where("doc_id % 5 = 0").join(a.where("doc_id % 10 = 0"), "doc_id", "left_anti").withColumn("side", F.lit("b")))
+
+
+def d7_connected(spark, sf_dir):
+    """Suppliers that share a part, directly or not, over a thin slice of keys so that there are several groups."""
+    rows = table(spark, sf_dir, "lineitem").where("l_partkey % 97 = l_suppkey % 97").select(F.col("l_suppkey").alias("member"), F.col("l_partkey").alias("key"))
+    return G.connected(rows)
+
+
+def _links(spark, sf_dir):
+    c = lambda p, k: F.concat(F.lit(p), F.col(k).cast("string"))
+    return (
+        table(spark, sf_dir, "orders").select(c("o", "o_orderkey").alias("src"), c("c", "o_custkey").alias("dst"))
+        .unionByName(table(spark, sf_dir, "customer").select(c("c", "c_custkey").alias("src"), c("n", "c_nationkey").alias("dst")))
+        .unionByName(table(spark, sf_dir, "nation").select(c("n", "n_nationkey").alias("src"), c("r", "n_regionkey").alias("dst")))
+    )
+
+
+def g1_walk(spark, sf_dir):
+    roots = table(spark, sf_dir, "orders").select(F.concat(F.lit("o"), F.col("o_orderkey").cast("string")).alias("root"))
+    links = _links(spark, sf_dir)
+    visits = G.walk(roots, links, 2)
+    docs = links.select(F.col("src").alias("id")).where("not (id like 'n%' and length(id) = 2)")
+    return G.walk_report(visits, links, docs, 2)
+
+
+SQL_LINKS = """SELECT 'o' || o_orderkey AS src, 'c' || o_custkey AS dst FROM orders UNION ALL SELECT 'c' || c_custkey, 'n' || c_nationkey FROM customer UNION ALL SELECT 'n' || n_nationkey, 'r' || n_regionkey FROM nation"""
+
+
+def r9_beam(spark, sf_dir):
+    """For each order of a customer: the three best paths over region, nation and its segment, by made-up probabilities."""
+    requests = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("request"))
+    nations = table(spark, sf_dir, "nation").select(F.concat(F.lit("r"), "n_regionkey").alias("parent"), F.concat(F.lit("n"), "n_nationkey").alias("child"))
+    regions = table(spark, sf_dir, "region").select(F.lit("root").alias("parent"), F.concat(F.lit("r"), "r_regionkey").alias("child"))
+    tree = regions.unionByName(nations)
+    edges = requests.crossJoin(F.broadcast(tree))  # a catalog of at most 200 nodes, asked whole for every request
+    p = (digit("p", F.concat_ws("/", "request", "child"), 97) + 1) / F.lit(100.0)
+    return G.beam(requests, edges.withColumn("p", p), 2, 3).select("request", "node", "rank", F.round("score", 6).alias("score"))
+
+
+def a11_folder_units(spark, sf_dir):
+    path = F.regexp_replace(F.regexp_replace("url", "^[^/]*//", ""), "[?#].*$", "")
+    rows = table(spark, sf_dir, "pages").select(path.alias("path")).distinct()
+    files = rows.select(F.concat(F.lit("top/"), F.regexp_replace("path", r"^(?:[^/.]*\.)*([^/.]*\.[^/.]*)/", "$1/")).alias("path")).distinct()
+    return G.folder_units(files.withColumn("top", F.lit("top"))).groupBy("unit").agg(F.count(F.lit(1)).alias("n"))
+
+
+QUERIES = {
+    "p1_assigned_ids": p1_assigned_ids, "p2_safe_keys": p2_safe_keys, "j13_duplicate_utterances": j13_duplicate_utterances, "j12_negative_collisions": j12_negative_collisions,
+    "j11_trigger_hits": j11_trigger_hits, "j17_snapshot_changes": j17_snapshot_changes, "j18_coverage": j18_coverage, "j20_neighbours": j20_neighbours, "j8_called_by": j8_called_by,
+    "j14_without_views": j14_without_views, "p28_leaking_identities": p28_leaking_identities, "d1_duplicate_sources": d1_duplicate_sources, "d2_first_by_priority": d2_first_by_priority,
+    "d4_only_in_either": d4_only_in_either, "d7_connected": d7_connected, "g1_walk": g1_walk, "r9_beam": r9_beam, "a11_folder_units": a11_folder_units,
+}
+KEY = SQL_SQUEEZED.format
+SQL = {
+    "p1_assigned_ids": """
+        WITH x AS (SELECT doc_id AS pos, coalesce(nullif(trim(CASE doc_id % 4 WHEN 0 THEN '  ' WHEN 1 THEN ' id-' || (doc_id % 40) ELSE CAST(doc_id AS VARCHAR) END), ''), 'records/' || doc_id) AS id FROM documents)
+        SELECT id, pos, count(*) OVER (PARTITION BY id) > 1 AS repeated FROM x""",
+    "p2_safe_keys": """
+        WITH x AS (SELECT page_id AS pos, regexp_extract(url, '//([^/]*)', 1) AS id FROM pages),
+        k AS (SELECT *, regexp_replace(id, '[^A-Za-z0-9_]', '_', 'g') AS raw FROM x),
+        s AS (SELECT pos, id, CASE WHEN regexp_matches(raw, '^[A-Za-z_]') THEN raw ELSE substr('r_' || raw, 1, 64) END AS key FROM k),
+        n AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY pos) AS rn FROM s)
+        SELECT pos, id, CASE WHEN rn = 1 THEN key ELSE key || '_' || rn END AS key FROM n""",
+    "j13_duplicate_utterances": f"""
+        WITH u AS (SELECT DISTINCT id, {KEY('x')} AS phrase FROM (SELECT id, unnest(u) AS x FROM ({SQL_LINES}))), g AS (SELECT phrase, count(*) AS n, string_agg(CAST(id AS VARCHAR), ',' ORDER BY id) AS ids FROM u WHERE phrase <> '' GROUP BY phrase)
+        SELECT md5(phrase) AS phrase_md5, ids FROM g WHERE n > 1""",
+    "j12_negative_collisions": f"""
+        WITH u AS (SELECT DISTINCT id AS other, {KEY('x')} AS phrase FROM (SELECT id, unnest(u) AS x FROM ({SQL_LINES}))), n AS (SELECT DISTINCT id, {KEY('neg')} AS phrase FROM ({SQL_LINES}))
+        SELECT id, md5(phrase) AS phrase_md5, other FROM n JOIN u USING (phrase) WHERE id <> other AND phrase <> ''""",
+    "j11_trigger_hits": r"""
+        WITH t AS (SELECT item_id AS id, trim(regexp_replace(regexp_replace(lower(array_to_string(string_split(text, ' ')[2:5], ' ')), '[^a-z0-9\s]+', ' ', 'g'), '\s+', ' ', 'g')) AS phrase FROM benchmark),
+        o AS (SELECT min(id) AS id, phrase FROM t WHERE contains(phrase, ' ') GROUP BY phrase HAVING count(DISTINCT id) = 1),
+        r AS (SELECT doc_id, ' ' || trim(regexp_replace(regexp_replace(lower(text), '[^a-z0-9\s]+', ' ', 'g'), '\s+', ' ', 'g')) || ' ' AS words FROM documents)
+        SELECT doc_id AS request_id, id FROM r JOIN o ON contains(words, ' ' || phrase || ' ')""",
+    "j17_snapshot_changes": """
+        WITH x AS (SELECT url AS path, min_by(md5(html), page_id) AS sha, min(page_id) AS page_id FROM pages GROUP BY url),
+        a AS (SELECT * FROM x WHERE page_id % 10 <> 1), b AS (SELECT path, CASE WHEN page_id % 5 = 0 THEN md5(sha) ELSE sha END AS sha FROM x WHERE page_id % 10 <> 2)
+        SELECT coalesce(a.path, b.path) AS path, CASE WHEN a.path IS NULL THEN 'new' WHEN b.path IS NULL THEN 'gone' WHEN a.sha = b.sha THEN 'same' ELSE 'changed' END AS state FROM a FULL JOIN b USING (path)""",
+    "j18_coverage": """
+        WITH l AS (SELECT DISTINCT 's' || l_suppkey AS set, l_partkey AS path FROM lineitem), e AS (SELECT * FROM l WHERE path % 7 = 1), h AS (SELECT path, set AS holder FROM e WHERE path % 5 <> 0 AND length(set) < 3),
+        p AS (SELECT e.set, e.path, coalesce(bool_or(e.set = holder), false) AS own, count(holder) AS n FROM e LEFT JOIN h USING (path) GROUP BY e.set, e.path),
+        b AS (SELECT p.set, string_agg(DISTINCT holder, ',' ORDER BY holder) AS borrows FROM p JOIN h USING (path) WHERE NOT own GROUP BY p.set)
+        SELECT p.set, bool_and(n > 0) AS complete, coalesce(any_value(borrows), '') AS borrows FROM p LEFT JOIN b USING (set) GROUP BY p.set""",
+    "j20_neighbours": """
+        WITH c AS (SELECT conv_id AS source, turn AS idx FROM conversations), s AS (SELECT * FROM c WHERE (source + idx) % 4 = 0)
+        SELECT c.source, c.idx, bool_or(c.idx = s.idx) AS base FROM c JOIN s ON c.source = s.source AND abs(c.idx - s.idx) <= 1 GROUP BY c.source, c.idx""",
+    "j8_called_by": """
+        WITH p AS (SELECT DISTINCT l_orderkey AS path, 'name' || l_partkey AS name FROM lineitem WHERE l_linenumber = 1), c AS (SELECT DISTINCT l_orderkey AS caller, 'name' || l_partkey AS name FROM lineitem WHERE l_linenumber > 1),
+        r AS (SELECT name FROM p GROUP BY name HAVING count(*) <= 3)
+        SELECT path, name, caller FROM p JOIN r USING (name) JOIN c USING (name) WHERE path <> caller""",
+    "j14_without_views": """
+        WITH x AS (SELECT o_orderkey AS path, CASE WHEN o_orderkey % 3 = 0 THEN CAST(floor(o_orderkey / 2) AS BIGINT) END AS upstream FROM orders WHERE o_orderkey % 5 <> 0)
+        SELECT * FROM x WHERE upstream IS NULL OR upstream NOT IN (SELECT path FROM x)""",
+    "p28_leaking_identities": f"""
+        WITH x AS (SELECT CASE WHEN {d('split', 'doc_id', 10)} < 3 THEN 'holdout' ELSE 'retrospective' END AS split, text FROM documents),
+        i AS (SELECT split, 'text' AS kind, md5(text) AS value FROM x UNION ALL SELECT split, 'line', md5(string_split(text, chr(10))[1]) FROM x)
+        SELECT kind, value, string_agg(DISTINCT split, ',' ORDER BY split) AS splits FROM i GROUP BY kind, value HAVING count(DISTINCT split) > 1""",
+    "d1_duplicate_sources": "SELECT min(doc_id) AS canonical_id, count(*) AS n, sha256(text) AS text_sha FROM documents GROUP BY text, lang HAVING count(*) > 1",
+    "d2_first_by_priority": """
+        WITH r AS (SELECT o_custkey AS key, o_orderkey AS id, o_orderstatus, row_number() OVER (PARTITION BY o_custkey ORDER BY CASE o_orderstatus WHEN 'F' THEN 0 WHEN 'O' THEN 1 ELSE 2 END, o_orderkey) AS rn
+                   FROM orders WHERE o_orderstatus IN ('F', 'O', 'P'))
+        SELECT key, id, o_orderstatus FROM r WHERE rn = 1""",
+    "d4_only_in_either": """
+        SELECT doc_id, 'a' AS side FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)
+        UNION ALL SELECT doc_id, 'b' FROM labels WHERE doc_id % 5 = 0 AND doc_id NOT IN (SELECT doc_id FROM documents WHERE doc_id % 10 = 0)""",
+    "d7_connected": """
+        WITH RECURSIVE m AS (SELECT DISTINCT l_suppkey AS member, l_partkey AS key FROM lineitem WHERE l_partkey % 97 = l_suppkey % 97),
+        e AS (SELECT DISTINCT a.member AS a, b.member AS b FROM m a JOIN m b USING (key)),
+        r(a, b) AS (SELECT a, b FROM e UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a)
+        SELECT a AS member, min(b) AS "group" FROM r GROUP BY a""",
+    "g1_walk": f"""
+        WITH RECURSIVE l AS ({SQL_LINKS}), k AS (SELECT DISTINCT src AS id FROM l WHERE NOT (src LIKE 'n%' AND length(src) = 2)),
+        w(root, id, depth) AS (SELECT 'o' || o_orderkey, 'o' || o_orderkey, 0 FROM orders UNION SELECT w.root, l.dst, w.depth + 1 FROM w JOIN l ON l.src = w.id WHERE w.depth < 2),
+        v AS (SELECT root, id, min(depth) AS depth FROM w GROUP BY root, id)
+        SELECT root, count(*) AS visited, count(*) FILTER (k.id IS NULL) AS dangling, max(depth) FILTER (k.id IS NOT NULL) AS depth,
+               bool_or(depth = 2 AND k.id IS NOT NULL AND v.id IN (SELECT src FROM l)) AS truncated
+        FROM v LEFT JOIN k USING (id) GROUP BY root""",
+    "r9_beam": f"""
+        WITH t AS (SELECT 'root' AS parent, 'r' || r_regionkey AS child FROM region UNION ALL SELECT 'r' || n_regionkey, 'n' || n_nationkey FROM nation),
+        e AS (SELECT s_suppkey AS request, parent, child, ({d('p', "(s_suppkey || '/' || child)", 97)} + 1) / 100.0 AS p FROM supplier, t),
+        a AS (SELECT request, child AS node, 'root/' || child AS path, ln(p) AS log, row_number() OVER (PARTITION BY request ORDER BY round(p, 9) DESC, 'root/' || child) AS rank FROM e WHERE parent = 'root'),
+        b AS (SELECT a.request, e.child AS node, a.path || '/' || e.child AS path, exp((a.log + ln(e.p)) / 2) AS score FROM a JOIN e ON e.request = a.request AND e.parent = a.node WHERE a.rank <= 3),
+        c AS (SELECT *, row_number() OVER (PARTITION BY request ORDER BY round(score, 9) DESC, path) AS rank FROM b)
+        SELECT request, node, rank, round(score, 6) AS score FROM c WHERE rank <= 3""",
+}
