@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from sievecraft.functions import text as T
 from sievecraft.operators import ranking as R
+from sievecraft.operators.chunking import chunks
 from sievecraft.plans import batches as B
 
 REQUEST = "tionand the ofthe eronth anation with thering blens"
@@ -86,6 +87,11 @@ def f14_passages(spark, sf_dir):
     return rows.select("doc_id", "p.start", F.sha2("p.passage", 256).alias("sha"))
 
 
+def f13_chunks(spark, sf_dir):
+    """Chunks by headings and lines; their state over lines is not for SQL."""
+    return chunks(table(spark, sf_dir, "documents")).select("doc_id", "idx", "first_line", "last_line", "heading", F.sha2("text", 256).alias("sha"))
+
+
 def f17_claims(spark, sf_dir):
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.posexplode(T.claims(F.col("text"))).alias("pos", "claim"))
     return rows.select("conv_id", "turn", "pos", F.md5("claim").alias("claim_md5"))
@@ -200,7 +206,7 @@ f(conv_id, turn, size, k, call, open, n, used) AS (
 
 QUERIES = {
     "f1_tokenize": f1_tokenize, "f4_word_pairs": f4_word_pairs, "f7_normalised_keys": f7_normalised_keys, "f8_redact": f8_redact, "f14_passages": f14_passages,
-    "f17_claims": f17_claims, "f25_set_digest": f25_set_digest, "b1_estimates": b1_estimates, "p10_blocked_paths": p10_blocked_paths, "a8_document_frequency": a8_document_frequency,
+    "f13_chunks": f13_chunks, "f17_claims": f17_claims, "f25_set_digest": f25_set_digest, "b1_estimates": b1_estimates, "p10_blocked_paths": p10_blocked_paths, "a8_document_frequency": a8_document_frequency,
     "r1_prefilter": r1_prefilter, "r2_top_chunks": r2_top_chunks, "b3_next_fit": b3_next_fit, "b3_call_totals": b3_call_totals, "b4_records_per_call": b4_records_per_call, "b10_fit_window": b10_fit_window,
 }
 SQL = {
