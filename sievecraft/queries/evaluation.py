@@ -24,18 +24,17 @@ def d(salt: str, key: str, modulus: int) -> str:
     return f"(CAST('0x' || substr(md5('{salt}' || CAST({key} AS VARCHAR)), 1, 4) AS INT) % {modulus})"
 
 
-PASS_ROW = {"c": ("c", 41), "p": ("p", 31), "v": ("v", 12), "u": ("u", 23), "m": ("m", 29)}
-CELL = F.concat_ws("/", F.col("doc_id").cast("string"), F.col("pass").cast("string"))
 
 
 def passes(spark, sf_dir):
     """Two passes over the labelled documents: value 0 or 1 (mostly the label), confidence, peak, some unanswered or malformed."""
     rows = table(spark, sf_dir, "labels").select("doc_id", "quality", F.explode(F.array(F.lit(1), F.lit(2))).alias("pass"))
-    wrong = digit("v", CELL, 12) == 0
-    value = F.when(digit("n", CELL, 25) == 0, "none").when(wrong, (1 - F.col("quality")).cast("string")).otherwise(F.col("quality").cast("string"))
+    cell = F.concat_ws("/", F.col("doc_id").cast("string"), F.col("pass").cast("string"))
+    wrong = digit("v", cell, 12) == 0
+    value = F.when(digit("n", cell, 25) == 0, "none").when(wrong, (1 - F.col("quality")).cast("string")).otherwise(F.col("quality").cast("string"))
     return rows.select(
-        F.col("doc_id").alias("id"), "pass", (digit("u", CELL, 23) > 0).alias("answered"), (digit("m", CELL, 29) == 0).alias("malformed"),
-        value.alias("value"), ((digit("c", CELL, 41) + 60) / F.lit(100.0)).alias("confidence"), ((digit("p", CELL, 31) + 70) / F.lit(100.0)).alias("peak"),
+        F.col("doc_id").alias("id"), "pass", (digit("u", cell, 23) > 0).alias("answered"), (digit("m", cell, 29) == 0).alias("malformed"),
+        value.alias("value"), ((digit("c", cell, 41) + 60) / F.lit(100.0)).alias("confidence"), ((digit("p", cell, 31) + 70) / F.lit(100.0)).alias("peak"),
     )
 
 
