@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from sievecraft.functions import text as T
 from sievecraft.operators import ranking as R
 from sievecraft.operators.chunking import chunks
+from sievecraft.operators.word_search import question_terms, word_search
 from sievecraft.plans import batches as B
 
 REQUEST = "tionand the ofthe eronth anation with thering blens"
@@ -142,6 +143,13 @@ def r2_top_chunks(spark, sf_dir):
     return R.top_chunks(chunks, REQUEST, 12).select("id", "score")
 
 
+def r3_word_search(spark, sf_dir):
+    """The twelve best files for a question; the head of a document is its source, language and first 60 characters."""
+    head = F.concat_ws(" ", "source", "lang", F.substring("text", 1, 60))
+    files = table(spark, sf_dir, "documents").select(F.concat(F.lit("f"), F.lpad(F.col("doc_id").cast("string"), 12, "0")).alias("path"), head.alias("head"), "text")
+    return word_search(files, REQUEST, 12)
+
+
 def b3_next_fit(spark, sf_dir):
     rows = table(spark, sf_dir, "conversations")
     return B.plan_calls(rows, "conv_id", "turn", T.estimated_tokens(F.col("text")) + 12, 3, 160)
@@ -204,10 +212,33 @@ f(conv_id, turn, size, k, call, open, n, used) AS (
   FROM f JOIN r ON r.conv_id = f.conv_id AND r.k = f.k + 1)
 """
 
+def _word_search_sql() -> str:
+    terms, pairs = question_terms(REQUEST)
+    w = lambda t: f"list_filter(string_split_regex(lower({t}), '[^a-z0-9]+'), lambda x: x <> '')"
+    stems = "list_transform(list_filter(w, lambda x: length(x) > 2), lambda x: x[1:4])"
+    return f"""
+    WITH f AS (SELECT 'f' || lpad(CAST(doc_id AS VARCHAR), 12, '0') AS path, {w("source || ' ' || lang || ' ' || substring(text, 1, 60)")} AS h, text FROM documents),
+    p AS (SELECT path, h, {w("substring(text, CAST(s + 1 AS BIGINT), 3500)")} AS w, s FROM (SELECT *, unnest(range(0, greatest(length(text), 1), 3500)) AS s FROM f)),
+    z AS (SELECT path, s, w, h, len(w) + 3 * len(h) AS size FROM p),
+    t AS (SELECT unnest({terms!r}) AS term),
+    c AS (SELECT path, s, size, term, len(list_filter(w, lambda x: x = term)) + 3 * len(list_filter(h, lambda x: x = term)) AS tf FROM z, t),
+    st AS (SELECT count(DISTINCT path) AS n, sum(size) / count(*) AS av FROM z),
+    df AS (SELECT term, count(DISTINCT path) FILTER (tf > 0) AS df FROM c GROUP BY term),
+    i AS (SELECT term, df, ln(1 + (n - df + 0.5) / (df + 0.5)) AS idf FROM df, st),
+    tot AS (SELECT sum(idf) AS total FROM i WHERE df > 0),
+    cov AS (SELECT path, sum(idf) AS covered FROM (SELECT DISTINCT path, term FROM c WHERE tf > 0) JOIN i USING (term) GROUP BY path),
+    b AS (SELECT path, s, sum(idf * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * size / av))) AS base FROM c JOIN i USING (term), st GROUP BY path, s),
+    q AS (SELECT unnest({[a for a, _ in pairs]!r}) AS a, unnest({[b for _, b in pairs]!r}) AS b),
+    ph AS (SELECT path, s, sum(0.7 * (x.idf + y.idf) / 2) AS bonus FROM (SELECT path, s, list_transform(range(1, len(k)), lambda i: k[i] || ' ' || k[i + 1]) AS beside FROM (SELECT path, s, {stems} AS k FROM z)) zz JOIN q ON list_contains(beside, a[1:4] || ' ' || b[1:4])
+           JOIN i x ON x.term = a JOIN i y ON y.term = b GROUP BY path, s),
+    r AS (SELECT path, floor(max(base + coalesce(bonus, 0)) * 1000 + 0.5) / 1000 AS score FROM b LEFT JOIN ph USING (path, s) JOIN cov USING (path), tot WHERE covered / total >= 0.5 - 1e-9 GROUP BY path)
+    SELECT path, score FROM r WHERE score >= (SELECT max(score) FROM r) * 0.55 ORDER BY score DESC, path LIMIT 12"""
+
+
 QUERIES = {
     "f1_tokenize": f1_tokenize, "f4_word_pairs": f4_word_pairs, "f7_normalised_keys": f7_normalised_keys, "f8_redact": f8_redact, "f14_passages": f14_passages,
     "f13_chunks": f13_chunks, "f17_claims": f17_claims, "f25_set_digest": f25_set_digest, "b1_estimates": b1_estimates, "p10_blocked_paths": p10_blocked_paths, "a8_document_frequency": a8_document_frequency,
-    "r1_prefilter": r1_prefilter, "r2_top_chunks": r2_top_chunks, "b3_next_fit": b3_next_fit, "b3_call_totals": b3_call_totals, "b4_records_per_call": b4_records_per_call, "b10_fit_window": b10_fit_window,
+    "r1_prefilter": r1_prefilter, "r2_top_chunks": r2_top_chunks, "r3_word_search": r3_word_search, "b3_next_fit": b3_next_fit, "b3_call_totals": b3_call_totals, "b4_records_per_call": b4_records_per_call, "b10_fit_window": b10_fit_window,
 }
 SQL = {
     "f1_tokenize": f"SELECT doc_id, CAST(len(w) AS INT) AS n_tokens, CAST(len(list_distinct(w)) AS INT) AS n_distinct FROM (SELECT doc_id, {tokens('text')} AS w FROM documents)",
@@ -229,6 +260,7 @@ SQL = {
     "a8_document_frequency": f"SELECT term, count(*) AS df FROM (SELECT unnest(list_distinct({tokens('text')})) AS term FROM documents) GROUP BY term",
     "r1_prefilter": _bm25_sql(SQL_CATALOG, [("w", ASK, 1.0), ("w", TURNS, 0.35), ("neg", f"list_concat({ASK}, {TURNS})", -1.0)], 8, "id"),
     "r2_top_chunks": _bm25_sql(SQL_CHUNKS, [("w", ASK, 1.0)], 12, "id"),
+    "r3_word_search": _word_search_sql(),
     "b3_next_fit": SQL_NEXT_FIT + "SELECT conv_id, turn, size, call FROM f",
     "b3_call_totals": SQL_NEXT_FIT + "SELECT conv_id, call, count(*) AS n, CAST(sum(size) AS BIGINT) AS size FROM f GROUP BY conv_id, call",
     "b4_records_per_call": "SELECT conv_id, CAST(least(45, floor(255 / count(*))) AS INT) AS records FROM conversations GROUP BY conv_id",
