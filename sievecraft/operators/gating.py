@@ -146,3 +146,16 @@ def claim_verdicts(files: DataFrame, claim: str = "claim", sure: float = 0.9) ->
     )
     word = F.when(F.col("yes") & F.col("no"), "CONFLICT").when(F.col("yes"), "TRUE")
     return told.select(claim, word.when(F.col("no"), "FALSE").when(F.col("part"), "PARTIAL").when(F.col("leans"), "UNSURE").otherwise("NOT FOUND").alias("word"))
+
+
+def organised(rows: DataFrame, gate: float = 0.75, other: str = "other") -> DataFrame:
+    """Ids (category, id, confidence) of each category, those that need a review in a bucket of their own."""
+    review = (F.col("confidence") < gate) | (F.col("category") == other)
+    groups = rows.groupBy(F.when(review, "review").otherwise(F.col("category")).alias("bucket"))
+    return groups.agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("first_id"), F.max("id").alias("last_id"))
+
+
+def costs(calls: DataFrame, group: str) -> DataFrame:
+    """Calls, tokens and retries of each run, and whether any of its calls was only estimated."""
+    total = lambda c: F.sum(F.coalesce(c, F.lit(0))).cast("long").alias(c)
+    return calls.groupBy(group).agg(F.count(F.lit(1)).alias("calls"), total("input_tokens"), total("output_tokens"), total("retries"), F.bool_or("estimated").alias("estimated"))

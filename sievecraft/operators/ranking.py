@@ -107,3 +107,24 @@ def none_gate(rows: DataFrame, group: list[str], floor: float = FLOOR, margin: f
     if direct_fit:
         act = act & (F.col("top_score") == 1)
     return joined.withColumn("action", F.when(act, "act").otherwise("ask"))
+
+
+def file_score(best: Column, none: Column, passages: Column, confirm: float = 0.70, least: float = 0.5, cap: float = 0.84) -> Column:
+    """Best passage's score plus half of the mass that neither it nor none took. A file of one passage, an unknown none, or a best below
+    ``least`` keeps its score; below ``confirm`` the credit can't lift it over ``cap``."""
+    blended = F.greatest(best, best + 0.5 * (1 - none - best))
+    return F.when((passages < 2) | none.isNull() | (best < least), best).when(best >= confirm, blended).otherwise(F.least(blended, F.lit(cap)))
+
+
+def tightest_near_top(rows: DataFrame, group: list[str], within: float = 0.02) -> DataFrame:
+    """Of each group's rows (id, score, span) within ``within`` of its best score, that with the fewest lines, then the best score, then id."""
+    best = rows.groupBy(*group).agg(F.max("score").alias("best"))
+    near = rows.join(best, group).where(F.round(F.col("best") - F.col("score"), 9) <= within)
+    pick = F.min(F.struct("span", (-F.col("score")).alias("minus"), "id"))
+    return near.groupBy(*group).agg(pick.alias("p")).select(*group, "p.id", "p.span")
+
+
+def gold_ranks(ranked_rows: DataFrame, gold: DataFrame, group: str) -> DataFrame:
+    """1-based rank of the first gold id of each group (null: not listed). ``ranked_rows``: group, id, rank; ``gold``: group, id."""
+    hits = gold.join(ranked_rows, [group, "id"], "left")
+    return hits.groupBy(group).agg(F.min("rank").alias("rank"))

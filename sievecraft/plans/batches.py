@@ -59,3 +59,10 @@ def fit_by_priority(sizes: Column, room: int) -> Column:
         return F.struct(used.alias("used"), F.concat(s["out"], F.array(fits)).alias("out"))
 
     return F.aggregate(sizes, zero, step, lambda s: s["out"])
+
+
+def pack_groups(files: DataFrame, group: str, order: str, size: Column, max_files: int = 6, max_size: int = 24_000) -> DataFrame:
+    """Consecutive packs of files within each group; a file too large for a pack and a pack of one file are left out."""
+    planned = plan_calls(files, group, order, size, max_files, max_size).where("call >= 0")
+    packs = planned.groupBy(group, "call").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("size"), F.min(order).alias("first"), F.max(order).alias("last"))
+    return packs.where("n > 1").drop("call")

@@ -1,6 +1,6 @@
 """Queries over the driver tables, one or more for each operator, with the SQL that gives the same rows."""
 
-from sievecraft.queries import documents, evaluation, records, state
+from sievecraft.queries import documents, evaluation, more, records, state
 
-QUERIES = {**documents.QUERIES, **evaluation.QUERIES, **records.QUERIES, **state.QUERIES}
-ORACLE_SQL = {**documents.SQL, **evaluation.SQL, **records.SQL, **state.SQL}
+QUERIES = {**documents.QUERIES, **evaluation.QUERIES, **records.QUERIES, **state.QUERIES, **more.QUERIES}
+ORACLE_SQL = {**documents.SQL, **evaluation.SQL, **records.SQL, **state.SQL, **more.SQL}
