@@ -109,7 +109,7 @@ def none_gate(rows: DataFrame, group: list[str], floor: float = FLOOR, margin: f
     return joined.withColumn("action", F.when(act, "act").otherwise("ask"))
 
 
-def file_score(best: Column, none: Column, passages: Column, confirm: float = 0.70, least: float = 0.5, cap: float = 0.84) -> Column:
+def file_score(best: Column, none: Column, passages: Column, confirm: float = 0.85, least: float = 0.6, cap: float = 0.84) -> Column:
     """Best passage's score plus half of the mass that neither it nor none took. A file of one passage, an unknown none, or a best below
     ``least`` keeps its score; below ``confirm`` the credit can't lift it over ``cap``."""
     blended = F.greatest(best, best + 0.5 * (1 - none - best))

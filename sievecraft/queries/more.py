@@ -66,7 +66,7 @@ SQL = {
         SELECT conv_id, count(*) AS n, CAST(sum(size) AS BIGINT) AS size, min(turn) AS first, max(turn) AS last FROM f GROUP BY conv_id, call HAVING count(*) > 1""",
     "p26_file_scores": f"""
         WITH x AS (SELECT doc_id, {d('b', 'doc_id', 100)} / 100.0 AS b, {d('n', 'doc_id', 30)} / 100.0 AS n, {d('p', 'doc_id', 4)} AS p FROM documents), y AS (SELECT *, b + 0.5 * (1 - n - b) AS s FROM x)
-        SELECT doc_id, round(CASE WHEN p < 2 OR b < 0.5 THEN b WHEN b >= 0.7 THEN greatest(b, s) ELSE least(greatest(b, s), 0.84) END, 6) AS score FROM y""",
+        SELECT doc_id, round(CASE WHEN p < 2 OR b < 0.6 THEN b WHEN b >= 0.85 THEN greatest(b, s) ELSE least(greatest(b, s), 0.84) END, 6) AS score FROM y""",
     "w7_tightest": f"""
         WITH x AS (SELECT source, doc_id AS id, {d('s', 'doc_id', 100)} / 100.0 AS score, len(string_split(text, chr(10))) AS span FROM documents),
         r AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY span, score DESC, id) AS k FROM (SELECT *, max(score) OVER (PARTITION BY source) AS best FROM x) WHERE round(best - score, 9) <= 0.02)
