@@ -34,9 +34,9 @@ WINDOW = 150
 BLOCK = 1 << 18
 LOW = (1 << 20) - 1
 #: Differing contexts of an anchor that one task compares.
-GROUP = 2000
+GROUP = 4000
 #: Bytes of contexts in one array.
-ARRAY = 1 << 20
+ARRAY = 1 << 18
 #: Keys of documents that are broadcast to filter texts before a shuffle (about 24 bytes each).
 MAX_KEYS = 400_000
 PLACES = "doc_id {kind}, print bigint, anchor bigint, context bigint, lo int, hi int"
