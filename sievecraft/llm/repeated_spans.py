@@ -223,7 +223,8 @@ def repeated_spans(docs: DataFrame, least: int = LEAST, window: int = WINDOW, fi
     """
     kind = _kind(docs)
     found = anchor_places(docs, least, window)
-    again = found.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("anchor")
+    # stored, so that the join has an exchange of its own, of which Spark can split the partition of a hot anchor
+    again = stored(found.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("anchor"), "anchors")
     found = stored(found.join(again, "anchor", "left_semi"), "places")
     place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "print", "lo", "hi")
     contexts = stored(found.groupBy("anchor", "context").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("first")), "contexts")
