@@ -1,4 +1,4 @@
-"""From raw documents to packed sequences, in five stages.
+"""From raw documents to packed sequences, in six stages.
 
 Each stage takes (spark, docs, sf_dir) and works on all that its predecessor kept; all but the last return the columns of documents.
 """
@@ -15,6 +15,7 @@ from sievecraft.llm.exact_dedup import drop_exact_copies
 from sievecraft.llm.packing import pack
 from sievecraft.llm.quality import drop_low_quality
 from sievecraft.llm.simhash import drop_near_copies
+from sievecraft.llm.word_sets import drop_similar
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -37,6 +38,11 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
+def word_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each component of texts that share four fifths of their five-word shingles: near copies beyond near_dedup's three bits."""
+    return drop_similar(docs)
+
+
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """A row for each piece of each document, with its place in a sequence."""
     return pack(docs)
@@ -47,6 +53,7 @@ STAGES = [
     ("exact_dedup", exact_dedup),
     ("near_dedup", near_dedup),
     ("decontaminate", decontaminate),
+    ("word_dedup", word_dedup),
     ("packing", packing),
 ]
 

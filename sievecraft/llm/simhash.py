@@ -173,7 +173,11 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 def drop_near_copies(docs: DataFrame) -> DataFrame:
     """The rows of ``docs``, with all their columns, that stay: of each component that with the smallest doc_id (null last)."""
-    prints, rooted = _rooted(docs)
+    return keep_first(docs, *_rooted(docs))
+
+
+def keep_first(docs: DataFrame, prints: DataFrame, rooted: DataFrame) -> DataFrame:
+    """The rows of ``docs`` without those of ``prints`` (doc_id, print, fp) that aren't the first of their root in ``rooted`` (fp, root)."""
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "print")
     first = prints.groupBy("fp").agg(F.min(order).alias("first")).join(rooted, "fp").groupBy("root").agg(F.min("first").alias("first"))
     stays = rooted.join(first, "root").select("fp", F.col("first.doc_id").alias("stay_id"), F.col("first.print").alias("stay_print"))
