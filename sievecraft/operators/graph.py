@@ -77,16 +77,21 @@ def folder_units(files: DataFrame, least: int = 5, rounds: int = 12) -> DataFram
     return rows.select("path", "unit")
 
 
-def connected(members: DataFrame, rounds: int = 20) -> DataFrame:
-    """Members (member, key) that share keys, directly or not: member, group (the smallest member). Labels pass along keys until stable."""
+def connected(members: DataFrame) -> DataFrame:
+    """Members (member, key) that share keys, directly or not: member, group (the smallest member).
+
+    Labels pass along keys until stable. A label also takes the label of the member it names, and hands its own smaller
+    label to that member, so the rounds don't follow the length of a chain.
+    """
     labels = members.select("member").distinct().withColumn("group", F.col("member"))
     pairs = cut(members.select("member", "key").distinct())
-    for _ in range(rounds):
+    while True:
         of_key = pairs.join(labels, "member").groupBy("key").agg(F.min("group").alias("group"))
-        new = pairs.join(of_key, "key").groupBy("member").agg(F.min("group").alias("group"))
-        new = new.join(new.select(F.col("member").alias("m"), F.col("group").alias("g")), F.col("group") == F.col("m")).select("member", "g").withColumnRenamed("g", "group")
-        new = cut(new)
+        near = pairs.join(of_key, "key").groupBy("member").agg(F.min("group").alias("near"))
+        told = labels.join(near, "member").groupBy("group").agg(F.min("near").alias("near")).withColumnRenamed("group", "member")
+        new = near.unionByName(told).groupBy("member").agg(F.min("near").alias("group"))
+        named = new.select(F.col("member").alias("group"), F.col("group").alias("least"))
+        new = cut(new.join(named, "group").select("member", F.col("least").alias("group")))
         if new.join(labels, ["member", "group"], "left_anti").isEmpty():
             return new
         labels = new
-    raise RuntimeError("labels have not settled")

@@ -102,6 +102,11 @@ def d7_connected(spark, sf_dir):
     return G.connected(rows)
 
 
+def d7_connected_whole(spark, sf_dir):
+    """Suppliers that share a part, directly or not, over all of lineitem. Recursive SQL is too slow for it; tests hold it against brute force."""
+    return G.connected(table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("member"), F.col("l_partkey").alias("key")))
+
+
 def _links(spark, sf_dir):
     c = lambda p, k: F.concat(F.lit(p), F.col(k).cast("string"))
     return (
@@ -144,7 +149,7 @@ QUERIES = {
     "p1_assigned_ids": p1_assigned_ids, "p2_safe_keys": p2_safe_keys, "j13_duplicate_utterances": j13_duplicate_utterances, "j12_negative_collisions": j12_negative_collisions,
     "j11_trigger_hits": j11_trigger_hits, "j17_snapshot_changes": j17_snapshot_changes, "j18_coverage": j18_coverage, "j20_neighbours": j20_neighbours, "j8_called_by": j8_called_by,
     "j14_without_views": j14_without_views, "p28_leaking_identities": p28_leaking_identities, "d1_duplicate_sources": d1_duplicate_sources, "d2_first_by_priority": d2_first_by_priority,
-    "d4_only_in_either": d4_only_in_either, "d7_connected": d7_connected, "g1_walk": g1_walk, "r9_beam": r9_beam, "a11_folder_units": a11_folder_units,
+    "d4_only_in_either": d4_only_in_either, "d7_connected": d7_connected, "d7_connected_whole": d7_connected_whole, "g1_walk": g1_walk, "r9_beam": r9_beam, "a11_folder_units": a11_folder_units,
 }
 KEY = SQL_SQUEEZED.format
 SQL = {

@@ -8,6 +8,7 @@ from sievecraft.operators import ranking as R
 from sievecraft.operators.chunking import chunk_lines, chunks
 from sievecraft.operators.graph import connected, folder_units, walk
 from sievecraft.plans import batches as B
+from sievecraft.queries import records as Q
 from sievecraft.sources import records as S
 from sievecraft.streaming import state as ST
 
@@ -120,3 +121,25 @@ def test_sources(spark, tmp_path):
     S.write_run({"plan": spark.range(3)}, str(tmp_path / "run"))
     assert spark.read.json(str(tmp_path / "run" / "plan")).count() == 3
 
+
+
+def test_connected_settles_on_long_chains(spark):
+    n = 300  # members in a shuffled order, each sharing a key with the next
+    names = [k * 127 % n for k in range(n)]
+    rows = [(m, f"k{i}") for i, m in enumerate(names)] + [(m, f"k{i + 1}") for i, m in enumerate(names)] + [(1000, "z"), (1001, "z")]
+    rows += [(m, f"q{i}") for i, m in enumerate(range(2000, 2300))] + [(m, f"q{i + 1}") for i, m in enumerate(range(2000, 2300))]
+    got = {r.member: r.group for r in connected(spark.createDataFrame(rows, "member long, key string")).collect()}
+    assert got == {m: 0 for m in names} | {1000: 1000, 1001: 1000} | {m: 2000 for m in range(2000, 2300)}
+
+
+def test_connected_whole_reads_all_of_lineitem(spark):
+    sf = "/root/testdata/sf0.001"
+    group = {}
+    of_key = {}
+    for r in spark.read.parquet(f"{sf}/lineitem.parquet").select("l_suppkey", "l_partkey").distinct().collect():
+        group.setdefault(r.l_suppkey, r.l_suppkey)
+        of_key.setdefault(r.l_partkey, set()).add(r.l_suppkey)
+    for members in of_key.values():
+        old = {group[m] for m in members}
+        group = {m: min(old) if g in old else g for m, g in group.items()}
+    assert {r.member: r.group for r in Q.d7_connected_whole(spark, sf).collect()} == group
