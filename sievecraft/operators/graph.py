@@ -59,22 +59,21 @@ def beam(requests: DataFrame, edges: DataFrame, rounds: int, width: int) -> Data
     return front.select("request", "node", "path", "score", "rank")
 
 
-def folder_units(files: DataFrame, least: int = 5, rounds: int = 12) -> DataFrame:
+def folder_units(files: DataFrame, least: int = 5) -> DataFrame:
     """path, unit: the folder a file is listed under. Folders of fewer than ``least`` files pass theirs to the parent, never above ``top``.
 
     ``files``: path, top. Counting and moving repeat until nothing moves; a round moves one level, so the depth of the tree bounds them.
     """
     parent = F.regexp_replace("unit", "/?[^/]*$", "")
     rows = cut(files.withColumn("unit", F.regexp_replace("path", "/?[^/]*$", "")))
-    for _ in range(rounds):
+    while True:
         small = rows.groupBy("unit").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") < least).select("unit", F.lit(True).alias("small"))
         marked = rows.join(small, "unit", "left")
         moves = F.col("small").isNotNull() & (F.col("unit") != F.col("top")) & (F.length("unit") > F.length("top"))
         moved = cut(marked.select("path", "top", F.when(moves, parent).otherwise(F.col("unit")).alias("unit"), moves.alias("moved")))
         rows = moved.drop("moved")
         if moved.where("moved").isEmpty():
-            break
-    return rows.select("path", "unit")
+            return rows.select("path", "unit")
 
 
 def connected(members: DataFrame) -> DataFrame:

@@ -123,6 +123,12 @@ def test_sources(spark, tmp_path):
 
 
 
+def test_folder_units_climb_deep_trees(spark):
+    deep = "t/" + "/".join("abcdefghijklmnopqr")
+    files = spark.createDataFrame([(f"t/{k}", "t") for k in range(5)] + [(f"{deep}/x", "t"), (f"{deep}/y", "t")], "path string, top string")
+    assert {r.unit for r in folder_units(files).collect()} == {"t"}
+
+
 def test_connected_settles_on_long_chains(spark):
     n = 300  # members in a shuffled order, each sharing a key with the next
     names = [k * 127 % n for k in range(n)]
