@@ -68,6 +68,16 @@ def outcomes(spark, sf_dir):
     return G.outcomes(records(spark, sf_dir), given, abstain="none")
 
 
+def outcomes_whole(spark, sf_dir):
+    """All documents as records and all passes: documents without labels are those without passes."""
+    problem = F.when(digit("e", F.col("doc_id"), 17) == 0, "missing role")
+    return G.outcomes(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), problem.alias("evidence_problem")), passes(spark, sf_dir), abstain="none")
+
+
+def p6_outcomes_whole(spark, sf_dir):
+    return outcomes_whole(spark, sf_dir).select("id", "kind", "value", F.round("confidence", 6).alias("confidence"))
+
+
 def p6_outcomes(spark, sf_dir):
     return outcomes(spark, sf_dir).select("id", "kind", "value", F.round("confidence", 6).alias("confidence"))
 
@@ -118,6 +128,11 @@ def j4_manifest(spark, sf_dir):
     return G.manifest(asked, told.unionByName(told.where("id % 31 = 2")))
 
 
+def j4_manifest_whole(spark, sf_dir):
+    """All labelled documents as asked against outcomes of all documents: those without labels are unknown."""
+    return G.manifest(table(spark, sf_dir, "labels").select(F.col("doc_id").alias("id")), outcomes_whole(spark, sf_dir).select("id", "kind"))
+
+
 def a2_outcomes_by_kind(spark, sf_dir):
     return G.by_kind(outcomes(spark, sf_dir))
 
@@ -128,6 +143,11 @@ def j1_mapping(spark, sf_dir):
     return G.mapping(asked, answers)
 
 
+def j1_mapping_whole(spark, sf_dir):
+    asked = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("key"), F.col("doc_id").alias("id"))
+    return G.mapping(asked, table(spark, sf_dir, "labels").select(F.col("doc_id").alias("key")))
+
+
 def labelled(spark, sf_dir):
     truth = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("id"), F.col("quality").cast("string").alias("expected"))
     return outcomes(spark, sf_dir).join(truth, "id").withColumn("set", F.when(F.col("id") % 3 == 0, "holdout").otherwise("main"))
@@ -220,14 +240,22 @@ def j23_paired_replay(spark, sf_dir):
 
 
 QUERIES = {
-    "p3_answer_problems": p3_answer_problems, "p5_peaks": p5_peaks, "p6_outcomes": p6_outcomes, "p8_folded_kinds": p8_folded_kinds, "w3_reask": w3_reask, "j4_manifest": j4_manifest,
+    "p3_answer_problems": p3_answer_problems, "p5_peaks": p5_peaks, "p6_outcomes": p6_outcomes, "p6_outcomes_whole": p6_outcomes_whole, "j4_manifest_whole": j4_manifest_whole, "j1_mapping_whole": j1_mapping_whole, "p8_folded_kinds": p8_folded_kinds, "w3_reask": w3_reask, "j4_manifest": j4_manifest,
     "a2_outcomes_by_kind": a2_outcomes_by_kind, "j1_mapping": j1_mapping, "a4_scores": a4_scores, "a5_combined": a5_combined, "a6_latencies": a6_latencies, "a25_retrieval": a25_retrieval,
     "a23_unstable": a23_unstable, "a12_merged_parts": a12_merged_parts, "a13_claim_verdicts": a13_claim_verdicts, "r7_none_gate": r7_none_gate, "r7_direct_fit_gate": r7_direct_fit_gate,
     "j16_run_flips": j16_run_flips, "j23_paired_replay": j23_paired_replay,
 }
+SQL_OUTCOMES_WHOLE = SQL_OUTCOMES.replace(SQL_RECORDS, f"SELECT doc_id AS id, {d('e', 'doc_id', 17)} = 0 AS problem FROM documents")
 SQL_OUTCOMES = SQL_OUTCOMES.replace("FROM passes GROUP BY id)", "FROM passes WHERE id % 13 <> 5 GROUP BY id)")
 SQL_SCORED = SQL_SCORED.replace("FROM passes GROUP BY id)", "FROM passes WHERE id % 13 <> 5 GROUP BY id)")
 SQL = {
+    "p6_outcomes_whole": f"{SQL_OUTCOMES_WHOLE} SELECT id, kind, value, round(confidence, 6) AS confidence FROM outcomes",
+    "j4_manifest_whole": f"""{SQL_OUTCOMES_WHOLE}
+        SELECT id, coalesce(kind, 'unaccounted') AS kind, CASE WHEN a.id IS NULL THEN 'unknown' WHEN o.id IS NULL THEN 'missing' ELSE 'once' END AS state
+        FROM (SELECT doc_id AS id FROM labels) a FULL JOIN outcomes o USING (id)""",
+    "j1_mapping_whole": """
+        SELECT coalesce(a.id, l.doc_id) AS key, a.id, CASE WHEN a.id IS NULL THEN 'rejected' WHEN l.doc_id IS NULL THEN 'missing' ELSE 'answered' END AS state
+        FROM (SELECT doc_id AS id FROM documents) a FULL JOIN labels l ON l.doc_id = a.id""",
     "p6_outcomes": f"{SQL_OUTCOMES} SELECT id, kind, value, round(confidence, 6) AS confidence FROM outcomes",
     "p3_answer_problems": f"""
         WITH x AS (SELECT doc_id, {d('a', 'doc_id', 60)} AS a, {d('b', 'doc_id', 40)} AS b, (['choice', 'score', 'noul'])[{d('k', 'doc_id', 3)} + 1] AS kind,

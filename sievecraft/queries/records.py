@@ -52,6 +52,22 @@ def j17_snapshot_changes(spark, sf_dir):
     return J.snapshot_changes(before, now)
 
 
+def j17_snapshot_changes_whole(spark, sf_dir):
+    """Every page in both snapshots: some are renamed in the second, so both paths are on one side only."""
+    key = F.col("url")
+    before = table(spark, sf_dir, "pages").groupBy(key.alias("path")).agg(F.min_by(F.md5("html"), "page_id").alias("sha"))
+    path = F.col("path")
+    now = before.select(F.when(digit("m", path, 9) == 0, F.concat(path, F.lit("#moved"))).otherwise(path).alias("path"), F.when(digit("h", path, 5) == 0, F.md5("sha")).otherwise(F.col("sha")).alias("sha"))
+    return J.snapshot_changes(before, now)
+
+
+def j18_coverage_whole(spark, sf_dir):
+    """All parts of all suppliers; a part is held by the suppliers of which a line of it was not returned."""
+    line = [F.concat(F.lit("s"), F.col("l_suppkey").cast("string")).alias("set"), F.col("l_partkey").alias("path")]
+    rows = table(spark, sf_dir, "lineitem")
+    return J.coverage(rows.select(*line).distinct(), rows.where("l_returnflag <> 'R'").select(*line).distinct())
+
+
 def j18_coverage(spark, sf_dir):
     lines = table(spark, sf_dir, "lineitem").select(F.concat(F.lit("s"), F.col("l_suppkey").cast("string")).alias("set"), F.col("l_partkey").alias("path")).distinct()
     return J.coverage(lines.where("path % 7 = 1"), lines.where("path % 5 <> 0 and path % 7 = 1 and length(set) < 3"))
@@ -62,6 +78,12 @@ def j20_neighbours(spark, sf_dir):
     return J.with_neighbours(chunks.where("(source + idx) % 4 = 0"), chunks)
 
 
+def j20_neighbours_whole(spark, sf_dir):
+    """The user's turns and what stands around them."""
+    chunks = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("source"), F.col("turn").alias("idx"), "role")
+    return J.with_neighbours(chunks.where("role = 'user'"), chunks)
+
+
 def j8_called_by(spark, sf_dir):
     rows = table(spark, sf_dir, "lineitem")
     parts = rows.where("l_linenumber = 1").select(F.col("l_orderkey").alias("path"), F.concat(F.lit("m.name"), F.col("l_partkey").cast("string")).alias("name"))
@@ -74,6 +96,10 @@ def j14_without_views(spark, sf_dir):
     return J.without_views(rows)
 
 
+def j14_without_views_whole(spark, sf_dir):
+    return J.without_views(table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("path"), F.when(F.col("o_orderkey") % 3 == 0, F.floor(F.col("o_orderkey") / 2)).alias("upstream")))
+
+
 def p28_leaking_identities(spark, sf_dir):
     rows = table(spark, sf_dir, "documents")
     split = F.when(digit("split", F.col("doc_id"), 10) < 3, "holdout").otherwise("retrospective")
@@ -146,6 +172,7 @@ def a11_folder_units(spark, sf_dir):
 
 
 QUERIES = {
+    "j17_snapshot_changes_whole": j17_snapshot_changes_whole, "j18_coverage_whole": j18_coverage_whole, "j20_neighbours_whole": j20_neighbours_whole, "j14_without_views_whole": j14_without_views_whole,
     "p1_assigned_ids": p1_assigned_ids, "p2_safe_keys": p2_safe_keys, "j13_duplicate_utterances": j13_duplicate_utterances, "j12_negative_collisions": j12_negative_collisions,
     "j11_trigger_hits": j11_trigger_hits, "j17_snapshot_changes": j17_snapshot_changes, "j18_coverage": j18_coverage, "j20_neighbours": j20_neighbours, "j8_called_by": j8_called_by,
     "j14_without_views": j14_without_views, "p28_leaking_identities": p28_leaking_identities, "d1_duplicate_sources": d1_duplicate_sources, "d2_first_by_priority": d2_first_by_priority,
@@ -177,6 +204,21 @@ SQL = {
         WITH x AS (SELECT url AS path, min_by(md5(html), page_id) AS sha, min(page_id) AS page_id FROM pages GROUP BY url),
         a AS (SELECT * FROM x WHERE page_id % 10 <> 1), b AS (SELECT path, CASE WHEN page_id % 5 = 0 THEN md5(sha) ELSE sha END AS sha FROM x WHERE page_id % 10 <> 2)
         SELECT coalesce(a.path, b.path) AS path, CASE WHEN a.path IS NULL THEN 'new' WHEN b.path IS NULL THEN 'gone' WHEN a.sha = b.sha THEN 'same' ELSE 'changed' END AS state FROM a FULL JOIN b USING (path)""",
+    "j17_snapshot_changes_whole": f"""
+        WITH a AS (SELECT url AS path, min_by(md5(html), page_id) AS sha FROM pages GROUP BY url),
+        b AS (SELECT CASE WHEN {d('m', 'path', 9)} = 0 THEN path || '#moved' ELSE path END AS path, CASE WHEN {d('h', 'path', 5)} = 0 THEN md5(sha) ELSE sha END AS sha FROM a)
+        SELECT coalesce(a.path, b.path) AS path, CASE WHEN a.path IS NULL THEN 'new' WHEN b.path IS NULL THEN 'gone' WHEN a.sha = b.sha THEN 'same' ELSE 'changed' END AS state FROM a FULL JOIN b USING (path)""",
+    "j18_coverage_whole": """
+        WITH e AS (SELECT DISTINCT 's' || l_suppkey AS set, l_partkey AS path FROM lineitem), h AS (SELECT DISTINCT l_partkey AS path, 's' || l_suppkey AS holder FROM lineitem WHERE l_returnflag <> 'R'),
+        p AS (SELECT e.set, e.path, coalesce(bool_or(e.set = holder), false) AS own, count(holder) AS n FROM e LEFT JOIN h USING (path) GROUP BY e.set, e.path),
+        b AS (SELECT p.set, string_agg(DISTINCT holder, ',' ORDER BY holder) AS borrows FROM p JOIN h USING (path) WHERE NOT own GROUP BY p.set)
+        SELECT p.set, bool_and(n > 0) AS complete, coalesce(any_value(borrows), '') AS borrows FROM p LEFT JOIN b USING (set) GROUP BY p.set""",
+    "j20_neighbours_whole": """
+        WITH c AS (SELECT conv_id AS source, turn AS idx, role FROM conversations), s AS (SELECT * FROM c WHERE role = 'user')
+        SELECT c.source, c.idx, bool_or(c.idx = s.idx) AS base FROM c JOIN s ON c.source = s.source AND abs(c.idx - s.idx) <= 1 GROUP BY c.source, c.idx""",
+    "j14_without_views_whole": """
+        WITH x AS (SELECT o_orderkey AS path, CASE WHEN o_orderkey % 3 = 0 THEN CAST(floor(o_orderkey / 2) AS BIGINT) END AS upstream FROM orders)
+        SELECT * FROM x WHERE upstream IS NULL OR upstream NOT IN (SELECT path FROM x)""",
     "j18_coverage": """
         WITH l AS (SELECT DISTINCT 's' || l_suppkey AS set, l_partkey AS path FROM lineitem), e AS (SELECT * FROM l WHERE path % 7 = 1), h AS (SELECT path, set AS holder FROM e WHERE path % 5 <> 0 AND length(set) < 3),
         p AS (SELECT e.set, e.path, coalesce(bool_or(e.set = holder), false) AS own, count(holder) AS n FROM e LEFT JOIN h USING (path) GROUP BY e.set, e.path),
