@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -36,14 +36,16 @@ def walk_report(visits: DataFrame, links: DataFrame, docs: DataFrame, max_depth:
     )
 
 
-def beam(requests: DataFrame, edges: DataFrame, rounds: int, width: int) -> DataFrame:
+def beam(requests: DataFrame, edges: DataFrame, rounds: int, width: int, p: Column | None = None) -> DataFrame:
     """Beam search: the ``width`` best paths of each request by the geometric mean of their edges' probabilities.
 
     ``edges``: request, parent, child, p; a branch without edges is a leaf and stays. Ties fall to the path.
+    Without request they are one tree for all; ``p`` is then made of request and child as paths reach them.
     """
     front = requests.select("request", F.lit("root").alias("node"), F.lit("root").alias("path"), F.lit(0.0).alias("log"), F.lit(0).alias("steps"))
     for _ in range(rounds):
-        grown = front.join(edges.withColumnRenamed("parent", "node"), ["request", "node"], "left")
+        grown = front.join(edges.withColumnRenamed("parent", "node"), [c for c in ("request", "node") if c != "request" or c in edges.columns], "left")
+        grown = grown if p is None else grown.withColumn("p", p)
         moved = F.col("child").isNotNull()
         front = grown.select(
             "request",

@@ -39,6 +39,33 @@ def negative_collisions(catalog: DataFrame) -> DataFrame:
     return negatives.join(owners, "phrase").where("id <> other").select("id", "phrase", "other")
 
 
+def phrase_members(catalog: DataFrame) -> DataFrame:
+    """A row for each phrase, id and role (utterance or negative), with the phrase's ids in each role: owners, first_owner, deniers, first_denier.
+
+    Counts are made before they meet the rows, so a phrase that many ids have costs a row for each, no pairs and no list.
+    """
+    role = lambda column, name: catalog.select("id", F.lit(name).alias("role"), F.explode(column).alias("x"))
+    rows = role("utterances", "utterance").unionByName(role("negatives", "negative"))
+    rows = rows.select(catalog_key(F.col("x")).alias("phrase"), "id", "role").where("phrase <> ''").distinct()
+    of = lambda name: F.when(F.col("role") == name, F.col("id"))
+    counts = rows.groupBy("phrase").agg(
+        F.count(of("utterance")).alias("owners"), F.min(of("utterance")).alias("first_owner"), F.count(of("negative")).alias("deniers"), F.min(of("negative")).alias("first_denier")
+    )
+    return rows.join(counts.where("owners + deniers > 1"), "phrase")
+
+
+def shared_utterances(members: DataFrame) -> DataFrame:
+    """The ids (of phrase_members) of each utterance that more than one id has, a row for each."""
+    return members.where("role = 'utterance' and owners > 1").select("phrase", "id", "owners", "first_owner")
+
+
+def colliding_members(members: DataFrame) -> DataFrame:
+    """Rows of phrase_members that collide: a negative that another id utters, an utterance that another id denies."""
+    denied = (F.col("role") == "negative") & ((F.col("owners") > 1) | (F.col("first_owner") != F.col("id")))
+    uttered = (F.col("role") == "utterance") & ((F.col("deniers") > 1) | (F.col("first_denier") != F.col("id")))
+    return members.where(denied | uttered)
+
+
 def triggers(catalog: DataFrame) -> DataFrame:
     """Phrases of two words or more that one id alone has: id, phrase, n (words)."""
     rows = catalog.select("id", F.explode("utterances").alias("u")).select("id", phrase_key(F.col("u")).alias("phrase")).distinct()

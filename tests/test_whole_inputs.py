@@ -4,6 +4,7 @@ import duckdb
 import pytest
 
 import __spark_entry__
+from sievecraft.operators import relational as J
 
 SF = "/root/testdata/sf0.001"
 
@@ -23,3 +24,19 @@ def same_as_sql(spark, name):
 @pytest.mark.parametrize("name", ["j18_coverage", "j20_neighbours", "j14_without_views", "j1_mapping", "j4_manifest", "j17_snapshot_changes", "p6_outcomes", "a14_trace_counts"])
 def test_whole_inputs(spark, name):
     same_as_sql(spark, f"{name}_whole")
+
+
+def test_hot_phrases_cost_a_row_each(spark):
+    rows = [(i, ["one", "two", "Hot  line"], ["hot line"]) for i in range(60)] + [(60, ["only", "twice", "x"], ["only"]), (61, ["a", "b", "c", "x"], ["lone"])]
+    members = J.phrase_members(spark.createDataFrame(rows, "id long, utterances array<string>, negatives array<string>"))
+    hits = J.colliding_members(members).collect()
+    assert sorted((r.phrase, r.id, r.role) for r in hits) == sorted(("hot line", i, role) for i in range(60) for role in ("utterance", "negative"))
+    assert {(r.owners, r.first_owner, r.deniers, r.first_denier) for r in hits} == {(60, 0, 60, 0)}
+    shared = J.shared_utterances(members).collect()
+    assert len(shared) == 182 and {r.id for r in shared if r.phrase == "x"} == {60, 61}
+
+
+def test_beam_grows_from_the_front(spark):
+    same_as_sql(spark, "r9_beam")
+    plan = __spark_entry__.queries()["r9_beam"](spark, SF)._jdf.queryExecution().toString()
+    assert "Cross" not in plan and "Cartesian" not in plan
