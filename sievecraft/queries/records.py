@@ -34,6 +34,20 @@ def j12_negative_collisions(spark, sf_dir):
     return J.negative_collisions(_lines(spark, sf_dir)).select("id", F.md5("phrase").alias("phrase_md5"), "other")
 
 
+def _all_lines(spark, sf_dir):
+    """A catalog of all lines of documents, the last of them as negatives too."""
+    lines = F.split("text", "\n")
+    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), lines.alias("utterances"), F.array(F.element_at(lines, -1)).alias("negatives"))
+
+
+def j13_duplicate_utterances_whole(spark, sf_dir):
+    return J.shared_utterances(J.phrase_members(_all_lines(spark, sf_dir))).select(F.md5("phrase").alias("phrase_md5"), "id", "owners", "first_owner")
+
+
+def j12_negative_collisions_whole(spark, sf_dir):
+    return J.colliding_members(J.phrase_members(_all_lines(spark, sf_dir))).select(F.md5("phrase").alias("phrase_md5"), "id", "role", "owners", "first_owner", "deniers", "first_denier")
+
+
 SQL_LINES = "SELECT doc_id AS id, string_split(text, chr(10))[1:2] AS u, string_split(text, chr(10))[-1] AS neg FROM documents"
 
 
@@ -107,6 +121,14 @@ def p28_leaking_identities(spark, sf_dir):
     return J.leaking_identities(rows.select(split.alias("split"), identity.alias("i")).select("split", "i.kind", "i.value"))
 
 
+def p28_leaking_identities_whole(spark, sf_dir):
+    """Texts and all their lines that documents of both splits have."""
+    split = F.when(digit("split", F.col("doc_id"), 10) < 3, "holdout").otherwise("retrospective")
+    rows = table(spark, sf_dir, "documents").select(split.alias("split"), "text")
+    lines = rows.select("split", F.lit("line").alias("kind"), F.explode(F.split("text", "\n")).alias("x"))
+    return J.leaking_identities(rows.select("split", F.lit("text").alias("kind"), F.col("text").alias("x")).unionByName(lines).select("split", "kind", F.md5("x").alias("value")))
+
+
 def d1_duplicate_sources(spark, sf_dir):
     return J.duplicate_sources(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text", F.col("lang").alias("description")))
 
@@ -171,6 +193,7 @@ def a11_folder_units(spark, sf_dir):
 
 
 QUERIES = {
+    "j13_duplicate_utterances_whole": j13_duplicate_utterances_whole, "j12_negative_collisions_whole": j12_negative_collisions_whole, "p28_leaking_identities_whole": p28_leaking_identities_whole,
     "j17_snapshot_changes_whole": j17_snapshot_changes_whole, "j18_coverage_whole": j18_coverage_whole, "j20_neighbours_whole": j20_neighbours_whole, "j14_without_views_whole": j14_without_views_whole,
     "p1_assigned_ids": p1_assigned_ids, "p2_safe_keys": p2_safe_keys, "j13_duplicate_utterances": j13_duplicate_utterances, "j12_negative_collisions": j12_negative_collisions,
     "j11_trigger_hits": j11_trigger_hits, "j17_snapshot_changes": j17_snapshot_changes, "j18_coverage": j18_coverage, "j20_neighbours": j20_neighbours, "j8_called_by": j8_called_by,
@@ -178,7 +201,18 @@ QUERIES = {
     "d4_only_in_either": d4_only_in_either, "d7_connected": d7_connected, "d7_connected_whole": d7_connected_whole, "g1_walk": g1_walk, "r9_beam": r9_beam, "a11_folder_units": a11_folder_units,
 }
 KEY = SQL_SQUEEZED.format
+SQL_MEMBERS = f"""
+        WITH l AS (SELECT doc_id AS id, string_split(text, chr(10)) AS u FROM documents),
+        m AS (SELECT DISTINCT id, role, {KEY('x')} AS phrase FROM (SELECT id, 'utterance' AS role, unnest(u) AS x FROM l UNION ALL SELECT id, 'negative', u[-1] FROM l)),
+        u AS (SELECT phrase, count(*) AS owners, min(id) AS first_owner FROM m WHERE role = 'utterance' GROUP BY phrase), n AS (SELECT phrase, count(*) AS deniers, min(id) AS first_denier FROM m WHERE role = 'negative' GROUP BY phrase)"""
 SQL = {
+    "j13_duplicate_utterances_whole": f"{SQL_MEMBERS} SELECT md5(phrase) AS phrase_md5, id, owners, first_owner FROM m JOIN u USING (phrase) WHERE role = 'utterance' AND owners > 1 AND phrase <> ''",
+    "j12_negative_collisions_whole": f"""{SQL_MEMBERS} SELECT md5(phrase) AS phrase_md5, id, role, owners, first_owner, deniers, first_denier FROM m JOIN u USING (phrase) JOIN n USING (phrase)
+        WHERE phrase <> '' AND EXISTS (SELECT 1 FROM m o WHERE o.phrase = m.phrase AND o.role <> m.role AND o.id <> m.id)""",
+    "p28_leaking_identities_whole": f"""
+        WITH x AS (SELECT CASE WHEN {d('split', 'doc_id', 10)} < 3 THEN 'holdout' ELSE 'retrospective' END AS split, text FROM documents),
+        i AS (SELECT split, 'text' AS kind, md5(text) AS value FROM x UNION ALL SELECT split, 'line', md5(v) FROM (SELECT split, unnest(string_split(text, chr(10))) AS v FROM x))
+        SELECT kind, value, string_agg(DISTINCT split, ',' ORDER BY split) AS splits FROM i GROUP BY kind, value HAVING count(DISTINCT split) > 1""",
     "p1_assigned_ids": """
         WITH x AS (SELECT doc_id AS pos, coalesce(nullif(trim(CASE doc_id % 4 WHEN 0 THEN '  ' WHEN 1 THEN ' id-' || (doc_id % 40) ELSE CAST(doc_id AS VARCHAR) END), ''), 'records/' || doc_id) AS id FROM documents)
         SELECT id, pos, count(*) OVER (PARTITION BY id) > 1 AS repeated FROM x""",

@@ -26,6 +26,11 @@ def test_whole_inputs(spark, name):
     same_as_sql(spark, f"{name}_whole")
 
 
+@pytest.mark.parametrize("name", ["j13_duplicate_utterances", "j12_negative_collisions", "p28_leaking_identities"])
+def test_all_lines(spark, name):
+    same_as_sql(spark, f"{name}_whole")
+
+
 def test_hot_phrases_cost_a_row_each(spark):
     rows = [(i, ["one", "two", "Hot  line"], ["hot line"]) for i in range(60)] + [(60, ["only", "twice", "x"], ["only"]), (61, ["a", "b", "c", "x"], ["lone"])]
     members = J.phrase_members(spark.createDataFrame(rows, "id long, utterances array<string>, negatives array<string>"))
