@@ -1,130 +1,253 @@
-"""Leaf blocks of a page: runs of text between block-level tags, with the elements around them."""
+"""Leaf blocks of a page: runs of text between block-level tags, with the elements around them.
+
+One pass over the page: every character is looked at a bounded number of times, whatever the nesting. Elements are linked
+to their parents, and counts of what is open answer what an end tag may close, so no step walks a deep stack in vain.
+"""
 
 from __future__ import annotations
 
 import html
 import re
-from dataclasses import dataclass
+from collections import Counter
 
-TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>", re.S)
-CUT_TAG = re.compile(r"<(?:/?[a-zA-Z]|[!?])[^>]*\Z")
-ATTRIBUTE = re.compile(r"""(?:^|\s)(class|id|role|aria-label|hidden)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""", re.I)
+NAME = re.compile(r"[^\s/>]+")
+#: The next attribute of a tag, or its end. A quote opens a value only right after the equals sign.
+ATTRIBUTE = re.compile(
+    r"""[\s/]*+(?:(?P<end>>)|(?P<name>=?[^\s/>=]*+)(?:\s*+=\s*+(?:"(?P<double>[^"]*+)(?P<dq>")?|'(?P<single>[^']*+)(?P<sq>')?|(?P<plain>[^\s>"'][^\s>]*+)?))?+)"""
+)
+KEPT = frozenset("class id role aria-label hidden".split())
 PIECE = re.compile(r"[A-Za-z]{2,}")
-#: Text in these is markup or data. Their content is raw up to their own end tag.
-RAW = frozenset("script style textarea xmp iframe noembed noframes".split())
-UNSEEN = RAW | frozenset("head title template noscript svg math object canvas audio video select datalist".split())
-INLINE = frozenset(
-    "a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark nobr q rp rt ruby s samp small span strike strong sub sup "
-    "time tt u var wbr input button meter output progress picture source".split()
+#: The content of these is raw up to their own end tag.
+RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
+#: Form controls: what they say is no text of the article, wherever they stand.
+CONTROLS = frozenset("button label input select textarea datalist output meter progress".split())
+UNSEEN = RAW | CONTROLS | frozenset("head template noscript svg object canvas audio video annotation annotation-xml".split())
+INLINE = CONTROLS | frozenset(
+    "a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd mark nobr q rp rt ruby s samp small span strike strong sub sup "
+    "time tt u var wbr picture source svg math mi mn mo ms mtext mrow mfrac msup msub msubsup msqrt mroot mover munder munderover mtable mtr mtd mstyle "
+    "mspace mpadded mphantom menclose merror semantics annotation annotation-xml".split()
 )
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: A start tag of the key ends an open element of the value, up to the next table, list or section.
-CLOSES = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
+CLOSES = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}}
 SCOPE = frozenset("table ul ol dl div section article main aside nav header footer body form blockquote".split())
 ENDS_P = frozenset(
     "address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split()
 )
+IN_HEAD = frozenset("base basefont bgsound link meta noframes noscript script style template title".split())
+
+
+class Element:
+    """A block-level element: token ("tag word word", of its class, id, role), parent, and ``new``, the features no ancestor has."""
+
+    __slots__ = ("token", "parent", "new")
+
+    def __init__(self, token: str, parent: Element | None, new: list[str]):
+        self.token, self.parent, self.new = token, parent, new
 
 
-@dataclass
 class Block:
-    text: str
-    path: tuple[str, ...]  # of the elements around it, from the root: "tag token token"
-    linked: int  # characters inside links
+    """Text, the innermost element around it, and the number of its characters inside links."""
+
+    __slots__ = ("text", "within", "linked")
+
+    def __init__(self, text: str, within: Element | None, linked: int):
+        self.text, self.within, self.linked = text, within, linked
+
+    def around(self):
+        """The elements around it, from the innermost to the root."""
+        element = self.within
+        while element:
+            yield element
+            element = element.parent
+
+    @property
+    def path(self) -> tuple[str, ...]:
+        return tuple(e.token for e in self.around())[::-1]
 
 
-def _token(name: str, rest: str) -> str:
-    if not rest or rest == "/":
-        return name
+def element_features(token: str) -> list[str]:
+    tag, *names = token.split(" ")
+    return [f"in {tag}", *(f"named {n}" for n in names)]
+
+
+def _tag(page: str, at: int, kept: list[tuple[str, str]]) -> int:
+    """The place behind the tag whose attributes start at ``at``, or the end of the page if it is cut off there.
+
+    A value whose quote is never closed ends with the tag, at the next ``>``.
+    """
+    while True:
+        found = ATTRIBUTE.match(page, at)
+        if found["end"]:
+            return found.end()
+        double, single = found["double"], found["single"]
+        if (double is not None and not found["dq"]) or (single is not None and not found["sq"]):
+            end = page.find(">", found.start("double" if double is not None else "single"))
+            return end + 1 or len(page)
+        if found.end() == len(page) or found.end() == at:
+            return len(page)
+        name = found["name"].lower()
+        if name in KEPT:
+            kept.append((name, double or single or found["plain"] or ""))
+        at = found.end()
+
+
+def _token(name: str, kept: list[tuple[str, str]]) -> str:
     words = [name]
-    for key, *values in ATTRIBUTE.findall(rest):
-        words += [w.lower() for v in values for w in PIECE.findall(v)] or ([key.lower()] if key.lower() == "hidden" else [])
+    for key, value in kept:
+        words += ["hidden"] if key == "hidden" else [w.lower() for w in PIECE.findall(value)]
     return " ".join(dict.fromkeys(words))
 
 
+class _Reader:
+    """The open elements and the text of the block that is being read."""
+
+    def __init__(self):
+        self.made: list[Block] = []
+        self.names: list[str] = []  # of the open elements
+        self.elements: list[Element | None] = []  # None for inline ones
+        self.open: Counter[str] = Counter()
+        self.scopes: list[Counter[str]] = [Counter()]  # elements opened since each open element of SCOPE
+        self.lines: list[Counter[str]] = [Counter()]  # inline elements opened since each open block-level element
+        self.features: Counter[str] = Counter()
+        self.within: Element | None = None
+        self.pending: list[str] = []
+        self.linked = self.unseen = 0
+
+    def flush(self) -> None:
+        if self.pending:
+            text = " ".join("".join(self.pending).split())
+            if text:
+                self.made.append(Block(text, self.within, self.linked))
+            self.pending.clear()
+        self.linked = 0
+
+    def text(self, part: str) -> None:
+        if not part:
+            return
+        if self.names and self.names[-1] == "head" and not part.isspace():
+            self.leave()
+        if not self.unseen:
+            part = html.unescape(part)  # by itself: a reference does not go on behind a tag
+            self.pending.append(part)
+            if self.open["a"]:
+                self.linked += len(part)
+
+    def enter(self, name: str, token: str) -> None:
+        self.scopes[-1][name] += 1
+        if name in SCOPE:
+            self.scopes.append(Counter())
+        self.open[name] += 1
+        self.unseen += name in UNSEEN
+        self.names.append(name)
+        if name in INLINE:
+            self.lines[-1][name] += 1
+            self.elements.append(None)
+            return
+        self.flush()
+        self.lines.append(Counter())
+        own = element_features(token)
+        self.within = Element(token, self.within, [f for f in own if not self.features[f]])
+        self.features.update(own)
+        self.elements.append(self.within)
+
+    def leave(self) -> None:
+        """Close the innermost element."""
+        name, element = self.names.pop(), self.elements.pop()
+        if name in SCOPE:
+            self.scopes.pop()
+        self.scopes[-1][name] -= 1
+        if element is None:
+            self.lines[-1][name] -= 1
+        else:
+            self.flush()
+            self.lines.pop()
+            for f in element_features(element.token):
+                self.features[f] -= 1
+                if not self.features[f]:
+                    del self.features[f]
+            self.within = element.parent
+        self.open[name] -= 1
+        self.unseen -= name in UNSEEN
+
+    def leave_to(self, names: set[str]) -> None:
+        """Close elements up to the innermost of the names, which is open."""
+        while self.names[-1] not in names:
+            self.leave()
+        self.leave()
+
+    def start(self, name: str, kept: list[tuple[str, str]], closed: bool) -> None:
+        if self.names and self.names[-1] == "head" and name not in IN_HEAD:
+            self.leave()
+        if name in CONTROLS and not self.unseen:
+            self.pending.append(" ")
+        if name in VOID:
+            if name == "br":
+                self.text(" ")
+            elif name not in INLINE:
+                self.flush()
+            return
+        if name not in INLINE:
+            self.flush()
+            closes = CLOSES.get(name, set()) | ({"p"} if name in ENDS_P else set())
+            while any(self.scopes[-1][c] for c in closes):
+                self.leave_to(closes)
+        if closed and (name in ("svg", "math") or self.open["svg"] or self.open["math"]):
+            return
+        self.enter(name, _token(name, kept) if kept else name)
+
+    def end(self, name: str) -> None:
+        if name == "br":
+            self.text(" ")
+        elif name in INLINE:
+            if self.lines[-1][name]:
+                self.leave_to({name})
+        elif self.open[name]:
+            self.leave_to({name})
+        else:
+            self.flush()
+
+
 def blocks(page: str) -> list[Block]:
     """The leaf blocks of a page, in order, white space made single, character references decoded, without empty ones.
 
     Unclosed and misnested tags are closed as browsers do in the common cases; a tag cut off by the end of the page is dropped.
     """
-    made: list[Block] = []
-    stack: list[tuple[str, str]] = []
-    pending: list[str] = []
-    state = {"linked": 0, "links": 0, "unseen": 0}
-    cut_off = CUT_TAG.search(page, max(page.rfind("<"), 0))
-    if cut_off:
-        page = page[: cut_off.start()]
-
-    def flush() -> None:
-        if pending:
-            text = " ".join(html.unescape("".join(pending)).split())
-            if text:
-                made.append(Block(text, tuple(t for _, t in stack if t.split(" ", 1)[0] not in INLINE), state["linked"]))
-            pending.clear()
-        state["linked"] = 0
-
-    def leave(to: int) -> None:
-        """Close the open elements from place ``to`` on."""
-        if any(n not in INLINE for n, _ in stack[to:]):
-            flush()
-        for name, _ in stack[to:]:
-            state["links"] -= name == "a"
-            state["unseen"] -= name in UNSEEN
-        del stack[to:]
-
-    def text(part: str) -> None:
-        if part and not state["unseen"]:
-            pending.append(part)
-            if state["links"]:
-                state["linked"] += len(part)
-
-    at = 0
+    reader, at = _Reader(), 0
     while at < len(page):
-        tag = TAG.search(page, at)
-        if not tag:
-            text(page[at:])
+        tag = page.find("<", at)
+        if tag < 0:
+            reader.text(page[at:])
             break
-        text(page[at : tag.start()])
-        at = tag.end()
-        name = (tag[2] or "").lower()
-        if not name:
-            continue
-        if tag[1]:
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == name:
-                    leave(k)
-                    break
-                if name in INLINE and stack[k][0] not in INLINE:
-                    break
+        after = page[tag + 1 : tag + 3]
+        begin = tag + 1 + after.startswith("/")
+        if after[:1] in ("!", "?") or (after[:1] == "/" and after[1:] and not (after[1].isascii() and after[1].isalpha())):
+            reader.text(page[at:tag])
+            if page.startswith("<!--", tag):
+                short = page.startswith((">", "->"), tag + 4)
+                end = page.find(">" if short else "-->", tag + 4)
+                at = end + (1 if short else 3) if end >= 0 else len(page)
             else:
-                if name not in INLINE:
-                    flush()
+                at = page.find(">", tag) + 1 or len(page)
             continue
-        if name in VOID:
-            if name == "br":
-                text(" ")
-            elif name not in INLINE:
-                flush()
+        if not (page[begin : begin + 1].isascii() and page[begin : begin + 1].isalpha()):
+            reader.text(page[at : tag + 1])
+            at = tag + 1
             continue
-        if name not in INLINE:
-            flush()
-            closes = CLOSES.get(name, set()) | ({"p"} if name in ENDS_P else set())
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] in closes:
-                    leave(k)
-                    if name not in ("tr", "dd", "dt"):
-                        break
-                elif stack[k][0] in SCOPE:
-                    break
-            if name == "body" and stack and stack[-1][0] == "head":
-                leave(len(stack) - 1)
-        if tag[3].endswith("/") and name in ("svg", "math", "path"):
+        reader.text(page[at:tag])
+        named = NAME.match(page, begin)
+        name, kept, at = named[0].lower(), [], named.end()
+        at = at + 1 if page.startswith(">", at) else _tag(page, at, kept)
+        if at == len(page) and page[-1] != ">":
+            break
+        if begin > tag + 1:
+            reader.end(name)
             continue
-        stack.append((name, _token(name, tag[3])))
-        state["links"] += name == "a"
-        state["unseen"] += name in UNSEEN
+        reader.start(name, kept, page[at - 2] == "/")
         if name in RAW:
-            end = re.compile(rf"</{name}\b", re.I).search(page, at)
+            end = re.compile(rf"</{name}(?=[\s/>])", re.I).search(page, at)
             at = end.start() if end else len(page)
-    flush()
-    return made
+    while reader.names:
+        reader.leave()
+    reader.flush()
+    return reader.made

@@ -13,6 +13,7 @@ import random
 import re
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -20,29 +21,25 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sievecraft.llm.common import table
-from sievecraft.llm.html_blocks import Block, blocks
+from sievecraft.llm.html_blocks import Block, Element, blocks
 
 EPOCHS = 12
 RATE = 0.3
 DECAY = 1e-4
 TRAINING_PAGES = 700
-#: Ancestor paths whose weights a task remembers before it starts anew.
-REMEMBER = 50_000
 HINTS = re.compile(
     r"©|\b(?:cookies?|privacy|rights reserved|copyright|subscribe|sign ?(?:up|in)|log ?in|newsletter|advert\w*|sponsored|share|comments?|repl(?:y|ies)|posted by|terms|menu|skip to|read more|related)\b",
     re.I,
 )
 
 
-def path_features(path: tuple[str, ...]) -> list[str]:
-    """Tags and names of all elements around a block, and the nearest three tags by distance."""
-    made: list[str] = []
-    for element in path:
-        tag, *names = element.split(" ")
-        made.append(f"in {tag}")
-        made += [f"named {n}" for n in names]
-    made += [f"{k} up {e.split(' ')[0]}" for k, e in enumerate(path[::-1][:3])]
-    return list(dict.fromkeys(made))
+def path_features(block: Block) -> list[str]:
+    """Tags and names of all elements around a block, each once, and the nearest three tags by distance."""
+    return [f for e in block.around() for f in e.new] + near_features(block)
+
+
+def near_features(block: Block) -> list[str]:
+    return [f"{k} up {e.token.split(' ', 1)[0]}" for k, e in enumerate(islice(block.around(), 3))]
 
 
 def text_features(block: Block, place: float) -> list[str]:
@@ -61,23 +58,25 @@ class Field:
     """Weights of a two-label chain: label 1 is text. Only differences to label 0 are kept for features."""
 
     def __init__(self, weights: dict[str, float], transitions: list[list[float]]):
-        self.weights, self.transitions, self.of_path = weights, transitions, {}
-
-    def __getstate__(self):
-        return self.weights, self.transitions
-
-    def __setstate__(self, state):
-        self.__init__(*state)
+        self.weights, self.transitions = weights, transitions
 
     def emissions(self, page: list[Block]) -> list[float]:
-        weigh, made = self.weights.get, []
+        """Scores of label 1. An element's weight is its parent's and its own new features', so deep nesting costs each element once."""
+        weigh, made, known = self.weights.get, [], {}
+
+        def around(element: Element | None) -> float:
+            fresh = []
+            while element and id(element) not in known:
+                fresh.append(element)
+                element = element.parent
+            total = known[id(element)] if element else 0.0
+            for e in reversed(fresh):
+                total = known[id(e)] = total + sum(weigh(f, 0.0) for f in e.new)
+            return total
+
         for k, block in enumerate(page):
-            known = self.of_path.get(block.path)
-            if known is None:
-                if len(self.of_path) > REMEMBER:
-                    self.of_path.clear()
-                known = self.of_path[block.path] = sum(weigh(f, 0.0) for f in path_features(block.path))
-            made.append(known + sum(weigh(f, 0.0) for f in text_features(block, k / len(page))))
+            shape = near_features(block) + text_features(block, k / len(page))
+            made.append(around(block.within) + sum(weigh(f, 0.0) for f in shape))
         return made
 
     def decode(self, page: list[Block]) -> list[int]:
@@ -121,7 +120,7 @@ def train(pages: list[tuple[str, list[int]]], seed: int = 3) -> Field:
     for page, labels in pages:
         found = blocks(page)
         if found:
-            names = [path_features(b.path) + text_features(b, k / len(found)) for k, b in enumerate(found)]
+            names = [path_features(b) + text_features(b, k / len(found)) for k, b in enumerate(found)]
             at = [[index.setdefault(f, len(index)) for f in fs] for fs in names]
             data.append((np.concatenate(at), np.repeat(np.arange(len(at)), [len(a) for a in at]), np.array(labels, float)))
     w, t = np.zeros(len(index)), np.zeros((2, 2))
@@ -193,9 +192,8 @@ class _Maker:
             self.out.append(r.choice(["&copy; ", "", "© "]) + self.words(2, 14, r.choice([".", ""])))
             self.labels.append(0)
         elif kind == "form":
-            self.leaf(r.choice(["label", "p", "h3"]) if r.random() < 0.5 else "p", self.words(1, 9), 0)
-            self.out.append('<div><input type="text"><button>Go</button></div>')
-            self.labels.append(0)
+            self.leaf(r.choice(["legend", "p", "h3"]) if r.random() < 0.5 else "p", self.words(1, 9), 0)
+            self.out.append('<div><label>Name</label><input type="text"><button>Go</button></div>')
         elif kind == "comments":
             for _ in range(n):
                 self.leaf(r.choice(["p", "div", "div class=comment", "li"]).split(" ")[0], self.words(3, 50, "."), 0)
@@ -268,7 +266,11 @@ def main_text(page: str, field: Field) -> str:
 
 
 def extract(pages: DataFrame, field: Field | None = None) -> DataFrame:
-    """page_id, url, text, n_chars of each page. Null html is empty; a page without text has an empty one. Repeated rows are returned each."""
+    """page_id, url, text, n_chars of each page. Null html is empty; a page without text has an empty one. Repeated rows are returned each.
+
+    Pages are independent and read in one pass, so a very long or deep one costs time and memory in proportion to its length.
+    Other columns of ``pages`` are ignored.
+    """
     shared = pages.sparkSession.sparkContext.broadcast(field or default_field())
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
