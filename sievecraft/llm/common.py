@@ -1,19 +1,21 @@
-"""Shared pieces of the corpus operators: cutting lineage and the folder for it."""
+"""Shared pieces of the corpus operators: cutting lineage, the folder for it, and decisions applied to rows without moving texts."""
 
 from __future__ import annotations
 
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The checkpoint folder of the session; one of our own only where none is set (tests)."""
+    """The checkpoint folder of the session; one of our own only where none is set and all runs on one machine (tests)."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         where = spark.conf.get("spark.checkpoint.dir", None)
+        if not where and not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         sc.setCheckpointDir(where or tempfile.mkdtemp(prefix="sievecraft-"))
     return sc.getCheckpointDir()
 
@@ -54,8 +56,10 @@ def fresh(columns: list[str], name: str) -> str:
     return name
 
 
-#: Keys of dropped rows that are broadcast, of 20 bytes each; more are joined by a shuffle.
+#: Keys that are broadcast as they are, of 20 bytes each; more are broadcast as a Bloom filter.
 MAX_BROADCAST_KEYS = 200_000
+#: Bits of one bitmap of a filter (fixed by bitmap_construct_agg), bitmaps of the largest filter (64 MB), bits that each key sets and may take.
+BITMAP, MAX_BITMAPS, PROBES, BITS_OF_KEY = 32768, 16384, 4, 16
 
 
 def text_print(column: str = "text"):
@@ -63,20 +67,60 @@ def text_print(column: str = "text"):
     return F.xxhash64(text_or_empty(column))
 
 
+def _probe(doc_id: Column, print_: Column, k: int, size: int) -> Column:
+    return F.pmod(F.xxhash64(doc_id, print_, F.lit(k)), F.lit(size)).cast("int")
+
+
+def split_by_filter(rows: DataFrame, keys: DataFrame, n: int) -> tuple[DataFrame, DataFrame]:
+    """The rows (doc_id, text, any others) whose key may be among the ``n`` keys (k_id, k_print), and those that surely are not.
+
+    The filter is of bounded size: of many more keys than it holds well, more rows pass as possible, and none is lost.
+    """
+    bitmaps = max(1, min(MAX_BITMAPS, -(-n * BITS_OF_KEY // BITMAP)))
+    names: list[str] = []
+    for name in ("of", "bits", "print"):
+        names.append(fresh([*rows.columns, *names], name))
+    of, bits, print_ = names
+    places = F.array(*[_probe(F.col("k_id"), F.col("k_print"), k, BITMAP) for k in range(1, PROBES + 1)])
+    held = keys.select(_probe(F.col("k_id"), F.col("k_print"), 0, bitmaps).alias(of), F.explode(places).alias("place"))
+    held = cut(held.groupBy(of).agg(F.bitmap_construct_agg("place").alias(bits)))
+    named = rows.withColumn(print_, text_print())
+    met = named.withColumn(of, _probe(F.col("doc_id"), F.col(print_), 0, bitmaps)).join(F.broadcast(held), of, "left")
+
+    def is_set(place: Column) -> Column:
+        byte = F.conv(F.hex(F.substring(F.col(bits), F.floor(place / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("long")
+        return F.getbit(byte, place % 8) == 1
+
+    among = F.col(bits).isNotNull()
+    for k in range(1, PROBES + 1):
+        among = among & is_set(_probe(F.col("doc_id"), F.col(print_), k, BITMAP))
+    among = F.coalesce(among, F.lit(False))
+    return met.where(among).select(*rows.columns), met.where(~among).select(*rows.columns)
+
+
 def keep_rows(docs: DataFrame, decisions: DataFrame) -> DataFrame:
     """The rows of ``docs`` that ``decisions`` (doc_id, print, kept; a row for each row of docs) keeps.
 
-    Dropped keys are few as a rule and are broadcast where their counted number allows, so the texts aren't shuffled.
-    Rows that repeat a kept key, of which decisions keep only one, are thinned to one.
+    Few keys of dropped rows are broadcast. Many are broadcast as a Bloom filter of bounded size, and only the rows that it lets
+    pass, dropped ones nearly all, meet the keys in a shuffle; the texts of other rows stay where they are.
+    Rows that repeat a kept key, of which decisions keep only one, are thinned to one. No column name of ``docs`` is reserved.
     """
     keys = decisions.groupBy("doc_id", "print").agg(F.max("kept").alias("any"), F.sum((~F.col("kept")).cast("long")).alias("dropped"))
     keys = cut(keys.where("not any or dropped > 0").select(F.col("doc_id").alias("k_id"), F.col("print").alias("k_print"), "any"))
-    same = docs["doc_id"].eqNullSafe(F.col("k_id")) & (F.xxhash64(F.coalesce(docs["text"].cast("string"), F.lit(""))) == F.col("k_print"))
-    n = {r["any"]: r["count"] for r in keys.groupBy("any").count().collect()}
-    small = (lambda x: F.broadcast(x)) if sum(n.values()) <= MAX_BROADCAST_KEYS else (lambda x: x)
-    kept = docs.join(small(keys), same, "left_anti")
-    if n.get(True):
-        again = docs.join(small(keys.where("any")), same, "left_semi").withColumn(fresh(docs.columns, "print"), text_print())
-        thinned = again.dropDuplicates(["doc_id", again.columns[-1]]).select(*docs.columns)
-        kept = kept.unionByName(thinned)
-    return kept
+    counts = {r["any"]: r["count"] for r in keys.groupBy("any").count().collect()}
+    n = sum(counts.values())
+    if not n:
+        return docs
+    names: list[str] = []
+    for name in ("k_id", "k_print", "any", "print"):
+        names.append(fresh([*docs.columns, *names], name))
+    k_id, k_print, some, print_ = names
+    few = n <= MAX_BROADCAST_KEYS
+    maybe, rest = (docs, None) if few else split_by_filter(docs, keys, n)
+    renamed = keys.select(F.col("k_id").alias(k_id), F.col("k_print").alias(k_print), F.col("any").alias(some))
+    same = F.col("doc_id").eqNullSafe(F.col(k_id)) & (F.col(print_) == F.col(k_print))
+    met = maybe.withColumn(print_, text_print()).join(F.broadcast(renamed) if few else renamed, same, "left")
+    kept = met.where(F.col(some).isNull()).select(*docs.columns)
+    if counts.get(True):
+        kept = kept.unionByName(met.where(some).dropDuplicates(["doc_id", print_]).select(*docs.columns))
+    return kept if rest is None else kept.unionByName(rest)

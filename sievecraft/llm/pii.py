@@ -29,6 +29,8 @@ SSN = r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"
 OCTET = "0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 #: Code points on either side of a span in which context words are looked for.
 NEAR = 40
+#: Other matches of the kind, on either side, through which they are looked for.
+NEIGHBOURS = 4
 BLOCK = 256
 
 
@@ -98,38 +100,57 @@ def valid(kind: Kind, match: Column) -> Column:
     return F.lit(True)
 
 
+def once(value: Column, use) -> Column:
+    """use(value) with the value computed once: what a lambda names from outside would be computed again for each element."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def spans(text: Column, kind: Kind) -> Column:
-    """Array of (start, rank, end, kind, score) of a kind in the text, in order of start; code points, end exclusive."""
+    """Array of (start, rank, end, kind, score) of a kind in the text, in order of start; code points, end exclusive.
+
+    A match's context are the NEAR code points on either side, through at most NEIGHBOURS other matches. It is taken from the gaps
+    and matches already in hand, so a text of many matches costs time in proportion to its length.
+    """
     rank = KINDS.index(kind)
-    matches = F.regexp_extract_all(text, F.lit(kind.pattern), F.lit(0))
-    gaps = F.split(text, kind.pattern, -1)
-    pairs = F.zip_with(F.slice(gaps, F.lit(1), F.size(matches)), matches, lambda g, m: F.struct(F.length(g).alias("gap"), m.alias("m")))
-    starts = running_starts(F.transform(pairs, lambda p: (p["gap"] + F.length(p["m"])).cast("bigint")))
-    placed = F.zip_with(pairs, starts, lambda p, s: F.struct((s + p["gap"]).alias("start"), p["m"].alias("m")))
-    confirmed = F.filter(placed, lambda p: valid(kind, p["m"]))
-
-    def scored(p: Column) -> Column:
-        begin, end = p["start"], p["start"] + F.length(p["m"])
-        around = F.concat(
-            F.substring(text, (F.greatest(begin - NEAR, F.lit(0)) + 1).cast("int"), F.least(begin, F.lit(NEAR)).cast("int")),
-            F.lit(" "),
-            F.substring(text, (end + 1).cast("int"), F.lit(NEAR)),
+    before, behind = (lambda x: F.substring(x, -NEAR, NEAR)), (lambda x: F.substring(x, 1, NEAR))
+
+    def measured(s: Column) -> Column:
+        n = F.size(s["m"])
+        earlier, later = F.slice(s["g"], F.lit(1), n), F.slice(s["g"], F.lit(2), n)
+        return F.struct(
+            s["m"].alias("m"),
+            F.transform(s["g"], before).alias("left"),
+            F.transform(s["g"], behind).alias("right"),
+            F.zip_with(earlier, s["m"], lambda g, m: F.concat(before(g), m)).alias("tails"),
+            F.zip_with(s["m"], later, lambda m, g: F.concat(m, behind(g))).alias("heads"),
+            F.transform(earlier, lambda g: F.length(g).cast("bigint")).alias("gap"),
+            once(F.zip_with(earlier, s["m"], lambda g, m: (F.length(g) + F.length(m)).cast("bigint")), running_starts).alias("from"),
         )
-        bonus = F.when(around.rlike(rf"(?i)\b(?:{kind.words})"), 0.25).otherwise(0.0)
-        score = F.least(F.lit(1.0), F.lit(kind.score) + bonus)
-        return F.struct(begin.alias("start"), F.lit(rank).alias("rank"), end.alias("end"), F.lit(kind.name).alias("kind"), score.alias("score"))
 
-    found = F.transform(confirmed, scored)
-    if not kind.base:
-        found = F.filter(found, lambda s: s["score"] >= kind.least)
-    empty = F.array().cast("array<struct<start:bigint,rank:int,end:bigint,kind:string,score:double>>")
-    return F.when(text.rlike(kind.hint), found.cast("array<struct<start:bigint,rank:int,end:bigint,kind:string,score:double>>")).otherwise(empty)
+    def scored(b: Column) -> Column:
+        def one(m: Column, i: Column) -> Column:
+            first = F.greatest(i - NEIGHBOURS, F.lit(0))
+            left = before(F.concat(F.array_join(F.slice(b["tails"], first + 1, i - first), ""), F.get(b["left"], i)))
+            right = behind(F.concat(F.get(b["right"], i + 1), F.array_join(F.slice(b["heads"], i + 2, F.lit(NEIGHBOURS)), "")))
+            bonus = F.when(F.concat(left, F.lit(" "), right).rlike(rf"(?i)\b(?:{kind.words})"), 0.25).otherwise(0.0)
+            start = F.get(b["from"], i) + F.get(b["gap"], i)
+            score = F.when(valid(kind, m), F.least(F.lit(1.0), F.lit(kind.score) + bonus))
+            return F.struct(start.alias("start"), F.lit(rank).alias("rank"), (start + F.length(m)).alias("end"), F.lit(kind.name).alias("kind"), score.alias("score"))
+
+        return F.transform(b["m"], one)
+
+    cut_up = F.struct(F.regexp_extract_all(text, F.lit(kind.pattern), F.lit(0)).alias("m"), F.split(text, kind.pattern, -1).alias("g"))
+    found = once(cut_up, lambda s: once(measured(s), scored))
+    found = F.filter(found, lambda s: s["score"].isNotNull() if kind.base else s["score"] >= kind.least)
+    kept = "array<struct<start:bigint,rank:int,end:bigint,kind:string,score:double>>"
+    return F.when(text.rlike(kind.hint), found.cast(kept)).otherwise(F.array().cast(kept))
 
 
 def find_personal_data(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """The columns ``keep`` and spans (array of start, rank, end, kind, score, in that order) of each row.
 
     Null text is empty; texts without spans have an empty array. Rows are independent: repeated rows are returned each.
+    A very long text, or one of many matches, is one row's work in time little above linear; other columns are ignored.
     """
     rows = docs.select(*keep, text_or_empty().alias("__text"))
     found = F.flatten(F.array(*[spans(F.col("__text"), k) for k in KINDS]))
@@ -147,6 +168,7 @@ def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     count = lambda name: F.size(F.filter("spans", lambda s: s["kind"] == name)).cast("long")
     counts = [count(k.name).alias(f"n_{k.name}") for k in base]
     of_base = F.filter("spans", lambda s: s["rank"] < len(base))
+    scores = F.array_join(F.transform("spans", lambda s: F.format_number(s["score"], 2)), ",")
     return found.select(
-        "doc_id", *counts, F.sha2(_listed(of_base).cast("binary"), 256).alias("base_sha256"), _listed(F.col("spans")).alias("spans")
+        "doc_id", *counts, F.sha2(_listed(of_base).cast("binary"), 256).alias("base_sha256"), _listed(F.col("spans")).alias("spans"), scores.alias("scores")
     )

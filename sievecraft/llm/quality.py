@@ -165,6 +165,8 @@ def _feature_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
         made = [features(t, n, indexes) for t, n in zip(batch["text"].to_pylist(), batch["n_chars"].to_pylist(), strict=True)]
         yield pa.RecordBatch.from_pydict(
             {
+                "order": batch["order"],
+                "id": batch["id"],
                 "quality": batch["quality"],
                 "at": pa.array([m[0] for m in made], pa.list_(pa.int32())),
                 "x": pa.array([m[1] for m in made], pa.list_(pa.float32())),
@@ -184,7 +186,11 @@ def held_out(column: str = "doc_id") -> Column:
 
 
 def fit(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> Model:
-    """Model of ``labels.quality`` from at most ``max_train`` labelled rows outside the held-out fifth."""
+    """Model of ``labels.quality`` from at most ``max_train`` labelled rows outside the held-out fifth.
+
+    Of labels that repeat a doc_id the smallest is learned, of documents that repeat one that with the smallest text. The
+    rows are learned from in an order of their own ids, so the model doesn't depend on partitions or lost executors.
+    """
     chosen = (
         labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull() & ~held_out())
         .select("doc_id", F.col("quality").cast("int").alias("quality"), F.xxhash64("doc_id").alias("order"))
@@ -192,13 +198,23 @@ def fit(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> Model
         .limit(max_train)
         .drop("order")
     )
-    sample = docs.select("doc_id", *_inputs(docs)).join(F.broadcast(chosen), "doc_id").select("quality", "text", "n_chars")
-    got = sample.mapInArrow(_feature_batches, "quality int, at array<int>, x array<float>, stats array<double>").toArrow()
-    rows = [
-        (np.array(a, np.int32), np.array(x, np.float32), s)
-        for a, x, s in zip(got["at"].to_pylist(), got["x"].to_pylist(), got["stats"].to_pylist(), strict=True)
-    ]
-    return train(rows, np.array(got["quality"].to_pylist(), float))
+    chosen = chosen.groupBy("doc_id").agg(F.min("quality").alias("quality"))
+    sample = docs.select("doc_id", *_inputs(docs)).join(F.broadcast(chosen), "doc_id")
+    # of documents that share an id one is learned from, so no more than max_train rows reach the driver
+    sample = sample.groupBy("doc_id").agg(F.first("quality").alias("quality"), F.min(F.struct("text", "n_chars")).alias("one"))
+    sample = sample.select(F.xxhash64("doc_id").alias("order"), F.col("doc_id").cast("string").alias("id"), "quality", "one.text", "one.n_chars")
+    got = sample.mapInArrow(_feature_batches, "order bigint, id string, quality int, at array<int>, x array<float>, stats array<double>").toArrow()
+    got = got.combine_chunks().sort_by([("order", "ascending"), ("id", "ascending")])  # the same model however the rows are laid out
+    labels, stats = got["quality"].to_numpy().astype(float), [x.values.to_numpy().tolist() for x in got["stats"]]
+    at, x = (_slices(got[c].combine_chunks()) for c in ("at", "x"))
+    del got
+    return train(list(zip(at, x, stats, strict=True)), labels)
+
+
+def _slices(lists: pa.ListArray) -> list[np.ndarray]:
+    """The lists as arrays, without a Python object for each number."""
+    values, ends = lists.flatten().to_numpy(), np.cumsum(lists.value_lengths().to_numpy())
+    return np.split(values, ends[:-1]) if len(ends) else []
 
 
 def quality_scores(docs: DataFrame, model: Model, keep: list[str] | None = None, name: str = "score") -> DataFrame:
@@ -224,7 +240,10 @@ def quality_scores(docs: DataFrame, model: Model, keep: list[str] | None = None,
 
 
 def classify(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> DataFrame:
-    """doc_id, held_out, score, predicted (1 if score >= THRESHOLD) of each row of ``docs``."""
+    """doc_id, held_out, score, predicted (1 if score >= THRESHOLD) of each row of ``docs``.
+
+    Null and empty texts are scored as empty ones; repeated rows are returned each and have one score. Without labels every score is 0.5.
+    """
     scored = quality_scores(docs, fit(docs, labels, max_train))
     return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
 

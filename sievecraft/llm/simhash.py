@@ -148,7 +148,7 @@ def _ball(free: list[int]) -> list[int]:
     return [sum(1 << p for p in c) for r in range(1, RADIUS + 1) for c in combinations(free, r)]
 
 
-def _rooted(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+def rooted_prints(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Fingerprints of the rows, and fp with root (one fp of its component), both cut."""
     prints = cut(fingerprints(docs))
     distinct = cut(prints.select("fp").distinct())
@@ -163,7 +163,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     a row as any other but never names a component, unless the component has only such rows (null).
     Repeated rows are all returned. Other columns of ``docs`` are ignored.
     """
-    prints, rooted = _rooted(docs)
+    prints, rooted = rooted_prints(docs)
     least = rooted.join(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "fp")
     named = rooted.join(least.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("fp", "component_id")
     return prints.join(named, "fp").select(
@@ -171,9 +171,13 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     )
 
 
-def drop_near_copies(docs: DataFrame) -> DataFrame:
+def drop_fingerprint_copies(docs: DataFrame) -> DataFrame:
     """The rows of ``docs``, with all their columns, that stay: of each component that with the smallest doc_id (null last)."""
-    return keep_first(docs, *_rooted(docs))
+    return keep_first(docs, *rooted_prints(docs))
+
+
+#: Name of earlier versions.
+drop_near_copies = drop_fingerprint_copies
 
 
 def keep_first(docs: DataFrame, prints: DataFrame, rooted: DataFrame) -> DataFrame:

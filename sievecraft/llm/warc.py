@@ -1,8 +1,8 @@
 r"""WARC archives: written by Spark's text writer, read back by a salvaging parser.
 
-Archives are files of plain WARC records: the writer's line separator is the \r\n\r\n that ends a record,
-so Spark's own commit protocol covers lost executors and any Hadoop file system will do. The reader also takes gzip
-members. Every record is checked: version line, headers, length, end mark, block and payload digests. After
+Records are gathered into archives of ARCHIVE bytes, each one row of the text writer and so one file: Spark's own commit
+protocol covers lost executors and any Hadoop file system will do. With gzip every record is a member of its own, so
+a broken member costs only itself. Every record is checked: version line, headers, length, end mark, block and payload digests. After
 a failed check the reader searches for the next version line or gzip member that itself passes,
 goes on from there, and reports the bytes between as a quarantined gap. (A whole valid record quoted inside
 the payload of a broken one can't be told from a record of the archive.)
@@ -10,6 +10,7 @@ the payload of a broken one can't be told from a record of the archive.)
 
 from __future__ import annotations
 
+import gzip
 import hashlib
 import re
 import uuid
@@ -25,8 +26,10 @@ from sievecraft.llm.common import cut, delete_folder, shared_dir, table
 END = "\r\n\r\n"
 #: Smaller payloads are always written whole.
 LEAST_REVISIT = 100
-#: Of one archive file, which the reader holds in memory as a whole.
-RECORDS_PER_FILE = 2000
+#: Bytes after which an archive is full. The reader holds one archive in memory; one of a longer record is that record.
+ARCHIVE = 32 << 20
+#: A gzip member without content: what the text writer sets behind the members of a file.
+EMPTY_MEMBER = bytes.fromhex("1f8b08000000000000ff03000000000000000000")
 #: Winners of repeated payloads that are broadcast (about 100 bytes each); more are joined by a shuffle.
 MAX_BROADCAST = 100_000
 DATE = "2000-01-01T00:00:00Z"
@@ -82,10 +85,37 @@ def records(pages: DataFrame, date: str = DATE) -> DataFrame:
     return typed.select(record.alias("record"))
 
 
-def write_archives(pages: DataFrame, path: str, compression: str = "none") -> None:
-    """Archives of all pages under ``path``. With gzip each file is one member, and a broken file is lost from the break on."""
-    writer = records(pages).write.option("lineSep", END).option("maxRecordsPerFile", RECORDS_PER_FILE)
-    writer.option("compression", compression).text(path)
+def write_archives(pages: DataFrame, path: str, compression: str = "none", archive: int = ARCHIVE) -> None:
+    """Archives of all pages under ``path``, of about ``archive`` bytes each; with compression "gzip" a member for each record."""
+    members = compression == "gzip"
+    if compression not in ("none", "gzip"):
+        raise ValueError(f"unknown compression {compression}")
+    end = END.encode()
+
+    def gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for batch in batches:
+            for record in batch.column(0):
+                one = record.as_py() + end
+                held.append(gzip.compress(one, 6, mtime=0) if members else one)
+                size += len(held[-1])
+                if size >= archive:
+                    yield full(held)
+                    held, size = [], 0
+        if held:
+            yield full(held)
+
+    def full(held: list[bytes]) -> pa.RecordBatch:
+        whole = b"".join(held)
+        return pa.RecordBatch.from_arrays([pa.array([whole if members else whole[: -len(end)]], pa.binary())], ["value"])
+
+    rows = records(pages).select(F.col("record").cast("binary").alias("record")).mapInArrow(gathered, "value binary")
+    writer = rows.select(F.col("value").cast("string").alias("value")).write.option("maxRecordsPerFile", 1)
+    if members:
+        writer = writer.option("encoding", "ISO-8859-1").option("lineSep", EMPTY_MEMBER.decode("latin-1"))
+    else:
+        writer = writer.option("lineSep", END)
+    writer.text(path)
 
 
 def _headers(head: bytes) -> dict[str, str]:
@@ -105,7 +135,7 @@ def parse_record(data: bytes, at: int) -> tuple[dict | None, int, str]:
         return None, at, "headers without end"
     head = _headers(data[at:head_end])
     length = head.get("content-length", "")
-    if not re.fullmatch("[0-9]{1,15}", length) or "warc-type" not in head:
+    if not re.fullmatch("[0-9]{1,15}", length) or "warc-type" not in head or "warc-record-id" not in head:
         return None, at, "headers"
     begin = head_end + 4
     end = begin + int(length)
@@ -152,8 +182,13 @@ def salvage(data: bytes) -> Iterator[dict]:
         elif data.startswith(MAGIC, at):
             content, end = _member(data, at)
             why = "gzip member"
+            if content == b"":  # nothing in it, nothing lost
+                if gap is not None:
+                    yield {"kind": "gap", "start": gap, "end": at, "reason": reason}
+                gap, at = None, end
+                continue
             if content is not None:
-                found = [x | {"start": at, "end": end} for x in salvage(content)] or [{"kind": "gap", "start": at, "end": end, "reason": "empty member"}]
+                found = [x | {"start": at, "end": end} for x in salvage(content)]
         if found:
             if gap is not None:
                 yield {"kind": "gap", "start": gap, "end": at, "reason": reason}
@@ -170,7 +205,11 @@ def salvage(data: bytes) -> Iterator[dict]:
 
 
 def read_archives(spark: SparkSession, path: str, payloads: bool = True) -> DataFrame:
-    """Records (kind "record") and quarantined gaps (kind "gap": path, start, end, reason) of all archives under ``path``."""
+    """Records (kind "record") and quarantined gaps (kind "gap": path, start, end, reason) of all archives under ``path``.
+
+    An archive is read as a whole, so its size bounds a task's memory; those of write_archives are of ARCHIVE bytes or one record. The payload of
+    a record may be of any length up to the 2 GB of a value. Empty archives have no rows.
+    """
     schema = spark.createDataFrame([], FIELDS).schema
     kinds = pa.schema([(f.name, {"bigint": pa.int64(), "binary": pa.binary()}.get(f.dataType.simpleString(), pa.string())) for f in schema])
 
@@ -191,14 +230,17 @@ def read_archives(spark: SparkSession, path: str, payloads: bool = True) -> Data
 
 
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Write, read back into the shared checkpoint folder, drop the archives."""
+    """Write, read back into the shared checkpoint folder, drop the archives. A gap in an archive is an error, since it would be a lost page."""
     path = f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
     write_archives(table(spark, sf_dir, "pages"), path)
-    found = read_archives(spark, path, payloads=False).where("kind = 'record'")
     ident = lambda c: F.col(c).cast("long").alias(c)
-    result = cut(found.select(ident("page_id"), "payload_bytes", "payload_digest", "record_type", ident("refers_to")))
+    found = read_archives(spark, path, payloads=False)
+    found = cut(found.select("kind", ident("page_id"), "payload_bytes", "payload_digest", "record_type", ident("refers_to")))
+    lost = found.where("kind = 'gap'").count()
+    if lost:
+        raise ValueError(f"{lost} gaps in the archives under {path}")
     delete_folder(spark, path)
-    return result
+    return found.drop("kind")
 
 
 OP6_SQL = """

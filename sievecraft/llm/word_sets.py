@@ -19,9 +19,9 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sievecraft.llm.common import cut, text_print
+from sievecraft.llm.common import MAX_BROADCAST_KEYS, cut, split_by_filter, text_print
 from sievecraft.llm.components import components
-from sievecraft.llm.simhash import keep_first
+from sievecraft.llm.simhash import keep_first, rooted_prints
 
 SHINGLE = 5
 BANDS = 32
@@ -101,8 +101,10 @@ def similar_roots(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     asked = members.select("fp").distinct()
     texts = sketches.select("doc_id", "print", "fp").join(asked, "fp").groupBy("fp").agg(F.min(F.struct("print", "doc_id")).alias("k"))
-    texts = texts.select("fp", F.col("k.print").alias("k_print"), F.col("k.doc_id").alias("k_id"))
-    of = rows.join(texts, (F.col("print") == F.col("k_print")) & F.col("doc_id").eqNullSafe(F.col("k_id"))).select("fp", "text")
+    texts = cut(texts.select("fp", F.col("k.print").alias("k_print"), F.col("k.doc_id").alias("k_id")))
+    n = texts.count()
+    near = docs.select("doc_id", "text") if n <= MAX_BROADCAST_KEYS else split_by_filter(docs.select("doc_id", "text"), texts, n)[0]
+    of = near.select("doc_id", text_print().alias("print"), F.col("text").cast("binary").alias("text")).join(F.broadcast(texts) if n <= MAX_BROADCAST_KEYS else texts, (F.col("print") == F.col("k_print")) & F.col("doc_id").eqNullSafe(F.col("k_id"))).select("fp", "text")
     sets = cut(of.mapInArrow(_listed, "fp bigint, hashes array<bigint>").dropDuplicates(["fp"]))
 
     first = cut(_similar(members.where("fp <> u").where(_sized("n", "m")).select("u", F.col("fp").alias("v")).distinct(), sets))
@@ -126,3 +128,28 @@ def similar_roots(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
 def drop_similar(docs: DataFrame) -> DataFrame:
     """The rows of ``docs``, with all their columns, that stay: of each component that with the smallest doc_id (null last). Rows without words stay."""
     return keep_first(docs, *similar_roots(docs))
+
+
+def joined_roots(rooted: DataFrame, prints: DataFrame, sets: DataFrame, set_roots: DataFrame) -> DataFrame:
+    """fp and root over both relations: components of fingerprints (rooted: fp, root; prints: doc_id, print, fp) that a component of word sets spans are one.
+
+    Only components that are spanned become edges, each to the smallest of its span.
+    """
+    key = lambda p: [F.col("doc_id").alias(f"{p}_id"), F.col("print").alias(f"{p}_print")]
+    a = prints.join(rooted, "fp").select(*key("a"), F.col("root").alias("a")).distinct()
+    b = sets.join(set_roots, "fp").select(*key("b"), F.col("root").alias("b")).distinct()
+    both = cut(a.join(b, (F.col("a_print") == F.col("b_print")) & F.col("a_id").eqNullSafe(F.col("b_id"))).select("a", "b").distinct())
+    spans = both.groupBy("b").agg(F.min("a").alias("least"), F.max("a").alias("most")).where("least < most")
+    edges = both.join(spans, "b").where("a <> least").select(F.col("a").alias("u"), F.col("least").alias("v"))
+    joined = components(edges).withColumnRenamed("root", "joined")
+    return cut(rooted.join(joined, F.col("root") == F.col("vertex"), "left").select("fp", F.coalesce("joined", "root").alias("root")))
+
+
+def drop_near_copies(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs``, with all their columns, that stay: one of each group of near copies, that with the smallest doc_id (null last).
+
+    Links are SimHash fingerprints within their radius and, since that misses most copies with a few changed words, sets of five-word
+    shingles of similarity 0.8 or more. Null and empty texts are copies of each other. Of repeated rows one stays; other columns, whatever their names, are kept.
+    """
+    prints, rooted = rooted_prints(docs)
+    return keep_first(docs, prints, joined_roots(rooted, prints, *similar_roots(docs)))

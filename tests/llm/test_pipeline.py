@@ -8,6 +8,12 @@ from sievecraft.llm.simhash import fingerprint
 SF = "/root/testdata/sf0.001"
 
 
+def plain(text):
+    """Five-word shingles."""
+    words = (text or "").encode().lower().split()
+    return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
+
+
 def test_stages_match_brute_force(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     docs = docs.unionByName(docs.where("doc_id < 4")).unionByName(docs.where("doc_id = 7").selectExpr("cast(null as bigint) doc_id", "text", "lang", "source", "n_chars"))
@@ -27,10 +33,11 @@ def test_stages_match_brute_force(spark):
     assert sorted(map(repr, once.collect())) == sorted(repr(r) for _, r in best.values())
 
     prints = [(fingerprint((r.text or "").encode()), r) for r in rows]
+    sets = [plain(r.text) for r in rows]
     group = list(range(len(prints)))
     for i, (a, _) in enumerate(prints):
         for j, (b, _) in enumerate(prints[:i]):
-            if bin(a ^ b).count("1") <= 3:
+            if bin(a ^ b).count("1") <= 3 or (sets[i] and sets[j] and len(sets[i] & sets[j]) * 10 >= len(sets[i] | sets[j]) * 8):
                 old, new = group[i], group[j]
                 group = [new if g == old else g for g in group]
     first = {}
