@@ -1,6 +1,8 @@
-"""From raw documents to packed sequences, in six stages.
+"""From raw documents to packed sequences, in five stages.
 
 Each stage takes (spark, docs, sf_dir) and works on all that its predecessor kept; all but the last return the columns of documents.
+Null texts count as empty, rows that are repeated whole are copies of each other, a null doc_id is a row like any other that
+stays only where its group has no other, and columns besides doc_id and text may have any name. An empty table stays empty.
 """
 
 from __future__ import annotations
@@ -14,35 +16,29 @@ from sievecraft.llm.decontaminate import drop_contaminated
 from sievecraft.llm.exact_dedup import drop_exact_copies
 from sievecraft.llm.packing import pack
 from sievecraft.llm.quality import drop_low_quality
-from sievecraft.llm.simhash import drop_near_copies
-from sievecraft.llm.word_sets import drop_similar
+from sievecraft.llm.word_sets import drop_near_copies
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier does not reject."""
+    """Documents that the quality classifier does not reject. Without labels all stay; repeated rows have one score."""
     return drop_low_quality(docs, table(spark, sf_dir, "labels"))
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of equal texts."""
+    """One document of each group of texts that are equal without white space: that of the most characters, then of the smallest doc_id."""
     return drop_exact_copies(docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component of near-duplicates."""
+    """One document of each group of near copies, linked by SimHash fingerprints or by a similarity of 0.8 of their five-word shingles."""
     return drop_near_copies(docs)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a phrase of the benchmark."""
+    """Documents without a phrase of the benchmark. Items without words forbid nothing."""
     return drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
-def word_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component of texts that share four fifths of their five-word shingles: near copies beyond near_dedup's three bits."""
-    return drop_similar(docs)
-
-
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """A row for each piece of each document, with its place in a sequence."""
     return pack(docs)
@@ -53,7 +49,6 @@ STAGES = [
     ("exact_dedup", exact_dedup),
     ("near_dedup", near_dedup),
     ("decontaminate", decontaminate),
-    ("word_dedup", word_dedup),
     ("packing", packing),
 ]
 
