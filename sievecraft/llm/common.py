@@ -26,12 +26,20 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """As cut(), for wide or long tables: a Parquet table in the shared folder, read back with column pruning."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+class Scratch:
+    """Parquet tables in the shared folder, for what is wide or read in parts, until ``drop``."""
+
+    def __init__(self, spark: SparkSession, name: str):
+        self.spark, self.path, self.tables = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}", 0
+
+    def store(self, df: DataFrame) -> DataFrame:
+        self.tables += 1
+        path = f"{self.path}/{self.tables}"
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def drop(self) -> None:
+        delete_folder(self.spark, self.path)
 
 
 def delete_folder(spark: SparkSession, path: str) -> None:
@@ -71,10 +79,10 @@ def _probe(doc_id: Column, print_: Column, k: int, size: int) -> Column:
     return F.pmod(F.xxhash64(doc_id, print_, F.lit(k)), F.lit(size)).cast("int")
 
 
-def split_by_filter(rows: DataFrame, keys: DataFrame, n: int) -> tuple[DataFrame, DataFrame]:
+def split_by_filter(rows: DataFrame, keys: DataFrame, n: int, of_row: Column | None = None) -> tuple[DataFrame, DataFrame]:
     """The rows (doc_id, text, any others) whose key may be among the ``n`` keys (k_id, k_print), and those that surely are not.
 
-    The filter is of bounded size: of many more keys than it holds well, more rows pass as possible, and none is lost.
+    ``of_row`` is the print of a row where it is not that of its text. The filter is of bounded size: of many more keys than it holds well, more rows pass as possible, and none is lost.
     """
     bitmaps = max(1, min(MAX_BITMAPS, -(-n * BITS_OF_KEY // BITMAP)))
     names: list[str] = []
@@ -84,7 +92,7 @@ def split_by_filter(rows: DataFrame, keys: DataFrame, n: int) -> tuple[DataFrame
     places = F.array(*[_probe(F.col("k_id"), F.col("k_print"), k, BITMAP) for k in range(1, PROBES + 1)])
     held = keys.select(_probe(F.col("k_id"), F.col("k_print"), 0, bitmaps).alias(of), F.explode(places).alias("place"))
     held = cut(held.groupBy(of).agg(F.bitmap_construct_agg("place").alias(bits)))
-    named = rows.withColumn(print_, text_print())
+    named = rows.withColumn(print_, text_print() if of_row is None else of_row)
     met = named.withColumn(of, _probe(F.col("doc_id"), F.col(print_), 0, bitmaps)).join(F.broadcast(held), of, "left")
 
     def is_set(place: Column) -> Column:

@@ -21,59 +21,97 @@ def _dense(keys: np.ndarray) -> np.ndarray:
     return ranks
 
 
-def ranks_by_prefix(text: np.ndarray, depth: int) -> np.ndarray:
-    """Rank of every position by its next ``depth`` bytes, by prefix doubling; the end of the text is smaller than any byte."""
+def ranks_by_prefixes(text: np.ndarray, depth: int) -> list[tuple[int, np.ndarray]]:
+    """(length, rank of every position by its next so many bytes), by prefix doubling up to ``depth``; the end of the text is smaller than any byte."""
     n = len(text)
     have = min(PACKED, depth)
     keys = np.zeros(n, np.int64)
     for k in range(have):
         keys *= 257
         keys[: max(0, n - k)] += text[k:].astype(np.int16) + np.int16(1)
-    ranks = _dense(keys)
-    while have < depth and n and ranks.max() < n - 1:
-        step = min(have, depth - have)
+    levels = [(have, _dense(keys))]
+    while have < depth and n and levels[-1][1].max() < n - 1:
+        ranks, step = levels[-1][1], min(have, depth - have)
         keys = ranks.astype(np.int64)
         keys *= n + 1
         keys[: max(0, n - step)] += ranks[step:] + 1
-        ranks = _dense(keys)
         have += step
-    return ranks
+        levels.append((have, _dense(keys)))
+    return levels
 
 
-def longest_previous_factor(text: bytes) -> np.ndarray:
-    """For each position the length of its longest match that starts earlier (matches may overlap).
+def ranks_by_prefix(text: np.ndarray, depth: int) -> np.ndarray:
+    return ranks_by_prefixes(text, depth)[-1][1]
 
-    In suffix order the longest match before a position is with its previous or next smaller position.
+
+def previous_smaller(values: np.ndarray) -> np.ndarray:
+    """For each place the nearest place before it with a smaller value, or -1.
+
+    All places look at once: what is not smaller hands on where it has got to itself, which never jumps over a smaller value.
     """
+    at = np.arange(-1, len(values) - 1)
+    open_ = np.arange(len(values))
+    while True:
+        open_ = open_[at[open_] >= 0]
+        open_ = open_[values[at[open_]] >= values[open_]]
+        if not len(open_):
+            return at
+        at[open_] = at[at[open_]]
+
+
+def _common(a: np.ndarray, b: np.ndarray, text: np.ndarray, levels: list[tuple[int, np.ndarray]], most: int) -> np.ndarray:
+    """Length of the common prefix of the suffixes at each a and b, at most ``most``; both have so many bytes, or the text ends."""
     n = len(text)
-    symbols = np.frombuffer(text, np.uint8)
-    ranks = ranks_by_prefix(symbols, max(1, n))
-    order = np.argsort(ranks, kind="stable")
-    lpf = np.zeros(n, np.int64)
-
-    def common(a: int, b: int) -> int:
-        k = 0
-        while b + k < n and a + k < n and text[a + k] == text[b + k]:
-            k += 1
-        return k
-
-    for direction in (order, order[::-1]):
-        stack: list[int] = []
-        for at in direction.tolist():
-            while stack and stack[-1] > at:
-                stack.pop()
-            if stack:
-                lpf[at] = max(lpf[at], common(stack[-1], at))
-            stack.append(at)
-    return lpf
+    done = np.zeros(len(a), np.int64)
+
+    def step(length: int, same) -> None:
+        x, y = a + done, b + done
+        fits = (x < n) & (y < n) & (done + length <= most) & (np.maximum(x, y) + length <= n)
+        at = np.flatnonzero(fits)
+        done[at[same(x[at], y[at])]] += length
+
+    for length, ranks in reversed(levels):
+        step(length, lambda x, y, ranks=ranks: ranks[x] == ranks[y])
+    for _ in range(levels[0][0]):
+        step(1, lambda x, y: text[x] == text[y])
+    return done
+
+
+def factors(text: np.ndarray, places: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Longest previous and longest next factor of each of the ``places`` (ascending), among the places, cut at ``most`` bytes.
+
+    In suffix order the longest match that starts before a place is with its previous or its next smaller place in that
+    order, and the longest that starts behind it with the previous or next larger one.
+    """
+    if not len(places):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    levels = ranks_by_prefixes(text, most)
+    order = places[np.lexsort((places, levels[-1][1][places]))]
+    found = []
+    for sign in (1, -1):
+        longest = np.zeros(len(order), np.int64)
+        for direction in (slice(None), slice(None, None, -1)):
+            along = order[direction]
+            nearest = previous_smaller(sign * along)
+            has = np.flatnonzero(nearest >= 0)
+            common = np.zeros(len(order), np.int64)
+            common[has] = _common(along[has], along[nearest[has]], text, levels, most)
+            longest = np.maximum(longest, common[direction])
+        by_place = np.zeros(len(places), np.int64)
+        by_place[np.searchsorted(places, order)] = longest
+        found.append(by_place)
+    return found[0], found[1]
+
+
+def longest_previous_factor(text: bytes) -> np.ndarray:
+    """For each position the length of its longest match that starts earlier (matches may overlap)."""
+    return factors(np.frombuffer(text, np.uint8), np.arange(len(text)), max(1, len(text)))[0]
 
 
 def repeats(parts: list[bytes], least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The places in the concatenated parts whose next ``least`` bytes, inside their part, occur at another place.
 
-    Result: starts of the parts; has_previous and has_any for each byte. In suffix order cut at ``least`` bytes the places with
-    equal strings form a run; a place has a previous factor of that length exactly if the run holds a smaller place, which
-    is then its previous or next smaller one.
+    Result: starts of the parts; has_previous and has_any for each byte: whether its longest previous factor, or that or its longest next one, has ``least`` bytes.
     """
     sizes = np.array([len(p) for p in parts], np.int64)
     starts = np.concatenate([[0], np.cumsum(sizes)[:-1]]) if len(parts) else np.zeros(0, np.int64)
@@ -81,10 +119,7 @@ def repeats(parts: list[bytes], least: int) -> tuple[np.ndarray, np.ndarray, np.
     left = np.repeat(starts + sizes, sizes) - np.arange(len(text))  # bytes to the end of the part
     places = np.flatnonzero(left >= least)
     previous, other = np.zeros(len(text), bool), np.zeros(len(text), bool)
-    if len(places):
-        ranks = ranks_by_prefix(text, least)[places]
-        order = np.lexsort((places, ranks))
-        first = np.concatenate([[True], np.diff(ranks[order]) != 0])
-        previous[places[order]] = ~first
-        other[places[order]] = ~(first & np.concatenate([first[1:], [True]]))
+    earlier, later = factors(text, places, least)
+    previous[places] = earlier >= least
+    other[places] = np.maximum(earlier, later) >= least
     return starts, previous, other

@@ -5,11 +5,13 @@ match is possible, without losing any:
 
 1. Every string of ``least`` bytes holds WINDOW grams of ``least - WINDOW + 1`` bytes; that with the smallest hash is its
    anchor. Equal strings have equal anchors at equal offsets. The strings of one anchor place are a short context.
-2. Anchors that occur once can't belong to a repeated string. Of the others, contexts that are repeated as a whole
-   are known to be repeated, by their hashes alone, however many copies there are.
-3. What is left are the edges of repeated passages. The differing contexts of each anchor are brought together, one copy
-   of each, and a longest-previous-factor array over them tells which of their strings occur earlier (or at all).
-   An anchor with over GROUP differing contexts is not gathered: its strings are counted by hash, in all tasks.
+2. Anchors that occur once can't belong to a repeated string, and their places are dropped. Contexts that have one hash
+   stand for each other: of each the bytes of its first place are read, and of its last where there is another.
+3. The differing contexts of each anchor are brought together, and a longest-previous-factor array over them, from the previous and
+   next smaller places in suffix order, tells which of their strings occur earlier (or, with the next factors, at all).
+   What it finds in the last copy of a context holds for all of its copies.
+   The differing contexts of an anchor with over GROUP of them aren't gathered: each is held against its own copy only, and their
+   strings are matched by hash, in all tasks.
 
 Hashes are sums of random 64-bit values over powers modulo 2^64; contexts are compared by anchor and own hash (128 bits).
 """
@@ -24,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sievecraft.llm.common import cut, stored, table, text_print
+from sievecraft.llm.common import Scratch, cut, split_by_filter, table, text_print
 from sievecraft.llm.factors import repeats
 
 LEAST = 200
@@ -34,7 +36,11 @@ WINDOW = 150
 BLOCK = 1 << 18
 LOW = (1 << 20) - 1
 #: Differing contexts of an anchor that one task compares.
-GROUP = 4000
+GROUP = 2000
+#: Contexts with over this share of all places, at most as many as its inverse, are broadcast instead of shuffled.
+HOT_SHARE = 1 / 2000
+#: Kinds of context places whose bytes are read: the only one, the first and the last of several, one whose strings are hashed.
+ONLY, FIRST, LAST, HASHED = 0, 1, 2, 3
 #: Bytes of contexts in one array.
 ARRAY = 1 << 18
 #: Keys of documents that are broadcast to filter texts before a shuffle (about 24 bytes each).
@@ -129,22 +135,21 @@ def _same_key(a: str, b: str) -> Column:
     return F.col(f"{a}.doc_id").eqNullSafe(F.col(f"{b}.doc_id")) & (F.col(f"{a}.print") == F.col(f"{b}.print"))
 
 
-def _few(keys: DataFrame) -> bool:
-    return keys.count() <= MAX_KEYS
-
-
-def _with_lists(docs: DataFrame, rows: DataFrame, keys: DataFrame, few: bool) -> DataFrame:
-    """Texts with the list of structs ``found`` of their key in ``rows``. Texts without any are left out, before the shuffle where ``few``."""
-    own = _keyed(docs)
-    if few:
-        own = own.alias("a").join(F.broadcast(keys).alias("b"), _same_key("a", "b"), "left_semi")
+def _with_lists(docs: DataFrame, rows: DataFrame, keys: DataFrame, n: int) -> DataFrame:
+    """Texts with the list of structs ``found`` of their key in ``rows``. Nearly all texts without any are left out before the shuffle, by their ``n`` ``keys``."""
+    own = docs.select("doc_id", "text")
+    named = keys.select(F.col("doc_id").alias("k_id"), F.col("print").alias("k_print"))
+    if n > MAX_KEYS:
+        own = _keyed(split_by_filter(own, named, n)[0])
+    else:
+        own = _keyed(own).alias("a").join(F.broadcast(keys).alias("b"), _same_key("a", "b"), "left_semi")
     lists = rows.groupBy("doc_id", "print").agg(F.collect_list("found").alias("found"))
     return own.alias("a").join(lists.alias("b"), _same_key("a", "b")).select("a.doc_id", "a.print", "text", "found")
 
 
-def _edge_rows(docs: DataFrame, edges: DataFrame, least: int) -> DataFrame:
-    """For each edge context its bytes (part), or where its anchor is hot a row for each of its strings (hash, lo)."""
-    fields = [("anchor", pa.int64()), ("lo", pa.int32()), ("once", pa.bool_()), ("part", pa.binary()), ("hash", pa.int64())]
+def _edge_rows(docs: DataFrame, edges: DataFrame, least: int, scratch: Scratch) -> DataFrame:
+    """For each place in ``edges`` its bytes (part), or for a HASHED one a row for each of its strings (hash, lo)."""
+    fields = [("group", pa.int64()), ("anchor", pa.int64()), ("context", pa.int64()), ("lo", pa.int32()), ("kind", pa.int32()), ("once", pa.bool_()), ("part", pa.binary()), ("hash", pa.int64())]
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         _, _, inverse = _tables()
@@ -154,13 +159,14 @@ def _edge_rows(docs: DataFrame, edges: DataFrame, least: int) -> DataFrame:
                 text = batch.column(2)[k].as_py()
                 for e in batch.column(3)[k].as_py():
                     part = text[e["lo"] : e["hi"] + least]
-                    if e["hot"]:
+                    own = (k, e["group"], e["anchor"], e["context"])
+                    if e["kind"] == HASHED:
                         sums = _sums(np.frombuffer(part, np.uint8))
                         n = len(part) - least + 1
                         hashes = _mix((sums[least:] - sums[:-least]) * inverse[:n]).view(np.int64).tolist()
-                        rows += [(k, e["anchor"], e["lo"] + i, e["once"], None, h) for i, h in enumerate(hashes)]
+                        rows += [(*own, e["lo"] + i, HASHED, e["once"], None, h) for i, h in enumerate(hashes)]
                     else:
-                        rows.append((k, e["anchor"], e["lo"], e["once"], part, None))
+                        rows.append((*own, e["lo"], e["kind"], e["once"], part, None))
                 if len(rows) > 20_000 or (k == batch.num_rows - 1 and rows):
                     at, *columns = zip(*rows, strict=True)
                     at = pa.array(at)
@@ -168,47 +174,52 @@ def _edge_rows(docs: DataFrame, edges: DataFrame, least: int) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), *arrays], ["doc_id", "print", *[n for n, _ in fields]])
                     rows = []
 
-    found = edges.withColumn("found", F.struct("anchor", "lo", "hi", "once", "hot"))
+    found = edges.withColumn("found", F.struct("group", "anchor", "context", "lo", "hi", "kind", "once"))
     keys = cut(edges.select("doc_id", "print").distinct())
-    texts = _with_lists(docs, found, keys, _few(keys))
-    return stored(texts.mapInArrow(made, f"doc_id {_kind(docs)}, print bigint, anchor bigint, lo int, once boolean, part binary, hash bigint"), "edges")
+    texts = _with_lists(docs, found, keys, keys.count())
+    kinds = "group bigint, anchor bigint, context bigint, lo int, kind int, once boolean, part binary, hash bigint"
+    return scratch.store(texts.mapInArrow(made, f"doc_id {_kind(docs)}, print bigint, {kinds}"))
 
 
 def _compared(parts: DataFrame, least: int, first_stays: bool, kind: str) -> DataFrame:
-    """Spans (doc_id, print, begin, end) of the strings of the contexts that a longest-previous-factor array finds repeated."""
+    """Spans (doc_id, print, anchor, context, kind, lo, begin, end) of the strings in each part that the factor arrays of its group find repeated."""
 
-    def compare(rows: list[tuple]) -> pa.RecordBatch:
-        starts, previous, other = repeats([r[4] for r in rows], least)
+    def compare(rows: list[tuple]) -> list[tuple]:
+        starts, previous, other = repeats([r[-1] for r in rows], least)
         flagged = previous if first_stays else other
         out: list[tuple] = []
-        for (doc_id, print_, _, lo, part, once), start in zip(rows, starts.tolist(), strict=True):
-            if once or first_stays:
-                inside = np.concatenate([[0], flagged[start : start + len(part)].astype(np.int8), [0]])
-                edges = np.flatnonzero(np.diff(inside)).reshape(-1, 2)
-                out += [(doc_id, print_, lo + a, lo + b - 1 + least) for a, b in edges.tolist()]
+        for (_, doc_id, print_, lo, place, anchor, context, part), start in zip(rows, starts.tolist(), strict=True):
+            inside = np.concatenate([[0], flagged[start : start + len(part)].astype(np.int8), [0]])
+            edges = np.flatnonzero(np.diff(inside)).reshape(-1, 2)
+            out += [(doc_id, print_, anchor, context, place, lo, lo + a, lo + b - 1 + least) for a, b in edges.tolist()]
         return out
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
         size, schema = 0, None
+
+        def done() -> pa.RecordBatch:
+            return pa.RecordBatch.from_pylist([dict(zip(schema.names, x, strict=True)) for x in compare(held)], schema)
+
         for batch in batches:
-            schema = pa.schema([("doc_id", batch.schema.field("doc_id").type), ("print", pa.int64()), ("begin", pa.int32()), ("end", pa.int32())])
-            for row in zip(*(batch[c].to_pylist() for c in ("doc_id", "print", "anchor", "lo", "part", "once")), strict=True):
-                if held and row[2] != held[-1][2] and size > ARRAY:
-                    yield pa.RecordBatch.from_pylist([dict(zip(schema.names, x, strict=True)) for x in compare(held)], schema)
+            fields = [("anchor", pa.int64()), ("context", pa.int64()), ("kind", pa.int32()), ("lo", pa.int32()), ("begin", pa.int32()), ("end", pa.int32())]
+            schema = pa.schema([("doc_id", batch.schema.field("doc_id").type), ("print", pa.int64()), *fields])
+            for row in zip(*(batch[c].to_pylist() for c in ("group", "doc_id", "print", "lo", "kind", "anchor", "context", "part")), strict=True):
+                if held and row[0] != held[-1][0] and size > ARRAY:
+                    yield done()
                     held, size = [], 0
-                if not held or row[:4] != held[-1][:4]:  # a repeated row has its contexts once
+                if not held or row[:5] != held[-1][:5]:  # a repeated row has its places once
                     held.append(row)
-                    size += len(row[4])
+                    size += len(row[-1])
         if held:
-            yield pa.RecordBatch.from_pylist([dict(zip(schema.names, x, strict=True)) for x in compare(held)], schema)
+            yield done()
 
-    together = parts.repartition(F.col("anchor")).sortWithinPartitions("anchor", F.col("doc_id").asc_nulls_last(), "print", "lo")
-    return together.mapInArrow(made, f"doc_id {kind}, print bigint, begin int, end int")
+    together = parts.repartition(F.col("group")).sortWithinPartitions("group", F.col("doc_id").asc_nulls_last(), "print", "lo", "kind")
+    return together.mapInArrow(made, f"doc_id {kind}, print bigint, anchor bigint, context bigint, kind int, lo int, begin int, end int")
 
 
 def _counted(strings: DataFrame, least: int, first_stays: bool) -> DataFrame:
-    """The same for the strings of hot anchors, by counts of their hashes."""
+    """Spans of the strings of hot anchors that occur in several contexts, by counts of their hashes."""
     own = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "print", "lo")
     strings = strings.select("doc_id", "print", "lo", "once", "anchor", "hash").distinct()
     counts = strings.groupBy("anchor", "hash").agg(F.count(F.lit(1)).alias("n"), F.min(own).alias("first")).where("n > 1")
@@ -216,30 +227,54 @@ def _counted(strings: DataFrame, least: int, first_stays: bool) -> DataFrame:
     return met.select("doc_id", "print", F.col("lo").alias("begin"), (F.col("lo") + least).alias("end"))
 
 
-def repeated_spans(docs: DataFrame, least: int = LEAST, window: int = WINDOW, first_stays: bool = False, group: int = GROUP) -> DataFrame:
+def repeated_spans(docs: DataFrame, least: int = LEAST, window: int = WINDOW, first_stays: bool = False, group: int = GROUP, scratch: Scratch | None = None) -> DataFrame:
     """Spans of bytes (doc_id, print, begin, end; they may overlap) covered by strings of ``least`` bytes that also start elsewhere.
 
     With ``first_stays`` only strings with an earlier start count, in the order of (doc_id, print, place), so the first copy stays.
+    The tables that it stores are in ``scratch``, to be dropped when the spans have been used.
     """
     kind = _kind(docs)
+    scratch = scratch or Scratch(docs.sparkSession, "spans")
     found = anchor_places(docs, least, window)
     # stored, so that the join has an exchange of its own, of which Spark can split the partition of a hot anchor
-    again = stored(found.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("anchor"), "anchors")
-    found = stored(found.join(again, "anchor", "left_semi"), "places")
+    again = scratch.store(found.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("anchor"))
+    found = scratch.store(found.join(again, "anchor", "left_semi"))
     place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "print", "lo", "hi")
-    contexts = stored(found.groupBy("anchor", "context").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("first")), "contexts")
-    whole = found.join(contexts.where("n > 1"), ["anchor", "context"])
+    contexts = scratch.store(found.groupBy("anchor", "context").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("first"), F.max(place).alias("last")))
+    sizes = contexts.groupBy("anchor").agg(F.count(F.lit(1)).alias("differing"), F.min("n").alias("fewest"))
+    told = contexts.join(sizes, "anchor").withColumn("hot", F.col("differing") > group).withColumn("once", F.col("n") == 1)
+
+    def taken(at: str, kind_: int, where: Column) -> DataFrame:
+        return told.where(where).select(f"{at}.doc_id", f"{at}.print", "anchor", "context", f"{at}.lo", f"{at}.hi", F.lit(kind_).alias("kind"), "once", "hot")
+
+    several = ~F.col("once")
+    differing = (F.col("differing") > 1) & (F.lit(first_stays) | (F.col("fewest") == 1))
+    edges = taken("first", ONLY, F.col("once") & differing & ~F.col("hot")).unionByName(taken("first", FIRST, several)).unionByName(taken("last", LAST, several))
+    edges = edges.unionByName(taken("first", HASHED, differing & F.col("hot")))
+    # the contexts of a hot anchor are groups of their own
+    edges = edges.withColumn("group", F.when(F.col("hot") & (F.col("kind") != HASHED), F.xxhash64("anchor", "context")).otherwise(F.col("anchor")))
+    rows = _edge_rows(docs, edges.drop("hot"), least, scratch)
+    compared = scratch.store(_compared(rows.where("part is not null"), least, first_stays, kind))
+    own = compared.where(F.col("kind").isin(ONLY, FIRST) if first_stays else F.col("kind") == ONLY).select("doc_id", "print", "begin", "end")
+    copies = _copies(found, contexts, compared.where(F.col("kind") == LAST), place, first_stays, scratch)
+    return own.unionByName(copies).unionByName(_counted(rows.where("part is null"), least, first_stays))
+
+
+def _copies(found: DataFrame, contexts: DataFrame, last: DataFrame, place: Column, first_stays: bool, scratch: Scratch) -> DataFrame:
+    """What the arrays found in the last copy of each context, for all places of it (but the first, with ``first_stays``).
+
+    The few contexts of which very many copies exist are broadcast, so that their places aren't shuffled into one task.
+    """
+    within = last.select("anchor", "context", (F.col("begin") - F.col("lo")).alias("a"), (F.col("end") - F.col("lo")).alias("b"))
+    ranges = scratch.store(contexts.where("n > 1").select("anchor", "context", "n", "first").join(within, ["anchor", "context"]))
+    least = found.count() * HOT_SHARE
+    hot, rest = F.broadcast(ranges.where(F.col("n") > least)), ranges.where(F.col("n") <= least)
+    known = F.broadcast(cut(ranges.where(F.col("n") > least).select("anchor", "context").distinct()))
+    key = ["anchor", "context"]
+    met = found.join(hot, key).unionByName(found.join(known, key, "left_anti").join(rest, key))
     if first_stays:
-        whole = whole.where(place != F.col("first"))
-    whole = whole.select("doc_id", "print", F.col("lo").alias("begin"), (F.col("hi") + least).alias("end"))
-    sizes = contexts.groupBy("anchor").agg(F.count(F.lit(1)).alias("differing"), F.min("n").alias("fewest")).where("differing > 1 and fewest = 1" if not first_stays else "differing > 1")
-    edges = contexts.join(sizes, "anchor").select(
-        "first.doc_id", "first.print", "anchor", "first.lo", "first.hi", (F.col("n") == 1).alias("once"), (F.col("differing") > group).alias("hot")
-    )
-    rows = _edge_rows(docs, edges, least)
-    compared = _compared(rows.where("part is not null").drop("hash"), least, first_stays, kind)
-    counted = _counted(rows.where("part is null").drop("part"), least, first_stays)
-    return whole.unionByName(compared).unionByName(counted)
+        met = met.where(place != F.col("first"))
+    return met.select("doc_id", "print", (F.col("lo") + F.col("a")).alias("begin"), (F.col("lo") + F.col("b")).alias("end"))
 
 
 def without_repeats(docs: DataFrame, least: int = LEAST, first_stays: bool = False) -> DataFrame:
@@ -247,10 +282,13 @@ def without_repeats(docs: DataFrame, least: int = LEAST, first_stays: bool = Fal
 
     Null text is empty; shorter texts than ``least`` stay whole. Of rows repeated with one doc_id and text all have the same result
     (with ``first_stays`` they count as copies of each other and the first row can't be told, so the first stays in all).
+    A very long text is hashed in blocks; other columns are ignored. The tables between are dropped once the spans are known.
     """
-    spans = stored(repeated_spans(docs, least, first_stays=first_stays), "spans")
+    scratch = Scratch(docs.sparkSession, "spans")
+    spans = cut(repeated_spans(docs, least, first_stays=first_stays, scratch=scratch).distinct())
+    scratch.drop()
     keys = cut(spans.select("doc_id", "print").distinct())
-    few = _few(keys)
+    n = keys.count()
 
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -270,15 +308,23 @@ def without_repeats(docs: DataFrame, least: int = LEAST, first_stays: bool = Fal
                 yield pa.RecordBatch.from_arrays([batch.column(0), *columns], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
 
     listed = spans.withColumn("found", F.struct("begin", "end"))
-    touched = _with_lists(docs, listed, keys, few).mapInArrow(remove, f"doc_id {_kind(docs)}, n_bytes bigint, n_removed bigint, n_spans bigint, kept binary")
-    known = F.broadcast(keys) if few else keys
-    rest = _keyed(docs).alias("a").join(known.alias("b"), _same_key("a", "b"), "left_anti")
+    touched = _with_lists(docs, listed, keys, n).mapInArrow(remove, f"doc_id {_kind(docs)}, n_bytes bigint, n_removed bigint, n_spans bigint, kept binary")
+    rest = _untouched(docs, keys, n)
     zero = F.lit(0).cast("long")
     text = F.coalesce("text", F.lit(b""))
     untouched = rest.select("doc_id", F.octet_length(text).cast("long").alias("n_bytes"), zero.alias("n_removed"), zero.alias("n_spans"), text.alias("kept"))
     return touched.unionByName(untouched)
 
 
+def _untouched(docs: DataFrame, keys: DataFrame, n: int) -> DataFrame:
+    """The texts of no key. Where the keys are many, only texts that a filter of them lets pass are shuffled."""
+    if n <= MAX_KEYS:
+        return _keyed(docs).alias("a").join(F.broadcast(keys).alias("b"), _same_key("a", "b"), "left_anti")
+    named = keys.select(F.col("doc_id").alias("k_id"), F.col("print").alias("k_print"))
+    maybe, rest = split_by_filter(docs.select("doc_id", "text"), named, n)
+    return _keyed(maybe).alias("a").join(keys.alias("b"), _same_key("a", "b"), "left_anti").unionByName(_keyed(rest))
+
+
 def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     result = without_repeats(table(spark, sf_dir, "documents"))
     return result.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
