@@ -4,9 +4,11 @@ Candidates come from MinHash: of BANDS bands of ROWS minima each, a pair of simi
 none with probability (1 - s^ROWS)^BANDS, 5e-8 at 0.8 and less above it. Each candidate is decided
 by the exact similarity of its sets, in whole numbers. Equal sets are collapsed before the search.
 
-A bucket is first held against one of its sets only. Pairs that this leaves within one component
-can't change the result and aren't formed; all pairs of a bucket across components are compared.
-So a large group of near copies costs a row for each of them, and nothing is capped.
+A bucket is first held against one of its sets only, so a large group of near copies costs a row for each of them. Sets of
+buckets that this leaves in several components are then joined by prefixes: in the order of their frequency, rarest first, two
+sets of that similarity share a shingle among the first ninth of the smaller and the first fifth of the larger, at places that leave enough
+to share. So sets that have frequent passages in common, but too little else, don't meet; pairs within one component
+can't change the result and aren't formed. The prefixes are exact, and nothing is capped.
 """
 
 from __future__ import annotations
@@ -90,6 +92,32 @@ def _sized(a: str, b: str):
     return 5 * F.least(a, b) >= 4 * F.greatest(a, b)
 
 
+#: Shingles with over this share of all postings, at most as many as its inverse, meet their counts by a broadcast.
+HOT_SHARE = 1e-4
+
+
+def prefix_pairs(sets: DataFrame) -> DataFrame:
+    """Pairs (u, v) of sets (fp, c, hashes) of different components c that may have a similarity of 0.8: every such pair, and few others."""
+    rows = sets.select("fp", "c", F.size("hashes").alias("n"), F.explode("hashes").alias("h"))
+    df = cut(rows.groupBy("h").agg(F.count(F.lit(1)).alias("df")).where("df > 1"))
+    total = df.agg(F.sum("df").alias("s")).first().s or 0
+    hot = F.broadcast(df.where(F.col("df") > total * HOT_SHARE))
+    rest = df.where(F.col("df") <= total * HOT_SHARE)
+    cold = rows.join(hot.select("h"), "h", "left_anti").join(rest, "h", "left")  # a shingle that no other set has is the rarest
+    ordered = rows.join(hot, "h").unionByName(cold.withColumn("df", F.coalesce("df", F.lit(1))))
+    ordered = ordered.groupBy("fp", "c", "n").agg(F.array_sort(F.collect_list(F.struct("df", "h"))).alias("s"))
+    long, short = F.col("n") - F.ceil(F.col("n") * 4 / 5) + 1, F.col("n") - F.ceil(F.col("n") * 8 / 9) + 1
+    first = ordered.select("fp", "c", "n", short.alias("short"), F.posexplode(F.slice("s", F.lit(1), long.cast("int"))).alias("i", "t")).where("t.df > 1")
+    first = cut(first.select("fp", "c", "n", "short", "i", F.col("t.h").alias("h")))
+    a = first.where("i < short").select("h", F.col("fp").alias("a"), F.col("c").alias("ca"), F.col("n").alias("na"), F.col("i").alias("ia"))
+    b = first.select("h", F.col("fp").alias("b"), F.col("c").alias("cb"), F.col("n").alias("nb"), F.col("i").alias("ib"))
+    smaller = (F.col("na") < F.col("nb")) | ((F.col("na") == F.col("nb")) & (F.col("a") < F.col("b")))
+    left = F.least(F.col("na") - F.col("ia"), F.col("nb") - F.col("ib"))
+    enough = (9 * left >= 4 * (F.col("na") + F.col("nb"))) & (5 * F.col("na") >= 4 * F.col("nb"))
+    met = a.join(b, "h").where((F.col("ca") != F.col("cb")) & smaller & enough)
+    return met.select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).distinct()
+
+
 def similar_roots(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """doc_id, print and fp (of the set) of each row with words; and fp with root (one fp of its component)."""
     kind = docs.schema["doc_id"].dataType.simpleString()
@@ -109,15 +137,10 @@ def similar_roots(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     first = cut(_similar(members.where("fp <> u").where(_sized("n", "m")).select("u", F.col("fp").alias("v")).distinct(), sets))
     roots = components(first)
-    named = members.join(roots, F.col("fp") == F.col("vertex"), "left").select("key", "fp", "n", F.coalesce("root", "fp").alias("c"))
+    named = members.join(roots, F.col("fp") == F.col("vertex"), "left").select("key", "fp", F.coalesce("root", "fp").alias("c"))
     inside = named.groupBy("key").agg(F.min("c").alias("least"), F.max("c").alias("most")).where("least < most").select("key")
-    open_ = cut(named.join(inside, "key"))
-    groups = open_.select("key", "c").distinct()
-    across = groups.join(groups.withColumnRenamed("c", "d"), "key").where("c < d")
-    left = open_.select("key", "c", F.col("fp").alias("u"), F.col("n").alias("m"))
-    right = open_.select("key", F.col("c").alias("d"), F.col("fp").alias("v"), "n")
-    rest = across.join(left, ["key", "c"]).join(right, ["key", "d"]).where(_sized("n", "m"))
-    second = cut(_similar(rest.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), sets))
+    open_ = cut(named.join(inside, "key").select("fp", "c").distinct())
+    second = cut(_similar(prefix_pairs(sets.join(open_, "fp")), sets))
     if not second.isEmpty():
         roots = components(first.unionByName(second))
 
