@@ -203,12 +203,29 @@ def fit(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> Model
     # of documents that share an id one is learned from, so no more than max_train rows reach the driver
     sample = sample.groupBy("doc_id").agg(F.first("quality").alias("quality"), F.min(F.struct("text", "n_chars")).alias("one"))
     sample = sample.select(F.xxhash64("doc_id").alias("order"), F.col("doc_id").cast("string").alias("id"), "quality", "one.text", "one.n_chars")
-    got = sample.mapInArrow(_feature_batches, "order bigint, id string, quality int, at array<int>, x array<float>, stats array<double>").toArrow()
-    got = got.combine_chunks().sort_by([("order", "ascending"), ("id", "ascending")])  # the same model however the rows are laid out
-    labels, stats = got["quality"].to_numpy().astype(float), [x.values.to_numpy().tolist() for x in got["stats"]]
-    at, x = (_slices(got[c].combine_chunks()) for c in ("at", "x"))
-    del got
-    return train(list(zip(at, x, stats, strict=True)), labels)
+    features_ = sample.mapInArrow(_feature_batches, "order bigint, id string, quality int, at array<int>, x array<float>, stats array<double>")
+    # one task learns from the bounded sample, in an order of its own, so the model is the same however the rows are laid out; the driver sees the model only
+    learned = features_.repartition(1).sortWithinPartitions("order", "id").mapInArrow(_learn, MODEL).toArrow().to_pylist()
+    if not learned:
+        return train([], np.zeros(0))
+    m = learned[0]
+    return Model(m["bias"], np.array(m["linear"]), np.array(m["factors"]).reshape(-1, FACTORS), np.array(m["mean"]), np.array(m["scale"]))
+
+
+MODEL = "bias double, linear array<double>, factors array<double>, mean array<double>, scale array<double>"
+
+
+def _learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    labels, rows = [], []
+    for batch in batches:
+        labels += batch["quality"].to_pylist()
+        at, x, stats = (_slices(batch[c]) for c in ("at", "x", "stats"))
+        rows += [(a, b, c.tolist()) for a, b, c in zip(at, x, stats, strict=True)]
+    if rows:
+        m = train(rows, np.array(labels, float))
+        kind = pa.list_(pa.float64())
+        arrays = [pa.array([list(v)], kind) for v in (m.linear, m.factors.ravel(), m.mean, m.scale)]
+        yield pa.RecordBatch.from_arrays([pa.array([m.bias], pa.float64()), *arrays], ["bias", "linear", "factors", "mean", "scale"])
 
 
 def _slices(lists: pa.ListArray) -> list[np.ndarray]:
