@@ -19,7 +19,6 @@ Hashes are sums of random 64-bit values over powers modulo 2^64; contexts are co
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -39,8 +38,9 @@ LOW = (1 << 20) - 1
 GROUP = 2000
 #: Contexts with over this share of all places, at most as many as its inverse, are broadcast instead of shuffled.
 HOT_SHARE = 1 / 2000
-#: Kinds of context places whose bytes are read: the only one, the first and the last of several, one whose strings are hashed.
-ONLY, FIRST, LAST, HASHED = 0, 1, 2, 3
+#: Kinds of context places whose bytes are read: the only one, the first and the last of several, a first one that only its last is held against, one whose
+#: strings are hashed. Contexts of a hot anchor share strings, but stand in arrays in no order; so of them only last copies, which are repeated whole, are told.
+ONLY, FIRST, LAST, MET, HASHED = 0, 1, 2, 3, 4
 #: Bytes of contexts in one array.
 ARRAY = 1 << 18
 #: Keys of documents that are broadcast to filter texts before a shuffle (about 24 bytes each).
@@ -48,8 +48,20 @@ MAX_KEYS = 400_000
 PLACES = "doc_id {kind}, print bigint, anchor bigint, context bigint, lo int, hi int"
 
 
-@lru_cache(maxsize=1)
+_MADE: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+
+
 def _tables() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Values of bytes, powers and their inverses, made once in each task."""
+    if not _MADE:
+        _MADE.append(_new_tables())
+    return _MADE[0]
+
+
+_tables.cache_clear = _MADE.clear
+
+
+def _new_tables() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     rng = np.random.default_rng(20)
     values = rng.integers(0, 1 << 63, 256, np.uint64) * np.uint64(2) + np.uint64(1)
     n = BLOCK + 2 * LEAST + 2
@@ -189,6 +201,8 @@ def _compared(parts: DataFrame, least: int, first_stays: bool, kind: str) -> Dat
         flagged = previous if first_stays else other
         out: list[tuple] = []
         for (_, doc_id, print_, lo, place, anchor, context, part), start in zip(rows, starts.tolist(), strict=True):
+            if place == MET:
+                continue
             inside = np.concatenate([[0], flagged[start : start + len(part)].astype(np.int8), [0]])
             edges = np.flatnonzero(np.diff(inside)).reshape(-1, 2)
             out += [(doc_id, print_, anchor, context, place, lo, lo + a, lo + b - 1 + least) for a, b in edges.tolist()]
@@ -249,7 +263,8 @@ def repeated_spans(docs: DataFrame, least: int = LEAST, window: int = WINDOW, fi
 
     several = ~F.col("once")
     differing = (F.col("differing") > 1) & (F.lit(first_stays) | (F.col("fewest") == 1))
-    edges = taken("first", ONLY, F.col("once") & differing & ~F.col("hot")).unionByName(taken("first", FIRST, several)).unionByName(taken("last", LAST, several))
+    edges = taken("first", ONLY, F.col("once") & differing & ~F.col("hot")).unionByName(taken("first", FIRST, several & ~F.col("hot")))
+    edges = edges.unionByName(taken("first", MET, several & F.col("hot"))).unionByName(taken("last", LAST, several))
     edges = edges.unionByName(taken("first", HASHED, differing & F.col("hot")))
     # the contexts of a hot anchor are groups of their own
     edges = edges.withColumn("group", F.when(F.col("hot") & (F.col("kind") != HASHED), F.xxhash64("anchor", "context")).otherwise(F.col("anchor")))
