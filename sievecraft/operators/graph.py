@@ -36,16 +36,20 @@ def walk_report(visits: DataFrame, links: DataFrame, docs: DataFrame, max_depth:
     )
 
 
-def beam(requests: DataFrame, edges: DataFrame, rounds: int, width: int, p: Column | None = None) -> DataFrame:
+def beam(requests: DataFrame, edges: DataFrame, rounds: int, width: int, p: Column | None = None, none: Column | None = None) -> DataFrame:
     """Beam search: the ``width`` best paths of each request by the geometric mean of their edges' probabilities.
 
     ``edges``: request, parent, child, p; a branch without edges is a leaf and stays. Ties fall to the path.
-    Without request they are one tree for all; ``p`` is then made of request and child as paths reach them.
+    Without request they are one tree for all; ``p`` is then made of request and child as paths reach them. Where a branch's likeliest choice is
+    none (the probability ``none``, made of request and node), the branch is pruned and none of its children is followed.
     """
     front = requests.select("request", F.lit("root").alias("node"), F.lit("root").alias("path"), F.lit(0.0).alias("log"), F.lit(0).alias("steps"))
     for _ in range(rounds):
         grown = front.join(edges.withColumnRenamed("parent", "node"), [c for c in ("request", "node") if c != "request" or c in edges.columns], "left")
         grown = grown if p is None else grown.withColumn("p", p)
+        if none is not None:
+            best = grown.groupBy("request", "path").agg(F.max("p").alias("_best"))
+            grown = grown.join(best, ["request", "path"]).where(F.col("child").isNull() | (F.col("_best") >= none)).drop("_best")
         moved = F.col("child").isNotNull()
         front = grown.select(
             "request",
@@ -96,3 +100,16 @@ def connected(members: DataFrame) -> DataFrame:
         if new.join(labels, ["member", "group"], "left_anti").isEmpty():
             return new
         labels = new
+
+
+def folder_rows(files: DataFrame, most: int = 40, least: int = 5) -> DataFrame:
+    """unit, n and names of each folder's files (path, top): the first ``most`` names below the folder, in order, cut there since a listing is what it is for.
+
+    A name is counted once, however many tops list its file.
+    """
+    units = folder_units(files, least)
+    name = F.when(F.col("unit") == "", F.col("path")).otherwise(F.expr("substring(path, length(unit) + 2)"))
+    named = units.select("unit", name.alias("name"))
+    first = named.distinct().withColumn("rank", F.row_number().over(W.partitionBy("unit").orderBy("name"))).where(F.col("rank") <= most)
+    listed = first.groupBy("unit").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "name"))), lambda x: x["name"]), "|").alias("names"))
+    return named.groupBy("unit").agg(F.count(F.lit(1)).alias("n")).join(listed, "unit")

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-HOUR, COOLDOWN, RETRY, MOST_RETRY, PER_HOUR = 3600, 600, 120, 3600, 6
+HOUR, COOLDOWN, RETRY, MOST_RETRY, PER_HOUR, CONCURRENT = 3600, 600, 120, 3600, 6, 2
 BENCH_AFTER, BENCH_FOR = 3, 120
 
 
@@ -68,34 +68,59 @@ def trace_counts(traces: DataFrame, outcomes: DataFrame) -> DataFrame:
 
 
 class Limiter:
-    """Admissions of one key: at most PER_HOUR in a trailing hour, a cooldown after success, a doubling wait after failure."""
+    """Admissions of one principal: over all its pointers at most PER_HOUR in a trailing hour and CONCURRENT at a time; for each
+    pointer one at a time, a cooldown after success, a doubling wait after failure."""
 
     def __init__(self, attempts=(), last=None, retry=None, fails=0):
-        self.attempts, self.last, self.retry, self.fails = list(attempts), last, retry, fails
-
-    def ask(self, at: float, ok: bool) -> str:
-        """admitted, cooldown or rate-limited; ``ok``: how an admitted attempt ends. A failed one gives its slot back."""
-        until = self.retry if self.retry is not None else (self.last + COOLDOWN if self.last is not None else at)
+        self.attempts = list(attempts)
+        self.last = {} if last is None else {None: last}
+        self.retry = {} if retry is None else {None: retry}
+        self.fails = {} if not fails else {None: fails}
+        self.running: dict = {}  # pointer: when its attempt ends, and how
+
+    def settle(self, at: float) -> None:
+        """End the attempts that are over by ``at``, in order of their ends."""
+        for pointer, (end, began, ok) in sorted(self.running.items(), key=lambda x: (x[1][0], str(x[0]))):
+            if end <= at:
+                del self.running[pointer]
+                self._judge(pointer, began, end, ok)
+
+    def _judge(self, pointer, began: float, end: float, ok: bool) -> None:
+        if ok:
+            self.fails.pop(pointer, None)
+            return
+        self.fails[pointer] = fails = self.fails.get(pointer, 0) + 1
+        self.retry[pointer] = end + min(MOST_RETRY, RETRY * 2 ** min(fails - 1, 20))
+        if began in self.attempts:
+            self.attempts.remove(began)
+
+    def ask(self, at: float, ok: bool, pointer=None, lasts: float = 0.0) -> str:
+        """admitted, cooldown, rate-limited, busy or in-progress; ``ok``: how an admitted attempt ends, ``lasts`` later. A failed one gives its slot back."""
+        self.settle(at)
+        until = self.retry.get(pointer, self.last[pointer] + COOLDOWN if pointer in self.last else at)
         if until > at:
             return "cooldown"
         recent = [t for t in self.attempts if at - t < HOUR]
         if len(recent) >= PER_HOUR:
             return "rate-limited"
-        self.attempts, self.last, self.retry = [*recent, at], at, None
-        if ok:
-            self.fails = 0
+        if len(self.running) - (pointer in self.running) >= CONCURRENT:
+            return "busy"
+        if pointer in self.running:
+            return "in-progress"
+        self.attempts, self.last[pointer] = [*recent, at], at
+        self.retry.pop(pointer, None)
+        if lasts > 0:
+            self.running[pointer] = (at + lasts, at, ok)
         else:
-            self.fails += 1
-            self.retry = at + min(MOST_RETRY, RETRY * 2 ** min(self.fails - 1, 20))
-            self.attempts.remove(at)
+            self._judge(pointer, at, at, ok)
         return "admitted"
 
 
-def admissions(requests: DataFrame, key: str) -> DataFrame:
-    """Verdict of each request (key, seq, at, ok), in order within its key.
+def admissions(requests: DataFrame, key: str, pointer: str | None = None, lasts: str | None = None) -> DataFrame:
+    """Verdict of each request (key, seq, at, ok), in order within its key; of a ``pointer`` of its own and taking ``lasts`` seconds, if named.
 
     An admission depends on the earlier ones, which no window frame expresses. Keys are spread over partitions and sorted there, and one
-    limiter's few numbers are all that a task holds, however many requests a key has.
+    limiter's few numbers (and one for each of its pointers) are all that a task holds, however many requests a key has.
     """
     kind = requests.schema[key].dataType.simpleString()
 
@@ -103,11 +128,13 @@ def admissions(requests: DataFrame, key: str) -> DataFrame:
         current, limiter = object(), Limiter()
         for batch in batches:
             told = []
-            for k, at, ok in zip(batch[key], batch["at"], batch["ok"], strict=True):
+            for k, at, ok, p, n in zip(batch[key], batch["at"], batch["ok"], batch["_pointer"], batch["_lasts"], strict=True):
                 if k != current:
                     current, limiter = k, Limiter()
-                told.append(limiter.ask(at, bool(ok)))
+                told.append(limiter.ask(at, bool(ok), p, n))
             yield pd.DataFrame({key: batch[key], "seq": batch["seq"], "verdict": told})
 
-    rows = requests.select(key, "seq", F.col("at").cast("double").alias("at"), "ok").repartition(key).sortWithinPartitions(key, "at", "seq")
+    own = (F.col(pointer).cast("string") if pointer else F.lit("")).alias("_pointer")
+    takes = (F.col(lasts).cast("double") if lasts else F.lit(0.0)).alias("_lasts")
+    rows = requests.select(key, "seq", F.col("at").cast("double").alias("at"), "ok", own, takes).repartition(key).sortWithinPartitions(key, "at", "seq")
     return rows.mapInPandas(fold, f"{key} {kind}, seq long, verdict string")

@@ -2,11 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from sievecraft.functions.text import catalog_key, phrase_key
+from sievecraft.plans.lineage import cut
+
+#: Phrases that are broadcast, of about 100 bytes each; more are joined by a shuffle.
+MOST_PHRASES = 200_000
 
 
 def assign_ids(records: DataFrame, pos: str = "pos") -> DataFrame:
@@ -17,26 +24,53 @@ def assign_ids(records: DataFrame, pos: str = "pos") -> DataFrame:
     return rows.join(counts, "id")
 
 
-def safe_keys(records: DataFrame, pos: str = "pos") -> DataFrame:
-    """A key of letters, digits and underscores for each id; the second and later ids of one key get _2, _3 and so on."""
-    key = F.regexp_replace("id", "[^A-Za-z0-9_]", "_")
-    nth = F.row_number().over(W.partitionBy("key").orderBy(pos))
-    rows = records.withColumn("key", F.when(key.rlike("^[A-Za-z_]"), key).otherwise(F.substring(F.concat(F.lit("r_"), key), 1, 64)))
-    return rows.withColumn("key", F.when(nth == 1, F.col("key")).otherwise(F.concat_ws("_", "key", nth.cast("string"))))
-
+# Keys that are never given.
+RESERVED = ("constructor", "prototype", "__proto__", "toString", "hasOwnProperty")
+SAFE = "^[A-Za-z][A-Za-z0-9_]{0,63}$"
 
-def duplicate_phrases(catalog: DataFrame) -> DataFrame:
-    """Normalised utterances that more than one id has: phrase, ids."""
-    rows = catalog.select("id", F.explode("utterances").alias("u")).select("id", catalog_key(F.col("u")).alias("phrase")).where("phrase <> ''")
-    owners = rows.groupBy("phrase").agg(F.array_sort(F.collect_set("id")).alias("ids"))
-    return owners.where(F.size("ids") > 1)
 
+def safe_keys(records: DataFrame, pos: str = "pos") -> DataFrame:
+    """A key for each id: letters, digits and underscores; r_ before one that starts otherwise, is reserved or too long (cut at 64).
 
-def negative_collisions(catalog: DataFrame) -> DataFrame:
-    """Negatives that are another id's utterance: id, phrase, other."""
-    negatives = catalog.select("id", F.explode("negatives").alias("n")).select("id", catalog_key(F.col("n")).alias("phrase")).where("phrase <> ''").distinct()
-    owners = catalog.select(F.col("id").alias("other"), F.explode("utterances").alias("u")).select("other", catalog_key(F.col("u")).alias("phrase")).distinct()
-    return negatives.join(owners, "phrase").where("id <> other").select("id", "phrase", "other")
+    In order of ``pos`` a key that is taken gets the first of _2, _3 and so on that is free. Only a key that is the other's with such a
+    suffix can be in its way, so keys without such a neighbour are numbered by a window. The others are met in order,
+    in one stream for each stem, of which a task holds a number for each different key.
+    """
+    plain = F.regexp_replace("id", "[^A-Za-z0-9_]", "_")
+    led = F.substring(F.concat(F.lit("r_"), plain), 1, 64)
+    unsafe = ~plain.rlike(SAFE) | plain.isin(*RESERVED)
+    rows = records.withColumn("key", F.when(~unsafe, plain).when(led.rlike(SAFE), led).otherwise(F.concat(F.lit("r_"), F.col(pos).cast("string"))))
+    rows = rows.withColumn("_stem", F.regexp_replace("key", "(?:_[0-9]+)+$", ""))
+    counts = rows.groupBy("_stem", "key").agg(F.count(F.lit(1)).alias("n"))
+    upper = counts.where("n > 1").select("_stem", F.col("key").alias("upper"))
+    below = counts.select("_stem", F.regexp_replace("key", "_[1-9][0-9]*$", "").alias("upper"), "key").where("key <> upper")
+    tied = cut(below.join(upper, ["_stem", "upper"]).select("_stem").distinct())
+    nth = F.row_number().over(W.partitionBy("key").orderBy(pos))
+    free = rows.join(tied, "_stem", "left_anti").withColumn("key", F.when(nth == 1, F.col("key")).otherwise(F.concat_ws("_", "key", nth.cast("string"))))
+
+    def numbered(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        stem, following = None, {}  # for each key met, the next number to try
+        for batch in batches:
+            keys = []
+            for s, key in zip(batch["_stem"], batch["key"], strict=True):
+                if s != stem:
+                    stem, following = s, {}
+                upper, _, suffix = key.rpartition("_")
+                met = key in following
+                # a new key may have been given to a repeated shorter one, whose numbers have passed it
+                given = suffix.isdigit() and suffix[0] != "0" and 2 <= int(suffix) < following.get(upper, 2)
+                n = following.setdefault(key, 2)
+                if not met and not given:
+                    keys.append(key)
+                    continue
+                while f"{key}_{n}" in following:
+                    n += 1
+                following[key] = n + 1
+                keys.append(f"{key}_{n}")
+            yield batch.assign(key=keys)
+
+    ordered = rows.join(F.broadcast(tied), "_stem", "left_semi").repartition("_stem").sortWithinPartitions("_stem", pos)
+    return free.unionByName(ordered.mapInPandas(numbered, ordered.schema)).drop("_stem")
 
 
 def phrase_members(catalog: DataFrame) -> DataFrame:
@@ -74,17 +108,32 @@ def triggers(catalog: DataFrame) -> DataFrame:
     return rows.join(shared.where("owners = 1"), "phrase").select("id", "phrase", "n")
 
 
-def trigger_hits(requests: DataFrame, found: DataFrame) -> DataFrame:
-    """Requests (request_id, text) that hold a trigger (id, phrase, n) as whole words.
+def phrase_hits(requests: DataFrame, phrases: DataFrame) -> DataFrame:
+    """Requests (request_id, text) that hold a phrase (id, phrase) as whole words: request_id, id, phrase.
 
-    An equi-join on runs of words instead of a test of all pairs: a request is cut into runs only of the lengths that triggers have.
+    Only positions of a phrase's longest word are met, and there the whole phrase is compared: no runs of words are built from the texts.
     """
-    lengths = [r.n for r in found.select("n").distinct().collect()]  # lengths of phrases: a few
+    of_phrase = F.split("phrase", " ")
+    longest = F.array_max(F.transform(of_phrase, lambda w, i: F.struct(F.length(w).alias("size"), (-i).alias("minus"), w.alias("word"))))
+    sought = phrases.where("phrase <> ''").select("id", "phrase", F.size(of_phrase).alias("n"), longest.alias("l")).distinct()
+    sought = cut(sought.select("id", "phrase", "n", F.col("l.word").alias("word"), (-F.col("l.minus")).alias("offset")))
     words = F.split(phrase_key(F.col("text")), " ")
-    runs = lambda n: F.transform(F.sequence(F.lit(1), F.greatest(F.size("w") - n + 1, F.lit(1))), lambda i: F.array_join(F.slice("w", i, n), " "))
-    every = F.array_distinct(F.flatten(F.array(*[runs(n) for n in lengths]))) if lengths else F.array().cast("array<string>")
-    asked = requests.select("request_id", words.alias("w")).select("request_id", F.explode(every).alias("phrase"))
-    return asked.join(found, "phrase").select("request_id", "id", "phrase")
+    placed = requests.select("request_id", words.alias("w")).select("request_id", "w", F.posexplode("w").alias("at", "word"))
+    met = placed.join(F.broadcast(sought) if sought.count() <= MOST_PHRASES else sought, "word")
+    begin = F.col("at") - F.col("offset")
+    same = F.array_join(F.slice("w", F.greatest(begin, F.lit(0)) + 1, F.col("n")), " ") == F.col("phrase")
+    return met.where((begin >= 0) & same).select("request_id", "id", "phrase").distinct()
+
+
+def trigger_hits(requests: DataFrame, found: DataFrame) -> DataFrame:
+    """Requests (request_id, text) that hold a trigger (id, phrase, n) as whole words."""
+    return phrase_hits(requests, found.select("id", "phrase"))
+
+
+def negative_hits(requests: DataFrame, catalog: DataFrame) -> DataFrame:
+    """Requests that hold a negative of a catalog row (id, negatives) as whole words: request_id, id, phrase."""
+    negatives = catalog.select("id", F.explode("negatives").alias("n")).select("id", phrase_key(F.col("n")).alias("phrase"))
+    return phrase_hits(requests, negatives)
 
 
 def compare_runs(a: DataFrame, b: DataFrame, known: DataFrame | None = None) -> DataFrame:
@@ -116,12 +165,14 @@ def snapshot_changes(before: DataFrame, now: DataFrame) -> DataFrame:
 
 
 def coverage(expected: DataFrame, held: DataFrame) -> DataFrame:
-    """For each set (set, path): complete if every path is held by any set, and the other sets it borrows from."""
-    holders = held.select("path", F.col("set").alias("holder"))
-    rows = expected.join(holders, "path", "left").withColumn("own", F.col("set") == F.col("holder"))
-    per_path = rows.groupBy("set", "path").agg(F.coalesce(F.bool_or("own"), F.lit(False)).alias("own"), F.collect_set("holder").alias("holders"))
-    borrowed = F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.when(~F.col("own"), F.col("holders"))))))
-    return per_path.groupBy("set").agg(F.bool_and(F.size("holders") > 0).alias("complete"), F.array_join(borrowed, ",").alias("borrows"))
+    """For each set (set, path): complete if every path is held by any set, and the other sets it borrows from, of which there are few."""
+    holders = held.select("path", F.col("set").alias("holder")).distinct()
+    rows = expected.join(holders, "path", "left").withColumn("own", F.coalesce(F.col("set") == F.col("holder"), F.lit(False)))
+    per_path = rows.groupBy("set", "path").agg(F.bool_or("own").alias("own"), (F.count("holder") > 0).alias("held"))
+    complete = per_path.groupBy("set").agg(F.bool_and("held").alias("complete"))
+    foreign = per_path.where("held and not own").select("set", "path").join(holders, "path").select("set", "holder").distinct()
+    borrowed = foreign.groupBy("set").agg(F.array_join(F.array_sort(F.collect_list("holder")), ",").alias("borrows"))
+    return complete.join(borrowed, "set", "left").select("set", "complete", F.coalesce("borrows", F.lit("")).alias("borrows"))
 
 
 def with_neighbours(selected: DataFrame, chunks: DataFrame) -> DataFrame:
@@ -139,6 +190,12 @@ def called_by(parts: DataFrame, calls: DataFrame, most: int = 3, least: int = 4)
     return defined.join(rare, "name").join(calls.select(F.col("path").alias("caller"), "name").distinct(), "name").where("path <> caller").select("path", "name", "caller")
 
 
+def only_in_either(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
+    """Keys that one side alone has: key, side (a or b)."""
+    rows = a.select(key).distinct().withColumn("a", F.lit(True)).join(b.select(key).distinct().withColumn("b", F.lit(True)), key, "full_outer")
+    return rows.where("a is null or b is null").select(key, F.when(F.col("b").isNull(), "a").otherwise("b").alias("side"))
+
+
 def without_views(rows: DataFrame) -> DataFrame:
     """Rows (path, upstream) without the views whose upstream is itself among the rows."""
     return rows.alias("v").join(rows.select(F.col("path").alias("p")).alias("o"), F.col("v.upstream") == F.col("o.p"), "left_anti")

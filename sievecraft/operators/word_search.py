@@ -9,7 +9,7 @@ from sievecraft.functions.text import bound_once, passages
 from sievecraft.operators.ranking import round_half_up
 from sievecraft.plans.lineage import cut
 
-PASSAGE, HEAD_COUNT, PHRASE_WEIGHT, LEAST_COVERAGE, RELATIVE_FLOOR = 3500, 3, 0.7, 0.5, 0.55
+HEAD_COUNT, PHRASE_WEIGHT, LEAST_COVERAGE, RELATIVE_FLOOR = 3, 0.7, 0.5, 0.55
 
 
 def words(text: Column) -> Column:
@@ -47,11 +47,12 @@ def word_search(files: DataFrame, question: str, limit: int, stopwords: frozense
         return F.struct(F.size(w).alias("n"), F.array(*[counted(w, t) for t in terms]).alias("tf"), has.alias("has"))
 
     head = words(F.coalesce("head", F.lit("")))
+    files = files.withColumn("_passages", passages("text"))
     rows = cut(files.select(  # a few numbers for each passage, computed once
         "path",
         (F.size(head) * HEAD_COUNT).alias("head_size"),
         F.array(*[counted(head, t) * HEAD_COUNT for t in terms]).alias("head_tf"),
-        F.transform(passages(F.coalesce("text", F.lit("")), PASSAGE), passage).alias("parts"),
+        F.transform("_passages", passage).alias("parts"),
     ))
     present = [F.exists("parts", lambda p: p["tf"][k] > 0) | (F.col("head_tf")[k] > 0) for k in range(len(terms))]  # noqa: B023
     rows = rows.withColumn("present", F.array(*present))
@@ -77,5 +78,5 @@ def word_search(files: DataFrame, question: str, limit: int, stopwords: frozense
 
     covered = sum((F.when(F.col("present")[k], F.lit(idf[t])).otherwise(0.0) for k, t in enumerate(terms)), F.lit(0.0))
     scored = rows.where(covered / total >= LEAST_COVERAGE - 1e-9).select("path", round_half_up(F.array_max(F.transform("parts", score))).alias("score"))
-    best = scored.agg(F.max("score").alias("best"))
-    return scored.crossJoin(F.broadcast(best)).where(F.col("score") >= F.col("best") * RELATIVE_FLOOR).orderBy(F.desc("score"), "path").limit(limit).select("path", "score")
+    best = scored.agg(F.max("score").alias("best")).first().best
+    return scored.where(F.col("score") >= F.lit(best) * RELATIVE_FLOOR).orderBy(F.desc("score"), "path").limit(limit).select("path", "score")

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -31,12 +34,53 @@ def next_fit(sizes: Column, max_count: int, max_size: int, envelope: int = 0) ->
     return F.aggregate(sizes, zero, step, lambda s: s["out"])
 
 
+def _in_order(rows: DataFrame, group: str, order: str, size: Column, start: Callable, step: Callable, name: str, kind: str, newest: bool = False) -> DataFrame:
+    """group, ``order``, size and what ``step(state, size)`` says of each row, in order within its group; ``start()`` is the state of a new group.
+
+    Rows are sorted in their partitions and read as a stream, so a task holds one state, however many rows a group has.
+    """
+    picked = rows.select(group, order, size.cast("long").alias("size"), F.col(group).cast("string").alias("_group"))
+    kinds = {c: rows.schema[c].dataType.simpleString() for c in (group, order)}
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        current, state = object(), None
+        for batch in batches:
+            told = []
+            for g, n in zip(batch["_group"].to_pylist(), batch["size"].to_pylist(), strict=True):
+                if g != current:
+                    current, state = g, start()
+                told.append(step(state, n))
+            yield pa.RecordBatch.from_arrays([batch[group], batch[order], batch["size"], pa.array(told, pa.int32() if kind == "int" else pa.bool_())], [group, order, "size", name])
+
+    by = F.desc(order) if newest else F.col(order)
+    ordered = picked.repartition(F.col(group)).sortWithinPartitions("_group", by)
+    return ordered.mapInArrow(fold, f"{group} {kinds[group]}, {order} {kinds[order]}, size bigint, {name} {kind}")
+
+
 def plan_calls(records: DataFrame, group: str, order: str, size: Column, max_count: int, max_size: int) -> DataFrame:
-    """group, ``order``, size and call of each record, planned in order within each group."""
-    rows = records.groupBy(group).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("order"), size.cast("long").alias("size")))).alias("r"))
-    planned = rows.withColumn("calls", next_fit(F.transform("r", lambda x: x["size"]), max_count, max_size))
-    both = F.arrays_zip("r", "calls")
-    return planned.select(group, F.explode(both).alias("x")).select(group, F.col("x.r.order").alias(order), F.col("x.r.size").alias("size"), F.col("x.calls").alias("call"))
+    """group, ``order``, size and call of each record, planned in order within each group as by next_fit."""
+
+    def step(open_: list[int], n: int) -> int:
+        call, count, used = open_
+        if n > max_size:
+            return -1
+        if count and (count >= max_count or used + n > max_size):
+            call, count, used = call + 1, 0, 0
+        open_[:] = call, count + 1, used + n
+        return call
+
+    return _in_order(records, group, order, size, lambda: [0, 0, 0], step, "call", "int")
+
+
+def fit_window(rows: DataFrame, group: str, order: str, size: Column, room: int) -> DataFrame:
+    """group, ``order`` and kept of each row, the newest first: each that still fits in what is left of the group's room."""
+
+    def step(used: list[int], n: int) -> bool:
+        fits = used[0] + n <= room
+        used[0] += n if fits else 0
+        return fits
+
+    return _in_order(rows, group, order, size, lambda: [0], step, "kept", "boolean", newest=True).drop("size")
 
 
 def call_totals(plan: DataFrame, group: str) -> DataFrame:

@@ -58,7 +58,7 @@ def f8_redact(spark, sf_dir):
 
 
 def _redact_sql() -> str:
-    b = {k: ("(?i)" + r"\b" + p[5:] if p.startswith("(?i)") else r"\b" + p[1:].removesuffix("b") + (r"\b" if p.endswith("b") else "")) for k, p in T.SECRETS}
+    b = {k: p for k, p, _ in T.SECRETS}
     step, columns, last = "SELECT doc_id, text AS t0 FROM documents", [], 0
     for k, (kind, pattern) in enumerate(b.items()):
         columns.append(f"n{k}")
@@ -67,12 +67,12 @@ def _redact_sql() -> str:
             f"regexp_replace(t{k}, '{pattern}', '[REDACTED:{kind}]', 'g') AS t{k + 1} FROM ({step})"
         )
         last = k + 1
-    api = r"\b[A-Za-z0-9_-]{30,}\b"
+    api = T.API_KEY
     secret = (
         "NOT regexp_full_match(m, '[0-9a-fA-F]{1,64}') AND regexp_matches(m, '[A-Za-z]') AND regexp_matches(m, '[0-9]') "
         "AND NOT (len(string_split_regex(m, '[-_]')) >= 2 AND len(list_filter(string_split_regex(m, '[-_]'), lambda p: length(p) > 12 OR (regexp_matches(p, '[A-Z]') AND regexp_matches(p, '[0-9]')))) = 0)"
     )
-    names = ", ".join(f"CAST(n{k} AS INT) AS n_{kind.replace('-', '_')}" for k, (kind, _) in enumerate(T.SECRETS))
+    names = ", ".join(f"CAST(n{k} AS INT) AS n_{kind.replace('-', '_')}" for k, (kind, _, _) in enumerate(T.SECRETS))
     return f"""
     WITH a AS ({step}),
     g AS (SELECT *, string_split_regex(t{last}, '{api}') AS gaps, regexp_extract_all(t{last}, '{api}') AS found FROM a),
@@ -84,8 +84,11 @@ def _redact_sql() -> str:
 
 
 def f14_passages(spark, sf_dir):
-    rows = table(spark, sf_dir, "documents").select("doc_id", F.explode(T.passages(F.col("text"))).alias("p"))
-    return rows.select("doc_id", "p.start", F.sha2("p.passage", 256).alias("sha"))
+    """All passages of all documents; sha_led is of the passage as it is read, led by its subject."""
+    rows = table(spark, sf_dir, "documents").select("doc_id", T.passages(F.col("text")).alias("p"))
+    rows = rows.select("doc_id", F.get("p.passage", F.lit(0)).alias("first"), F.posexplode("p").alias("number", "p"))
+    led = T.with_subject(F.col("first"), F.col("p.passage"), F.col("number"))
+    return rows.select("doc_id", "p.start", F.sha2("p.passage", 256).alias("sha"), F.sha2(led, 256).alias("sha_led"))
 
 
 def f13_chunks(spark, sf_dir):
@@ -99,9 +102,7 @@ def f17_claims(spark, sf_dir):
 
 
 def f25_set_digest(spark, sf_dir):
-    rows = table(spark, sf_dir, "documents").groupBy("source")
-    parts = F.collect_list(F.concat_ws(":", F.col("doc_id").cast("string"), F.sha2("text", 256)))
-    return rows.agg(F.count(F.lit(1)).alias("n"), T.set_digest(parts).alias("digest"))
+    return T.set_digests(table(spark, sf_dir, "documents"), ["source"], F.concat_ws(":", F.col("doc_id").cast("string"), F.sha2("text", 256)))
 
 
 def b1_estimates(spark, sf_dir):
@@ -138,7 +139,7 @@ def r1_prefilter(spark, sf_dir):
 
 
 def r2_top_chunks(spark, sf_dir):
-    rows = table(spark, sf_dir, "documents").select("doc_id", F.explode(T.passages(F.col("text"), 600)).alias("p"))
+    rows = table(spark, sf_dir, "documents").select("doc_id", F.explode(T.slices(F.col("text"), 600)).alias("p"))
     chunks = rows.select(F.concat_ws(":", F.lpad(F.col("doc_id").cast("string"), 12, "0"), F.lpad(F.col("p.start").cast("string"), 9, "0")).alias("id"), F.col("p.passage").alias("text"))
     return R.top_chunks(chunks, REQUEST, 12).select("id", "score")
 
@@ -166,10 +167,7 @@ def b4_records_per_call(spark, sf_dir):
 
 def b10_fit_window(spark, sf_dir):
     """Turns kept in 400 characters, the newest first, of each conversation."""
-    rows = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", F.length("text").alias("n"))), asc=False).alias("r"))
-    kept = B.fit_by_priority(F.transform("r", lambda x: x["n"]), 400)
-    both = rows.withColumn("kept", kept).select("conv_id", F.explode(F.arrays_zip("r", "kept")).alias("x"))
-    return both.select("conv_id", "x.r.turn", "x.kept")
+    return B.fit_window(table(spark, sf_dir, "conversations"), "conv_id", "turn", F.length("text"), 400)
 
 
 def _bm25_sql(corpus: str, parts: list[tuple[str, str, float]], k: int, tie: str) -> str:
@@ -212,13 +210,22 @@ f(conv_id, turn, size, k, call, open, n, used) AS (
   FROM f JOIN r ON r.conv_id = f.conv_id AND r.k = f.k + 1)
 """
 
+def _cuts_sql(of: str = "SELECT doc_id, text FROM documents", key: str = "doc_id") -> str:
+    """CTEs d and cuts(key, pos): the starts of passages, each cut at the nearest line end."""
+    behind, before = "strpos(substring(text, pos + 3501, 1750), chr(10))", "strpos(reverse(substring(text, pos + 1751, 1750)), chr(10))"
+    step = f"CASE WHEN {before} > 0 AND ({behind} = 0 OR {before} - 1 <= {behind}) THEN 3501 - {before} WHEN {behind} > 0 THEN 3500 + {behind} ELSE 3500 END"
+    return f"""WITH RECURSIVE d AS ({of}), cuts({key}, pos) AS (
+        SELECT {key}, CAST(0 AS BIGINT) FROM d UNION ALL SELECT cuts.{key}, pos + {step} FROM cuts JOIN d USING ({key}) WHERE length(text) - pos > 3500)"""
+
+
 def _word_search_sql() -> str:
     terms, pairs = question_terms(REQUEST)
     w = lambda t: f"list_filter(string_split_regex(lower({t}), '[^a-z0-9]+'), lambda x: x <> '')"
     stems = "list_transform(list_filter(w, lambda x: length(x) > 2), lambda x: x[1:4])"
     return f"""
-    WITH f AS (SELECT 'f' || lpad(CAST(doc_id AS VARCHAR), 12, '0') AS path, {w("source || ' ' || lang || ' ' || substring(text, 1, 60)")} AS h, text FROM documents),
-    p AS (SELECT path, h, {w("substring(text, CAST(s + 1 AS BIGINT), 3500)")} AS w, s FROM (SELECT *, unnest(range(0, greatest(length(text), 1), 3500)) AS s FROM f)),
+    {_cuts_sql("SELECT 'f' || lpad(CAST(doc_id AS VARCHAR), 12, '0') AS path, source, lang, text FROM documents", "path")},
+    f AS (SELECT path, {w("source || ' ' || lang || ' ' || substring(text, 1, 60)")} AS h, text FROM d),
+    p AS (SELECT path, h, {w("substring(text, s + 1, e - s)")} AS w, s FROM (SELECT path, h, text, pos AS s, coalesce(lead(pos) OVER (PARTITION BY path ORDER BY pos), length(text)) AS e FROM f JOIN cuts USING (path))),
     z AS (SELECT path, s, w, h, len(w) + 3 * len(h) AS size FROM p),
     t AS (SELECT unnest({terms!r}) AS term),
     c AS (SELECT path, s, size, term, len(list_filter(w, lambda x: x = term)) + 3 * len(list_filter(h, lambda x: x = term)) AS tf FROM z, t),
@@ -248,12 +255,17 @@ SQL = {
         md5(trim(regexp_replace(regexp_replace(lower(text), '[^a-z0-9\s]+', ' ', 'g'), '\s+', ' ', 'g'))) AS phrase,
         md5(regexp_replace({SQL_SQUEEZED.format('text')}, '[ .,;:!?]+$', '')) AS question, md5(regexp_replace({SQL_SQUEEZED.format('text')}, '[.!?]+$', '')) AS claim FROM conversations""",
     "f8_redact": _redact_sql(),
-    "f14_passages": "SELECT doc_id, CAST(s AS INT) AS start, sha256(substring(text, CAST(s + 1 AS BIGINT), 3500)) AS sha FROM (SELECT doc_id, text, unnest(range(0, greatest(length(text), 1), 3500)) AS s FROM documents)",
+    "f14_passages": f"""{_cuts_sql()},
+        p AS (SELECT doc_id, pos, text, substring(text, pos + 1, coalesce(lead(pos) OVER (PARTITION BY doc_id ORDER BY pos), length(text)) - pos) AS passage FROM cuts JOIN d USING (doc_id)),
+        t AS (SELECT *, substring(coalesce(list_filter(list_transform(string_split(first_value(passage) OVER (PARTITION BY doc_id ORDER BY pos), chr(10)), lambda x: trim(x)), lambda x: x <> '')[1], ''), 1, 100) AS title FROM p)
+        SELECT doc_id, CAST(pos AS INT) AS start, sha256(passage) AS sha, sha256(CASE WHEN pos = 0 OR title = '' THEN passage ELSE title || chr(10) || '...' || chr(10) || passage END) AS sha_led FROM t""",
     "f17_claims": r"""WITH l AS (SELECT conv_id, turn, list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x)), lambda x: x <> '' AND NOT regexp_full_match(x, '\[[A-Z][A-Z0-9 _-]*:.*\]')) AS l FROM conversations),
         s AS (SELECT conv_id, turn, list_filter(flatten(list_transform(l, lambda x: list_transform(string_split(regexp_replace(x, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)), lambda y: trim(y)))),
               lambda y: len(list_filter(string_split_regex(y, '\s+'), lambda w: w <> '')) >= 4) AS s FROM l)
         SELECT conv_id, turn, CAST(i - 1 AS INT) AS pos, md5(s[i]) AS claim_md5 FROM (SELECT conv_id, turn, s, unnest(range(1, len(s) + 1)) AS i FROM s)""",
-    "f25_set_digest": "SELECT source, count(*) AS n, sha256(string_agg(p, chr(10) ORDER BY p)) AS digest FROM (SELECT source, doc_id || ':' || sha256(text) AS p FROM documents) GROUP BY source",
+    "f25_set_digest": f"""WITH x AS (SELECT source, sha256(doc_id || ':' || sha256(text)) AS h FROM documents),
+        s AS (SELECT source, count(*) AS n, {', '.join(f"CAST(sum(CAST('0x' || substr(h, {8 * k + 1}, 8) AS BIGINT)) AS VARCHAR) AS s{k}" for k in range(8))} FROM x GROUP BY source)
+        SELECT source, n, sha256(concat_ws(':', CAST(n AS VARCHAR), {', '.join(f's{k}' for k in range(8))})) AS digest FROM s""",
     "b1_estimates": "SELECT doc_id, CAST(ceil(length(text) / 4) AS BIGINT) AS tokens, CAST(ceil(strlen(text) / 2) AS BIGINT) AS judge_tokens FROM documents",
     "p10_blocked_paths": f"""WITH p AS (SELECT page_id, '/home/u/' || regexp_replace(url, '^[^/]*//[^/]*/', '') || '/' || (['{"', '".join(NAMES)}'])[page_id % {len(NAMES)} + 1] AS path FROM pages)
         SELECT page_id, path, NOT (path = '/home/u/en/1' OR starts_with(path, '/home/u/en/1/')) AND regexp_matches(path, '(?i){"|".join(T.BLOCKED_PATHS)}') AS blocked FROM p""",

@@ -46,11 +46,12 @@ SQL_PASSES = f"""
 
 
 def records(spark, sf_dir):
+    """All documents; those without labels are records without passes."""
     problem = F.when(digit("e", F.col("doc_id"), 17) == 0, "missing role")
-    return table(spark, sf_dir, "labels").where("doc_id % 19 <> 3").select(F.col("doc_id").alias("id"), problem.alias("evidence_problem"))
+    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), problem.alias("evidence_problem"))
 
 
-SQL_RECORDS = f"SELECT doc_id AS id, {d('e', 'doc_id', 17)} = 0 AS problem FROM labels WHERE doc_id % 19 <> 3"
+SQL_RECORDS = f"SELECT doc_id AS id, {d('e', 'doc_id', 17)} = 0 AS problem FROM documents"
 SQL_OUTCOMES = f"""
     WITH passes AS ({SQL_PASSES}), records AS ({SQL_RECORDS}),
     a AS (SELECT id, count(*) AS n, count(*) FILTER (answered) AS ok, count(*) FILTER (malformed) AS bad, count(DISTINCT value) AS values, min_by(value, pass) AS first, min(confidence) AS lowest,
@@ -64,18 +65,7 @@ SQL_OUTCOMES = f"""
 
 
 def outcomes(spark, sf_dir):
-    given = passes(spark, sf_dir).where("id % 13 <> 5")
-    return G.outcomes(records(spark, sf_dir), given, abstain="none")
-
-
-def outcomes_whole(spark, sf_dir):
-    """All documents as records and all passes: documents without labels are those without passes."""
-    problem = F.when(digit("e", F.col("doc_id"), 17) == 0, "missing role")
-    return G.outcomes(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), problem.alias("evidence_problem")), passes(spark, sf_dir), abstain="none")
-
-
-def p6_outcomes_whole(spark, sf_dir):
-    return outcomes_whole(spark, sf_dir).select("id", "kind", "value", F.round("confidence", 6).alias("confidence"))
+    return G.outcomes(records(spark, sf_dir), passes(spark, sf_dir), abstain="none")
 
 
 def p6_outcomes(spark, sf_dir):
@@ -122,15 +112,10 @@ def w3_reask(spark, sf_dir):
 
 
 def j4_manifest(spark, sf_dir):
-    """Coverage of all documents by outcomes: unknown, missing and repeated ids are made from the ids themselves."""
-    asked = table(spark, sf_dir, "documents").where("doc_id % 7 <> 0").select(F.col("doc_id").alias("id"))
+    """All labelled documents as asked against outcomes of all documents, those of one language told twice: ids without labels are unknown."""
     told = outcomes(spark, sf_dir).select("id", "kind")
-    return G.manifest(asked, told.unionByName(told.where("id % 31 = 2")))
-
-
-def j4_manifest_whole(spark, sf_dir):
-    """All labelled documents as asked against outcomes of all documents: those without labels are unknown."""
-    return G.manifest(table(spark, sf_dir, "labels").select(F.col("doc_id").alias("id")), outcomes_whole(spark, sf_dir).select("id", "kind"))
+    twice = told.join(table(spark, sf_dir, "documents").where("lang = 'de'").select(F.col("doc_id").alias("id")), "id", "left_semi")
+    return G.manifest(table(spark, sf_dir, "labels").select(F.col("doc_id").alias("id")), told.unionByName(twice))
 
 
 def a2_outcomes_by_kind(spark, sf_dir):
@@ -138,14 +123,9 @@ def a2_outcomes_by_kind(spark, sf_dir):
 
 
 def j1_mapping(spark, sf_dir):
-    asked = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("key"), F.col("doc_id").alias("id")).where("id % 3 <> 1")
-    answers = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("key"))
-    return G.mapping(asked, answers)
-
-
-def j1_mapping_whole(spark, sf_dir):
+    """All documents as asked and all labels as answers, under keys of which some are read amiss."""
     asked = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("key"), F.col("doc_id").alias("id"))
-    return G.mapping(asked, table(spark, sf_dir, "labels").select(F.col("doc_id").alias("key")))
+    return G.mapping(asked, table(spark, sf_dir, "labels").select(F.when(digit("amiss", F.col("doc_id"), 9) == 0, -F.col("doc_id") - 1).otherwise(F.col("doc_id")).alias("key")))
 
 
 def labelled(spark, sf_dir):
@@ -240,22 +220,12 @@ def j23_paired_replay(spark, sf_dir):
 
 
 QUERIES = {
-    "p3_answer_problems": p3_answer_problems, "p5_peaks": p5_peaks, "p6_outcomes": p6_outcomes, "p6_outcomes_whole": p6_outcomes_whole, "j4_manifest_whole": j4_manifest_whole, "j1_mapping_whole": j1_mapping_whole, "p8_folded_kinds": p8_folded_kinds, "w3_reask": w3_reask, "j4_manifest": j4_manifest,
+    "p3_answer_problems": p3_answer_problems, "p5_peaks": p5_peaks, "p6_outcomes": p6_outcomes, "p8_folded_kinds": p8_folded_kinds, "w3_reask": w3_reask, "j4_manifest": j4_manifest,
     "a2_outcomes_by_kind": a2_outcomes_by_kind, "j1_mapping": j1_mapping, "a4_scores": a4_scores, "a5_combined": a5_combined, "a6_latencies": a6_latencies, "a25_retrieval": a25_retrieval,
     "a23_unstable": a23_unstable, "a12_merged_parts": a12_merged_parts, "a13_claim_verdicts": a13_claim_verdicts, "r7_none_gate": r7_none_gate, "r7_direct_fit_gate": r7_direct_fit_gate,
     "j16_run_flips": j16_run_flips, "j23_paired_replay": j23_paired_replay,
 }
-SQL_OUTCOMES_WHOLE = SQL_OUTCOMES.replace(SQL_RECORDS, f"SELECT doc_id AS id, {d('e', 'doc_id', 17)} = 0 AS problem FROM documents")
-SQL_OUTCOMES = SQL_OUTCOMES.replace("FROM passes GROUP BY id)", "FROM passes WHERE id % 13 <> 5 GROUP BY id)")
-SQL_SCORED = SQL_SCORED.replace("FROM passes GROUP BY id)", "FROM passes WHERE id % 13 <> 5 GROUP BY id)")
 SQL = {
-    "p6_outcomes_whole": f"{SQL_OUTCOMES_WHOLE} SELECT id, kind, value, round(confidence, 6) AS confidence FROM outcomes",
-    "j4_manifest_whole": f"""{SQL_OUTCOMES_WHOLE}
-        SELECT id, coalesce(kind, 'unaccounted') AS kind, CASE WHEN a.id IS NULL THEN 'unknown' WHEN o.id IS NULL THEN 'missing' ELSE 'once' END AS state
-        FROM (SELECT doc_id AS id FROM labels) a FULL JOIN outcomes o USING (id)""",
-    "j1_mapping_whole": """
-        SELECT coalesce(a.id, l.doc_id) AS key, a.id, CASE WHEN a.id IS NULL THEN 'rejected' WHEN l.doc_id IS NULL THEN 'missing' ELSE 'answered' END AS state
-        FROM (SELECT doc_id AS id FROM documents) a FULL JOIN labels l ON l.doc_id = a.id""",
     "p6_outcomes": f"{SQL_OUTCOMES} SELECT id, kind, value, round(confidence, 6) AS confidence FROM outcomes",
     "p3_answer_problems": f"""
         WITH x AS (SELECT doc_id, {d('a', 'doc_id', 60)} AS a, {d('b', 'doc_id', 40)} AS b, (['choice', 'score', 'noul'])[{d('k', 'doc_id', 3)} + 1] AS kind,
@@ -283,15 +253,14 @@ SQL = {
         SELECT a.id, CASE WHEN a.confidence >= 0.7 AND a.confidence < 0.9 THEN CASE WHEN a.kind = 'accepted' AND b.kind = 'accepted' THEN 'accepted' ELSE 'review' END ELSE a.kind END AS kind,
                a.confidence >= 0.7 AND a.confidence < 0.9 AS asked_again
         FROM (SELECT * FROM p WHERE pass = 1) a LEFT JOIN (SELECT * FROM p WHERE pass = 2) b USING (id)""",
-    "j4_manifest": f"""{SQL_OUTCOMES}
-        SELECT coalesce(a.id, o.id) AS id, coalesce(kind, 'unaccounted') AS kind,
-               CASE WHEN a.id IS NULL THEN 'unknown' WHEN o.id IS NULL THEN 'missing' WHEN o.id % 31 = 2 THEN 'repeated' ELSE 'once' END AS state
-        FROM (SELECT doc_id AS id FROM documents WHERE doc_id % 7 <> 0) a FULL JOIN outcomes o USING (id)""",
+    "j4_manifest": f"""{SQL_OUTCOMES}, g AS (SELECT doc_id FROM documents WHERE lang = 'de')
+        SELECT id, coalesce(kind, 'unaccounted') AS kind, CASE WHEN a.id IS NULL THEN 'unknown' WHEN o.id IS NULL THEN 'missing' WHEN id IN (SELECT doc_id FROM g) THEN 'repeated' ELSE 'once' END AS state
+        FROM (SELECT doc_id AS id FROM labels) a FULL JOIN outcomes o USING (id)""",
     "a2_outcomes_by_kind": f"""{SQL_OUTCOMES}
         SELECT k.kind, count(o.id) AS n FROM (SELECT unnest(['unaccounted', 'failed_validation', 'unanswered', 'insufficient_evidence', 'review', 'abstain', 'accepted']) AS kind) k LEFT JOIN outcomes o USING (kind) GROUP BY k.kind""",
-    "j1_mapping": """
-        SELECT coalesce(a.id, l.doc_id) AS key, a.id, CASE WHEN a.id IS NULL THEN 'rejected' WHEN l.doc_id IS NULL THEN 'missing' ELSE 'answered' END AS state
-        FROM (SELECT doc_id AS id FROM documents WHERE doc_id % 3 <> 1) a FULL JOIN labels l ON l.doc_id = a.id""",
+    "j1_mapping": f"""
+        SELECT coalesce(a.id, l.key) AS key, a.id, CASE WHEN a.id IS NULL THEN 'rejected' WHEN l.key IS NULL THEN 'missing' ELSE 'answered' END AS state
+        FROM (SELECT doc_id AS id FROM documents) a FULL JOIN (SELECT CASE WHEN {d('amiss', 'doc_id', 9)} = 0 THEN -doc_id - 1 ELSE doc_id END AS key FROM labels) l ON l.key = a.id""",
     "a4_scores": f"{SQL_SCORED} SELECT *, {RATES} FROM g",
     "a5_combined": f"{SQL_SCORED}, s AS (SELECT " + ", ".join(f"CAST(sum({c}) AS BIGINT) AS {c}" for c in ("total", "correct", "accepted", "accepted_wrong", "review", "abstain")) + f" FROM g) SELECT *, {RATES} FROM s",
     "a6_latencies": f"""
@@ -303,8 +272,9 @@ SQL = {
                      count(*) FILTER (e IS NOT NULL AND NOT nm AND rank <= 1) AS h1, count(*) FILTER (e IS NOT NULL AND NOT nm AND rank <= 5) AS h5 FROM x)
         SELECT """ + ", ".join(f"floor(coalesce({a} / nullif({b}, 0), 1) * 1000000 + 0.5) / 1000000 AS {n}" for a, b, n in (("h1", "answerable", "hit_at_1"), ("h5", "answerable", "hit_at_5"), ("ok", "no", "no_match_precision"), ("ok", "absent", "no_match_recall"))) + " FROM c",
     "a23_unstable": f"""
-        WITH x AS (SELECT pass, id % 500 AS case_id, sha256(string_agg(id || '=' || value, ';' ORDER BY id || '=' || value)) AS digest FROM ({SQL_PASSES}) GROUP BY pass, id % 500)
-        SELECT case_id, count(DISTINCT digest) AS digests FROM x GROUP BY case_id HAVING count(DISTINCT digest) > 1""",
+        WITH x AS (SELECT DISTINCT pass, id, id % 500 AS case_id, md5(id || '=' || value) AS h FROM ({SQL_PASSES})),
+        g AS (SELECT pass, case_id, count(*) || ':' || sum(CAST('0x' || substr(h, 1, 12) AS BIGINT)) || ':' || sum(CAST('0x' || substr(h, 13, 12) AS BIGINT)) AS digest FROM x GROUP BY pass, case_id)
+        SELECT case_id, count(DISTINCT digest) AS digests FROM g GROUP BY case_id HAVING count(DISTINCT digest) > 1""",
     "a12_merged_parts": f"""
         WITH x AS (SELECT conv_id, turn, (['SUPPORTED', 'CONTRADICTED', 'NOT_STATED'])[{d('q', 'k', 3)} + 1] AS verdict, {d('c', 'k', 50)} / 50.0 AS confidence FROM (SELECT *, conv_id || '/' || turn AS k FROM conversations)),
         r AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY CASE verdict WHEN 'CONTRADICTED' THEN 0 WHEN 'SUPPORTED' THEN 1 ELSE 2 END, confidence DESC, turn) AS rn FROM x)

@@ -21,52 +21,30 @@ def p2_safe_keys(spark, sf_dir):
 
 
 def _lines(spark, sf_dir):
-    """A catalog of the first and last lines of documents."""
-    lines = F.split("text", "\n")
-    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.slice(lines, 1, 2).alias("utterances"), F.array(F.element_at(lines, -1)).alias("negatives"))
-
-
-def j13_duplicate_utterances(spark, sf_dir):
-    return J.duplicate_phrases(_lines(spark, sf_dir)).select(F.md5("phrase").alias("phrase_md5"), F.array_join(F.transform("ids", lambda i: i.cast("string")), ",").alias("ids"))
-
-
-def j12_negative_collisions(spark, sf_dir):
-    return J.negative_collisions(_lines(spark, sf_dir)).select("id", F.md5("phrase").alias("phrase_md5"), "other")
-
-
-def _all_lines(spark, sf_dir):
     """A catalog of all lines of documents, the last of them as negatives too."""
     lines = F.split("text", "\n")
     return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), lines.alias("utterances"), F.array(F.element_at(lines, -1)).alias("negatives"))
 
 
-def j13_duplicate_utterances_whole(spark, sf_dir):
-    return J.shared_utterances(J.phrase_members(_all_lines(spark, sf_dir))).select(F.md5("phrase").alias("phrase_md5"), "id", "owners", "first_owner")
-
-
-def j12_negative_collisions_whole(spark, sf_dir):
-    return J.colliding_members(J.phrase_members(_all_lines(spark, sf_dir))).select(F.md5("phrase").alias("phrase_md5"), "id", "role", "owners", "first_owner", "deniers", "first_denier")
+def j13_duplicate_utterances(spark, sf_dir):
+    return J.shared_utterances(J.phrase_members(_lines(spark, sf_dir))).select(F.md5("phrase").alias("phrase_md5"), "id", "owners", "first_owner")
 
 
-SQL_LINES = "SELECT doc_id AS id, string_split(text, chr(10))[1:2] AS u, string_split(text, chr(10))[-1] AS neg FROM documents"
+def j12_negative_collisions(spark, sf_dir):
+    return J.colliding_members(J.phrase_members(_lines(spark, sf_dir))).select(F.md5("phrase").alias("phrase_md5"), "id", "role", "owners", "first_owner", "deniers", "first_denier")
 
 
 def j11_trigger_hits(spark, sf_dir):
-    """Four words of each benchmark item as its trigger, looked for in all documents."""
-    words = F.slice(F.split("text", " "), 2, 4)
-    catalog = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("id"), F.array(F.array_join(words, " ")).alias("utterances"))
+    """The first four words of each benchmark item as its trigger, and its last four as its negative, looked for in all documents."""
+    words = F.split("text", " ")
+    phrase = lambda at: F.array(F.array_join(F.slice(words, at, 4), " "))
+    catalog = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("id"), phrase(2).alias("utterances"), phrase(-4).alias("negatives"))
     requests = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("request_id"), "text")
-    return J.trigger_hits(requests, J.triggers(catalog)).select("request_id", "id")
+    hits = J.trigger_hits(requests, J.triggers(catalog)).select("request_id", "id", F.lit("trigger").alias("kind"))
+    return hits.unionByName(J.negative_hits(requests, catalog.where(F.size(words) > 3)).select("request_id", "id", F.lit("negative").alias("kind")).distinct())
 
 
 def j17_snapshot_changes(spark, sf_dir):
-    rows = table(spark, sf_dir, "pages").select(F.col("url").alias("path"), F.md5("html").alias("sha"), "page_id")
-    rows = rows.groupBy("path").agg(F.min_by("sha", "page_id").alias("sha"), F.min("page_id").alias("page_id"))
-    before, now = rows.where("page_id % 10 <> 1"), rows.where("page_id % 10 <> 2").withColumn("sha", F.when(F.col("page_id") % 5 == 0, F.md5("sha")).otherwise(F.col("sha")))
-    return J.snapshot_changes(before, now)
-
-
-def j17_snapshot_changes_whole(spark, sf_dir):
     """Every page in both snapshots: some are renamed in the second, so both paths are on one side only."""
     key = F.col("url")
     before = table(spark, sf_dir, "pages").groupBy(key.alias("path")).agg(F.min_by(F.md5("html"), "page_id").alias("sha"))
@@ -75,24 +53,14 @@ def j17_snapshot_changes_whole(spark, sf_dir):
     return J.snapshot_changes(before, now)
 
 
-def j18_coverage_whole(spark, sf_dir):
+def j18_coverage(spark, sf_dir):
     """All parts of all suppliers; a part is held by the suppliers of which a line of it was not returned."""
     line = [F.concat(F.lit("s"), F.col("l_suppkey").cast("string")).alias("set"), F.col("l_partkey").alias("path")]
     rows = table(spark, sf_dir, "lineitem")
     return J.coverage(rows.select(*line).distinct(), rows.where("l_returnflag <> 'R'").select(*line).distinct())
 
 
-def j18_coverage(spark, sf_dir):
-    lines = table(spark, sf_dir, "lineitem").select(F.concat(F.lit("s"), F.col("l_suppkey").cast("string")).alias("set"), F.col("l_partkey").alias("path")).distinct()
-    return J.coverage(lines.where("path % 7 = 1"), lines.where("path % 5 <> 0 and path % 7 = 1 and length(set) < 3"))
-
-
 def j20_neighbours(spark, sf_dir):
-    chunks = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("source"), F.col("turn").alias("idx"))
-    return J.with_neighbours(chunks.where("(source + idx) % 4 = 0"), chunks)
-
-
-def j20_neighbours_whole(spark, sf_dir):
     """The user's turns and what stands around them."""
     chunks = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("source"), F.col("turn").alias("idx"), "role")
     return J.with_neighbours(chunks.where("role = 'user'"), chunks)
@@ -106,22 +74,10 @@ def j8_called_by(spark, sf_dir):
 
 
 def j14_without_views(spark, sf_dir):
-    rows = table(spark, sf_dir, "orders").where("o_orderkey % 5 <> 0").select(F.col("o_orderkey").alias("path"), F.when(F.col("o_orderkey") % 3 == 0, F.floor(F.col("o_orderkey") / 2)).alias("upstream"))
-    return J.without_views(rows)
-
-
-def j14_without_views_whole(spark, sf_dir):
     return J.without_views(table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("path"), F.when(F.col("o_orderkey") % 3 == 0, F.floor(F.col("o_orderkey") / 2)).alias("upstream")))
 
 
 def p28_leaking_identities(spark, sf_dir):
-    rows = table(spark, sf_dir, "documents")
-    split = F.when(digit("split", F.col("doc_id"), 10) < 3, "holdout").otherwise("retrospective")
-    identity = F.explode(F.array(F.struct(F.lit("text").alias("kind"), F.md5("text").alias("value")), F.struct(F.lit("line").alias("kind"), F.md5(F.element_at(F.split("text", "\n"), 1)).alias("value"))))
-    return J.leaking_identities(rows.select(split.alias("split"), identity.alias("i")).select("split", "i.kind", "i.value"))
-
-
-def p28_leaking_identities_whole(spark, sf_dir):
     """Texts and all their lines that documents of both splits have."""
     split = F.when(digit("split", F.col("doc_id"), 10) < 3, "holdout").otherwise("retrospective")
     rows = table(spark, sf_dir, "documents").select(split.alias("split"), "text")
@@ -140,18 +96,13 @@ def d2_first_by_priority(spark, sf_dir):
 
 
 def d4_only_in_either(spark, sf_dir):
-    a, b = table(spark, sf_dir, "documents").select("doc_id"), table(spark, sf_dir, "labels").select("doc_id")
-    return a.join(b, "doc_id", "left_anti").withColumn("side", F.lit("a")).unionByName(b.where("doc_id % 5 = 0").join(a.where("doc_id % 10 = 0"), "doc_id", "left_anti").withColumn("side", F.lit("b")))
+    """Documents without labels, and labels read amiss, which no document has."""
+    amiss = F.when(digit("amiss", F.col("doc_id"), 9) == 0, -F.col("doc_id") - 1).otherwise(F.col("doc_id"))
+    return J.only_in_either(table(spark, sf_dir, "documents").select("doc_id"), table(spark, sf_dir, "labels").select(amiss.alias("doc_id")), "doc_id")
 
 
 def d7_connected(spark, sf_dir):
-    """Suppliers that share a part, directly or not, over a thin slice of keys so that there are several groups."""
-    rows = table(spark, sf_dir, "lineitem").where("l_partkey % 97 = l_suppkey % 97").select(F.col("l_suppkey").alias("member"), F.col("l_partkey").alias("key"))
-    return G.connected(rows)
-
-
-def d7_connected_whole(spark, sf_dir):
-    """Suppliers that share a part, directly or not, over all of lineitem. Recursive SQL is too slow for it; tests hold it against brute force."""
+    """Suppliers that share a part, directly or not, over all of lineitem. Its SQL goes over pairs of suppliers, of which the small tables have few."""
     return G.connected(table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("member"), F.col("l_partkey").alias("key")))
 
 
@@ -176,13 +127,14 @@ SQL_LINKS = """SELECT 'o' || o_orderkey AS src, 'c' || o_custkey AS dst FROM ord
 
 
 def r9_beam(spark, sf_dir):
-    """For each order of a customer: the three best paths over region, nation and its segment, by made-up probabilities."""
+    """For each supplier the three best paths over region and nation by made-up probabilities; a region whose none is likelier than its nations is pruned."""
     requests = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("request"))
     nations = table(spark, sf_dir, "nation").select(F.concat(F.lit("r"), "n_regionkey").alias("parent"), F.concat(F.lit("n"), "n_nationkey").alias("child"))
     regions = table(spark, sf_dir, "region").select(F.lit("root").alias("parent"), F.concat(F.lit("r"), "r_regionkey").alias("child"))
     tree = regions.unionByName(nations)
     p = (digit("p", F.concat_ws("/", "request", "child"), 97) + 1) / F.lit(100.0)
-    return G.beam(requests, F.broadcast(tree), 2, 3, p).select("request", "node", "rank", F.round("score", 6).alias("score"))
+    none = (digit("none", F.concat_ws("/", "request", "node"), 97) + 1) / F.lit(100.0)
+    return G.beam(requests, F.broadcast(tree), 2, 3, p, none).select("request", "node", "rank", F.round("score", 6).alias("score"))
 
 
 def a11_folder_units(spark, sf_dir):
@@ -193,12 +145,10 @@ def a11_folder_units(spark, sf_dir):
 
 
 QUERIES = {
-    "j13_duplicate_utterances_whole": j13_duplicate_utterances_whole, "j12_negative_collisions_whole": j12_negative_collisions_whole, "p28_leaking_identities_whole": p28_leaking_identities_whole,
-    "j17_snapshot_changes_whole": j17_snapshot_changes_whole, "j18_coverage_whole": j18_coverage_whole, "j20_neighbours_whole": j20_neighbours_whole, "j14_without_views_whole": j14_without_views_whole,
     "p1_assigned_ids": p1_assigned_ids, "p2_safe_keys": p2_safe_keys, "j13_duplicate_utterances": j13_duplicate_utterances, "j12_negative_collisions": j12_negative_collisions,
     "j11_trigger_hits": j11_trigger_hits, "j17_snapshot_changes": j17_snapshot_changes, "j18_coverage": j18_coverage, "j20_neighbours": j20_neighbours, "j8_called_by": j8_called_by,
     "j14_without_views": j14_without_views, "p28_leaking_identities": p28_leaking_identities, "d1_duplicate_sources": d1_duplicate_sources, "d2_first_by_priority": d2_first_by_priority,
-    "d4_only_in_either": d4_only_in_either, "d7_connected": d7_connected, "d7_connected_whole": d7_connected_whole, "g1_walk": g1_walk, "r9_beam": r9_beam, "a11_folder_units": a11_folder_units,
+    "d4_only_in_either": d4_only_in_either, "d7_connected": d7_connected, "g1_walk": g1_walk, "r9_beam": r9_beam, "a11_folder_units": a11_folder_units,
 }
 KEY = SQL_SQUEEZED.format
 SQL_MEMBERS = f"""
@@ -206,10 +156,10 @@ SQL_MEMBERS = f"""
         m AS (SELECT DISTINCT id, role, {KEY('x')} AS phrase FROM (SELECT id, 'utterance' AS role, unnest(u) AS x FROM l UNION ALL SELECT id, 'negative', u[-1] FROM l)),
         u AS (SELECT phrase, count(*) AS owners, min(id) AS first_owner FROM m WHERE role = 'utterance' GROUP BY phrase), n AS (SELECT phrase, count(*) AS deniers, min(id) AS first_denier FROM m WHERE role = 'negative' GROUP BY phrase)"""
 SQL = {
-    "j13_duplicate_utterances_whole": f"{SQL_MEMBERS} SELECT md5(phrase) AS phrase_md5, id, owners, first_owner FROM m JOIN u USING (phrase) WHERE role = 'utterance' AND owners > 1 AND phrase <> ''",
-    "j12_negative_collisions_whole": f"""{SQL_MEMBERS} SELECT md5(phrase) AS phrase_md5, id, role, owners, first_owner, deniers, first_denier FROM m JOIN u USING (phrase) JOIN n USING (phrase)
+    "j13_duplicate_utterances": f"{SQL_MEMBERS} SELECT md5(phrase) AS phrase_md5, id, owners, first_owner FROM m JOIN u USING (phrase) WHERE role = 'utterance' AND owners > 1 AND phrase <> ''",
+    "j12_negative_collisions": f"""{SQL_MEMBERS} SELECT md5(phrase) AS phrase_md5, id, role, owners, first_owner, deniers, first_denier FROM m JOIN u USING (phrase) JOIN n USING (phrase)
         WHERE phrase <> '' AND EXISTS (SELECT 1 FROM m o WHERE o.phrase = m.phrase AND o.role <> m.role AND o.id <> m.id)""",
-    "p28_leaking_identities_whole": f"""
+    "p28_leaking_identities": f"""
         WITH x AS (SELECT CASE WHEN {d('split', 'doc_id', 10)} < 3 THEN 'holdout' ELSE 'retrospective' END AS split, text FROM documents),
         i AS (SELECT split, 'text' AS kind, md5(text) AS value FROM x UNION ALL SELECT split, 'line', md5(v) FROM (SELECT split, unnest(string_split(text, chr(10))) AS v FROM x))
         SELECT kind, value, string_agg(DISTINCT split, ',' ORDER BY split) AS splits FROM i GROUP BY kind, value HAVING count(DISTINCT split) > 1""",
@@ -217,70 +167,49 @@ SQL = {
         WITH x AS (SELECT doc_id AS pos, coalesce(nullif(trim(CASE doc_id % 4 WHEN 0 THEN '  ' WHEN 1 THEN ' id-' || (doc_id % 40) ELSE CAST(doc_id AS VARCHAR) END), ''), 'records/' || doc_id) AS id FROM documents)
         SELECT id, pos, count(*) OVER (PARTITION BY id) > 1 AS repeated FROM x""",
     "p2_safe_keys": """
-        WITH x AS (SELECT page_id AS pos, regexp_extract(url, '//([^/]*)', 1) AS id FROM pages),
-        k AS (SELECT *, regexp_replace(id, '[^A-Za-z0-9_]', '_', 'g') AS raw FROM x),
-        s AS (SELECT pos, id, CASE WHEN regexp_matches(raw, '^[A-Za-z_]') THEN raw ELSE substr('r_' || raw, 1, 64) END AS key FROM k),
-        n AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY pos) AS rn FROM s)
-        SELECT pos, id, CASE WHEN rn = 1 THEN key ELSE key || '_' || rn END AS key FROM n""",
-    "j13_duplicate_utterances": f"""
-        WITH u AS (SELECT DISTINCT id, {KEY('x')} AS phrase FROM (SELECT id, unnest(u) AS x FROM ({SQL_LINES}))), g AS (SELECT phrase, count(*) AS n, string_agg(CAST(id AS VARCHAR), ',' ORDER BY id) AS ids FROM u WHERE phrase <> '' GROUP BY phrase)
-        SELECT md5(phrase) AS phrase_md5, ids FROM g WHERE n > 1""",
-    "j12_negative_collisions": f"""
-        WITH u AS (SELECT DISTINCT id AS other, {KEY('x')} AS phrase FROM (SELECT id, unnest(u) AS x FROM ({SQL_LINES}))), n AS (SELECT DISTINCT id, {KEY('neg')} AS phrase FROM ({SQL_LINES}))
-        SELECT id, md5(phrase) AS phrase_md5, other FROM n JOIN u USING (phrase) WHERE id <> other AND phrase <> ''""",
+        WITH RECURSIVE x AS (SELECT row_number() OVER (ORDER BY page_id) AS k, page_id AS pos, regexp_extract(url, '//([^/]*)', 1) AS id FROM pages),
+        p AS (SELECT *, regexp_replace(id, '[^A-Za-z0-9_]', '_', 'g') AS raw FROM x),
+        s AS (SELECT k, pos, id, CASE WHEN regexp_matches(raw, '^[A-Za-z][A-Za-z0-9_]{0,63}$') AND raw NOT IN ('constructor', 'prototype', '__proto__', 'toString', 'hasOwnProperty') THEN raw ELSE substr('r_' || raw, 1, 64) END AS base FROM p),
+        f(k, used, key) AS (SELECT 0::BIGINT, []::VARCHAR[], '' UNION ALL
+          SELECT s.k, list_append(used, n.key), n.key FROM f JOIN s ON s.k = f.k + 1, LATERAL (SELECT coalesce(CASE WHEN NOT list_contains(used, base) THEN base END, base || '_' || list_filter(range(2, 2000), lambda i: NOT list_contains(used, base || '_' || i))[1]) AS key) n)
+        SELECT pos, id, key FROM f JOIN s USING (k)""",
     "j11_trigger_hits": r"""
-        WITH t AS (SELECT item_id AS id, trim(regexp_replace(regexp_replace(lower(array_to_string(string_split(text, ' ')[2:5], ' ')), '[^a-z0-9\s]+', ' ', 'g'), '\s+', ' ', 'g')) AS phrase FROM benchmark),
+        WITH w AS (SELECT item_id AS id, string_split(text, ' ') AS w FROM benchmark),
+        t AS (SELECT id, trim(regexp_replace(regexp_replace(lower(array_to_string(w[2:5], ' ')), '[^a-z0-9\s]+', ' ', 'g'), '\s+', ' ', 'g')) AS phrase FROM w),
+        n AS (SELECT id, trim(regexp_replace(regexp_replace(lower(array_to_string(w[-4:], ' ')), '[^a-z0-9\s]+', ' ', 'g'), '\s+', ' ', 'g')) AS phrase FROM w WHERE len(w) > 3),
         o AS (SELECT min(id) AS id, phrase FROM t WHERE contains(phrase, ' ') GROUP BY phrase HAVING count(DISTINCT id) = 1),
         r AS (SELECT doc_id, ' ' || trim(regexp_replace(regexp_replace(lower(text), '[^a-z0-9\s]+', ' ', 'g'), '\s+', ' ', 'g')) || ' ' AS words FROM documents)
-        SELECT doc_id AS request_id, id FROM r JOIN o ON contains(words, ' ' || phrase || ' ')""",
-    "j17_snapshot_changes": """
-        WITH x AS (SELECT url AS path, min_by(md5(html), page_id) AS sha, min(page_id) AS page_id FROM pages GROUP BY url),
-        a AS (SELECT * FROM x WHERE page_id % 10 <> 1), b AS (SELECT path, CASE WHEN page_id % 5 = 0 THEN md5(sha) ELSE sha END AS sha FROM x WHERE page_id % 10 <> 2)
-        SELECT coalesce(a.path, b.path) AS path, CASE WHEN a.path IS NULL THEN 'new' WHEN b.path IS NULL THEN 'gone' WHEN a.sha = b.sha THEN 'same' ELSE 'changed' END AS state FROM a FULL JOIN b USING (path)""",
-    "j17_snapshot_changes_whole": f"""
+        SELECT doc_id AS request_id, id, 'trigger' AS kind FROM r JOIN o ON contains(words, ' ' || phrase || ' ')
+        UNION ALL SELECT DISTINCT doc_id, id, 'negative' FROM r JOIN n ON phrase <> '' AND contains(words, ' ' || phrase || ' ')""",
+    "j17_snapshot_changes": f"""
         WITH a AS (SELECT url AS path, min_by(md5(html), page_id) AS sha FROM pages GROUP BY url),
         b AS (SELECT CASE WHEN {d('m', 'path', 9)} = 0 THEN path || '#moved' ELSE path END AS path, CASE WHEN {d('h', 'path', 5)} = 0 THEN md5(sha) ELSE sha END AS sha FROM a)
         SELECT coalesce(a.path, b.path) AS path, CASE WHEN a.path IS NULL THEN 'new' WHEN b.path IS NULL THEN 'gone' WHEN a.sha = b.sha THEN 'same' ELSE 'changed' END AS state FROM a FULL JOIN b USING (path)""",
-    "j18_coverage_whole": """
+    "j18_coverage": """
         WITH e AS (SELECT DISTINCT 's' || l_suppkey AS set, l_partkey AS path FROM lineitem), h AS (SELECT DISTINCT l_partkey AS path, 's' || l_suppkey AS holder FROM lineitem WHERE l_returnflag <> 'R'),
         p AS (SELECT e.set, e.path, coalesce(bool_or(e.set = holder), false) AS own, count(holder) AS n FROM e LEFT JOIN h USING (path) GROUP BY e.set, e.path),
         b AS (SELECT p.set, string_agg(DISTINCT holder, ',' ORDER BY holder) AS borrows FROM p JOIN h USING (path) WHERE NOT own GROUP BY p.set)
         SELECT p.set, bool_and(n > 0) AS complete, coalesce(any_value(borrows), '') AS borrows FROM p LEFT JOIN b USING (set) GROUP BY p.set""",
-    "j20_neighbours_whole": """
+    "j20_neighbours": """
         WITH c AS (SELECT conv_id AS source, turn AS idx, role FROM conversations), s AS (SELECT * FROM c WHERE role = 'user')
         SELECT c.source, c.idx, bool_or(c.idx = s.idx) AS base FROM c JOIN s ON c.source = s.source AND abs(c.idx - s.idx) <= 1 GROUP BY c.source, c.idx""",
-    "j14_without_views_whole": """
+    "j14_without_views": """
         WITH x AS (SELECT o_orderkey AS path, CASE WHEN o_orderkey % 3 = 0 THEN CAST(floor(o_orderkey / 2) AS BIGINT) END AS upstream FROM orders)
         SELECT * FROM x WHERE upstream IS NULL OR upstream NOT IN (SELECT path FROM x)""",
-    "j18_coverage": """
-        WITH l AS (SELECT DISTINCT 's' || l_suppkey AS set, l_partkey AS path FROM lineitem), e AS (SELECT * FROM l WHERE path % 7 = 1), h AS (SELECT path, set AS holder FROM e WHERE path % 5 <> 0 AND length(set) < 3),
-        p AS (SELECT e.set, e.path, coalesce(bool_or(e.set = holder), false) AS own, count(holder) AS n FROM e LEFT JOIN h USING (path) GROUP BY e.set, e.path),
-        b AS (SELECT p.set, string_agg(DISTINCT holder, ',' ORDER BY holder) AS borrows FROM p JOIN h USING (path) WHERE NOT own GROUP BY p.set)
-        SELECT p.set, bool_and(n > 0) AS complete, coalesce(any_value(borrows), '') AS borrows FROM p LEFT JOIN b USING (set) GROUP BY p.set""",
-    "j20_neighbours": """
-        WITH c AS (SELECT conv_id AS source, turn AS idx FROM conversations), s AS (SELECT * FROM c WHERE (source + idx) % 4 = 0)
-        SELECT c.source, c.idx, bool_or(c.idx = s.idx) AS base FROM c JOIN s ON c.source = s.source AND abs(c.idx - s.idx) <= 1 GROUP BY c.source, c.idx""",
     "j8_called_by": """
         WITH p AS (SELECT DISTINCT l_orderkey AS path, 'name' || l_partkey AS name FROM lineitem WHERE l_linenumber = 1), c AS (SELECT DISTINCT l_orderkey AS caller, 'name' || l_partkey AS name FROM lineitem WHERE l_linenumber > 1),
         r AS (SELECT name FROM p GROUP BY name HAVING count(*) <= 3)
         SELECT path, name, caller FROM p JOIN r USING (name) JOIN c USING (name) WHERE path <> caller""",
-    "j14_without_views": """
-        WITH x AS (SELECT o_orderkey AS path, CASE WHEN o_orderkey % 3 = 0 THEN CAST(floor(o_orderkey / 2) AS BIGINT) END AS upstream FROM orders WHERE o_orderkey % 5 <> 0)
-        SELECT * FROM x WHERE upstream IS NULL OR upstream NOT IN (SELECT path FROM x)""",
-    "p28_leaking_identities": f"""
-        WITH x AS (SELECT CASE WHEN {d('split', 'doc_id', 10)} < 3 THEN 'holdout' ELSE 'retrospective' END AS split, text FROM documents),
-        i AS (SELECT split, 'text' AS kind, md5(text) AS value FROM x UNION ALL SELECT split, 'line', md5(string_split(text, chr(10))[1]) FROM x)
-        SELECT kind, value, string_agg(DISTINCT split, ',' ORDER BY split) AS splits FROM i GROUP BY kind, value HAVING count(DISTINCT split) > 1""",
     "d1_duplicate_sources": "SELECT min(doc_id) AS canonical_id, count(*) AS n, sha256(text) AS text_sha FROM documents GROUP BY text, lang HAVING count(*) > 1",
     "d2_first_by_priority": """
         WITH r AS (SELECT o_custkey AS key, o_orderkey AS id, o_orderstatus, row_number() OVER (PARTITION BY o_custkey ORDER BY CASE o_orderstatus WHEN 'F' THEN 0 WHEN 'O' THEN 1 ELSE 2 END, o_orderkey) AS rn
                    FROM orders WHERE o_orderstatus IN ('F', 'O', 'P'))
         SELECT key, id, o_orderstatus FROM r WHERE rn = 1""",
-    "d4_only_in_either": """
-        SELECT doc_id, 'a' AS side FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)
-        UNION ALL SELECT doc_id, 'b' FROM labels WHERE doc_id % 5 = 0 AND doc_id NOT IN (SELECT doc_id FROM documents WHERE doc_id % 10 = 0)""",
+    "d4_only_in_either": f"""
+        WITH l AS (SELECT CASE WHEN {d('amiss', 'doc_id', 9)} = 0 THEN -doc_id - 1 ELSE doc_id END AS doc_id FROM labels)
+        SELECT doc_id, 'a' AS side FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM l) UNION ALL SELECT doc_id, 'b' FROM l WHERE doc_id NOT IN (SELECT doc_id FROM documents)""",
     "d7_connected": """
-        WITH RECURSIVE m AS (SELECT DISTINCT l_suppkey AS member, l_partkey AS key FROM lineitem WHERE l_partkey % 97 = l_suppkey % 97),
+        WITH RECURSIVE m AS (SELECT DISTINCT l_suppkey AS member, l_partkey AS key FROM lineitem),
         e AS (SELECT DISTINCT a.member AS a, b.member AS b FROM m a JOIN m b USING (key)),
         r(a, b) AS (SELECT a, b FROM e UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a)
         SELECT a AS member, min(b) AS "group" FROM r GROUP BY a""",
@@ -294,8 +223,10 @@ SQL = {
     "r9_beam": f"""
         WITH t AS (SELECT 'root' AS parent, 'r' || r_regionkey AS child FROM region UNION ALL SELECT 'r' || n_regionkey, 'n' || n_nationkey FROM nation),
         e AS (SELECT s_suppkey AS request, parent, child, ({d('p', "(s_suppkey || '/' || child)", 97)} + 1) / 100.0 AS p FROM supplier, t),
-        a AS (SELECT request, child AS node, 'root/' || child AS path, ln(p) AS log, row_number() OVER (PARTITION BY request ORDER BY round(p, 9) DESC, 'root/' || child) AS rank FROM e WHERE parent = 'root'),
-        b AS (SELECT a.request, e.child AS node, a.path || '/' || e.child AS path, exp((a.log + ln(e.p)) / 2) AS score FROM a JOIN e ON e.request = a.request AND e.parent = a.node WHERE a.rank <= 3),
+        a AS (SELECT request, child AS node, 'root/' || child AS path, ln(p) AS log, row_number() OVER (PARTITION BY request ORDER BY round(p, 9) DESC, 'root/' || child) AS rank, max(p) OVER (PARTITION BY request) AS best FROM e WHERE parent = 'root'
+              QUALIFY max(p) OVER (PARTITION BY request) >= ({d('none', "(request || '/root')", 97)} + 1) / 100.0),
+        o AS (SELECT a.request, a.node FROM a JOIN e ON e.request = a.request AND e.parent = a.node GROUP BY a.request, a.node HAVING max(e.p) >= ({d('none', "(a.request || '/' || a.node)", 97)} + 1) / 100.0),
+        b AS (SELECT a.request, e.child AS node, a.path || '/' || e.child AS path, exp((a.log + ln(e.p)) / 2) AS score FROM a JOIN o ON o.request = a.request AND o.node = a.node JOIN e ON e.request = a.request AND e.parent = a.node WHERE a.rank <= 3),
         c AS (SELECT *, row_number() OVER (PARTITION BY request ORDER BY round(score, 9) DESC, path) AS rank FROM b)
         SELECT request, node, rank, round(score, 6) AS score FROM c WHERE rank <= 3""",
 }

@@ -40,19 +40,13 @@ def t3_breaker(spark, sf_dir):
 
 
 def t1_admissions(spark, sf_dir):
-    """Verdicts of the limiter over each user's events: ordered state that SQL doesn't express."""
-    rows = events(spark, sf_dir).select("user_id", F.col("event_id").alias("seq"), "at", (digit("o", F.col("event_id"), 3) > 0).alias("ok"))
-    return L.admissions(rows, "user_id")
+    """Verdicts of the limiter over each user's events, of one of three pointers and lasting a while: ordered state that SQL doesn't express."""
+    key = F.col("event_id")
+    rows = events(spark, sf_dir).select("user_id", key.alias("seq"), "at", (digit("o", key, 3) > 0).alias("ok"), digit("p", key, 3).alias("pointer"), digit("t", key, 900).alias("lasts"))
+    return L.admissions(rows, "user_id", "pointer", "lasts")
 
 
 def a14_trace_counts(spark, sf_dir):
-    rows = events(spark, sf_dir)
-    outcomes = rows.where("event_id % 3 > 0").select(F.col("user_id").alias("lookup_id"), F.when(digit("r", F.col("event_id"), 4) > 0, "right").otherwise("wrong").alias("result"), F.col("event_id").alias("seq"))
-    traces = rows.select(F.col("user_id").alias("lookup_id")).unionByName(rows.select((-F.col("user_id") - 1).alias("lookup_id")).where("lookup_id % 5 = 0"))
-    return L.trace_counts(traces, outcomes)
-
-
-def a14_trace_counts_whole(spark, sf_dir):
     """All events as outcomes; unlabelled traces are made for all users."""
     rows = events(spark, sf_dir)
     outcomes = rows.select(F.col("user_id").alias("lookup_id"), F.when(digit("r", F.col("event_id"), 4) > 0, "right").otherwise("wrong").alias("result"), F.col("event_id").alias("seq"))
@@ -60,7 +54,7 @@ def a14_trace_counts_whole(spark, sf_dir):
     return L.trace_counts(traces, outcomes)
 
 
-QUERIES = {"a14_trace_counts_whole": a14_trace_counts_whole, "w1_current_runs": w1_current_runs, "w2_pending_misses": w2_pending_misses, "t3_breaker": t3_breaker, "t1_admissions": t1_admissions, "a14_trace_counts": a14_trace_counts}
+QUERIES = {"w1_current_runs": w1_current_runs, "w2_pending_misses": w2_pending_misses, "t3_breaker": t3_breaker, "t1_admissions": t1_admissions, "a14_trace_counts": a14_trace_counts}
 SQL = {
     "w1_current_runs": f"""
         WITH x AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k, CASE WHEN {d('k', 'event_id', 11)} <> 0 THEN {d('w', 'event_id', 3)} END AS won
@@ -82,12 +76,8 @@ SQL = {
         s AS (SELECT x.user_id, count(*) AS calls, count(*) FILTER (NOT ok AND NOT stale AND k > coalesce(good, 0)) AS fails, max(sec) FILTER (NOT ok AND NOT stale AND k > coalesce(good, 0)) AS failed, round(avg(latency), 6) AS latency
               FROM x LEFT JOIN g USING (user_id) GROUP BY x.user_id)
         SELECT user_id, calls, fails, coalesce(fails >= 3 AND epoch(TIMESTAMP '2024-01-31 00:00:00') - failed < 120, false) AS benched, latency FROM s""",
-    "a14_trace_counts_whole": f"""
+    "a14_trace_counts": f"""
         WITH o AS (SELECT user_id AS id, max_by(CASE WHEN {d('r', 'event_id', 4)} > 0 THEN 'right' ELSE 'wrong' END, event_id) AS result FROM events GROUP BY user_id),
         t AS (SELECT user_id AS id FROM events UNION SELECT -user_id - 1 FROM events)
         SELECT coalesce(result, 'unlabelled') AS label, count(*) AS n FROM t LEFT JOIN o USING (id) GROUP BY 1""",
-    "a14_trace_counts": f"""
-        WITH o AS (SELECT user_id AS id, max_by(CASE WHEN {d('r', 'event_id', 4)} > 0 THEN 'right' ELSE 'wrong' END, event_id) AS result FROM events WHERE event_id % 3 > 0 GROUP BY user_id),
-        t AS (SELECT DISTINCT user_id AS id FROM events UNION SELECT -user_id - 1 FROM events WHERE (-user_id - 1) % 5 = 0)
-        SELECT coalesce(result, 'unlabelled') AS label, count(*) AS n FROM t LEFT JOIN o USING (id) GROUP BY 1""",
 }

@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-RECORD = "id string, text string, meta string, _corrupt string"
+from sievecraft.plans.lineage import cut
+
 CATALOG = "id string, text string, utterances array<string>, negatives array<string>, tags array<string>, _corrupt string"
 EVENT = "runId string, timestamp string, type string, step int, data string, _corrupt string"
 
@@ -21,23 +22,39 @@ def checked(rows: DataFrame, wrong, what: str) -> DataFrame:
 
 
 def read_records(spark: SparkSession, path: str) -> DataFrame:
-    """id, text, meta of a JSON-lines file. A bad line or one without text fails the job; blank lines are passed over."""
-    rows = _json(spark, path, RECORD)
-    return checked(rows, F.col("_corrupt").isNotNull() | F.col("text").isNull() | (F.trim("text") == ""), "a record is not valid JSON or has no text").drop("_corrupt")
+    """id, text, meta of a JSON-lines file. A bad line, one without text, or an id that is no string fails the job; blank lines are passed over."""
+    lines = spark.read.text(path).where(F.trim("value") != "").select("value", F.try_parse_json("value").alias("v"))
+    kind = lambda name: F.schema_of_variant(F.try_variant_get("v", f"$.{name}", "variant"))
+    told = F.col("v").isNotNull() & (kind("text") == "STRING") & (F.trim(F.try_variant_get("v", "$.text", "string")) != "")
+    rows = checked(lines, ~F.coalesce(told, F.lit(False)), "a record is not valid JSON or has no text")
+    rows = checked(rows, ~F.coalesce(kind("id").isin("STRING", "VOID"), F.lit(True)), "the id of a record is not a string")
+    field = lambda name: F.try_variant_get("v", f"$.{name}", "string").alias(name)
+    return rows.select(field("id"), field("text"), F.to_json(F.try_variant_get("v", "$.meta", "variant")).alias("meta"))
+
+
+def numbered(rows: DataFrame) -> DataFrame:
+    """The rows with pos, their number from 0 in the order of their files: the parts of files are counted, and only their few counts are added up in one place."""
+    marked = cut(rows.withColumns({"_file": F.input_file_name(), "_part": F.spark_partition_id(), "_at": F.monotonically_increasing_id()}))
+    counts = marked.groupBy("_file", "_part").agg(F.count(F.lit(1)).alias("_n"))
+    before = F.sum("_n").over(W.partitionBy(F.lit(0)).orderBy("_file", "_part").rowsBetween(W.unboundedPreceding, -1))
+    offsets = counts.select("_file", "_part", F.coalesce(before, F.lit(0)).alias("_before"))
+    nth = F.row_number().over(W.partitionBy("_file", "_part").orderBy("_at")) - 1
+    return marked.join(F.broadcast(offsets), ["_file", "_part"]).withColumn("pos", F.col("_before") + nth).drop("_file", "_part", "_at", "_before")
 
 
 def read_catalog(spark: SparkSession, path: str) -> DataFrame:
     """Catalog rows with pos; a row without id is named record_<pos>. Missing lists stay null."""
-    rows = checked(_json(spark, path, CATALOG), F.col("_corrupt").isNotNull(), "a catalog row is not valid JSON").drop("_corrupt")
-    order = F.struct(F.input_file_name(), F.monotonically_increasing_id())
-    pos = F.row_number().over(W.partitionBy(F.lit(0)).orderBy(order)) - 1  # a catalog is a config file of a few hundred rows
-    return rows.withColumn("pos", pos).withColumn("id", F.coalesce("id", F.concat(F.lit("record_"), F.col("pos").cast("string"))))
+    rows = numbered(checked(_json(spark, path, CATALOG), F.col("_corrupt").isNotNull(), "a catalog row is not valid JSON").drop("_corrupt"))
+    return rows.withColumn("id", F.coalesce("id", F.concat(F.lit("record_"), F.col("pos").cast("string"))))
 
 
 def read_journal(spark: SparkSession, path: str, strict: bool = True) -> DataFrame:
-    """Events of an append-only journal; with ``strict`` a bad line fails the job, else it stays in _corrupt."""
+    """Events of an append-only journal; with ``strict`` a bad line fails the job and is named, else it stays in _corrupt."""
     rows = _json(spark, path, EVENT)
-    return checked(rows, F.col("_corrupt").isNotNull(), "a journal line is not valid JSON").drop("_corrupt") if strict else rows
+    if not strict:
+        return rows
+    wrong = F.raise_error(F.concat(F.lit("a journal line is not valid JSON: "), F.substring("_corrupt", 1, 200))).cast("boolean")
+    return rows.where(F.when(F.col("_corrupt").isNotNull(), wrong).otherwise(True)).drop("_corrupt")
 
 
 def read_decisions(spark: SparkSession, path: str) -> DataFrame:

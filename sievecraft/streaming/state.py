@@ -39,7 +39,7 @@ def admissions(requests: DataFrame) -> DataFrame:
         limiter = Limiter(attempts, last, retry, fails)
         rows = pd.concat(frames).sort_values(["at", "seq"])
         told = [limiter.ask(at, bool(ok)) for at, ok in zip(rows["at"], rows["ok"], strict=True)]
-        state.update((limiter.attempts, limiter.last, limiter.retry, limiter.fails))
+        state.update((limiter.attempts, limiter.last.get(None), limiter.retry.get(None), limiter.fails.get(None, 0)))
         yield pd.DataFrame({"key": key[0], "seq": rows["seq"], "verdict": told})
 
     return requests.groupBy("key").applyInPandasWithState(

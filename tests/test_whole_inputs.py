@@ -23,12 +23,12 @@ def same_as_sql(spark, name):
 
 @pytest.mark.parametrize("name", ["j18_coverage", "j20_neighbours", "j14_without_views", "j1_mapping", "j4_manifest", "j17_snapshot_changes", "p6_outcomes", "a14_trace_counts"])
 def test_whole_inputs(spark, name):
-    same_as_sql(spark, f"{name}_whole")
+    same_as_sql(spark, name)
 
 
 @pytest.mark.parametrize("name", ["j13_duplicate_utterances", "j12_negative_collisions", "p28_leaking_identities"])
 def test_all_lines(spark, name):
-    same_as_sql(spark, f"{name}_whole")
+    same_as_sql(spark, name)
 
 
 def test_hot_phrases_cost_a_row_each(spark):
