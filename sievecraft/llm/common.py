@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -48,6 +50,16 @@ def delete_folder(spark: SparkSession, path: str) -> None:
     folder.getFileSystem(sc._jsc.hadoopConfiguration()).delete(folder, True)
 
 
+#: Rows of an Arrow batch that a Python function works on at once: what it holds stays small, however large the batches are.
+ROWS_AT_ONCE = 256
+
+
+def in_slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for at in range(0, batch.num_rows, ROWS_AT_ONCE):
+            yield batch.slice(at, ROWS_AT_ONCE)
+
+
 def text_or_empty(column: str = "text"):
     return F.coalesce(F.col(column).cast("string"), F.lit(""))
 

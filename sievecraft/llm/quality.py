@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sievecraft.llm.common import fresh, table
+from sievecraft.llm.common import fresh, in_slices, table
 
 #: At most so many labelled rows are used for fitting.
 MAX_TRAIN = 12_000
@@ -124,20 +124,25 @@ def train(rows: list[tuple[np.ndarray, np.ndarray, list[float]]], labels: np.nda
     model.mean, model.scale = stats.mean(axis=0), 3 * stats.std(axis=0) + 0.05
     stats = (stats - model.mean) / model.scale
     tail = np.arange(WORD_DIMS, dims)
-    ats = [np.concatenate([r[0], tail]) for r in rows]
-    xs = [np.concatenate([r[1], s]) for r, s in zip(rows, stats, strict=True)]
+    # all words in two long arrays: many small ones would leave the process larger than it need be
+    ends = np.cumsum([len(r[0]) for r in rows])
+    begins = ends - [len(r[0]) for r in rows]
+    words, weights = np.concatenate([r[0] for r in rows]).astype(np.int32), np.concatenate([r[1] for r in rows]).astype(np.float32)
+    n_rows = len(rows)
+    del rows
     rate = float(np.clip(labels.mean(), 0.01, 0.99))
     model.bias = math.log(rate / (1 - rate))
     g_bias, g_linear, g_factors = 1e-6, np.full(dims, 1e-6), np.full((dims, FACTORS), 1e-6)
-    for _ in range(math.ceil(STEPS * BATCH / len(rows))):
-        order = rng.permutation(len(rows))
+    for _ in range(math.ceil(STEPS * BATCH / n_rows)):
+        order = rng.permutation(n_rows)
         for start in range(0, len(order), BATCH):
             pick = order[start : start + BATCH]
-            lengths = np.array([len(ats[i]) for i in pick])
+            ats = [np.concatenate([words[begins[i] : ends[i]], tail]) for i in pick]
+            lengths = np.array([len(a) for a in ats])
             begin = np.concatenate([[0], np.cumsum(lengths)[:-1]])
             row = np.repeat(np.arange(len(pick)), lengths)
-            keys, at = np.unique(np.concatenate([ats[i] for i in pick]), return_inverse=True)
-            x = np.concatenate([xs[i] for i in pick])
+            keys, at = np.unique(np.concatenate(ats), return_inverse=True)
+            x = np.concatenate([y for i in pick for y in (weights[begins[i] : ends[i]], stats[i])])
             v = model.factors[keys][at]
             vx = v * x[:, None]
             total = np.add.reduceat(vx, begin, axis=0)
@@ -161,7 +166,7 @@ def train(rows: list[tuple[np.ndarray, np.ndarray, list[float]]], labels: np.nda
 
 def _feature_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     indexes = _Indexes()
-    for batch in batches:
+    for batch in in_slices(batches):
         made = [features(t, n, indexes) for t, n in zip(batch["text"].to_pylist(), batch["n_chars"].to_pylist(), strict=True)]
         yield pa.RecordBatch.from_pydict(
             {
@@ -244,7 +249,7 @@ def quality_scores(docs: DataFrame, model: Model, keep: list[str] | None = None,
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         indexes = _Indexes()
-        for batch in batches:
+        for batch in in_slices(batches):
             texts, sizes = batch.column(batch.num_columns - 2).to_pylist(), batch.column(batch.num_columns - 1).to_pylist()
             scores = [shared.value.score(*features(t, n, indexes)) for t, n in zip(texts, sizes, strict=True)]
             kept = batch.select(range(batch.num_columns - 2))

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sievecraft.llm.common import cut, keep_rows, table, text_print
+from sievecraft.llm.common import cut, in_slices, keep_rows, table, text_print
 from sievecraft.llm.components import components
 
 BITS = 64
@@ -58,7 +58,7 @@ def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
 
 
 def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in in_slices(batches):
         prints = [fingerprint(x or b"") for x in batch.column(2).to_pylist()]
         made = pa.array(np.array(prints, np.uint64).view(np.int64))
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), made], ["doc_id", "print", "fp"])

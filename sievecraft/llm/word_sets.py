@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sievecraft.llm.common import MAX_BROADCAST_KEYS, cut, split_by_filter, text_print
+from sievecraft.llm.common import MAX_BROADCAST_KEYS, cut, in_slices, split_by_filter, text_print
 from sievecraft.llm.components import components
 from sievecraft.llm.simhash import keep_first, rooted_prints
 
@@ -65,7 +65,7 @@ def bands(hashes: np.ndarray) -> np.ndarray:
 
 
 def _sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in in_slices(batches):
         sets = [shingles(x or b"") for x in batch.column(2).to_pylist()]
         keys = [bands(s).view(np.int64) if len(s) else [] for s in sets]
         ids = np.array([xxhash.xxh64_intdigest(s.tobytes()) for s in sets], np.uint64).view(np.int64)
@@ -74,7 +74,7 @@ def _sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in in_slices(batches):
         sets = [shingles(x or b"").view(np.int64) for x in batch.column(1).to_pylist()]
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], ["fp", "hashes"])
 
