@@ -1,6 +1,6 @@
 """Queries over the driver tables, one or more for each operator, with the SQL that gives the same rows."""
 
-from sievecraft.queries import asking, documents, evaluation, files, holding, more, records, state
+from sievecraft.queries import asking, documents, evaluation, files, holding, more, records, state, weighing
 
-QUERIES = {**documents.QUERIES, **evaluation.QUERIES, **records.QUERIES, **state.QUERIES, **more.QUERIES, **asking.QUERIES, **holding.QUERIES, **files.QUERIES}
-ORACLE_SQL = {**documents.SQL, **evaluation.SQL, **records.SQL, **state.SQL, **more.SQL, **asking.SQL, **holding.SQL, **files.SQL}
+QUERIES = {**documents.QUERIES, **evaluation.QUERIES, **records.QUERIES, **state.QUERIES, **more.QUERIES, **asking.QUERIES, **holding.QUERIES, **files.QUERIES, **weighing.QUERIES}
+ORACLE_SQL = {**documents.SQL, **evaluation.SQL, **records.SQL, **state.SQL, **more.SQL, **asking.SQL, **holding.SQL, **files.SQL, **weighing.SQL}
