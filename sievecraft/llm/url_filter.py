@@ -77,10 +77,8 @@ class Level:
             octet = F.conv(F.hex(F.substring(chunk, (F.floor(inside / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
             return F.call_function("getbit", octet, (inside % 8).cast("int")) == 1
 
-        test = F.lit(True)
-        for k in range(HASHES):
-            test = test & is_set(_bit(key, self.number, k, self.bits))
-        return test
+        # over an array of bits, so that the bitmaps stand in the expression once
+        return F.forall(F.array(*[_bit(key, self.number, k, self.bits) for k in range(HASHES)]), is_set)
 
 
 def _level(keys: DataFrame, number: int, n: int) -> Level:
