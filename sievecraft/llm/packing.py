@@ -29,8 +29,10 @@ from sievecraft.llm.common import cut, table
 CAPACITY = 4096
 END_ID = 1
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
-#: Groups by hash that the pieces of one length are ranked in.
-SALTS = 32
+#: Pieces of one length that are ranked in one group: a length of more is dealt over as many groups by hash.
+GROUP = 50_000
+#: Groups whose first ranks are broadcast, of about 24 bytes each; more are joined by a shuffle.
+MOST_GROUPS = 1_000_000
 #: Words whose ids a task remembers before it starts anew.
 REMEMBER = 800_000
 PIECES = "doc_id {kind}, piece int, start bigint, length bigint, ids_crc32 bigint"
@@ -185,14 +187,17 @@ class Places:
         return sequence, offset
 
 
-def ranked(cut_up: DataFrame) -> DataFrame:
-    """The pieces with rank, from 0, among those of their length."""
-    salted = cut_up.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(SALTS)).cast("int"))
+def ranked(cut_up: DataFrame, counts: dict[int, int], group: int = GROUP) -> DataFrame:
+    """The pieces with rank, from 0, among those of their length, of which there are ``counts``."""
+    dealt = [(length, max(1, -(-n // group))) for length, n in counts.items()]
+    salts = cut_up.sparkSession.createDataFrame(dealt, "length long, salts long")  # of a row for each length
+    salted = cut_up.join(F.broadcast(salts), "length").withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.col("salts")))
     sizes = salted.groupBy("length", "salt").agg(F.count(F.lit(1)).alias("n"))
     before = W.partitionBy("length").orderBy("salt").rowsBetween(W.unboundedPreceding, -1)
     begins = sizes.select("length", "salt", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("begin"))
     own = F.row_number().over(W.partitionBy("length", "salt").orderBy("doc_id", "piece", "ids_crc32"))
-    begins = F.broadcast(begins)  # of at most capacity * SALTS rows
+    if sum(n for _, n in dealt) <= MOST_GROUPS:
+        begins = F.broadcast(begins)
     return salted.withColumn("own", own).join(begins, ["length", "salt"]).select(*cut_up.columns, (F.col("begin") + F.col("own") - 1).alias("rank"))
 
 
@@ -213,7 +218,7 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, tokenizer: str = TOKENIZER)
 
     schema = T.StructType([*cut_up.schema.fields, T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())])
     # rank first into a cut table: a rank must not change if a lost task is run again
-    return cut(ranked(cut_up)).mapInArrow(place, schema)
+    return cut(ranked(cut_up, counts)).mapInArrow(place, schema)
 
 
 def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
