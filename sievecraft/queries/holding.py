@@ -369,6 +369,7 @@ SQL = {
         WITH x AS (SELECT user_id AS key, event_id AS seen, {d('k', 'event_id', 3)} AS kind, {d('ok', 'event_id', 9)} = 0 AS ok FROM events), m AS (SELECT key, max(seen) AS missed FROM x WHERE kind = 0 GROUP BY key),
         s AS (SELECT m.key, count(x.key) AS n, coalesce(bool_or(ok), false) AS done FROM m LEFT JOIN x ON x.key = m.key AND x.kind > 0 AND x.seen > missed GROUP BY m.key)
         SELECT key, n AS tries, CASE WHEN done THEN 'done' WHEN n >= 5 THEN 'dropped' ELSE 'retry' END AS state FROM s""",
+    "a11_folder_units": f"{SQL_TOP}, {_units_sql()} SELECT unit, count(*) AS n FROM u8 GROUP BY unit",
     "a11_folder_rows": f"""{SQL_TOP}, {_units_sql()},
         x AS (SELECT unit, substr(path, length(unit) + 2) AS name FROM u8), r AS (SELECT unit, name, row_number() OVER (PARTITION BY unit ORDER BY name) AS k FROM x)
         SELECT unit, count(*) AS n, md5(string_agg(name, '|' ORDER BY k) FILTER (k <= 7)) AS names_md5 FROM r GROUP BY unit""",

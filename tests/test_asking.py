@@ -1,5 +1,6 @@
 """Rules that SQL doesn't express, or whose oddities the tables don't hold, against brute force."""
 
+import datetime
 import difflib
 import math
 import random
@@ -11,7 +12,10 @@ from sievecraft.operators import logs as L
 from sievecraft.operators import permit as P
 from sievecraft.operators import relational as J
 from sievecraft.operators import search_index as X
+from sievecraft.operators import views as V
+from sievecraft.operators import weighing as Z
 from sievecraft.sources import records as S
+from sievecraft.streaming import state as ST
 
 
 def plain_keys(ids):
@@ -137,3 +141,60 @@ def test_redaction_of_emails_and_record_ids(spark, tmp_path):
         raise AssertionError("a bad line was taken")
     except Exception as e:
         assert '{"broken' in str(e)
+
+
+def test_evidence_parts_hold_all_text_in_room(spark):
+    r = random.Random(6)
+    texts = {k: "\n".join("é x"[r.randint(0, 2)] * r.randint(0, 40) for _ in range(r.randint(1, 20))) for k in range(30)} | {100: "w" * 95, 101: "", 102: None}
+    rows = V.evidence_parts(spark.createDataFrame([(k, t) for k, t in texts.items()], "path long, text string"), 12).collect()
+    tokens = lambda t: -(-len(t.encode()) // 2)
+    for k, t in texts.items():
+        mine = sorted((x.part, x.text) for x in rows if x.path == k)
+        assert [p for p, _ in mine] == list(range(len(mine))) and {x.parts for x in rows if x.path == k} == {len(mine)}
+        assert all(tokens(x) <= 12 for _, x in mine)
+        assert "".join("".join(x for _, x in mine).split()) == "".join((t or "").split())
+
+
+def test_near_twins_match_the_plain_rule(spark):
+    lists = {
+        "same folder": [("a/x.md", 0.9), ("a/yy.md", 0.88), ("b/z.md", 0.2)],
+        "names alike": [("a/notes.md", 0.9), ("b/notes-summary.md", 0.86), ("c/notes2.md", 0.85)],
+        "too far": [("a/x.md", 0.9), ("a/y.md", 0.84)],
+        "not alike": [("a/alpha.md", 0.9), ("b/zzz.md", 0.89)],
+        "a hub": [("a/x.md", 0.9), ("a/README.md", 0.89)],
+        "alone": [("a/x.md", 0.9)],
+        "fourth": [("a/x.md", 0.9), ("q/pppp.md", 0.5), ("r/pppp.md", 0.4), ("a/y.md", 0.4)],
+    }
+
+    def plain(files):
+        close = [f for f in files[:3] if round(files[0][1] - f[1], 9) <= 0.05]
+        if len(close) < 2 or any("readme" in p.lower() for p, _ in close):
+            return None
+        (a, _), (b, _) = close[:2]
+        name = lambda p: p.split("/")[1].rsplit(".", 1)[0].lower()
+        alike = difflib.SequenceMatcher(None, name(a), name(b)).ratio() >= 0.5
+        return len(close) if a.split("/")[0] == b.split("/")[0] or alike else None
+
+    rows = spark.createDataFrame([(q, p, s, k + 1) for q, fs in lists.items() for k, (p, s) in enumerate(fs)], "q string, path string, score double, rank int")
+    assert {x.q: x.n for x in Z.near_twins(rows, "q").collect()} == {q: plain(fs) for q, fs in lists.items() if plain(fs)}
+
+
+def test_traces_keep_late_results_apart(spark, tmp_path):
+    """A trace takes the result that follows it within the delay, and stays without one otherwise."""
+    at = lambda m: datetime.datetime(2024, 1, 1, 0, 0) + datetime.timedelta(minutes=m)
+    traces = [("a", at(0)), ("b", at(1)), ("c", at(2)), ("zz", at(600))]
+    outcomes = [("a", "right", at(30)), ("b", "wrong", at(100)), ("zz", "right", at(601)), ("a", "right", at(900)), ("zz", "x", at(901))]
+    (tmp_path / "t").mkdir(), (tmp_path / "o").mkdir()
+    spark.createDataFrame(traces, "lookup_id string, ts timestamp").write.mode("append").parquet(str(tmp_path / "t"))
+    spark.createDataFrame(outcomes, "lookup_id string, result string, ts timestamp").write.mode("append").parquet(str(tmp_path / "o"))
+    read = lambda name, schema: spark.readStream.schema(schema).parquet(str(tmp_path / name))
+    joined = ST.labelled_traces(read("t", "lookup_id string, ts timestamp"), read("o", "lookup_id string, result string, ts timestamp"))
+    query = joined.writeStream.format("memory").queryName("traces").option("checkpointLocation", str(tmp_path / "cp")).outputMode("append").start()
+    query.processAllAvailable()
+    spark.createDataFrame([("end", at(5000))], "lookup_id string, ts timestamp").write.mode("append").parquet(str(tmp_path / "t"))
+    spark.createDataFrame([("end", "x", at(5000))], "lookup_id string, result string, ts timestamp").write.mode("append").parquet(str(tmp_path / "o"))
+    query.processAllAvailable()
+    query.processAllAvailable()
+    query.stop()
+    got = {(x.lookup_id, x.result) for x in spark.sql("SELECT * FROM traces").collect()}
+    assert {("a", "right"), ("zz", "right")} <= got and ("b", "wrong") not in got and not {("a", None), ("zz", None)} & got
