@@ -181,6 +181,8 @@ class _Reader:
             self.leave()
         if name in CONTROLS and not self.unseen:
             self.pending.append(" ")
+        if name in ENDS_P and self.open["svg"] and not self.open["foreignobject"]:
+            self.leave_to({"svg"})  # a drawing that was never closed ends where text goes on
         if name in VOID:
             if name == "br":
                 self.text(" ")

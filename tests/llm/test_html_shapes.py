@@ -22,6 +22,7 @@ def test_quotes_references_and_controls():
     assert texts("1 < 2 <3 </ x> y<!> <!--> z <!-- w --> end<br/>ing</br>s") == ["1 < 2 <3 y z end ing s"]
     assert texts("<head><title>a <b> t</title><p>body without a tag</p>") == ["body without a tag"]
     assert texts("<svg><g/><title>no</title></svg>x <math><mi>y</mi><mo>=</mo><mn>2</mn></math>") == ["x y=2"]
+    assert texts("<p>a<svg><path d='x'><text>no</text><p>b</p><svg><foreignObject><div>no</div></foreignObject></svg>c") == ["a", "b", "c"]
     assert texts("<table><tr><td>a<td>b<tr><td>c</table><dl><dt>d<dd>e<dt>f</dl>") == ["a", "b", "c", "d", "e", "f"]
 
 
