@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from sievecraft.functions.text import tokens
+from sievecraft.functions.text import bound_once, tokens
 
 K1, B = 1.2, 0.75
 UTTERANCE_WEIGHT, NEGATIVE_WEIGHT, CONTEXT_WEIGHT = 2, 1.0, 0.35
@@ -35,15 +35,26 @@ def _query(spark, text: str) -> list[str]:
     return list(words)
 
 
-def _bm25(words: Column, query: list[str], df: dict[str, int], n: int, average: float) -> Column:
-    """Score of an array of words. One pass over the row's own words for each query term: no shuffle, no exploded postings."""
-    length = F.size(words)
+def _counted(text: Column, query: list[str]) -> Column:
+    """Struct of the number of tokens of a text and, for each query term, how often it has it. One pass: what is no form of a query term is dropped before it is counted.
+
+    A token is a query term if it is the term or its plural, as tokens() folds it.
+    """
+    forms = {q: [q, *([f"{q}s"] if len(q) > 2 and not q.endswith("s") else [])] for q in query}
+    low = F.lower(text)
+    hits = F.filter(F.split(low, "[^a-z0-9]+"), lambda w: w.isin(*[f for fs in forms.values() for f in fs])) if query else F.array().cast("array<string>")
+    counts = bound_once(hits, lambda h: F.array(*[F.size(F.filter(h, lambda w: w.isin(*fs))) for fs in forms.values()]))  # noqa: B023  read at once
+    return F.struct(F.regexp_count(low, F.lit("[a-z0-9]{2,}")).alias("n"), (counts if query else F.array().cast("array<int>")).alias("tf"))
+
+
+def _bm25(length: Column, tf: Column, query: list[str], every: list[str], df: dict[str, int], n: int, average: float) -> Column:
+    """Score of a row by the counts ``tf`` of ``every`` term, over the terms of the query."""
     score = F.lit(0.0)
     norm = K1 * (1 - B + B * length / F.lit(average))
     for q in query:
-        tf = F.size(F.filter(words, lambda w: w == q))  # noqa: B023  the lambda is read at once
+        k = tf[every.index(q)]
         idf = F.log(F.lit(1 + (n - df.get(q, 0) + 0.5) / (df.get(q, 0) + 0.5)))
-        score = score + F.when(tf > 0, idf * (tf * (K1 + 1)) / (tf + norm)).otherwise(0.0)
+        score = score + F.when(k > 0, idf * (k * (K1 + 1)) / (k + norm)).otherwise(0.0)
     return score
 
 
@@ -56,22 +67,23 @@ def prefilter(catalog: DataFrame, request: str, n: int, context: list[str] = (),
     """
     spark = catalog.sparkSession
     joined = lambda c: F.coalesce(F.array_join(c, " "), F.lit(""))
-    utterances = tokens(joined("utterances"))
-    words = F.concat(tokens(F.coalesce("text", F.lit(""))), *[utterances] * UTTERANCE_WEIGHT)
-    rows = catalog.withColumn("_words", words).withColumn("_negative", tokens(joined("negatives")))
     primary, extra = _query(spark, request), _query(spark, " ".join(context))
     every = list(dict.fromkeys([*primary, *extra]))
-    has = [F.count_if(F.array_contains("_words", q)).alias(f"q{k}") for k, q in enumerate(every)]
-    stats = rows.agg(F.count(F.lit(1)).alias("n"), F.sum(F.size("_words")).alias("total"), *has).first()
+    rows = catalog.withColumns({"_text": _counted(F.coalesce("text", F.lit("")), every), "_spoken": _counted(joined("utterances"), every), "_negative": _counted(joined("negatives"), every)})
+    both = F.zip_with("_text.tf", "_spoken.tf", lambda a, b: a + UTTERANCE_WEIGHT * b)
+    rows = rows.withColumns({"_n": F.col("_text.n") + UTTERANCE_WEIGHT * F.col("_spoken.n"), "_tf": both}).drop("_text", "_spoken")
+    has = [F.count_if(F.col("_tf")[k] > 0).alias(f"q{k}") for k in range(len(every))]
+    stats = rows.agg(F.count(F.lit(1)).alias("n"), F.sum("_n").alias("total"), *has).first()
     if n == 0 or stats.n <= n:
         return catalog.withColumn("score", F.lit(0.0))
     df = {q: stats[f"q{k}"] for k, q in enumerate(every)}
     average = (stats.total or 0) / stats.n or 1.0
-    score = _bm25(F.col("_words"), primary, df, stats.n, average)
+    own, denied = (F.col("_n"), F.col("_tf")), (F.col("_negative.n"), F.col("_negative.tf"))
+    score = _bm25(*own, primary, every, df, stats.n, average)
     if extra:
-        score = score + CONTEXT_WEIGHT * _bm25(F.col("_words"), extra, df, stats.n, average)
-    score = score - NEGATIVE_WEIGHT * _bm25(F.col("_negative"), every if extra else primary, df, stats.n, average)
-    best = rows.withColumn("_score", score).drop("_words", "_negative").orderBy(F.desc("_score"), order).limit(n)
+        score = score + CONTEXT_WEIGHT * _bm25(*own, extra, every, df, stats.n, average)
+    score = score - NEGATIVE_WEIGHT * _bm25(*denied, every if extra else primary, every, df, stats.n, average)
+    best = rows.withColumn("_score", score).drop("_n", "_tf", "_negative").orderBy(F.desc("_score"), order).limit(n)
     return best.withColumn("score", round_half_up(F.col("_score"))).drop("_score")
 
 

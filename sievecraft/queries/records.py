@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from sievecraft.functions.text import phrase_key
 from sievecraft.operators import graph as G
 from sievecraft.operators import relational as J
 from sievecraft.queries.documents import SQL_SQUEEZED, table
@@ -38,10 +39,12 @@ def j11_trigger_hits(spark, sf_dir):
     """The first four words of each benchmark item as its trigger, and its last four as its negative, looked for in all documents."""
     words = F.split("text", " ")
     phrase = lambda at: F.array(F.array_join(F.slice(words, at, 4), " "))
-    catalog = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("id"), phrase(2).alias("utterances"), phrase(-4).alias("negatives"))
+    catalog = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("id"), "text", phrase(2).alias("utterances"), phrase(-4).alias("negatives"))
     requests = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("request_id"), "text")
-    hits = J.trigger_hits(requests, J.triggers(catalog)).select("request_id", "id", F.lit("trigger").alias("kind"))
-    return hits.unionByName(J.negative_hits(requests, catalog.where(F.size(words) > 3)).select("request_id", "id", F.lit("negative").alias("kind")).distinct())
+    negatives = catalog.where(F.size(words) > 3).select("id", F.lit("negative").alias("kind"), phrase_key(F.element_at("negatives", 1)).alias("phrase"))
+    both = J.triggers(catalog).select("id", F.lit("trigger").alias("kind"), "phrase").unionByName(negatives)
+    hits = J.phrase_hits(requests, both.select(F.struct("id", "kind").alias("id"), "phrase"))  # one pass for both
+    return hits.select("request_id", "id.id", "id.kind").distinct()
 
 
 def j17_snapshot_changes(spark, sf_dir):
