@@ -57,3 +57,14 @@ def test_sum_of_squares_is_the_sum_over_pairs():
     pairs = sum(float(model.factors[a] @ model.factors[b]) * x[i] * x[j] for i, a in enumerate(at) for j, b in enumerate(at) if i < j)
     z = model.bias + float(model.linear[at] @ x) + pairs
     assert abs(model.score(*fs[0]) - 1 / (1 + np.exp(-z))) < 1e-6
+
+
+def test_held_out_accuracy_on_the_driver_tables(spark):
+    base = "/root/testdata/sf0.01"
+    docs, labels = spark.read.parquet(f"{base}/documents.parquet"), spark.read.parquet(f"{base}/labels.parquet")
+    truth = {r.doc_id: r.quality for r in labels.collect()}
+    held = [r for r in classify(docs, labels).collect() if r.held_out and truth.get(r.doc_id) is not None]
+    right = [r.predicted == truth[r.doc_id] for r in held]
+    pairs = [(a.score, b.score) for a in held for b in held if truth[a.doc_id] > truth[b.doc_id]]
+    assert len(held) > 50 and np.mean(right) > 0.95
+    assert np.mean([a > b for a, b in pairs]) > 0.98  # area under the curve
