@@ -6,6 +6,7 @@ from itertools import combinations
 import numpy as np
 from tokenizers import Tokenizer
 
+from sievecraft.llm import packing
 from sievecraft.llm.packing import TOKENIZER, _Ids, fullest, minimum_bin_slack, pack
 
 DOCS = "doc_id long, text string, length string, rank int"
@@ -76,3 +77,16 @@ def test_pieces_and_places(spark):
         assert at <= capacity
     assert len(sequences) <= -(-sum(x.length for x in got) // capacity) + 1
     assert pack(spark.createDataFrame([], DOCS), capacity).count() == 0
+
+
+def test_ranks_of_a_hot_length_are_gapless_over_groups(spark):
+    rows = [(k % 7 if k % 5 else None, k, 0, 4096 if k % 3 else k % 11, k) for k in range(300)]
+    cut_up = spark.createDataFrame(rows, "doc_id long, piece int, start long, length long, ids_crc32 long").repartition(6)
+    counts = {}
+    for r in rows:
+        counts[r[3]] = counts.get(r[3], 0) + 1
+    for group in (1, 7, 1000):
+        found = {}
+        for r in packing.ranked(cut_up, counts, group).collect():
+            found.setdefault(r.length, []).append(r.rank)
+        assert {k: sorted(v) for k, v in found.items()} == {k: list(range(n)) for k, n in counts.items()}
