@@ -31,6 +31,8 @@ def components(edges: DataFrame) -> DataFrame:
     numbers of a round reach the driver.
     """
     edges = cut(edges.select("u", "v").distinct())
+    if edges.isEmpty():
+        return edges.select(F.col("u").alias("vertex"), F.col("v").alias("root"))
     seen = None
     while True:
         edges = cut(_small_star(_large_star(edges).distinct()).distinct())

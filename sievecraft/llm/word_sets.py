@@ -87,6 +87,13 @@ def _similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return pairs.join(v, "v").join(u, "u").where(9 * both >= 4 * (F.size("hu") + F.size("hv"))).select("u", "v")
 
 
+def _apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
+    """Pairs (u, v) whose sets are in different components of ``roots`` (vertex, root)."""
+    of = lambda c: roots.select(F.col("vertex").alias(c), F.col("root").alias(f"root_{c}"))
+    both = pairs.join(of("u"), "u", "left").join(of("v"), "v", "left")
+    return both.where(F.coalesce("root_u", "u") != F.coalesce("root_v", "v")).select("u", "v")
+
+
 def _sized(a: str, b: str):
     """Sets whose sizes allow 0.8."""
     return 5 * F.least(a, b) >= 4 * F.greatest(a, b)
@@ -98,6 +105,11 @@ HOT_SHARE = 1e-4
 
 def prefix_pairs(sets: DataFrame) -> DataFrame:
     """Pairs (u, v) of sets (fp, c, hashes) of different components c that may have a similarity of 0.8: every such pair, and few others."""
+    return joined_prefixes(prefixes(sets))
+
+
+def prefixes(sets: DataFrame) -> DataFrame:
+    """Postings (h, fp, c, n, short, i) of the first fifth of each set in the order of frequency: i is the place, short the end of the first ninth."""
     rows = sets.select("fp", "c", F.size("hashes").alias("n"), F.explode("hashes").alias("h"))
     df = cut(rows.groupBy("h").agg(F.count(F.lit(1)).alias("df")).where("df > 1"))
     total = df.agg(F.sum("df").alias("s")).first().s or 0
@@ -108,7 +120,19 @@ def prefix_pairs(sets: DataFrame) -> DataFrame:
     ordered = ordered.groupBy("fp", "c", "n").agg(F.array_sort(F.collect_list(F.struct("df", "h"))).alias("s"))
     long, short = F.col("n") - F.ceil(F.col("n") * 4 / 5) + 1, F.col("n") - F.ceil(F.col("n") * 8 / 9) + 1
     first = ordered.select("fp", "c", "n", short.alias("short"), F.posexplode(F.slice("s", F.lit(1), long.cast("int"))).alias("i", "t")).where("t.df > 1")
-    first = cut(first.select("fp", "c", "n", "short", "i", F.col("t.h").alias("h")))
+    return first.select("fp", "c", "n", "short", "i", F.col("t.h").alias("h"))
+
+
+def prefix_stars(first: DataFrame) -> DataFrame:
+    """Pairs (u, v) of each posting with one of its shingle, drawn by a hash of both: a row for each posting at most, so a large group of copies is linked without meeting as pairs."""
+    one = first.groupBy("h").agg(F.min(F.struct(F.xxhash64("h", "fp").alias("r"), "fp", "n", "i", "c")).alias("o"))
+    sized = 5 * F.least("n", "o.n") >= 4 * F.greatest("n", "o.n")
+    met = first.join(one, "h").where((F.col("c") != F.col("o.c")) & sized)
+    return met.select(F.least("fp", "o.fp").alias("u"), F.greatest("fp", "o.fp").alias("v")).distinct()
+
+
+def joined_prefixes(first: DataFrame) -> DataFrame:
+    """Pairs (u, v) of postings of one shingle, of different components."""
     a = first.where("i < short").select("h", F.col("fp").alias("a"), F.col("c").alias("ca"), F.col("n").alias("na"), F.col("i").alias("ia"))
     b = first.select("h", F.col("fp").alias("b"), F.col("c").alias("cb"), F.col("n").alias("nb"), F.col("i").alias("ib"))
     smaller = (F.col("na") < F.col("nb")) | ((F.col("na") == F.col("nb")) & (F.col("a") < F.col("b")))
@@ -135,14 +159,30 @@ def similar_roots(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     of = near.select("doc_id", text_print().alias("print"), F.col("text").cast("binary").alias("text")).join(F.broadcast(texts) if n <= MAX_BROADCAST_KEYS else texts, (F.col("print") == F.col("k_print")) & F.col("doc_id").eqNullSafe(F.col("k_id"))).select("fp", "text")
     sets = cut(of.mapInArrow(_listed, "fp bigint, hashes array<bigint>").dropDuplicates(["fp"]))
 
-    first = cut(_similar(members.where("fp <> u").where(_sized("n", "m")).select("u", F.col("fp").alias("v")).distinct(), sets))
+    candidates = members.where("fp <> u").where(_sized("n", "m")).groupBy("u", F.col("fp").alias("v")).agg(F.count(F.lit(1)).alias("bands"))
+    candidates = cut(candidates)
+    # first each set with the one it shares most buckets with, then only what this leaves in different components: copies of one text meet once each, not once a band
+    likeliest = candidates.groupBy("v").agg(F.max(F.struct("bands", "u")).alias("b")).select("b.u", "v")
+    first = cut(_similar(likeliest, sets))
     roots = components(first)
+    rest = cut(_similar(_apart(candidates.select("u", "v"), roots), sets))
+    if not rest.isEmpty():
+        first = cut(first.unionByName(rest))
+        roots = components(first)
     named = members.join(roots, F.col("fp") == F.col("vertex"), "left").select("key", "fp", F.coalesce("root", "fp").alias("c"))
     inside = named.groupBy("key").agg(F.min("c").alias("least"), F.max("c").alias("most")).where("least < most").select("key")
     open_ = cut(named.join(inside, "key").select("fp", "c").distinct())
-    second = cut(_similar(prefix_pairs(sets.join(open_, "fp")), sets))
-    if not second.isEmpty():
-        roots = components(first.unionByName(second))
+    if not open_.isEmpty():
+        postings = cut(prefixes(sets.join(open_, "fp")))
+        stars = cut(_similar(prefix_stars(postings), sets))
+        if not stars.isEmpty():
+            first = cut(first.unionByName(stars))
+            roots = components(first)
+            of = roots.select(F.col("vertex").alias("fp"), F.col("root").alias("now"))
+            postings = cut(postings.join(of, "fp", "left").withColumn("c", F.coalesce("now", "fp")).drop("now"))
+        second = cut(_similar(joined_prefixes(postings), sets))
+        if not second.isEmpty():
+            roots = components(first.unionByName(second))
 
     prints = sketches.select("doc_id", "print", "fp")
     return prints, cut(prints.select("fp").distinct().join(roots, F.col("fp") == F.col("vertex"), "left").select("fp", F.coalesce("root", "fp").alias("root")))
