@@ -2,6 +2,7 @@
 
 from sievecraft.llm.decontaminate import OP7_SQL, op7_decontaminate
 from sievecraft.llm.exact_dedup import OP1_SQL, op1_exact_dedup
+from sievecraft.llm.filter_audit import OP13_SQL, op13_filter_audit
 from sievecraft.llm.html_extract import op8_html_extract
 from sievecraft.llm.packing import op10_best_fit_packing
 from sievecraft.llm.pii import op4_pii
@@ -22,10 +23,12 @@ QUERIES = {
     "op8_html_extract": op8_html_extract,
     "op9_url_filter": op9_url_filter,
     "op10_best_fit_packing": op10_best_fit_packing,
+    "op13_filter_audit": op13_filter_audit,
 }
 ORACLE_SQL = {
     "op1_exact_dedup": OP1_SQL,
     "op6_warc": OP6_SQL,
     "op7_decontaminate": OP7_SQL,
     "op9_url_filter": OP9_SQL,
+    "op13_filter_audit": OP13_SQL,
 }
