@@ -60,6 +60,20 @@ def in_slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield batch.slice(at, ROWS_AT_ONCE)
 
 
+#: Bytes of a text whose words are listed at once.
+PIECE = 1 << 20
+
+
+def word_lists(text: bytes) -> Iterator[list[bytes]]:
+    """The words between blanks, of some PIECE bytes at a time: of a very long text few are held at once."""
+    at = 0
+    while at < len(text):
+        end = text.find(b" ", at + PIECE)
+        end = len(text) if end < 0 else end
+        yield text[at:end].split()
+        at = end
+
+
 def text_or_empty(column: str = "text"):
     return F.coalesce(F.col(column).cast("string"), F.lit(""))
 

@@ -7,6 +7,7 @@ from sievecraft.llm.html_extract import op8_html_extract
 from sievecraft.llm.packing import op10_best_fit_packing
 from sievecraft.llm.pii import op4_pii
 from sievecraft.llm.quality import op3_quality_fm
+from sievecraft.llm.ranked_search import OP12_SQL, op12_ranked_search
 from sievecraft.llm.repeated_spans import op5_suffix_dedup
 from sievecraft.llm.simhash import op2_simhash_near_dedup
 from sievecraft.llm.url_filter import OP9_SQL, op9_url_filter
@@ -23,6 +24,7 @@ QUERIES = {
     "op8_html_extract": op8_html_extract,
     "op9_url_filter": op9_url_filter,
     "op10_best_fit_packing": op10_best_fit_packing,
+    "op12_ranked_search": op12_ranked_search,
     "op13_filter_audit": op13_filter_audit,
 }
 ORACLE_SQL = {
@@ -30,5 +32,6 @@ ORACLE_SQL = {
     "op6_warc": OP6_SQL,
     "op7_decontaminate": OP7_SQL,
     "op9_url_filter": OP9_SQL,
+    "op12_ranked_search": OP12_SQL,
     "op13_filter_audit": OP13_SQL,
 }
