@@ -6,6 +6,7 @@ from sievecraft.llm.filter_audit import OP13_SQL, op13_filter_audit
 from sievecraft.llm.html_extract import op8_html_extract
 from sievecraft.llm.packing import op10_best_fit_packing
 from sievecraft.llm.pii import op4_pii
+from sievecraft.llm.prefix_trees import OP11_SQL, op11_substring_dedup
 from sievecraft.llm.quality import op3_quality_fm
 from sievecraft.llm.ranked_search import OP12_SQL, op12_ranked_search
 from sievecraft.llm.repeated_spans import op5_suffix_dedup
@@ -24,6 +25,7 @@ QUERIES = {
     "op8_html_extract": op8_html_extract,
     "op9_url_filter": op9_url_filter,
     "op10_best_fit_packing": op10_best_fit_packing,
+    "op11_substring_dedup": op11_substring_dedup,
     "op12_ranked_search": op12_ranked_search,
     "op13_filter_audit": op13_filter_audit,
 }
@@ -32,6 +34,7 @@ ORACLE_SQL = {
     "op6_warc": OP6_SQL,
     "op7_decontaminate": OP7_SQL,
     "op9_url_filter": OP9_SQL,
+    "op11_substring_dedup": OP11_SQL,
     "op12_ranked_search": OP12_SQL,
     "op13_filter_audit": OP13_SQL,
 }
