@@ -32,7 +32,7 @@ PLACES = 10
 #: Distinct terms of the items that are searched in one pass (an item with more has a pass with no other).
 TERMS_AT_ONCE = 20_000
 #: A shard ends at so many documents, or after the document that brings so many postings.
-SHARD_DOCUMENTS, SHARD_POSTINGS = 4096, 200_000
+SHARD_DOCUMENTS, SHARD_POSTINGS = 1024, 50_000
 #: Children of a node.
 FAN = 16
 #: Shards that give an item its floor.
@@ -68,7 +68,7 @@ def _shards(docs: DataFrame, vocabulary: dict[bytes, int]) -> DataFrame:
         counts: list[int] = []
 
         def done() -> pa.RecordBatch:
-            term, place, count = np.array(terms, np.int32), np.array(places, np.int32), np.array(counts, np.int64)
+            term, place, count = np.array(terms, np.int32), np.array(places, np.int32), np.array(counts, np.int32)
             order = np.lexsort((place, term))
             seen, holding = np.unique(term, return_counts=True)
             columns = [pa.array([name]), pa.array([ids], pa.list_(kind)), pa.array([np.array(lengths, np.int64).tobytes()]), pa.array([len(ids)]), pa.array([sum(lengths)])]
@@ -175,7 +175,7 @@ def _searched(shards: DataFrame, queries: list[tuple[int, np.ndarray]], floors:
 
     def tree_of(row: dict) -> Tree:
         terms, places = np.frombuffer(row["terms"], np.int32), np.frombuffer(row["places"], np.int32)
-        counts = np.frombuffer(row["counts"], np.int64)
+        counts = np.frombuffer(row["counts"], np.int32).astype(np.int64)
         m = np.array([10 + 90 * x * n // total for x in np.frombuffer(row["lengths"], np.int64).tolist()], np.int64)
         values = weights[terms] * ((1_000_000_000 * counts) // (1000 * counts + 8 * m[places]))
         return Tree(terms, places, values, len(m))
