@@ -21,7 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
@@ -31,8 +31,10 @@ from sievecraft.llm.repeated_spans import _kind, _mix, _untouched, _with_lists
 LEAST, GRAM = 13, 5
 #: Suffixes of a subtree.
 LEAVES = 2000
-#: Windows whose anchors are found at once, and suffixes that a task sorts at once (beyond them only the subtree that it is in).
-BLOCK, TOGETHER = 1 << 18, 20_000
+#: Words whose anchors are found at once, about, and suffixes that a task sorts at once (beyond them only the subtree that it is in).
+BLOCK, TOGETHER = 1 << 16, 20_000
+#: Bits of a bitmap (fixed by bitmap_construct_agg), bitmaps of the largest filter (64 MB as such), and bits for each key.
+BITMAP, MAX_BITMAPS, FILTER_BITS = 32768, 16384, 8
 LOW = (1 << 20) - 1
 #: White space as blanks, other bytes of UTF-8 as themselves.
 WORD_BYTES = bytes(32 if 9 <= b <= 13 else b for b in range(256))
@@ -57,82 +59,132 @@ def word_hashes(text: bytes, hashes: Hashes) -> np.ndarray:
     return np.concatenate(parts) if parts else np.zeros(0, np.uint64)
 
 
+def _factors(n: int) -> np.ndarray:
+    return np.random.default_rng(11).integers(0, 1 << 63, n, np.uint64) * np.uint64(2) + np.uint64(1)
+
+
 def _rolled(ids: np.ndarray, n: int) -> np.ndarray:
     """Hashes of all runs of n words."""
-    factors = np.random.default_rng(11).integers(0, 1 << 63, n, np.uint64) * np.uint64(2) + np.uint64(1)
     sums = np.zeros(max(0, len(ids) - n + 1), np.uint64)
-    for k, factor in enumerate(factors):
+    for k, factor in enumerate(_factors(n)):
         sums += ids[k : k + len(sums)] * factor
     return _mix(sums)
 
 
-def places(ids: np.ndarray, least: int, gram: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """anchor, context, lo, hi: the windows that start from lo to hi have one anchor place."""
+def _rolled_at(ids: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
+    """Hashes of the runs of n words that start at some places."""
+    sums = np.zeros(len(at), np.uint64)
+    for k, factor in enumerate(_factors(n)):
+        sums += ids[at + k] * factor
+    return _mix(sums)
+
+
+def places(parts: list[tuple[int, int, np.ndarray]], least: int, gram: int) -> tuple[np.ndarray, ...]:
+    """row, anchor, context, lo, hi: the windows of a row that start from lo to hi have one anchor place.
+
+    A part (row, place of its first word, hashes) is a text or a stretch of one, which shares ``least`` - 1 words with the next; all are hashed as one array.
+    """
     size = least - gram + 1
-    for begin in range(0, len(ids) - least + 1, BLOCK):
-        part = ids[begin : begin + BLOCK + least - 1]
-        grams, windows = _rolled(part, gram), _rolled(part, least)
-        keyed = (grams & np.uint64(~LOW & (1 << 64) - 1)) | np.arange(len(grams), dtype=np.uint64)
-        smallest = keyed[: len(windows)].copy()
-        for k in range(1, size):
-            np.minimum(smallest, keyed[k : k + len(windows)], out=smallest)
-        anchor = (smallest & np.uint64(LOW)).astype(np.int64)
-        lo = np.concatenate([[0], np.flatnonzero(np.diff(anchor)) + 1])
-        hi = np.concatenate([lo[1:] - 1, [len(anchor) - 1]])
-        at = anchor[lo]
-        # the first and the last window overlap, so with the offset of the last they tell all words between
-        shape = ((hi - lo) * 4096 + (at - lo)).astype(np.uint64)
-        context = _mix(windows[lo] + _mix(windows[hi] + shape))
-        yield grams[at].view(np.int64), context.view(np.int64), (lo + begin).astype(np.int32), (hi + begin).astype(np.int32)
+    ids = np.concatenate([x for _, _, x in parts])
+    ends = np.cumsum([len(x) for _, _, x in parts])
+    of = np.repeat(np.arange(len(parts)), [len(x) for _, _, x in parts])
+    # no window reaches into the next part
+    begins = np.flatnonzero(ends[of] - np.arange(len(ids)) >= least)
+    if not len(begins):
+        return tuple(np.zeros(0, np.int64) for _ in range(5))
+    grams = _rolled(ids, gram)
+    keyed = (grams & np.uint64(~LOW & (1 << 64) - 1)) | np.arange(len(grams), dtype=np.uint64)
+    smallest = keyed[: len(keyed) - size + 1].copy()
+    for k in range(1, size):
+        np.minimum(smallest, keyed[k : k + len(smallest)], out=smallest)
+    anchor = (smallest[begins] & np.uint64(LOW)).astype(np.int64)
+    changes = np.flatnonzero((np.diff(anchor) != 0) | (np.diff(begins) != 1)) + 1
+    lo, hi = begins[np.concatenate([[0], changes])], begins[np.concatenate([changes - 1, [len(begins) - 1]])]
+    at = anchor[np.concatenate([[0], changes])]
+    # the first and the last window overlap, so with the offset of the last they tell all words between
+    shape = ((hi - lo) * 4096 + (at - lo)).astype(np.uint64)
+    context = _mix(_rolled_at(ids, lo, least) + _mix(_rolled_at(ids, hi, least) + shape))
+    part = of[lo]
+    rows, first = np.array([r for r, _, _ in parts]), np.array([f for _, f, _ in parts])
+    base = first[part] - (ends - [len(x) for _, _, x in parts])[part]
+    return rows[part], grams[at].view(np.int64), context.view(np.int64), lo + base, hi + base
 
 
 def anchor_places(docs: DataFrame, least: int, gram: int) -> DataFrame:
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = Hashes()
         for batch in batches:
-            rows, columns, size = [], [], 0
+            parts, size = [], 0
 
             def done() -> pa.RecordBatch:
-                at = pa.array(np.concatenate(rows))
-                found = [pa.array(np.concatenate(c)) for c in zip(*columns, strict=True)]
+                row, anchor, context, lo, hi = places(parts, least, gram)
+                at = pa.array(row)
+                found = [pa.array(anchor), pa.array(context), pa.array(lo.astype(np.int32)), pa.array(hi.astype(np.int32))]
                 return pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), *found], ["doc_id", "print", "anchor", "context", "lo", "hi"])
 
             for k, text in enumerate(batch.column(2)):
-                for found in places(word_hashes(text.as_py() or b"", hashes), least, gram):
-                    rows.append(np.full(len(found[0]), k))
-                    columns.append(found)
-                    size += len(found[0])
-                if size > 50_000:
-                    yield done()
-                    rows, columns, size = [], [], 0
-            if rows:
+                ids = word_hashes(text.as_py() or b"", hashes)
+                for begin in range(0, len(ids) - least + 1, BLOCK):
+                    parts.append((k, begin, ids[begin : begin + BLOCK + least - 1]))
+                    size += len(parts[-1][2])
+                    if size > BLOCK:
+                        yield done()
+                        parts, size = [], 0
+            if parts:
                 yield done()
 
     texts = docs.select("doc_id", text_print().alias("print"), F.col("text").cast("string").cast("binary").alias("text"))
     return texts.mapInArrow(made, f"doc_id {_kind(docs)}, print bigint, anchor bigint, context bigint, lo int, hi int")
 
 
+def _perhaps(rows: DataFrame, keys: DataFrame, n: int) -> DataFrame:
+    """The rows whose anchor may be among the ``n`` of ``keys``: all that are, and few others as long as the keys fit a broadcast filter of 64 MB."""
+    bitmaps = max(1, min(MAX_BITMAPS, -(-n * FILTER_BITS // BITMAP)))
+    place = lambda k: F.pmod(F.xxhash64("anchor", F.lit(k)), F.lit(BITMAP)).cast("int")
+    of = F.pmod(F.xxhash64("anchor"), F.lit(bitmaps))
+    set_ = keys.select(of.alias("of"), F.explode(F.array(place(1), place(2))).alias("place")).groupBy("of").agg(F.bitmap_construct_agg("place").alias("bits"))
+    number = lambda i: F.conv(F.hex(F.substring("bits", i * 4 + 1, F.lit(4))), 16, 10).cast("long")
+    filter_ = cut(set_.select("of", F.transform(F.sequence(F.lit(0), F.lit(BITMAP // 32 - 1)), number).alias("numbers")))
+
+    def is_set(p: Column) -> Column:
+        # in a number of four bytes the first has the lowest places
+        return F.getbit(F.element_at("numbers", F.shiftright(p, 5) + 1), (3 - F.shiftright(p, 3) % 4) * 8 + p % 8) == 1
+
+    met = rows.withColumn("of", of).join(F.broadcast(filter_), "of")
+    return met.where(is_set(place(1)) & is_set(place(2))).select(*rows.columns)
+
+
 def _suffixes(docs: DataFrame, undecided: DataFrame, least: int) -> DataFrame:
     """(doc_id, anchor, context, window, words): the suffixes of the places of ``undecided``, each cut at ``least`` words; a word is 8 bytes."""
-    names = ["doc_id", "anchor", "context", "window", "words"]
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = Hashes()
         for batch in batches:
+            held, size = [], 0
+
+            def done() -> pa.RecordBatch:
+                rows, anchor, context, window, words = (np.concatenate(x) for x in zip(*held, strict=True))
+                ends = pa.py_buffer((np.arange(len(rows) + 1) * 8 * least).astype(np.int32).tobytes())
+                binary = pa.BinaryArray.from_buffers(pa.binary(), len(rows), [None, ends, pa.py_buffer(words.astype(">u8").tobytes())])
+                columns = [batch.column(0).take(pa.array(rows)), pa.array(anchor), pa.array(context), pa.array(window.astype(np.int32)), binary]
+                return pa.RecordBatch.from_arrays(columns, ["doc_id", "anchor", "context", "window", "words"])
+
+            ends = batch.column(3).offsets.to_numpy()
+            lo, hi, anchors, contexts = (batch.column(3).values.field(c).to_numpy() for c in ("lo", "hi", "anchor", "context"))
             for k in range(batch.num_rows):
                 ids = np.lib.stride_tricks.sliding_window_view(word_hashes(batch.column(2)[k].as_py(), hashes), least)
-                listed = batch.column(3)[k].as_py()
-                for begin in range(0, len(listed), 1000):
-                    part = listed[begin : begin + 1000]
-                    sizes = np.array([e["hi"] - e["lo"] + 1 for e in part])
-                    window = np.concatenate([np.arange(n) for n in sizes])
-                    at = np.repeat([e["lo"] for e in part], sizes) + window
-                    words = ids[at].astype(">u8").tobytes()
-                    ends = pa.py_buffer((np.arange(len(at) + 1) * 8 * least).astype(np.int32).tobytes())
-                    own = [pa.array(np.repeat(np.array([e[c] for e in part], np.int64), sizes)) for c in ("anchor", "context")]
-                    doc_id = batch.column(0).take(pa.array(np.full(len(at), k)))
-                    binary = pa.BinaryArray.from_buffers(pa.binary(), len(at), [None, ends, pa.py_buffer(words)])
-                    yield pa.RecordBatch.from_arrays([doc_id, *own, pa.array(window.astype(np.int32)), binary], names)
+                for begin in range(ends[k], ends[k + 1], 1000):
+                    own = slice(begin, min(begin + 1000, ends[k + 1]))
+                    sizes = hi[own] - lo[own] + 1
+                    window = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+                    each = [np.repeat(x[own], sizes) for x in (anchors, contexts)]
+                    held.append((np.full(len(window), k), *each, window, ids[np.repeat(lo[own], sizes) + window]))
+                    size += len(window)
+                    if size > TOGETHER:
+                        yield done()
+                        held, size = [], 0
+            if held:
+                yield done()
 
     rows = undecided.withColumn("found", F.struct("lo", "hi", "anchor", "context"))
     keys = cut(undecided.select("doc_id", "print").distinct())
@@ -224,7 +276,7 @@ def repeated_places(docs: DataFrame, least: int = LEAST, gram: int = GRAM, leave
     some = found.groupBy("anchor").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("z"), F.max(F.col("doc_id").isNull()).alias("none"))
     # stored, so that joins have exchanges of their own, of which Spark can split the partition of a hot key
     shared = scratch.store(some.where("a < z or (none and a is not null)").select("anchor"))
-    found = scratch.store(found.join(shared, "anchor", "left_semi"))
+    found = scratch.store(_perhaps(found, shared, shared.count()).join(shared, "anchor", "left_semi"))
     doc = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id")
     place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "print", "lo", "hi")
     contexts = scratch.store(found.groupBy("anchor", "context").agg(F.min(place).alias("first"), F.max(doc).alias("last")))
@@ -241,6 +293,32 @@ def repeated_places(docs: DataFrame, least: int = LEAST, gram: int = GRAM, leave
     return met.where("windows != 0").select("doc_id", "print", "lo", "hi", "windows")
 
 
+def _without(text: bytes, lo: np.ndarray, hi: np.ndarray, bits: np.ndarray, least: int) -> tuple[int, int, bytes]:
+    """Numbers of words and of removed words, and the rest. In ``lo``, ``hi`` and ``bits`` are the text's places."""
+    starts = [(a, b) for a, b, w in zip(lo.tolist(), hi.tolist(), bits.tolist(), strict=True) if w == WHOLE]
+    starts += [(a + i, a + i) for a, b, w in zip(lo.tolist(), hi.tolist(), bits.tolist(), strict=True) if w != WHOLE for i in range(b - a + 1) if w >> i & 1]
+    runs: list[list[int]] = []
+    for a, b in sorted(starts):
+        if runs and a <= runs[-1][1]:
+            runs[-1][1] = max(b + least, runs[-1][1])
+        else:
+            runs.append([a, b + least])
+    kept: list[bytes] = []
+    at = first = gone = 0
+    for words in word_lists(text.translate(WORD_BYTES)):
+        end, left = at + len(words), at
+        while first < len(runs) and runs[first][0] < end:
+            a, b = max(runs[first][0], at), min(runs[first][1], end)
+            kept += words[left - at : a - at]
+            gone, left = gone + b - a, b
+            if runs[first][1] > end:
+                break
+            first += 1
+        kept += words[left - at :]
+        at = end
+    return at, gone, b" ".join(kept)
+
+
 def without_repeated_words(docs: DataFrame, least: int = LEAST, gram: int = GRAM, leaves: int = LEAVES) -> DataFrame:
     """doc_id, n_words, n_removed, kept (the remaining words, joined by one space) of each row.
 
@@ -257,36 +335,22 @@ def without_repeated_words(docs: DataFrame, least: int = LEAST, gram: int = GRAM
 
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            out: list[tuple] = []
+            size, first = 0, 0
+            ends = batch.column(2).offsets.to_numpy()
+            los, his, bits = (batch.column(2).values.field(c).to_numpy() for c in ("lo", "hi", "windows"))
             for k in range(batch.num_rows):
-                text, kept, at, gone = batch.column(1)[k].as_py() or b"", [], 0, 0
-                runs: list[list[int]] = []
-                spans = []
-                for e in batch.column(2)[k].as_py() or []:
-                    starts = [(e["lo"], e["hi"])] if e["windows"] == WHOLE else [(e["lo"] + i, e["lo"] + i) for i in range(e["hi"] - e["lo"] + 1) if e["windows"] >> i & 1]
-                    spans += [(a, b + least) for a, b in starts]
-                for a, b in sorted(spans):
-                    if runs and a <= runs[-1][1]:
-                        runs[-1][1] = max(b, runs[-1][1])
-                    else:
-                        runs.append([a, b])
-                first = 0
-                for words in word_lists(text.translate(WORD_BYTES)):
-                    end, left = at + len(words), at
-                    while first < len(runs) and runs[first][0] < end:
-                        a, b = max(runs[first][0], at), min(runs[first][1], end)
-                        kept += words[left - at : a - at]
-                        gone, left = gone + b - a, b
-                        if runs[first][1] > end:
-                            break
-                        first += 1
-                    kept += words[left - at :]
-                    at = end
-                columns = [pa.array([at]), pa.array([gone]), pa.array([b" ".join(kept)], pa.binary())]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(k, 1), *columns], ["doc_id", "n_words", "n_removed", "kept"])
+                own = slice(ends[k], ends[k + 1])
+                out.append(_without(batch.column(1)[k].as_py() or b"", los[own], his[own], bits[own], least))
+                size += len(out[-1][2])
+                if size > 1 << 22 or k == batch.num_rows - 1:
+                    columns = [pa.array(c, kind) for c, kind in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.binary()), strict=True)]
+                    yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, k + 1 - first), *columns], ["doc_id", "n_words", "n_removed", "kept"])
+                    out, size, first = [], 0, k + 1
 
     listed = found.withColumn("found", F.struct("lo", "hi", "windows"))
     touched = _with_lists(docs, listed, keys, n).select("doc_id", "text", "found")
-    rest = _untouched(docs, keys, n).select("doc_id", "text", F.lit(None).cast(touched.schema["found"].dataType).alias("found"))
+    rest = _untouched(docs, keys, n).select("doc_id", "text", F.array().cast(touched.schema["found"].dataType).alias("found"))
     result = touched.unionByName(rest).mapInArrow(remove, f"doc_id {_kind(docs)}, n_words bigint, n_removed bigint, kept binary")
     return result.withColumn("kept", F.col("kept").cast("string"))
 

@@ -73,19 +73,24 @@ def test_string_ids_and_long_texts(spark, monkeypatch):
     assert sorted(map(tuple, rows)) == plain(docs, 13)
 
 
-def test_every_window_has_one_place_and_equal_windows_equal_anchors(monkeypatch):
+def test_every_window_has_one_place_and_equal_windows_equal_anchors():
     r = random.Random(1)
-    text = " ".join(r.choice("abcd") for _ in range(3000)).encode()
-    ids = word_hashes(text, Hashes())
-    monkeypatch.setattr(prefix_trees, "BLOCK", 257)
-    seen, anchors = [], {}
-    for anchor, context, lo, hi in places(ids, 7, 3):
-        for a, c, i, j in zip(anchor.tolist(), context.tolist(), lo.tolist(), hi.tolist(), strict=True):
-            seen += range(i, j + 1)
-            for k in range(i, j + 1):
-                assert anchors.setdefault(tuple(ids[k : k + 7].tolist()), a) == a
-            assert anchors.setdefault((a, c), tuple(ids[i : j + 7].tolist())) == tuple(ids[i : j + 7].tolist())
-    assert seen == list(range(len(ids) - 6))
+    texts = [" ".join(r.choice("abcd") for _ in range(n)).encode() for n in (3000, 0, 6, 7, 8, 40, 500)]
+    ids = [word_hashes(t, Hashes()) for t in texts]
+    parts = [(k, b, x[b : b + 257 + 6]) for k, x in enumerate(ids) for b in range(0, len(x), 257)]
+    seen, anchors = {k: [] for k in range(len(ids))}, {}
+    for row, a, c, i, j in zip(*(x.tolist() for x in places(parts, 7, 3)), strict=True):
+        seen[row] += range(i, j + 1)
+        for k in range(i, j + 1):
+            assert anchors.setdefault(tuple(ids[row][k : k + 7].tolist()), a) == a
+        assert anchors.setdefault((a, c), tuple(ids[row][i : j + 7].tolist())) == tuple(ids[row][i : j + 7].tolist())
+    assert all(places == list(range(max(0, len(ids[k]) - 6))) for k, places in seen.items())
+
+
+def test_filter_passes_every_key_and_few_others(spark):
+    rows = spark.range(60_000).select(F.xxhash64("id").alias("anchor"), "id")
+    kept = prefix_trees._perhaps(rows, rows.where("id < 5000").select("anchor"), 5000)
+    assert kept.where("id < 5000").count() == 5000 and kept.count() < 5000 + 0.08 * 55_000
 
 
 def test_words_of_long_texts_come_in_pieces(monkeypatch):
