@@ -1,6 +1,6 @@
 """Queries over the driver tables, one or more for each operator, with the SQL that gives the same rows."""
 
-from sievecraft.queries import asking, checking, documents, evaluation, files, holding, more, records, secret, staged, state, weighing
+from sievecraft.queries import asking, checking, documents, evaluation, evidence_windows, files, holding, more, records, secret, staged, state, weighing
 
-QUERIES = {**documents.QUERIES, **evaluation.QUERIES, **records.QUERIES, **state.QUERIES, **more.QUERIES, **asking.QUERIES, **holding.QUERIES, **files.QUERIES, **weighing.QUERIES, **staged.QUERIES, **checking.QUERIES, **secret.QUERIES}
-ORACLE_SQL = {**documents.SQL, **evaluation.SQL, **records.SQL, **state.SQL, **more.SQL, **asking.SQL, **holding.SQL, **files.SQL, **weighing.SQL, **staged.SQL, **checking.SQL, **secret.SQL}
+QUERIES = {**documents.QUERIES, **evaluation.QUERIES, **records.QUERIES, **state.QUERIES, **more.QUERIES, **asking.QUERIES, **holding.QUERIES, **files.QUERIES, **weighing.QUERIES, **staged.QUERIES, **checking.QUERIES, **secret.QUERIES, **evidence_windows.QUERIES}
+ORACLE_SQL = {**documents.SQL, **evaluation.SQL, **records.SQL, **state.SQL, **more.SQL, **asking.SQL, **holding.SQL, **files.SQL, **weighing.SQL, **staged.SQL, **checking.SQL, **secret.SQL, **evidence_windows.SQL}
