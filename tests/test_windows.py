@@ -33,7 +33,7 @@ def plain(text):
         name, slot = header(line)
         behind = k - 2 in breaks
         begins = None
-        if name and not frozen and (k == 0 or behind or (highest is not None and name.startswith("prev"))) and (highest is None or slot > highest):
+        if name and not frozen and (k == 0 or behind or (highest is not None and name.startswith("prev("))) and (highest is None or slot > highest):
             begins, highest = name, slot
         elif k == 0 or (behind and name is None and not frozen and highest is None):
             begins = "unknown"
