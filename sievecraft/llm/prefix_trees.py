@@ -23,15 +23,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from xxhash import xxh64_intdigest
 
-from sievecraft.llm.common import Scratch, cut, table, text_print, word_lists
+from sievecraft.llm.common import PIECE, Scratch, cut, table, text_print, word_lists
 from sievecraft.llm.repeated_spans import _kind, _mix, _untouched, _with_lists
 
 LEAST, GRAM = 13, 5
 #: Suffixes of a subtree.
 LEAVES = 2000
-#: Words whose anchors are found at once, about, and suffixes that a task sorts at once (beyond them only the subtree that it is in).
+#: Words of a long text whose anchors are found at once (of short texts some 4 BLOCK bytes), and suffixes that a task sorts at once (beyond them only the subtree that it is in).
 BLOCK, TOGETHER = 1 << 16, 20_000
 #: Bits of a bitmap (fixed by bitmap_construct_agg), bitmaps of the largest filter (64 MB as such), and bits for each key.
 BITMAP, MAX_BITMAPS, FILTER_BITS = 32768, 16384, 8
@@ -42,21 +41,36 @@ WORD_BYTES = bytes(32 if 9 <= b <= 13 else b for b in range(256))
 WHOLE = -1
 
 
-class Hashes(dict):
-    """Hashes of words, remembered for so many of them."""
+class Hasher:
+    """Hashes of words: sums of random values of their bytes over powers, modulo 2^64."""
 
-    MOST = 500_000
+    BASE = 0x9E3779B97F4A7C15
 
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= self.MOST:
-            self.clear()
-        self[word] = found = xxh64_intdigest(word)
-        return found
+    def __init__(self) -> None:
+        self.values = np.random.default_rng(11).integers(0, 1 << 63, 256, np.uint64) * np.uint64(2) + np.uint64(1)
+        self.power = self.inverse = np.ones(0, np.uint64)
 
+    def _powers(self, n: int) -> None:
+        if n > len(self.power):
+            power, inverse = np.full(n, self.BASE, np.uint64), np.full(n, pow(self.BASE, -1, 1 << 64), np.uint64)
+            power[0] = inverse[0] = 1
+            self.power, self.inverse = np.multiply.accumulate(power), np.multiply.accumulate(inverse)
 
-def word_hashes(text: bytes, hashes: Hashes) -> np.ndarray:
-    parts = [np.fromiter(map(hashes.__getitem__, words), np.uint64, len(words)) for words in word_lists(text.translate(WORD_BYTES))]
-    return np.concatenate(parts) if parts else np.zeros(0, np.uint64)
+    def of(self, texts: list[bytes]) -> list[np.ndarray]:
+        """Hashes of the words of each of some short texts, which are hashed as one array."""
+        data = np.frombuffer(b" ".join(texts).translate(WORD_BYTES), np.uint8)
+        self._powers(len(data) + 1)
+        sums = np.zeros(len(data) + 1, np.uint64)
+        np.cumsum(self.values[data] * self.power[: len(data)], out=sums[1:])
+        edges = np.flatnonzero(np.diff((data != 32).astype(np.int8), prepend=np.int8(0), append=np.int8(0)))
+        starts, ends = edges[::2], edges[1::2]
+        hashes = _mix((sums[ends] - sums[starts]) * self.inverse[starts])
+        places = np.cumsum([len(t) + 1 for t in texts])
+        return np.split(hashes, np.searchsorted(starts, places[:-1]))
+
+    def words(self, text: bytes) -> np.ndarray:
+        """Hashes of the words of a text, some PIECE bytes at a time; a word is never cut."""
+        return np.concatenate(self.of([text]) if len(text) <= PIECE else [self.of([b" ".join(words)])[0] for words in word_lists(text.translate(WORD_BYTES))])
 
 
 def _factors(n: int) -> np.ndarray:
@@ -112,25 +126,37 @@ def places(parts: list[tuple[int, int, np.ndarray]], least: int, gram: int) -> t
 
 def anchor_places(docs: DataFrame, least: int, gram: int) -> DataFrame:
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = Hashes()
+        hasher = Hasher()
         for batch in batches:
-            parts, size = [], 0
+            parts: list[tuple[int, int, np.ndarray]] = []
+            short: list[tuple[int, bytes]] = []
+            size = 0
 
             def done() -> pa.RecordBatch:
+                if short:
+                    parts.extend((k, 0, ids) for (k, _), ids in zip(short, hasher.of([x for _, x in short]), strict=True))
                 row, anchor, context, lo, hi = places(parts, least, gram)
                 at = pa.array(row)
                 found = [pa.array(anchor), pa.array(context), pa.array(lo.astype(np.int32)), pa.array(hi.astype(np.int32))]
                 return pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), *found], ["doc_id", "print", "anchor", "context", "lo", "hi"])
 
             for k, text in enumerate(batch.column(2)):
-                ids = word_hashes(text.as_py() or b"", hashes)
-                for begin in range(0, len(ids) - least + 1, BLOCK):
-                    parts.append((k, begin, ids[begin : begin + BLOCK + least - 1]))
-                    size += len(parts[-1][2])
-                    if size > BLOCK:
-                        yield done()
-                        parts, size = [], 0
-            if parts:
+                text = text.as_py() or b""
+                if len(text) <= BLOCK:
+                    short.append((k, text))
+                    size += len(text)
+                else:
+                    ids = hasher.words(text)
+                    for begin in range(0, len(ids) - least + 1, BLOCK):
+                        parts.append((k, begin, ids[begin : begin + BLOCK + least - 1]))
+                        size += len(parts[-1][2])
+                        if size > BLOCK:
+                            yield done()
+                            parts, short, size = [], [], 0
+                if size > 4 * BLOCK:
+                    yield done()
+                    parts, short, size = [], [], 0
+            if parts or short:
                 yield done()
 
     texts = docs.select("doc_id", text_print().alias("print"), F.col("text").cast("string").cast("binary").alias("text"))
@@ -158,7 +184,7 @@ def _suffixes(docs: DataFrame, undecided: DataFrame, least: int) -> DataFrame:
     """(doc_id, anchor, context, window, words): the suffixes of the places of ``undecided``, each cut at ``least`` words; a word is 8 bytes."""
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = Hashes()
+        hasher = Hasher()
         for batch in batches:
             held, size = [], 0
 
@@ -172,7 +198,7 @@ def _suffixes(docs: DataFrame, undecided: DataFrame, least: int) -> DataFrame:
             ends = batch.column(3).offsets.to_numpy()
             lo, hi, anchors, contexts = (batch.column(3).values.field(c).to_numpy() for c in ("lo", "hi", "anchor", "context"))
             for k in range(batch.num_rows):
-                ids = np.lib.stride_tricks.sliding_window_view(word_hashes(batch.column(2)[k].as_py(), hashes), least)
+                ids = np.lib.stride_tricks.sliding_window_view(hasher.words(batch.column(2)[k].as_py()), least)
                 for begin in range(ends[k], ends[k + 1], 1000):
                     own = slice(begin, min(begin + 1000, ends[k + 1]))
                     sizes = hi[own] - lo[own] + 1
@@ -276,7 +302,8 @@ def repeated_places(docs: DataFrame, least: int = LEAST, gram: int = GRAM, leave
     some = found.groupBy("anchor").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("z"), F.max(F.col("doc_id").isNull()).alias("none"))
     # stored, so that joins have exchanges of their own, of which Spark can split the partition of a hot key
     shared = scratch.store(some.where("a < z or (none and a is not null)").select("anchor"))
-    found = scratch.store(_perhaps(found, shared, shared.count()).join(shared, "anchor", "left_semi"))
+    # an inner join: a semi join would be moved below the filter
+    found = scratch.store(_perhaps(found, shared, shared.count()).join(shared, "anchor"))
     doc = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id")
     place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "print", "lo", "hi")
     contexts = scratch.store(found.groupBy("anchor", "context").agg(F.min(place).alias("first"), F.max(doc).alias("last")))

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from sievecraft.llm import prefix_trees
 from sievecraft.llm.common import word_lists
-from sievecraft.llm.prefix_trees import Hashes, internal_nodes, places, without_repeated_words, word_hashes
+from sievecraft.llm.prefix_trees import Hasher, internal_nodes, places, without_repeated_words
 
 
 def words(text):
@@ -76,7 +76,7 @@ def test_string_ids_and_long_texts(spark, monkeypatch):
 def test_every_window_has_one_place_and_equal_windows_equal_anchors():
     r = random.Random(1)
     texts = [" ".join(r.choice("abcd") for _ in range(n)).encode() for n in (3000, 0, 6, 7, 8, 40, 500)]
-    ids = [word_hashes(t, Hashes()) for t in texts]
+    ids = [Hasher().words(t) for t in texts]
     parts = [(k, b, x[b : b + 257 + 6]) for k, x in enumerate(ids) for b in range(0, len(x), 257)]
     seen, anchors = {k: [] for k in range(len(ids))}, {}
     for row, a, c, i, j in zip(*(x.tolist() for x in places(parts, 7, 3)), strict=True):
@@ -94,11 +94,16 @@ def test_filter_passes_every_key_and_few_others(spark):
 
 
 def test_words_of_long_texts_come_in_pieces(monkeypatch):
-    text = b"ab  c " * 5000 + b"x" * 3000 + b" y"
+    r = random.Random(2)
+    text = b"ab  c " * 5000 + b"x" * 3000 + b" y\t\xc3\xa9\n" + b" ".join(bytes(r.choice(b"abc") for _ in range(r.randint(1, 9))) for _ in range(3000))
+    whole = Hasher().words(text)
+    known = {}
+    assert all(known.setdefault(w, h) == h for w, h in zip(text.split(), whole.tolist(), strict=True)) and len(set(known.values())) == len(known)
     monkeypatch.setattr("sievecraft.llm.common.PIECE", 64)
+    monkeypatch.setattr(prefix_trees, "PIECE", 64)
     assert [w for part in word_lists(text) for w in part] == text.split()
-    monkeypatch.setattr(Hashes, "MOST", 2)
-    assert len(set(word_hashes(text, Hashes()).tolist())) == 4
+    assert Hasher().words(text).tolist() == whole.tolist()
+    assert [x.tolist() for x in Hasher().of([b"", b"ab c", b" ", b"", b"c"])] == [[], [known[b"ab"], known[b"c"]], [], [], [known[b"c"]]]
 
 
 def test_internal_nodes_are_those_of_the_tree():
