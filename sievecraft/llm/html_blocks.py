@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import html
 import re
+from bisect import bisect_left
 from collections import Counter
 
 NAME = re.compile(r"[^\s/>]+")
@@ -17,6 +18,9 @@ ATTRIBUTE = re.compile(
 )
 KEPT = frozenset("class id role aria-label hidden".split())
 PIECE = re.compile(r"[A-Za-z]{2,}")
+#: A class with one of these words tells how a page looks, not what the element is (has-sidebar, share-enabled).
+STATES = frozenset("has with without no not is are enabled disabled active inactive show shown hide open closed layout col cols grid row js".split())
+COMMENT_ENDS = re.compile("--!?>")
 #: The content of these is raw up to their own end tag.
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
 #: Form controls: what they say is no text of the article, wherever they stand.
@@ -37,13 +41,21 @@ ENDS_P = frozenset(
 IN_HEAD = frozenset("base basefont bgsound link meta noframes noscript script style template title".split())
 
 
+#: Hidden elements that an unclosed tag leaves open; they end where a block begins before their own end tag comes.
+UNCLOSED = UNSEEN - RAW - {"head", "svg", "annotation", "annotation-xml", "input"}
+
+
 class Element:
-    """A block-level element: token ("tag word word", of its class, id, role), parent, and ``new``, the features no ancestor has."""
+    """A block-level element: token ("tag word word", of its class, id, role), parent, the characters of text and of links below it.
+
+    ``new`` are the features that no ancestor has. Those of an element that holds most of the page's text are features of their own: all
+    that a page has stands in its wrappers, whatever they are called.
+    """
 
-    __slots__ = ("token", "parent", "new")
+    __slots__ = ("token", "parent", "new", "size", "linked")
 
-    def __init__(self, token: str, parent: Element | None, new: list[str]):
-        self.token, self.parent, self.new = token, parent, new
+    def __init__(self, token: str, parent: Element | None):
+        self.token, self.parent, self.new, self.size, self.linked = token, parent, [], 0, 0
 
 
 class Block:
@@ -66,9 +78,36 @@ class Block:
         return tuple(e.token for e in self.around())[::-1]
 
 
-def element_features(token: str) -> list[str]:
+def element_features(token: str, wide: bool) -> list[str]:
     tag, *names = token.split(" ")
-    return [f"in {tag}", *(f"named {n}" for n in names)]
+    lead = "wide " if wide else ""
+    return [f"{lead}in {tag}", *(f"{lead}named {n}" for n in names)]
+
+
+#: Share of the page's text from which on an element is wide.
+WIDE = 0.5
+
+
+def measure(made: list[Block], elements: list[Element]) -> None:
+    """Sizes of the elements, in the order of their start tags, and their features."""
+    for block in made:
+        if block.within:
+            block.within.size += len(block.text)
+            block.within.linked += min(block.linked, len(block.text))
+    for e in reversed(elements):
+        if e.parent:
+            e.parent.size += e.size
+            e.parent.linked += e.linked
+    total = sum(len(block.text) for block in made)
+    path: list[tuple[Element, list[str]]] = []
+    features: Counter[str] = Counter()
+    for e in elements:
+        while path and path[-1][0] is not e.parent:
+            features.subtract(path.pop()[1])
+        own = element_features(e.token, e.size >= WIDE * total)
+        e.new = [f for f in own if not features[f]]
+        features.update(own)
+        path.append((e, own))
 
 
 def _tag(page: str, at: int, kept: list[tuple[str, str]]) -> int:
@@ -95,21 +134,24 @@ def _tag(page: str, at: int, kept: list[tuple[str, str]]) -> int:
 def _token(name: str, kept: list[tuple[str, str]]) -> str:
     words = [name]
     for key, value in kept:
-        words += ["hidden"] if key == "hidden" else [w.lower() for w in PIECE.findall(value)]
+        named = [[w.lower() for w in PIECE.findall(x)] for x in value.split()]
+        words += ["hidden"] if key == "hidden" else [w for part in named if STATES.isdisjoint(part) for w in part]
     return " ".join(dict.fromkeys(words))
 
 
 class _Reader:
     """The open elements and the text of the block that is being read."""
 
-    def __init__(self):
+    def __init__(self, page: str = ""):
+        self.page, self.at = page, 0  # the place behind the tag that is read
+        self.places: dict[str, tuple[list[int], list[int]]] = {}
         self.made: list[Block] = []
+        self.all: list[Element] = []
         self.names: list[str] = []  # of the open elements
         self.elements: list[Element | None] = []  # None for inline ones
         self.open: Counter[str] = Counter()
         self.scopes: list[Counter[str]] = [Counter()]  # elements opened since each open element of SCOPE
         self.lines: list[Counter[str]] = [Counter()]  # inline elements opened since each open block-level element
-        self.features: Counter[str] = Counter()
         self.within: Element | None = None
         self.pending: list[str] = []
         self.linked = self.unseen = 0
@@ -146,9 +188,8 @@ class _Reader:
             return
         self.flush()
         self.lines.append(Counter())
-        own = element_features(token)
-        self.within = Element(token, self.within, [f for f in own if not self.features[f]])
-        self.features.update(own)
+        self.within = Element(token, self.within)
+        self.all.append(self.within)
         self.elements.append(self.within)
 
     def leave(self) -> None:
@@ -162,10 +203,6 @@ class _Reader:
         else:
             self.flush()
             self.lines.pop()
-            for f in element_features(element.token):
-                self.features[f] -= 1
-                if not self.features[f]:
-                    del self.features[f]
             self.within = element.parent
         self.open[name] -= 1
         self.unseen -= name in UNSEEN
@@ -176,11 +213,24 @@ class _Reader:
             self.leave()
         self.leave()
 
+    def is_closed(self, name: str) -> bool:
+        """Whether the open element's end tag comes, and before another start tag of its name."""
+        if name not in self.places:
+            both = [[m.start() for m in re.finditer(rf"<{lead}{re.escape(name)}(?=[\s/>])", self.page, re.I)] for lead in ("", "/")]
+            self.places[name] = both[0], both[1]
+        starts, ends = self.places[name]
+        start, end = bisect_left(starts, self.at), bisect_left(ends, self.at)
+        return end < len(ends) and (start == len(starts) or ends[end] < starts[start])
+
     def start(self, name: str, kept: list[tuple[str, str]], closed: bool) -> None:
         if self.names and self.names[-1] == "head" and name not in IN_HEAD:
             self.leave()
         if name in CONTROLS and not self.unseen:
             self.pending.append(" ")
+        if self.unseen and name in ENDS_P:
+            for hidden in UNCLOSED:
+                while self.open[hidden] and not self.is_closed(hidden):
+                    self.leave_to({hidden})
         if name in ENDS_P and self.open["svg"] and not self.open["foreignobject"]:
             self.leave_to({"svg"})  # a drawing that was never closed ends where text goes on
         if name in VOID:
@@ -211,11 +261,17 @@ class _Reader:
 
 
 def blocks(page: str) -> list[Block]:
+    """As ``read``, the blocks alone."""
+    return read(page)[0]
+
+
+def read(page: str) -> tuple[list[Block], list[Element]]:
     """The leaf blocks of a page, in order, white space made single, character references decoded, without empty ones.
 
     Unclosed and misnested tags are closed as browsers do in the common cases; a tag cut off by the end of the page is dropped.
+    The elements come in the order of their start tags.
     """
-    reader, at = _Reader(), 0
+    reader, at = _Reader(page), 0
     while at < len(page):
         tag = page.find("<", at)
         if tag < 0:
@@ -227,8 +283,8 @@ def blocks(page: str) -> list[Block]:
             reader.text(page[at:tag])
             if page.startswith("<!--", tag):
                 short = page.startswith((">", "->"), tag + 4)
-                end = page.find(">" if short else "-->", tag + 4)
-                at = end + (1 if short else 3) if end >= 0 else len(page)
+                ends = None if short else COMMENT_ENDS.search(page, tag + 4)
+                at = page.find(">", tag) + 1 if short else ends.end() if ends else len(page)
             else:
                 at = page.find(">", tag) + 1 or len(page)
             continue
@@ -245,6 +301,7 @@ def blocks(page: str) -> list[Block]:
         if begin > tag + 1:
             reader.end(name)
             continue
+        reader.at = at
         reader.start(name, kept, page[at - 2] == "/")
         if name in RAW:
             end = re.compile(rf"</{name}(?=[\s/>])", re.I).search(page, at)
@@ -252,4 +309,4 @@ def blocks(page: str) -> list[Block]:
     while reader.names:
         reader.leave()
     reader.flush()
-    return reader.made
+    return reader.made, reader.all

@@ -98,3 +98,57 @@ def test_query_matches_an_independent_reader(spark):
         plain.feed(html[r.page_id] or "")
         plain.close()
         assert r.text == "\n".join(plain.out) and r.n_chars == len(r.text)
+
+
+RIVER = ["How rivers bend", "A river seldom runs straight for long, and the reasons are simple.", "Water on the outside of a bend moves faster. It carries soil away, and the bend grows.", "In the end the river cuts through the neck and leaves a lake behind."]
+H, P1, P2, P3 = RIVER
+BODY = f"<h1>{H}</h1><p>{P1}</p><p>{P2}</p><p>{P3}</p>"
+MENU = '<ul class="menu"><li><a href="/n">News</a></li><li><a href="/s">Sport</a></li><li><a href="/w">Weather</a></li></ul>'
+FOOT = '<div class="footer"><p>Copyright 2020 River Post</p></div>'
+#: Hand-labelled pages by shape: the page and the lines of its article.
+SHAPES = {
+    "body names a sidebar": (f'<body class="home has-sidebar sticky-header">{MENU}{BODY}{FOOT}</body>', RIVER),
+    "wrapper names a sidebar": (f'<body><div class="layout-with-sidebar share-enabled">{MENU}<div class="content">{BODY}</div></div>{FOOT}</body>', RIVER),
+    "wrapper is called as a region": (f'<body><div class="sidebar"><div class="header">{MENU}</div>{BODY}</div>{FOOT}</body>', RIVER),
+    "server form around the page": (f'<body><form id="aspnetForm" method="post"><div id="header">{MENU}</div><div id="main">{BODY}</div>{FOOT}</form></body>', RIVER),
+    "plain divs": (f'<body><div>{MENU}</div><div><div>{H}</div><div>{P1}</div><div>{P2}</div><div>{P3}</div></div>{FOOT}</body>', RIVER),
+    "paragraphs by line breaks alone": (f'<body>{MENU}<div id="content"><h1>{H}</h1>{P1}<br><br>{P2}<br>{P3}</div>{FOOT}</body>', [H, f"{P1} {P2} {P3}"]),
+    "table layout": (f'<body><table><tr><td class="navbar"><a href="/">Home</a> <a href="/x">Maps</a> <a href="/y">Books</a></td></tr><tr><td>{BODY}</td></tr><tr><td class="footer">Copyright 2020</td></tr></table></body>', RIVER),
+    "no classes at all": (f'<body><nav><a href="/">Home</a> <a href="/m">Maps</a></nav>{BODY}<footer>Copyright 2020 River Post</footer></body>', RIVER),
+    "list with links": (
+        f'<body>{MENU}<article><h1>{H}</h1><p>{P1}</p><ul><li><a href="/a">Read more books</a></li><li>Walk along a river</li><li><a href="/b">Look at old maps</a></li></ul><p>{P3}</p></article>{FOOT}</body>',
+        [H, P1, "Read more books", "Walk along a river", "Look at old maps", P3],
+    ),
+    "heading of a discussion": (
+        f'<body><article>{BODY}</article><section class="comments"><h3>What readers say</h3><div class="comment"><p>I saw such a lake last year, it was lovely.</p></div><div class="comment"><p>Thank you for the clear words.</p></div></section></body>', RIVER),
+    "more discussion than article": (
+        f'<body><article><h1>{H}</h1><p>{P1}</p></article><div id="comments"><h2>Discussion</h2>' + "".join(f"<div><p>I have seen number {k} of them, and it was a very fine lake with many birds and some boats on it.</p></div>" for k in range(12)) + "</div></body>", [H, P1]),
+    "advert and newsletter inside": (f'<body><main><h1>{H}</h1><p>{P1}</p><div class="advert">Boots for every river, now cheaper!</div><p>{P2}</p><form class="newsletter"><p>Get our letter</p><input></form><p>{P3}</p></main></body>', RIVER),
+    "side column": (f'<body><div class="row"><div class="col-8 content">{BODY}</div><div class="col-4 sidebar"><h3>Most read</h3><ul><li><a href="/1">Ten bridges</a></li><li><a href="/2">Old mills</a></li></ul></div></div>{FOOT}</body>', RIVER),
+    "cookie notice first": (f'<body><div id="cookie-banner"><p>We use cookies to make this site better.</p><button>OK</button></div><article>{BODY}</article>{FOOT}</body>', RIVER),
+    "unclosed label before the article": (f"<body><label>Search <input>{BODY}</body>", RIVER),
+    "unclosed paragraphs": (f"<body><article><h1>{H}</h1><p>{P1}<p>{P2}<p>{P3}</article><footer>Copyright 2020</body>", RIVER),
+    "comment that ends with a bang": (f"<body><article><h1>{H}</h1><p>{P1}</p><!-- x --!><p>{P2}</p></article></body>", [H, P1, P2]),
+    "quote and preformatted text": (f"<body><article><h1>{H}</h1><p>{P1}</p><blockquote>{P2}</blockquote><pre>one\n two</pre></article></body>", [H, P1, P2, "one two"]),
+    "header inside the article": (f'<body><header class="site-header">{MENU}</header><article><header><h1>{H}</h1></header><p>{P1}</p><p>{P2}</p></article>{FOOT}</body>', [H, P1, P2]),
+    "breadcrumbs and share bar": (f'<body><nav class="breadcrumbs"><a href="/">Home</a> &gt; <a href="/r">Rivers</a></nav><article>{BODY}<div class="share"><a href="#">Share</a> <a href="#">Tweet</a></div></article>{FOOT}</body>', RIVER),
+    "deep wrappers": ("<body>" + "".join(f'<div class="w{k} page-header-layout">' for k in range(8)) + BODY + "</div>" * 8 + FOOT + "</body>", RIVER),
+    "table of figures": (f"<body><main><h1>{H}</h1><p>{P1}</p><table><tr><th>River</th><th>Length</th></tr><tr><td>Elbe</td><td>1094 km</td></tr></table><p>{P2}</p></main></body>", [H, P1, "River", "Length", "Elbe", "1094 km", P2]),
+}
+
+
+def test_hand_labelled_shapes():
+    got = {name: main_text(page, default_field()).split("\n") for name, (page, _) in SHAPES.items()}
+    assert got == {name: lines for name, (_, lines) in SHAPES.items()}
+
+
+def test_hidden_elements_end_where_blocks_begin():
+    for name in ("label", "button", "select", "object", "video", "canvas", "audio", "noscript"):
+        assert texts(f"<body><{name}>x<p>First</p><p>Second</p></body>") == ["First", "Second"], name
+        assert texts(f"<{name}>x<div>no</div></{name}><p>First</p>") == ["First"], name
+        assert texts(f"<{name}>x<p>First</p><{name}>no</{name}><p>Second") == ["First", "Second"], name
+    assert texts("<p>a</p><!-- x --!><p>b</p><!-- y -- ! --><p>c</p>") == ["a", "b", "c"]
+    begin = time.time()
+    for page in ("<label><p>" * 100_000, "<button>" * 50_000 + "<div>" * 50_000 + "</button>" * 50_000, "<!-- --!" * 300_000):
+        blocks(page)
+    assert time.time() - begin < 60

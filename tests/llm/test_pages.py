@@ -2,7 +2,7 @@ import numpy as np
 
 from sievecraft.llm import url_filter
 from sievecraft.llm.html_blocks import blocks
-from sievecraft.llm.html_extract import default_field, extract, labelled_pages, main_text, marginals
+from sievecraft.llm.html_extract import default_field, extract, labelled_pages, main_text, marginals, measured
 from sievecraft.llm.url_filter import RULES, judge
 
 
@@ -48,7 +48,7 @@ def test_field_finds_the_main_text_of_unseen_pages():
     field = default_field()
     right = total = 0
     for page, labels in labelled_pages(150, seed=77):
-        found = field.decode(blocks(page))
+        found = field.decode(*measured(page))
         assert len(found) == len(labels)
         right += sum(a == b for a, b in zip(found, labels, strict=True))
         total += len(labels)
@@ -59,14 +59,15 @@ def test_field_finds_the_main_text_of_unseen_pages():
 
 def test_viterbi_and_marginals_match_enumeration():
     field = default_field()
-    page = blocks(labelled_pages(3, seed=5)[1][0])[:9]
-    e, t = np.array(field.emissions(page)), np.array(field.transitions)
+    found, total = measured(labelled_pages(3, seed=5)[1][0])
+    page = found[:9]
+    e, t = np.array(field.emissions(page, total)), np.array(field.transitions)
     n = len(e)
     scores = []
     for m in range(1 << n):
         y = [m >> k & 1 for k in range(n)]
         scores.append((sum(e[k] for k in range(n) if y[k]) + sum(t[a][b] for a, b in zip(y, y[1:], strict=False)), y))
-    assert max(scores)[1] == field.decode(page)
+    assert max(scores)[1] == field.decode(page, total)
     z = np.logaddexp.reduce([s for s, _ in scores])
     want = sum(np.exp(s - z) * np.array(y) for s, y in scores)
     assert np.allclose(marginals(e, t)[0], want)
