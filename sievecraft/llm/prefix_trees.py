@@ -250,14 +250,21 @@ def _repeated(suffixes: DataFrame, least: int, leaves: int, kind: str, scratch:
     """(anchor, context, window) of the suffixes that also begin in a smaller document."""
     lengths = [n for n in (1, 2, 4, 8, 16, 32) if n < least] + [least]
     prefix = lambda n: F.xxhash64(F.lit(n), F.substring("words", 1, 8 * n))
-    each = F.explode(F.array(*[F.struct(F.lit(n).alias("length"), prefix(n).alias("prefix")) for n in lengths])).alias("x")
-    full = scratch.store(suffixes.select(each).groupBy("x.length", "x.prefix").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > leaves).drop("n"))
-    rows, group = suffixes, F.lit(None).cast("long")
-    for n in reversed(lengths):
-        over = full.where(F.col("length") == n).select(F.col("prefix").alias(f"prefix{n}"))
-        rows = rows.join(over, prefix(n) == F.col(f"prefix{n}"), "left")
-        group = F.when(F.col(f"prefix{n}").isNull(), prefix(n)).otherwise(group)
-    rows = scratch.store(rows.select(*suffixes.columns, group.alias("group")))
+    rows, left, group, whole = suffixes, suffixes, F.lit(None).cast("long"), False
+    told: list[tuple[Column, Column]] = []
+    for n in lengths:
+        # only suffixes whose shorter prefixes have too many are counted by the next
+        full = left.groupBy(prefix(n).alias(f"prefix{n}")).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > leaves).select(f"prefix{n}")
+        full = scratch.store(full)
+        rows = rows.join(full, prefix(n) == F.col(f"prefix{n}"), "left")
+        told.append((F.col(f"prefix{n}").isNull(), prefix(n)))
+        if full.isEmpty():
+            break
+        left = left.join(full, prefix(n) == F.col(f"prefix{n}"), "left_semi")
+        whole = n == least
+    for ends, key in reversed(told):
+        group = F.when(ends, key).otherwise(group)
+    rows = rows.select(*suffixes.columns, group.alias("group"))
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -286,7 +293,9 @@ def _repeated(suffixes: DataFrame, least: int, leaves: int, kind: str, scratch:
 
     together = rows.where("group is not null").repartition("group").sortWithinPartitions("group", "words")
     found = together.mapInArrow(made, "anchor bigint, context bigint, window int")
-    hot = rows.where("group is null")
+    if not whole:
+        return found
+    hot = scratch.store(rows.where("group is null"))
     first = scratch.store(hot.groupBy("words").agg(F.min("doc_id").alias("first")))
     later = hot.join(first, "words").where("first is not null and (doc_id is null or doc_id > first)")
     return found.unionByName(later.select("anchor", "context", "window"))
