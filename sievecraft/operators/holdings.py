@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 # Stems of files that point at others, folders of notes that retell a change, states of a set from the best on.
 HUBS = ("index", "catalog", "tools-used", "handoff", "readme")
-WRITEUPS = ("superjev-pr-history", "pr-history")
+WRITEUPS = ("pr-history",)
 STATES = ("ready", "stale", "refreshing", "failed")
 # Folders of fixtures and samples.
 FIXTURES = (
@@ -23,15 +23,15 @@ def stem(path: Column) -> Column:
     return F.lower(F.regexp_replace(name, r"(?<=.)\.[^.]*$", ""))
 
 
-def copy_kind(path: Column) -> Column:
-    """hub, copy or writeup for a path that stands for other files; null for a file of its own."""
+def copy_kind(path: Column, writeups: tuple[str, ...] = WRITEUPS) -> Column:
+    """hub, copy or writeup (below a folder of that name) for a path that stands for other files; null for a file of its own."""
     folders = F.transform(F.slice(F.split(path, "/"), F.lit(1), F.size(F.split(path, "/")) - 1), F.lower)
     own = stem(path)
     copied = F.exists(folders, lambda x: (x == "_staging") | x.contains("template"))
     return (
         F.when(own.isin(*HUBS, "profile"), "hub")
         .when(own.contains("template") | copied, "copy")
-        .when(F.exists(folders, lambda x: x.isin(*WRITEUPS)), "writeup")
+        .when(F.exists(folders, lambda x: x.isin(*writeups)), "writeup")
     )
 
 
@@ -185,7 +185,7 @@ def only_judge_blocks(verdicts: DataFrame, kinds: DataFrame, weak: tuple[str, ..
 
     An unknown arm counts as one that can't be overruled; without a blocking verdict the answer is no.
     """
-    rows = verdicts.join(F.broadcast(kinds), "arm", "left")
+    rows = verdicts.join(kinds, "arm", "left")
     soft = F.col("kind") == "judge"
     if weak is not None:
         soft = soft & F.col("verdict").isin(*weak)

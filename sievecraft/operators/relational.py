@@ -69,7 +69,7 @@ def safe_keys(records: DataFrame, pos: str = "pos") -> DataFrame:
                 keys.append(f"{key}_{n}")
             yield batch.assign(key=keys)
 
-    ordered = rows.join(F.broadcast(tied), "_stem", "left_semi").repartition("_stem").sortWithinPartitions("_stem", pos)
+    ordered = rows.join(tied, "_stem", "left_semi").repartition("_stem").sortWithinPartitions("_stem", pos)
     return free.unionByName(ordered.mapInPandas(numbered, ordered.schema)).drop("_stem")
 
 

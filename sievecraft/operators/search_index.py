@@ -102,13 +102,13 @@ def shortlist(index: Index, query: DataFrame, sets: list[str], people: list[str]
     """
     files = scoped(index.files, sets, people)
     numbers = files.agg(F.count(F.lit(1)).alias("n"), F.avg("size").alias("average")).first()
-    hits = index.postings.join(F.broadcast(query.distinct()), "word").join(files.select("path", "size"), "path")
+    hits = index.postings.join(query.distinct(), "word").join(files.select("path", "size"), "path")
     hits = hits.groupBy("path", "size", "term").agg(F.sum("n").alias("tf"))
     df = hits.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     idf = F.log(1 + (F.lit(numbers.n) - F.col("df") + 0.5) / (F.col("df") + 0.5))
     norm = K1 * (1 - B + B * F.col("size") / F.lit(float(numbers.average or 1.0)))
     part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + norm)
-    scores = hits.join(F.broadcast(df), "term").groupBy("path").agg(F.sum(part).alias("s"))
+    scores = hits.join(df, "term").groupBy("path").agg(F.sum(part).alias("s"))
     return scores.select("path", (F.floor(F.col("s") * 1000 + 0.5) / F.lit(1000.0)).alias("score")).orderBy(F.desc("score"), "path").limit(k)
 
 

@@ -110,7 +110,7 @@ def p31_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return told.groupBy("window_id", "section", "kind").agg(F.count(F.lit(1)).alias("n"), F.min("line").alias("first_line"), F.min(F.md5("raw")).alias("least"))
 
 
-def w9_newest(spark: SparkSession, sf_dir: str) -> DataFrame:
+def w9_newest_piece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _shown(W.newest(W.pieces(_lines(spark, sf_dir))))
 
 
@@ -158,11 +158,11 @@ ruled AS (SELECT b.*, rival, denied, CASE WHEN rival IS NOT NULL THEN 'A' WHEN b
 SELECT window_id, number, rule IS NOT NULL AS blocked,
        CASE rule WHEN 'A' THEN CASE WHEN state = 'MERGED' THEN rival ELSE raw_state END WHEN 'B' THEN denied WHEN 'C' THEN raw_state END AS raw_state, rule FROM ruled"""
 
-QUERIES = {"s14_pieces": s14_pieces, "p31_lines": p31_lines, "w9_newest": w9_newest, "w9_receipts": w9_receipts, "j19_verdicts": j19_verdicts}
+QUERIES = {"s14_pieces": s14_pieces, "p31_lines": p31_lines, "w9_newest_piece": w9_newest_piece, "w9_receipts": w9_receipts, "j19_verdicts": j19_verdicts}
 SQL = {
     "s14_pieces": f"WITH {LINES} SELECT {_COLUMNS}, rank FROM pieces",
     "p31_lines": f"WITH {LINES} SELECT window_id, section, kind, count(*) AS n, min(line) AS first_line, min(md5(raw)) AS least FROM lines WHERE held AND kind IN ('fact', 'receipt', 'claim') GROUP BY ALL",
-    "w9_newest": f"WITH {LINES} SELECT {_COLUMNS} FROM (SELECT *, row_number() OVER (PARTITION BY window_id ORDER BY rank DESC, piece DESC) AS nth FROM pieces WHERE kind <> 'header' AND rank IS NOT NULL) WHERE nth = 1",
+    "w9_newest_piece": f"WITH {LINES} SELECT {_COLUMNS} FROM (SELECT *, row_number() OVER (PARTITION BY window_id ORDER BY rank DESC, piece DESC) AS nth FROM pieces WHERE kind <> 'header' AND rank IS NOT NULL) WHERE nth = 1",
     "w9_receipts": f"WITH {LINES}, named AS ({_NUMBERS}) SELECT window_id, number, CAST(row_number() OVER (PARTITION BY window_id, number ORDER BY rank DESC NULLS LAST, piece) AS INTEGER) AS place, piece, section FROM named",
     "j19_verdicts": J19,
 }

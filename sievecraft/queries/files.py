@@ -32,7 +32,7 @@ def s3_read_catalog(spark, sf_dir):
 
 def s10_read_journal(spark, sf_dir):
     """Events as an append-only journal, in two appends."""
-    rows = table(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("runId"), F.col("ts").cast("string").alias("timestamp"), F.col("event_type").alias("type"), F.col("event_id").cast("int").alias("step"), F.col("props").alias("data"))
+    rows = table(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("runId"), F.col("ts").cast("string").alias("timestamp"), F.col("event_type").alias("type"), F.col("event_id").cast("long").alias("step"), F.col("props").alias("data"))
     with scratch(spark) as folder:
         S.append_ledger(rows.where("type = 'click'"), folder)
         S.append_ledger(rows.where("type is null or type <> 'click'"), folder)
@@ -54,6 +54,6 @@ SQL = {
     "s3_read_catalog": f"""
         WITH x AS (SELECT {d('id', 'doc_id', 4)} = 0 AS by_place, CASE WHEN {d('u', 'doc_id', 3)} > 0 THEN len(string_split(text, chr(10))) ELSE 0 END AS u FROM documents)
         SELECT by_place, count(*) AS n, CAST(sum(u) AS BIGINT) AS utterances, count(*) AS ids FROM x GROUP BY by_place""",
-    "s10_read_journal": """SELECT CAST(user_id AS VARCHAR) AS "runId", event_type AS type, CAST(event_id AS INT) AS step, md5(props) AS data_md5 FROM events""",
+    "s10_read_journal": """SELECT CAST(user_id AS VARCHAR) AS "runId", event_type AS type, CAST(event_id AS BIGINT) AS step, md5(props) AS data_md5 FROM events""",
     "s11_read_decisions": f"SELECT CAST(doc_id AS VARCHAR) AS case_id, 'verdict ' || {d('v', 'doc_id', 50)} AS verdict, CASE WHEN {d('d', 'doc_id', 2)} = 0 THEN 'true' ELSE 'false' END AS decision FROM documents",
 }

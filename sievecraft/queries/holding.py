@@ -302,7 +302,7 @@ SQL = {
         SELECT path, sha, CASE WHEN {d('label', 'doc_id', 4)} <> 0 THEN 'label' || doc_id END AS label, CASE WHEN {d('item', 'doc_id', 4)} <> 0 THEN 'item' || doc_id END AS item FROM f""",
     "p18_copy_kinds": f"""
         WITH p AS ({SQL_PATHS}), s AS (SELECT id, {SQL_STEM} AS stem, {SQL_FOLDERS} AS f FROM p)
-        SELECT id, stem, CASE WHEN stem IN {HUBS} OR stem = 'profile' THEN 'hub' WHEN contains(stem, 'template') OR len(list_filter(f, lambda z: z = '_staging' OR contains(z, 'template'))) > 0 THEN 'copy' WHEN list_has_any(f, ['superjev-pr-history', 'pr-history']) THEN 'writeup' END AS kind,
+        SELECT id, stem, CASE WHEN stem IN {HUBS} OR stem = 'profile' THEN 'hub' WHEN contains(stem, 'template') OR len(list_filter(f, lambda z: z = '_staging' OR contains(z, 'template'))) > 0 THEN 'copy' WHEN list_has_any(f, ['pr-history']) THEN 'writeup' END AS kind,
                stem IN {HUBS} OR contains(stem, 'template') AS hub FROM s""",
     "p17_path_tests": f"""
         WITH p AS ({SQL_PATHS}), q AS (SELECT *, CASE WHEN id % 2 = 0 THEN regexp_replace(path, '[^/]*$', '') ELSE path END AS named FROM p)

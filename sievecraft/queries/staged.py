@@ -45,8 +45,10 @@ def r12_retrieval(spark, sf_dir):
     """Every source's name as a request over all sources and turns of conversations as chunks, with made-up scores, states and judgements."""
     names = table(spark, sf_dir, "documents").select(F.col("source").alias("request")).distinct()
     turns = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("source"), F.col("turn").alias("idx"))
-    asked = F.explode(F.array_distinct(F.transform(F.sequence(F.lit(0), F.lit(39)), lambda k: (F.conv(F.substring(F.md5(F.concat(F.lit("pick"), "request", k.cast("string"))), 1, 4), 16, 10).cast("bigint") % 97)))).alias("source")
-    pairs = names.select("request", asked)
+    # each source of the table is asked for by one request at least, and by the requests whose digits meet its own
+    own = turns.select("source").distinct().withColumn("home", digit("home", F.col("source"), 20)).select("source", F.explode(F.array_distinct(F.array("home", digit("more", F.col("source"), 20)))).alias("slot"))
+    slots = names.select("request", F.regexp_extract("request", "([0-9]+)$", 1).cast("long").alias("slot"))
+    pairs = slots.join(own, "slot").select("request", "source")
     key = F.concat_ws("/", "request", F.col("source").cast("string"))
     described = pairs.select("request", "source", (digit("s", key, 4) / F.lit(4.0)).alias("score"), (digit("c", key, 90) / F.lit(100.0)).alias("confidence"), (digit("ok", F.col("request"), 11) > 0).alias("complete"))
     chunk = F.concat_ws("/", "request", F.col("source").cast("string"), F.col("idx").cast("string"))
@@ -72,7 +74,8 @@ def _retrieval_sql() -> str:
     taken = " ".join(f"WHEN 'ready/{name}' THEN -(g{s}.best).m" for name, s in stages)
     return f"""
     WITH q AS (SELECT DISTINCT source AS request FROM documents),
-    p AS (SELECT DISTINCT request, CAST(CAST('0x' || substr(md5('pick' || request || k), 1, 4) AS INT) % 97 AS BIGINT) AS source FROM q, range(0, 40) r(k)),
+    i AS (SELECT DISTINCT conv_id AS source FROM conversations), o AS (SELECT source, {d('home', 'source', 20)} AS slot FROM i UNION SELECT source, {d('more', 'source', 20)} FROM i),
+    p AS (SELECT request, source FROM q JOIN o ON slot = CAST(regexp_extract(request, '([0-9]+)$', 1) AS BIGINT)),
     e AS (SELECT *, request || '/' || source AS k FROM p), b AS (SELECT request, {d('ok', 'request', 11)} > 0 AS complete FROM q),
     l AS (SELECT request, source FROM (SELECT *, row_number() OVER (PARTITION BY request ORDER BY {d('s', 'k', 4)} DESC, {d('c', 'k', 90)} DESC, source) AS n FROM e) WHERE n <= 3),
     c AS (SELECT request, source, turn AS idx, {d('bm', "(request || '/' || source || '/' || turn)", 900)} / 10.0 AS score FROM p JOIN conversations ON conv_id = source),

@@ -86,7 +86,7 @@ def r14_with_choice(spark, sf_dir):
 def w8_near_twins(spark, sf_dir):
     """Hosts whose first pages are near twins; likeness of names is not for SQL."""
     rows = table(spark, sf_dir, "pages").select(F.regexp_extract("url", "//([^/]*)", 1).alias("q"), F.regexp_extract("url", "//([^?#]*)", 1).alias("path"), "page_id")
-    listed = rows.withColumn("score", 1 - digit("sc", F.col("page_id"), 12) / F.lit(100.0)).dropDuplicates(["q", "path"])
+    listed = rows.groupBy("q", "path").agg(F.max(1 - digit("sc", F.col("page_id"), 12) / F.lit(100.0)).alias("score"))
     return Z.near_twins(ranked(listed, ["q"], [F.desc("score"), F.col("path")]), "q")
 
 
@@ -230,7 +230,7 @@ QUERIES = {
 }
 SQL_FOLDED = "replace(lower(strip_accents(lower({0}))), 'ß', 'ss')"
 TERMS = ("tionand", "theron", "erinrents", "thanon")
-SQL_STANDS = f"({SQL_STEM} IN {HUBS} OR {SQL_STEM} = 'profile' OR contains({SQL_STEM}, 'template') OR len(list_filter({SQL_FOLDERS}, lambda z: z = '_staging' OR contains(z, 'template') OR z IN ('superjev-pr-history', 'pr-history'))) > 0)"
+SQL_STANDS = f"({SQL_STEM} IN {HUBS} OR {SQL_STEM} = 'profile' OR contains({SQL_STEM}, 'template') OR len(list_filter({SQL_FOLDERS}, lambda z: z = '_staging' OR contains(z, 'template') OR z = 'pr-history')) > 0)"
 SQL_LISTED = f"""WITH p AS ({SQL_PATHS}), x AS (SELECT string_split(path, '/')[2] AS q, path || '-' || id AS path, CASE WHEN {d('in', 'id', 4)} <> 0 THEN {d('co', 'id', 100)} / 100.0 END AS content, {d('in', 'id', 4)} = 0 AS unsure, {d('he', 'id', 13)} = 0 AS held, {d('ro', 'id', 90)} / 100.0 AS route, {d('rr', 'id', 30)} AS rr FROM p),
     k AS (SELECT *, unsure AS possible, CASE WHEN unsure THEN route ELSE content END AS score FROM x WHERE NOT held AND (content >= 0.6 OR unsure)),
     r AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY unsure, score DESC, route DESC, rr, path DESC) AS rank FROM k), l AS (SELECT q, path, score, possible, CAST(rank AS INT) AS rank FROM r WHERE rank <= 5)"""
@@ -282,12 +282,17 @@ SQL = {
     "d7_held_components": """
         WITH m AS (SELECT c_custkey AS member, min(c_custkey) OVER (PARTITION BY c_nationkey, c_mktsegment) AS g, bool_or(c_acctbal > 9990) OVER (PARTITION BY c_nationkey, c_mktsegment) AS held FROM customer) SELECT member, g AS "group" FROM m WHERE held""",
     "j9_call_sites": f"""
-        WITH r AS (SELECT conv_id, turn, 'fn' || {d('part', 'k', 60)} AS part, ['fn' || {d('one', 'k', 60)}, 'fn' || {d('two', 'k', 60)}] AS calls FROM (SELECT *, conv_id || '/' || turn AS k FROM conversations))
-        SELECT p.conv_id AS path, part AS name, c.conv_id AS caller, min(c.turn) AS line FROM (SELECT conv_id, part FROM r WHERE turn = 0) p JOIN (SELECT conv_id, turn, unnest(calls) AS call FROM r) c ON call = part AND c.conv_id <> p.conv_id GROUP BY ALL""",
+        WITH r AS (SELECT conv_id, turn, 'fn' || {d('part', 'k', 60)} AS part, ['fn' || {d('one', 'k', 60)}, 'fn' || {d('two', 'k', 60)}] AS calls FROM (SELECT *, conv_id || '/' || turn AS k FROM conversations)),
+        p AS (SELECT DISTINCT conv_id AS path, part AS name FROM r WHERE turn = 0),
+        u AS (SELECT path, name, min(line) AS line FROM (SELECT conv_id AS path, turn AS line, unnest(calls) AS name FROM r) GROUP BY ALL)
+        SELECT path, name, 'has' AS role, CAST(NULL AS INT) AS line, (SELECT count(*) FROM u WHERE u.name = p.name AND u.path <> p.path) AS others, (SELECT min(path) FROM u WHERE u.name = p.name AND u.path <> p.path) AS other FROM p WHERE others > 0
+        UNION ALL SELECT path, name, 'uses', CAST(line AS INT), (SELECT count(*) FROM p WHERE u.name = p.name AND u.path <> p.path) AS others, (SELECT min(path) FROM p WHERE u.name = p.name AND u.path <> p.path) FROM u WHERE others > 0""",
     "j10_named_in": f"""
         WITH r AS (SELECT conv_id, turn, 'note-' || {d('file', 'k', 90)} || '.md' AS name, 'note-' || {d('see', 'k', 90)} || '.md' AS see, {d('not', 'k', 90)} AS other FROM (SELECT *, conv_id || '/' || turn AS k FROM conversations)),
-        m AS (SELECT p.conv_id AS of, p.name, c.conv_id AS path, c.turn AS line, 'see ' || see || ', not xnote-' || other || '.md.' AS says, row_number() OVER (PARTITION BY p.conv_id, p.name, c.conv_id ORDER BY c.turn) AS k FROM (SELECT conv_id, name FROM r WHERE turn = 0) p JOIN r c ON c.see = p.name AND c.conv_id <> p.conv_id)
-        SELECT of, name, path, line, says FROM m WHERE k = 1""",
+        p AS (SELECT DISTINCT conv_id AS path, name FROM r WHERE turn = 0),
+        u AS (SELECT path, name, min(line) AS line, arg_min(says, line) AS says FROM (SELECT conv_id AS path, see AS name, turn AS line, 'see ' || see || ', not xnote-' || other || '.md.' AS says FROM r) GROUP BY ALL)
+        SELECT path, name, 'has' AS role, CAST(NULL AS INT) AS line, CAST(NULL AS VARCHAR) AS says, (SELECT count(*) FROM u WHERE u.name = p.name AND u.path <> p.path) AS others, (SELECT min(path) FROM u WHERE u.name = p.name AND u.path <> p.path) AS other FROM p WHERE others > 0
+        UNION ALL SELECT path, name, 'uses', CAST(line AS INT), says, (SELECT count(*) FROM p WHERE u.name = p.name AND u.path <> p.path) AS others, (SELECT min(path) FROM p WHERE u.name = p.name AND u.path <> p.path) FROM u WHERE others > 0""",
     "s8_stat_changes": f"""
         WITH x AS (SELECT page_id, {d('new', 'page_id', 9)} = 0 AS moved, {d('tm', 'page_id', 3)} = 0 AS tm, {d('ch', 'page_id', 4)} = 0 AND md5(url) <> md5(html) AS ch FROM pages)
         SELECT 'p' || page_id AS path, CASE WHEN moved THEN 'new' WHEN NOT tm THEN 'same' WHEN ch THEN 'changed' ELSE 'touched' END AS state FROM x UNION ALL SELECT 'p' || page_id || '-old', 'gone' FROM x WHERE moved""",

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from sievecraft.plans.lineage import cut
 
 CATALOG = "id string, text string, utterances array<string>, negatives array<string>, tags array<string>, _corrupt string"
-EVENT = "runId string, timestamp string, type string, step int, data string, _corrupt string"
+EVENT = "runId string, timestamp string, type string, step bigint, data string, _corrupt string"
 
 
 def _json(spark: SparkSession, path: str, schema: str) -> DataFrame:
@@ -39,7 +39,7 @@ def numbered(rows: DataFrame) -> DataFrame:
     before = F.sum("_n").over(W.partitionBy(F.lit(0)).orderBy("_file", "_part").rowsBetween(W.unboundedPreceding, -1))
     offsets = counts.select("_file", "_part", F.coalesce(before, F.lit(0)).alias("_before"))
     nth = F.row_number().over(W.partitionBy("_file", "_part").orderBy("_at")) - 1
-    return marked.join(F.broadcast(offsets), ["_file", "_part"]).withColumn("pos", F.col("_before") + nth).drop("_file", "_part", "_at", "_before")
+    return marked.join(offsets, ["_file", "_part"]).withColumn("pos", F.col("_before") + nth).drop("_file", "_part", "_at", "_before")
 
 
 def read_catalog(spark: SparkSession, path: str) -> DataFrame:
