@@ -248,7 +248,7 @@ def _copies_in(matrix: np.ndarray, ids: list, least: int) -> list[int]:
 
 def _repeated(suffixes: DataFrame, least: int, leaves: int, kind: str, scratch: Scratch) -> DataFrame:
     """(anchor, context, window) of the suffixes that also begin in a smaller document."""
-    lengths = [n for n in (1, 2, 4, 8, 16, 32) if n < least] + [least]
+    lengths = [n for n in (2, 6, 18) if n < least] + [least]
     prefix = lambda n: F.xxhash64(F.lit(n), F.substring("words", 1, 8 * n))
     rows, left, group, whole = suffixes, suffixes, F.lit(None).cast("long"), False
     told: list[tuple[Column, Column]] = []
