@@ -35,6 +35,8 @@ MAX_BROADCAST = 100_000
 DATE = "2000-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 MAGIC = b"\x1f\x8b\x08"
+#: Bytes within which the headers of a record end, and the name and comment of a gzip member; a member is inflated by as many.
+HEAD, NAMES, CHUNK = 1 << 16, 1 << 10, 1 << 16
 START = re.compile(rb"WARC/1\.[0-9]\r\n|\x1f\x8b\x08")
 FIELDS = "kind string, path string, start bigint, end bigint, page_id string, url string, record_type string, payload_bytes bigint, payload_digest string, refers_to string, payload binary, reason string"
 
@@ -130,7 +132,9 @@ def _ident(value: str | None) -> str | None:
 
 def parse_record(data: bytes, at: int) -> tuple[dict | None, int, str]:
     """The record at ``at`` and its end, or None and what is wrong with it."""
-    head_end = data.find(b"\r\n\r\n", at)
+    # another version line ends the search, so many in a row are each looked at once
+    other = data.find(b"\r\nWARC/1.", at, at + HEAD)
+    head_end = data.find(b"\r\n\r\n", at, at + HEAD if other < 0 else other + 4)
     if head_end < 0:
         return None, at, "headers without end"
     head = _headers(data[at:head_end])
@@ -160,14 +164,33 @@ def parse_record(data: bytes, at: int) -> tuple[dict | None, int, str]:
     return made, end + 4, ""
 
 
+def _member_head(data: bytes, at: int) -> bool:
+    """Whether the header of a gzip member may stand at ``at``: no reserved flags, and its name and comment end within NAMES bytes."""
+    flags, here = data[at + 3 : at + 4], at + 10
+    if not flags or flags[0] & 0xE0:
+        return False
+    if flags[0] & 4:
+        here += 2 + int.from_bytes(data[here : here + 2], "little")
+    for bit in (8, 16):
+        if flags[0] & bit:
+            here = data.find(b"\0", here, here + NAMES) + 1
+            if not here:
+                return False
+    return here < len(data)
+
+
 def _member(data: bytes, at: int) -> tuple[bytes | None, int]:
-    """Content and end of the gzip member at ``at``; None if it is broken or cut off."""
-    inflate = zlib.decompressobj(31)
+    """Content and end of the gzip member at ``at``; None if it is broken or cut off. Of what follows at most CHUNK bytes are read."""
+    if not _member_head(data, at):
+        return None, at
+    inflate, whole, parts, here, size = zlib.decompressobj(31), memoryview(data), [], at, 1 << 9
     try:
-        content = inflate.decompress(memoryview(data)[at:])
+        while not inflate.eof and here < len(data):
+            parts.append(inflate.decompress(whole[here : here + size]))
+            here, size = here + size, min(2 * size, CHUNK)
     except zlib.error:
         return None, at
-    return (content, len(data) - len(inflate.unused_data)) if inflate.eof else (None, at)
+    return (b"".join(parts), min(here, len(data)) - len(inflate.unused_data)) if inflate.eof else (None, at)
 
 
 def salvage(data: bytes) -> Iterator[dict]:

@@ -1,5 +1,6 @@
 import gzip
 import hashlib
+import time
 
 from sievecraft.llm.common import shared_dir
 from sievecraft.llm.warc import op6_warc, read_archives, salvage, write_archives
@@ -59,3 +60,20 @@ def test_salvage_of_broken_archives(spark, tmp_path):
     assert [x["page_id"] for x in found if x["kind"] == "record"] == ["1", "2", "4", "5", "6", "9"]
     assert sum(x["end"] - x["start"] for x in found if x["kind"] == "gap") == len(broken)
     assert list(salvage(b"")) == [] and [x["kind"] for x in salvage(b"no archive")] == ["gap"]
+
+
+def test_reading_takes_time_in_proportion():
+    """Many small members, false gzip marks, version lines in a row, and members with names and extra fields."""
+    record = b"WARC/1.1\r\nWARC-Type: resource\r\nWARC-Record-ID: <urn:page:%d>\r\nContent-Length: 400\r\n\r\n" + bytes(range(40, 240)) * 2 + b"\r\n\r\n"
+    members = b"".join(gzip.compress(record % k, 1, mtime=0) for k in range(60_000))
+    begin = time.time()
+    assert sum(x["kind"] == "record" for x in salvage(members)) == 60_000
+    for mark in (b"\x1f\x8b\x08", b"\x1f\x8b\x08\x00", b"\x1f\x8b\x08\x08\0\0\0\0\0\0a", b"\x1f\x8b\x08\x00\0\0\0\0\0\xff\x01\xff\xff\0\0"):
+        assert [x["kind"] for x in salvage(mark * 200_000)] == ["gap"]
+    assert [x["kind"] for x in salvage(b"WARC/1.1\r\nWARC-Type: x\r\n" * 60_000 + b"\r\n")] == ["gap"]
+    assert [x["kind"] for x in salvage(b"WARC/1.1\r\n" + b"a: b\r\n" * 20_000 + b"\r\n" + record % 7)] == ["gap", "record"]
+    assert time.time() - begin < 90
+    named = bytearray(gzip.compress(record % 5, mtime=0))
+    named[3] |= 4 + 8 + 16
+    found = list(salvage(bytes(named[:10]) + b"\x03\0abc" + b"name\0" + b"comment\0" + bytes(named[10:])))
+    assert [x["page_id"] for x in found] == ["5"]
