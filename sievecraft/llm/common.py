@@ -78,7 +78,14 @@ def text_or_empty(column: str = "text"):
     return F.coalesce(F.col(column).cast("string"), F.lit(""))
 
 
+#: Rows of an Arrow batch, where the session doesn't say otherwise: rows hold whole texts, and both sides of a Python function hold whole batches.
+BATCH_ROWS, BATCH_SETTING, SPARKS_OWN = "512", "spark.sql.execution.arrow.maxRecordsPerBatch", "10000"
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table of the folder. Sets the session's Arrow batches to BATCH_ROWS unless it has a number of its own."""
+    if spark.conf.get(BATCH_SETTING, SPARKS_OWN) == SPARKS_OWN:
+        spark.conf.set(BATCH_SETTING, BATCH_ROWS)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
