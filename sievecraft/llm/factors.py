@@ -13,7 +13,7 @@ def _dense(keys: np.ndarray) -> np.ndarray:
     """Rank of each key, equal keys alike. About 30 bytes for each key at most."""
     ranks = np.zeros(len(keys), np.int32)
     if len(keys):
-        order = np.argsort(keys, kind="stable")
+        order = np.argsort(keys)  # ties in any order
         ordered = keys[order]
         changes = ordered[1:] != ordered[:-1]
         del ordered
@@ -86,7 +86,7 @@ def factors(text: np.ndarray, places: np.ndarray, most: int) -> tuple[np.ndarray
     if not len(places):
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
     levels = ranks_by_prefixes(text, most)
-    order = places[np.lexsort((places, levels[-1][1][places]))]
+    order = places[np.argsort(levels[-1][1][places].astype(np.int64) * len(text) + places)]
     found = []
     for sign in (1, -1):
         longest = np.zeros(len(order), np.int64)

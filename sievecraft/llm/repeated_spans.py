@@ -7,7 +7,7 @@ match is possible, without losing any:
    anchor. Equal strings have equal anchors at equal offsets. The strings of one anchor place are a short context.
 2. Anchors that occur once can't belong to a repeated string, and their places are dropped. Contexts that have one hash
    stand for each other: of each the bytes of its first place are read, and of its last where there is another.
-3. The differing contexts of each anchor are brought together, and a longest-previous-factor array over them, from the previous and
+3. The differing contexts of each anchor are brought together (equal bytes once, since a copy's longest earlier match is the first of them), and a longest-previous-factor array over them, from the previous and
    next smaller places in suffix order, tells which of their strings occur earlier (or, with the next factors, at all).
    What it finds in the last copy of a context holds for all of its copies.
    The differing contexts of an anchor with over GROUP of them aren't gathered: each is held against its own copy only, and their
@@ -18,6 +18,7 @@ Hashes are sums of random 64-bit values over powers modulo 2^64; contexts are co
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -197,15 +198,30 @@ def _compared(parts: DataFrame, least: int, first_stays: bool, kind: str) -> Dat
     """Spans (doc_id, print, anchor, context, kind, lo, begin, end) of the strings in each part that the factor arrays of its group find repeated."""
 
     def compare(rows: list[tuple]) -> list[tuple]:
-        starts, previous, other = repeats([r[-1] for r in rows], least)
+        # equal parts of a group stand in the array once: the longest earlier match of a later one is the first, and goes on to its end
+        first: dict[tuple, int] = {}
+        copies: Counter[tuple] = Counter()
+        differing: Counter = Counter()
+        for k, row in enumerate(rows):
+            part = row[0], row[-1]
+            copies[part] += 1
+            if first.setdefault(part, k) == k:
+                differing[row[0]] += 1
+        several = {part: i for i, part in enumerate(part for part in first if differing[part[0]] > 1)}
+        starts, previous, other = repeats([part for _, part in several], least)
         flagged = previous if first_stays else other
         out: list[tuple] = []
-        for (_, doc_id, print_, lo, place, anchor, context, part), start in zip(rows, starts.tolist(), strict=True):
+        for k, (group, doc_id, print_, lo, place, anchor, context, part) in enumerate(rows):
             if place == MET:
                 continue
-            inside = np.concatenate([[0], flagged[start : start + len(part)].astype(np.int8), [0]])
-            edges = np.flatnonzero(np.diff(inside)).reshape(-1, 2)
-            out += [(doc_id, print_, anchor, context, place, lo, lo + a, lo + b - 1 + least) for a, b in edges.tolist()]
+            key = group, part
+            if (first[key] < k) if first_stays else copies[key] > 1:
+                out.append((doc_id, print_, anchor, context, place, lo, lo, lo + len(part)))
+            elif key in several:
+                start = starts[several[key]]
+                inside = np.concatenate([[0], flagged[start : start + len(part)].astype(np.int8), [0]])
+                edges = np.flatnonzero(np.diff(inside)).reshape(-1, 2)
+                out += [(doc_id, print_, anchor, context, place, lo, lo + a, lo + b - 1 + least) for a, b in edges.tolist()]
         return out
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
