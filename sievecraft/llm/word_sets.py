@@ -79,10 +79,19 @@ def _listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], ["fp", "hashes"])
 
 
+#: Shingles of the sets of some pairs up to which the sets are broadcast (8 bytes each, for either side of the pairs); more are shuffled with the pairs.
+MAX_BROADCAST_SHINGLES = 2_000_000
+
+
 def _similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Pairs (u, v) of similarity 0.8 at least: 10 i >= 8 (a + b - i)."""
-    u = sets.select(F.col("fp").alias("u"), F.col("hashes").alias("hu"))
-    v = sets.select(F.col("fp").alias("v"), F.col("hashes").alias("hv"))
+    """Pairs (u, v) of similarity 0.8 at least: 10 i >= 8 (a + b - i). A few sets that meet in many pairs are not carried with each pair."""
+    pairs = cut(pairs)
+    met = pairs.select(F.explode(F.array("u", "v")).alias("fp")).distinct()
+    sets = sets.join(met, "fp", "left_semi")
+    few = (sets.agg(F.sum(F.size("hashes"))).first()[0] or 0) <= MAX_BROADCAST_SHINGLES
+    u, v = (sets.select(F.col("fp").alias(c), F.col("hashes").alias(f"h{c}")) for c in "uv")
+    if few:
+        u, v = F.broadcast(u), F.broadcast(v)
     both = F.size(F.array_intersect("hu", "hv"))
     return pairs.join(v, "v").join(u, "u").where(9 * both >= 4 * (F.size("hu") + F.size("hv"))).select("u", "v")
 
@@ -109,7 +118,7 @@ def prefix_pairs(sets: DataFrame) -> DataFrame:
 
 
 def prefixes(sets: DataFrame) -> DataFrame:
-    """Postings (h, fp, c, n, short, i) of the first fifth of each set in the order of frequency: i is the place, short the end of the first ninth."""
+    """Postings (h, before, fp, c, n, short, i) of the first fifth of each set in the order of frequency: i is the place, before the shingle at the place before, short the end of the first ninth."""
     rows = sets.select("fp", "c", F.size("hashes").alias("n"), F.explode("hashes").alias("h"))
     df = cut(rows.groupBy("h").agg(F.count(F.lit(1)).alias("df")).where("df > 1"))
     total = df.agg(F.sum("df").alias("s")).first().s or 0
@@ -119,8 +128,10 @@ def prefixes(sets: DataFrame) -> DataFrame:
     ordered = rows.join(hot, "h").unionByName(cold.withColumn("df", F.coalesce("df", F.lit(1))))
     ordered = ordered.groupBy("fp", "c", "n").agg(F.array_sort(F.collect_list(F.struct("df", "h"))).alias("s"))
     long, short = F.col("n") - F.ceil(F.col("n") * 4 / 5) + 1, F.col("n") - F.ceil(F.col("n") * 8 / 9) + 1
-    first = ordered.select("fp", "c", "n", short.alias("short"), F.posexplode(F.slice("s", F.lit(1), long.cast("int"))).alias("i", "t")).where("t.df > 1")
-    return first.select("fp", "c", "n", "short", "i", F.col("t.h").alias("h"))
+    head = lambda n: F.slice("s", F.lit(1), n.cast("int"))
+    behind = F.concat(F.array(F.lit(None).cast("bigint")), F.transform(head(long - 1), lambda t: t["h"]))
+    first = ordered.select("fp", "c", "n", short.alias("short"), F.posexplode(F.arrays_zip(head(long).alias("t"), behind.alias("before"))).alias("i", "z")).where("z.t.df > 1")
+    return first.select("fp", "c", "n", "short", "i", F.col("z.t.h").alias("h"), F.col("z.before").alias("before"))
 
 
 def prefix_stars(first: DataFrame) -> DataFrame:
@@ -132,13 +143,17 @@ def prefix_stars(first: DataFrame) -> DataFrame:
 
 
 def joined_prefixes(first: DataFrame) -> DataFrame:
-    """Pairs (u, v) of postings of one shingle, of different components."""
-    a = first.where("i < short").select("h", F.col("fp").alias("a"), F.col("c").alias("ca"), F.col("n").alias("na"), F.col("i").alias("ia"))
-    b = first.select("h", F.col("fp").alias("b"), F.col("c").alias("cb"), F.col("n").alias("nb"), F.col("i").alias("ib"))
+    """Pairs (u, v) of postings of one shingle, of different components.
+
+    Where the shingles before are one too, the pair has met there already: of a run of shingles that two prefixes share only the first is joined.
+    """
+    a = first.where("i < short").select("h", F.col("before").alias("before_a"), F.col("fp").alias("a"), F.col("c").alias("ca"), F.col("n").alias("na"), F.col("i").alias("ia"))
+    b = first.select("h", F.col("before").alias("before_b"), F.col("fp").alias("b"), F.col("c").alias("cb"), F.col("n").alias("nb"), F.col("i").alias("ib"))
     smaller = (F.col("na") < F.col("nb")) | ((F.col("na") == F.col("nb")) & (F.col("a") < F.col("b")))
     left = F.least(F.col("na") - F.col("ia"), F.col("nb") - F.col("ib"))
     enough = (9 * left >= 4 * (F.col("na") + F.col("nb"))) & (5 * F.col("na") >= 4 * F.col("nb"))
-    met = a.join(b, "h").where((F.col("ca") != F.col("cb")) & smaller & enough)
+    anew = ~F.coalesce(F.col("before_a") == F.col("before_b"), F.lit(False))
+    met = a.join(b, "h").where((F.col("ca") != F.col("cb")) & smaller & enough & anew)
     return met.select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).distinct()
 
 
