@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sievecraft.functions.text import bound_once
 from sievecraft.operators import excerpts as X
 from sievecraft.operators import ordering as O
 
@@ -42,37 +43,41 @@ def f19_excerpts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as files, lines of one or two words as headings: what is read of each, and what is quoted."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     text = F.regexp_replace(F.coalesce("text", F.lit("")), r"(?dm)^([^ \n]+ ?[^ \n]*)$", "## $1")
-    rows = docs.select("doc_id", F.concat("source", F.lit("/doc "), F.col("doc_id").cast("string"), F.lit(".md")).alias("path"), X.excerpt(text).alias("shown"))
-    rows = rows.select("doc_id", "shown", X.quoted(F.col("path"), F.col("shown")).alias("q"))
-    return rows.select(
-        "doc_id", F.size("shown.headings").alias("n_headings"), F.md5(F.array_join("shown.headings", "\n")).alias("headings_md5"), F.size("shown.samples").alias("n_samples"),
-        F.md5(F.array_join("shown.samples", "\n--\n")).alias("samples_md5"), "q.description", "q.question", "q.subject",
-    )
+    path = F.concat("source", F.lit("/doc "), F.col("doc_id").cast("string"), F.lit(".md"))
+    # one expression a row: columns that are used twice would be computed twice
+    told = lambda s: F.struct(
+        F.size(s["headings"]).alias("n_headings"), F.md5(F.array_join(s["headings"], "\n")).alias("headings_md5"), F.size(s["samples"]).alias("n_samples"),
+        F.md5(F.array_join(s["samples"], "\n--\n")).alias("samples_md5"), X.quoted(path, s).alias("q"))
+    rows = docs.select("doc_id", F.explode(F.array(bound_once(X.excerpt(text), told))).alias("r"))
+    return rows.select("doc_id", "r.n_headings", "r.headings_md5", "r.n_samples", "r.samples_md5", "r.q.description", "r.q.question", "r.q.subject")
 
 
 def _samples() -> tuple[str, str]:
-    """Columns that go from sample to sample, and the list of those that are taken."""
-    columns, last = [], "-1"
+    """A CTE for each sample, which goes on from the one before, and the list of those that are taken."""
+    steps, last = ["s0 AS (SELECT * FROM e)"], "-1"
     for i in range(X.SAMPLES):
-        columns += [
-            f"{X.START} + {i} * (length(text) - {X.START}) // {X.SAMPLES} AS f{i}",
-            f"CASE WHEN strpos(substr(text, f{i} + 1), chr(10)) > 0 THEN f{i} + strpos(substr(text, f{i} + 1), chr(10)) ELSE 0 END AS p{i}",
-            f"substr(text, p{i} + 1, {X.SAMPLE_CHARS}) AS q{i}",
-            f"regexp_replace(CASE WHEN p{i} + {X.SAMPLE_CHARS} >= length(text) THEN q{i} ELSE regexp_replace(q{i}, '(?s)^(.+)[ \\n][^ \\n]*$', '\\1') END, '^\\s+|\\s+$', '', 'g') AS t{i}",
-            f"p{i} > 0 AND ({last} < 0 OR p{i} >= {last} + {X.SAMPLE_CHARS}) AND t{i} <> '' AS u{i}",
-            f"CASE WHEN u{i} THEN p{i} ELSE {last} END AS l{i}",
+        place = f"{X.START} + {i} * (length(text) - {X.START}) // {X.SAMPLES}"
+        cut = f"CASE WHEN p{i} + {X.SAMPLE_CHARS} >= length(text) THEN q{i} ELSE regexp_replace(q{i}, '(?s)^(.+)[ \\n][^ \\n]*$', '\\1') END"
+        steps += [
+            f"a{i} AS (SELECT *, strpos(substr(text, {place} + 1), chr(10)) AS n{i} FROM s{i})",
+            f"b{i} AS (SELECT *, CASE WHEN n{i} > 0 THEN {place} + n{i} ELSE 0 END AS p{i} FROM a{i})",
+            f"c{i} AS (SELECT *, substr(text, p{i} + 1, {X.SAMPLE_CHARS}) AS q{i} FROM b{i})",
+            f"d{i} AS (SELECT *, regexp_replace({cut}, '^\\s+|\\s+$', '', 'g') AS t{i} FROM c{i})",
+            f"e{i} AS (SELECT *, p{i} > 0 AND ({last} < 0 OR p{i} >= {last} + {X.SAMPLE_CHARS}) AND t{i} <> '' AS u{i} FROM d{i})",
+            f"s{i + 1} AS (SELECT *, CASE WHEN u{i} THEN p{i} ELSE {last} END AS l{i} FROM e{i})",
         ]
         last = f"l{i}"
-    return ", ".join(columns), "list_filter([" + ", ".join(f"CASE WHEN u{i} THEN t{i} END" for i in range(X.SAMPLES)) + "], lambda z: z IS NOT NULL)"
+    return ",\n".join(steps), "list_filter([" + ", ".join(f"CASE WHEN u{i} THEN t{i} END" for i in range(X.SAMPLES)) + "], lambda z: z IS NOT NULL)"
 
 
-_COLUMNS, _TAKEN = _samples()
+_STEPS, _TAKEN = _samples()
 F19 = rf"""WITH d AS (SELECT doc_id, source, regexp_replace(coalesce(text, ''), '(?m)^([^ \n]+ ?[^ \n]*)$', '## \1', 'g') AS text FROM documents),
 h AS (SELECT doc_id, source, text, list_transform(list_filter(string_split(text, chr(10)), lambda z: ltrim(z, ' ') LIKE '#%'), lambda z: trim(z)) AS f FROM d),
 g AS (SELECT *, f[{X.HEADS + 1}:] AS rest FROM h),
 e AS (SELECT *, list_concat(f[1:{X.HEADS}], list_transform(CASE WHEN len(rest) > {X.MORE_HEADS}
         THEN list_concat([rest[i * len(rest) // {X.MORE_HEADS} + 1] for i in range(0, {X.MORE_HEADS - 1})], [rest[len(rest)]]) ELSE rest END, lambda z: substr(z, 1, {X.HEAD_CHARS}))) AS heads FROM g),
-s AS (SELECT *, {_COLUMNS} FROM e),
+{_STEPS},
+s AS (SELECT * FROM s{X.SAMPLES}),
 t AS (SELECT doc_id, source, heads, CASE WHEN length(text) > {X.SAMPLE_OVER} THEN {_TAKEN} ELSE [] END AS samples,
         list_filter(list_transform(heads, lambda z: trim(regexp_replace(z, '^#+', ''))), lambda z: z <> '') AS titles,
         list_filter(string_split_regex(array_to_string([trim(z) for z in string_split(substr(text, 1, {X.START}), chr(10)) if trim(z) <> '' AND z NOT LIKE '#%'], ' '), '\s+'), lambda z: z <> '')[1:{X.QUOTED_WORDS}] AS words FROM s)
