@@ -1,12 +1,14 @@
 """A store of approved answers as versioned tables: changes are written first and published after, so a reader sees whole versions only.
 
-A version is a folder of changes (put or deleted answers) and a marker that publishes it. The marker is created by one writer alone: a second one that
-wrote the same version fails and merges again on top of the new state. Changes that were written and never published belong to no version. A reader takes of each key the last change up to
+A version is a folder of changes (put or deleted answers) and a marker that publishes it. A writer claims the next version by a file that only one can create: a second one that
+wrote the same version fails and merges again on top of the new state. Changes that were written and never published belong to no version, and a claim whose writer was lost before its
+marker is an empty version once its lease is over. A reader takes of each key the last change up to
 the version that it reads; compaction writes the state of a version as a table of its own, from which later reads start. All tables are read and written by Spark's own sources.
 """
 
 from __future__ import annotations
 
+import time
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -26,12 +28,12 @@ class Conflict(RuntimeError):
 class Store:
     """The store in a folder that all executors and the driver share."""
 
-    def __init__(self, spark: SparkSession, folder: str):
-        self.spark, self.folder = spark, folder
+    def __init__(self, spark: SparkSession, folder: str, lease: float = 600.0):
+        self.spark, self.folder, self.lease = spark, folder, lease
         jvm = spark.sparkContext._jvm.org.apache.hadoop.fs
         self.path = lambda *parts: jvm.Path("/".join((folder, *parts)))
         self.files = self.path().getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-        for part in ("published", "compacted"):
+        for part in ("claims", "published", "compacted"):
             self.files.mkdirs(self.path(part))
 
     def _numbers(self, part: str) -> dict[int, str]:
@@ -40,17 +42,23 @@ class Store:
         return {int(n): table for n, _, table in (x.partition("=") for x in names if "=" in x)}
 
     def version(self) -> int:
-        """The last published version, 0 of an empty store. Versions are published in order and without gaps."""
-        return max(self._numbers("published"), default=0)
-
-    def _publish(self, part: str, version: int, table: str) -> None:
-        # the file is claimed first: only one writer can create it
-        claim = self.path("claims", f"{part}-{version}")
+        """The last version, 0 of an empty store: versions come in order, each published or, once its claim's lease is over, empty."""
+        published, now = self._numbers("published"), time.time()
+        claims = {int(s.getPath().getName()): s.getModificationTime() / 1000 for s in self.files.listStatus(self.path("claims")) if s.getPath().getName().isdigit()}
+        last = 0
+        while last + 1 in published or now - claims.get(last + 1, now) > self.lease:
+            last += 1
+        return last
+
+    def _publish(self, version: int, table: str) -> None:
+        began = time.time()
         try:
-            self.files.create(claim, False).close()
+            self.files.create(self.path("claims", str(version)), False).close()
         except Exception as e:
-            raise Conflict(f"version {version} was published by another writer") from e
-        self.files.create(self.path(part, f"{version}={table}"), False).close()
+            raise Conflict(f"version {version} was claimed by another writer") from e
+        if time.time() - began > self.lease / 2:
+            raise Conflict(f"version {version} was claimed too long ago")
+        self.files.create(self.path("published", f"{version}={table}"), False).close()
 
     def write(self, changes: DataFrame, based_on: int) -> str:
         """Write the changes (ENTRY and deleted) of the version that follows ``based_on``, unseen by readers: the name of their table."""
@@ -63,7 +71,7 @@ class Store:
         """Make a written table the next version. Conflict if that is not the version that it was based on."""
         if self.version() != based_on:
             raise Conflict(f"version {self.version()} has been published since {based_on}")
-        self._publish("published", based_on + 1, table)
+        self._publish(based_on + 1, table)
         return based_on + 1
 
     def put(self, answers: DataFrame, tries: int = 5) -> int:
@@ -102,7 +110,7 @@ class Store:
             rows = rows.join(pointers.select("pointer", "generation").distinct(), ["pointer", "generation"], "left_semi")
         table = uuid.uuid4().hex
         rows.select(*[x.split()[0] for x in ENTRY.split(", ")], F.lit(False).alias("deleted"), F.lit(version).cast("long").alias("version")).write.parquet(f"{self.folder}/tables/{table}")
-        self._publish("compacted", version, table)
+        self.files.create(self.path("compacted", f"{version}={table}"), False).close()  # two of one version hold the same
         return version
 
     def vacuum(self) -> int:

@@ -1,4 +1,5 @@
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -49,6 +50,18 @@ def test_a_marker_is_made_by_one_writer(spark, tmp_path):
     assert held(a) == {"q": "a"}
 
 
+def test_a_claim_of_a_lost_writer_is_an_empty_version(spark, tmp_path):
+    store = A.Store(spark, f"file://{tmp_path}/s")
+    store.put(rows(spark, ("q", "a")))
+    (tmp_path / "s" / "claims" / "2").touch()  # lost between claim and marker
+    with pytest.raises(A.Conflict):
+        store.put(rows(spark, ("q", "b")), tries=1)
+    later = A.Store(spark, f"file://{tmp_path}/s", lease=0.2)
+    time.sleep(0.5)
+    assert store.version() == 1 and later.version() == 2 and held(later) == {"q": "a"}
+    assert later.put(rows(spark, ("q", "c"))) == 3 and held(later) == {"q": "c"} and later.compact() == 3 and held(later) == {"q": "c"}
+
+
 def test_asks_tell_why_they_miss(spark):
     pointers = A.registered(spark.createDataFrame([], A.POINTER), spark.createDataFrame([(p, "f1", ["y", "x"]) for p in "abcd"], "pointer string, fingerprint string, principals array<string>"), F.lit("g1"))
     pointers = A.registered(pointers, spark.createDataFrame([("a", "f1", ["x", "y"]), ("b", "f2", ["x"]), ("e", None, ["x"])], "pointer string, fingerprint string, principals array<string>"), F.lit("g2"))
