@@ -124,7 +124,7 @@ def python_contents(text: str) -> tuple[str, list[dict]] | None:
     """Purpose and functions of a Python file, methods under their class, with what they call; None where it can't be parsed."""
     try:
         tree = ast.parse(text)
-    except (SyntaxError, ValueError, RecursionError):
+    except (SyntaxError, ValueError, RecursionError, MemoryError):  # the last: the parser's stack overflowed
         return None
     first = lambda doc: next((x.strip()[:LINE_CHARS] for x in (doc or "").splitlines() if x.strip()), "")
     parts, open_ = [], [(node, "") for node in reversed(tree.body)]
