@@ -10,13 +10,19 @@ STEP, SLACK = 0.01, 1e-9
 KINDS = ("unaccounted", "failed_validation", "unanswered", "insufficient_evidence", "review", "abstain", "accepted")
 
 
-def answer_problem(kind: Column, keys: Column, probabilities: Column, choice: Column, score: Column, confidence: Column, noul: Column) -> Column:
-    """What is wrong with an answer, or null. ``keys``: the levels that were asked; ``probabilities``: map by level."""
+def answer_problem(
+    kind: Column, keys: Column, probabilities: Column, choice: Column, score: Column, confidence: Column, noul: Column, by_total: bool = False
+) -> Column:
+    """What is wrong with an answer, or null. ``keys``: the levels that were asked; ``probabilities``: map by level.
+
+    A value above 1 breaks the distribution; ``by_total`` leaves it to the test of the total, whose tolerance it then has.
+    """
     unit = lambda x: x.isNotNull() & ~F.isnan(x) & x.between(0, 1)
     values = F.map_values(probabilities)
     total = F.aggregate(values, F.lit(0.0), lambda s, x: s + x)
     same_keys = (F.size(F.map_keys(probabilities)) == F.size(keys)) & (F.size(F.array_except(keys, F.map_keys(probabilities))) == 0)
-    shape = unit(confidence) & same_keys & F.forall(values, unit)
+    usable = (lambda x: x.isNotNull() & ~F.isnan(x) & (x >= 0) & (x < float("inf"))) if by_total else unit
+    shape = unit(confidence) & same_keys & F.forall(values, usable)
     scale = F.when(F.abs(total - 1) > SLACK, total).otherwise(1.0)
     peak = F.array_max(values) / scale
     chosen = F.coalesce(F.try_element_at(probabilities, choice) / scale, F.lit(-1.0))

@@ -45,3 +45,10 @@ def test_beam_grows_from_the_front(spark):
     same_as_sql(spark, "r9_beam")
     plan = __spark_entry__.queries()["r9_beam"](spark, SF)._jdf.queryExecution().toString()
     assert "Cross" not in plan and "Cartesian" not in plan
+
+
+def test_answers_with_a_value_above_one_fail_by_their_total(spark, tmp_path):
+    from sievecraft.queries.evaluation import p3_answer_problems
+
+    spark.createDataFrame([(14896, "x"), (17381, "x")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    assert {(r.doc_id, r.kind, r.problem) for r in p3_answer_problems(spark, str(tmp_path)).collect()} == {(14896, "choice", "total"), (17381, "score", "total")}
