@@ -154,23 +154,42 @@ def d7_held_components(spark, sf_dir):
     return V.held_components(members, table(spark, sf_dir, "customer").where("c_acctbal > 9990").select(F.col("c_custkey").alias("member")))
 
 
-def j9_call_sites(spark, sf_dir):
-    """First lines of conversations that call a part of another, as made-up names before brackets."""
+def _calls(spark, sf_dir):
+    """Made-up names of parts and of what lines call before brackets."""
     key = F.concat_ws("/", F.col("conv_id").cast("string"), F.col("turn").cast("string"))
     rows = table(spark, sf_dir, "conversations")
     name = lambda salt: F.concat(F.lit("fn"), digit(salt, key, 60).cast("string"))
     parts = rows.where("turn = 0").select(F.col("conv_id").alias("path"), name("part").alias("name"))
     lines = rows.select(F.col("conv_id").alias("path"), F.col("turn").alias("line"), F.concat(F.lit("x = "), name("one"), F.lit("(1) + "), name("two"), F.lit("( 2 ) # fn1 (3)")).alias("text"))
-    return V.call_sites(parts, lines)
+    return parts, lines
 
 
-def j10_named_in(spark, sf_dir):
-    """Conversations whose turns name a file of another."""
+def j9_call_sites(spark, sf_dir):
+    """First lines of conversations that call a part of another, for each such pair."""
+    return V.caller_pairs(*_calls(spark, sf_dir))
+
+
+def j9_call_counts(spark, sf_dir):
+    """The same as a row for each part and caller with counts."""
+    return V.call_sites(*_calls(spark, sf_dir))
+
+
+def _named(spark, sf_dir):
     key = F.concat_ws("/", F.col("conv_id").cast("string"), F.col("turn").cast("string"))
     rows = table(spark, sf_dir, "conversations")
     name = lambda salt: F.concat(F.lit("note-"), digit(salt, key, 90).cast("string"), F.lit(".md"))
     names = rows.where("turn = 0").select(F.col("conv_id").alias("path"), name("file").alias("name"))
-    return V.named_in(names, rows.select(F.col("conv_id").alias("path"), F.col("turn").alias("line"), F.concat(F.lit("  see "), name("see"), F.lit(", not x"), name("not"), F.lit(".")).alias("text")))
+    return names, rows.select(F.col("conv_id").alias("path"), F.col("turn").alias("line"), F.concat(F.lit("  see "), name("see"), F.lit(", not x"), name("not"), F.lit(".")).alias("text"))
+
+
+def j10_named_in(spark, sf_dir):
+    """Conversations whose turns name a file of another, for each such pair."""
+    return V.namer_pairs(*_named(spark, sf_dir))
+
+
+def j10_name_counts(spark, sf_dir):
+    """The same as a row for each file and namer with counts."""
+    return V.named_in(*_named(spark, sf_dir))
 
 
 def s8_stat_changes(spark, sf_dir):
@@ -225,7 +244,7 @@ def a22_guard_tally(spark, sf_dir):
 QUERIES = {
     "f2_folded_words": f2_folded_words, "f3_term_hits": f3_term_hits, "w10_best_lines": w10_best_lines, "f6_question_dates": f6_question_dates, "r3_name_bonus": r3_name_bonus, "r13_final_order": r13_final_order, "r14_with_choice": r14_with_choice,
     "w8_near_twins": w8_near_twins, "w9_newest": w9_newest, "f9_derived": f9_derived, "f18_cache_keys": f18_cache_keys, "k4_cached": k4_cached, "f27_scrubbed": f27_scrubbed, "f21_strictness": f21_strictness, "g4_facts": g4_facts,
-    "d7_held_components": d7_held_components, "j9_call_sites": j9_call_sites, "j10_named_in": j10_named_in, "s8_stat_changes": s8_stat_changes, "b8_evidence_parts": b8_evidence_parts, "b2_planned_cost": b2_planned_cost, "f24_questions": f24_questions,
+    "d7_held_components": d7_held_components, "j9_call_sites": j9_call_sites, "j9_call_counts": j9_call_counts, "j10_named_in": j10_named_in, "j10_name_counts": j10_name_counts, "s8_stat_changes": s8_stat_changes, "b8_evidence_parts": b8_evidence_parts, "b2_planned_cost": b2_planned_cost, "f24_questions": f24_questions,
     "g8_path_tree": g8_path_tree, "p23_tree_faults": p23_tree_faults, "u6_combined_arms": u6_combined_arms, "a22_guard_tally": a22_guard_tally,
 }
 SQL_FOLDED = "replace(lower(strip_accents(lower({0}))), 'ß', 'ss')"
@@ -282,12 +301,19 @@ SQL = {
     "d7_held_components": """
         WITH m AS (SELECT c_custkey AS member, min(c_custkey) OVER (PARTITION BY c_nationkey, c_mktsegment) AS g, bool_or(c_acctbal > 9990) OVER (PARTITION BY c_nationkey, c_mktsegment) AS held FROM customer) SELECT member, g AS "group" FROM m WHERE held""",
     "j9_call_sites": f"""
+        WITH r AS (SELECT conv_id, turn, 'fn' || {d('part', 'k', 60)} AS part, ['fn' || {d('one', 'k', 60)}, 'fn' || {d('two', 'k', 60)}] AS calls FROM (SELECT *, conv_id || '/' || turn AS k FROM conversations))
+        SELECT p.conv_id AS path, part AS name, c.conv_id AS caller, min(c.turn) AS line FROM (SELECT conv_id, part FROM r WHERE turn = 0) p JOIN (SELECT conv_id, turn, unnest(calls) AS call FROM r) c ON call = part AND c.conv_id <> p.conv_id GROUP BY ALL""",
+    "j9_call_counts": f"""
         WITH r AS (SELECT conv_id, turn, 'fn' || {d('part', 'k', 60)} AS part, ['fn' || {d('one', 'k', 60)}, 'fn' || {d('two', 'k', 60)}] AS calls FROM (SELECT *, conv_id || '/' || turn AS k FROM conversations)),
         p AS (SELECT DISTINCT conv_id AS path, part AS name FROM r WHERE turn = 0),
         u AS (SELECT path, name, min(line) AS line FROM (SELECT conv_id AS path, turn AS line, unnest(calls) AS name FROM r) GROUP BY ALL)
         SELECT path, name, 'has' AS role, CAST(NULL AS INT) AS line, (SELECT count(*) FROM u WHERE u.name = p.name AND u.path <> p.path) AS others, (SELECT min(path) FROM u WHERE u.name = p.name AND u.path <> p.path) AS other FROM p WHERE others > 0
         UNION ALL SELECT path, name, 'uses', CAST(line AS INT), (SELECT count(*) FROM p WHERE u.name = p.name AND u.path <> p.path) AS others, (SELECT min(path) FROM p WHERE u.name = p.name AND u.path <> p.path) FROM u WHERE others > 0""",
     "j10_named_in": f"""
+        WITH r AS (SELECT conv_id, turn, 'note-' || {d('file', 'k', 90)} || '.md' AS name, 'note-' || {d('see', 'k', 90)} || '.md' AS see, {d('not', 'k', 90)} AS other FROM (SELECT *, conv_id || '/' || turn AS k FROM conversations)),
+        m AS (SELECT p.conv_id AS of, p.name, c.conv_id AS path, c.turn AS line, 'see ' || see || ', not xnote-' || other || '.md.' AS says, row_number() OVER (PARTITION BY p.conv_id, p.name, c.conv_id ORDER BY c.turn) AS k FROM (SELECT conv_id, name FROM r WHERE turn = 0) p JOIN r c ON c.see = p.name AND c.conv_id <> p.conv_id)
+        SELECT of, name, path, line, says FROM m WHERE k = 1""",
+    "j10_name_counts": f"""
         WITH r AS (SELECT conv_id, turn, 'note-' || {d('file', 'k', 90)} || '.md' AS name, 'note-' || {d('see', 'k', 90)} || '.md' AS see, {d('not', 'k', 90)} AS other FROM (SELECT *, conv_id || '/' || turn AS k FROM conversations)),
         p AS (SELECT DISTINCT conv_id AS path, name FROM r WHERE turn = 0),
         u AS (SELECT path, name, min(line) AS line, arg_min(says, line) AS says FROM (SELECT conv_id AS path, see AS name, turn AS line, 'see ' || see || ', not xnote-' || other || '.md.' AS says FROM r) GROUP BY ALL)

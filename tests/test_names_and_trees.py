@@ -33,3 +33,23 @@ def test_deep_trees_are_walked_to_their_end(spark):
     nodes = [("n0", None)] + [(f"n{k}", f"n{k - 1}") for k in range(1, 70)] + [("x", "y"), ("y", "x"), ("z", "nowhere")]
     faults = V.tree_faults(spark.createDataFrame(nodes, "id string, parent string")).collect()
     assert sorted(tuple(f) for f in faults) == [("x", "not reached"), ("y", "not reached"), ("z", "no such parent"), ("z", "not reached")]
+
+
+def test_each_caller_meets_each_definer_once_in_any_group(spark, monkeypatch):
+    monkeypatch.setattr(V, "DEALT", 3)
+    r = random.Random(5)
+    parts = [(f"p{r.randrange(40)}", f"fn{r.randrange(8)}") for _ in range(60)]
+    calls = [(f"p{r.randrange(60)}", r.randrange(30), f"fn{r.randrange(10)}") for _ in range(200)]
+    got = V.caller_pairs(spark.createDataFrame(parts, "path string, name string"), spark.createDataFrame([(p, n, f"x = {name}(1)") for p, n, name in calls], "path string, line int, text string")).collect()
+    want = {(path, name, p, min(n for q, n, c in calls if (q, c) == (p, name))) for path, name in set(parts) for p, _, called in calls if called == name and p != path}
+    assert {tuple(x) for x in got} == want and len(got) == len(want)
+
+
+def test_each_namer_meets_each_named_file_once(spark, tmp_path):
+    from sievecraft.queries.weighing import j10_named_in
+
+    names = spark.createDataFrame([("a", "note.md"), ("b", "note.md")], "path string, name string")
+    lines = spark.createDataFrame([("c", 3, " see note.md, not xx.md. "), ("c", 2, "in note.md"), ("a", 1, "note.md")], "path string, line int, text string")
+    assert {tuple(x) for x in V.namer_pairs(names, lines).collect()} == {("a", "note.md", "c", 2, "in note.md"), ("b", "note.md", "c", 2, "in note.md"), ("b", "note.md", "a", 1, "note.md")}
+    spark.range(50).selectExpr("id AS conv_id", "0 AS turn").write.parquet(f"{tmp_path}/conversations.parquet")
+    assert j10_named_in(spark, str(tmp_path)).columns == ["of", "name", "path", "line", "says"]
