@@ -6,6 +6,8 @@ headings, outside fenced blocks; a section with a secret is withheld whole, with
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -40,6 +42,9 @@ PASSWORD_IS = r"(?:^|[^a-z0-9])(?:password|passwd|passphrase|pwd|pin) is [\"']*(
 NO_VALUE = r"^(?:x+|[*]+|[-]+|[.]+|<.*|[$][{(].*|[{\[].*|your.*|none|null|required|optional|changeme|redacted|placeholder|hidden|true|false|string)[.]?$"
 COLUMN_LABEL = r"^(?:password|passwd|passphrase|pwd|pin|pin code|secret)$"
 SEED = r"^ *[a-z]{3,8}(?: [a-z]{3,8}){11,23} *$"
+#: What each match of a pattern holds: a pattern is slow to try at every place, and most texts hold none of these.
+TOKEN_WORDS, BLOCK_WORDS = ("sk-", "ghp_", "gho_", "ghu_", "ghs_", "ghr_", "glpat-", "xox", "akia", "aiza", "eyj"), ("-----begin ", "mii")
+ASSIGNMENT_WORDS, PASSWORD_WORDS, SSN_WORDS = ("key", "token", "secret", "credential"), ("password", "passwd", "passphrase", "pwd", "pin"), ("ssn", "social security")
 KEY_BLOCK = r"-----begin [a-z ]*private key-----|mii[a-z0-9+/]{60}"
 HEADING = r"(?md)^(#{1,6}[^\S\n]+[^\n]*\S)"
 FENCE = r"(?md)^(?=[^\S\n]*```)"
@@ -51,9 +56,30 @@ MARK = "\0"
 
 def scannable(text: Column) -> Column:
     """The form that is scanned: lower case, without zero-width characters; controls but newlines are spaces, letters beyond ASCII x, digits 0, others spaces."""
-    seen = F.translate(F.translate(F.coalesce(text, F.lit("")), ZERO_WIDTH, ""), FULL_WIDTH, ASCII)
-    folded = F.regexp_replace(F.regexp_replace(F.lower(seen), r"[[^\x00-\x7F]&&[\p{L}\p{M}]]", "x"), r"[[^\x00-\x7F]&&\p{Nd}]", "0")
-    return F.regexp_replace(folded, r"[^\x0A\x20-\x7E]", " ")
+
+    def of(whole: Column) -> Column:
+        seen = F.translate(F.translate(whole, ZERO_WIDTH, ""), FULL_WIDTH, ASCII)
+        folded = F.regexp_replace(F.regexp_replace(F.lower(seen), r"[[^\x00-\x7F]&&[\p{L}\p{M}]]", "x"), r"[[^\x00-\x7F]&&\p{Nd}]", "0")
+        return F.regexp_replace(F.when(_is_ascii(whole), F.lower(whole)).otherwise(folded), r"[^\x0A\x20-\x7E]", " ")
+
+    return bound_once(F.coalesce(text, F.lit("")), of)
+
+
+def _is_ascii(text: Column) -> Column:
+    return F.octet_length(text) == F.length(text)
+
+
+def _has(text: Column, words: tuple[str, ...]) -> Column:
+    found = F.lit(False)
+    for word in words:
+        found = found | text.contains(word)
+    return found
+
+
+def _lines_with(lines: Column, *words: tuple[str, ...]) -> Column:
+    """The lines that hold a word of each tuple, as one text: a pattern whose matches have those words and lie in one line, but for a newline before or behind, has the same matches there."""
+    held = lambda x: reduce(lambda a, b: a & b, [_has(x, w) for w in words])
+    return F.array_join(F.filter(lines, held), "\n")
 
 
 def entropy(value: Column) -> Column:
@@ -122,29 +148,33 @@ def _has_table(text: Column) -> Column:
 
 def secret_kinds(text: Column) -> Column:
     """The KINDS of secrets in a text, in their order; none of a null or empty text."""
-    # a digit beyond ASCII is folded to 0, so its true value is lost and no check digit can be tested
-    sure = ~F.coalesce(text, F.lit("")).rlike(r"[\p{Nd}&&[^0-9]]")
+    whole = F.coalesce(text, F.lit(""))
 
-    def of(t: Column) -> Column:
+    def of(t: Column, lines: Column, sure: Column) -> Column:
         scrubbed = t
         for pattern in SCRUBBED:
             scrubbed = F.regexp_replace(scrubbed, pattern, " ")
         random = lambda v: v.rlike("[0-9]") & v.rlike("[a-z]") & (entropy(v) >= RANDOM_BITS - 1e-9)
         real = lambda v: ~v.rlike(NO_VALUE)
         bare = lambda line: F.split(F.trim(line), " ")
+        told = _lines_with(lines, PASSWORD_WORDS)
         hits = {
             "card": t.rlike("[0-9]{4}") & F.exists(_found(scrubbed, DIGIT_RUN), lambda r: _run_has_card(r, sure)),
-            "ssn": F.exists(_found(t, DASHED_RUN), lambda r: r.rlike(SSN) & ~r.rlike(NO_SSN)) | t.rlike(SSN_LABEL),
-            "token": t.rlike(TOKEN),
-            "assignment": F.exists(_found(t, ASSIGNMENT, 1), random),
-            "password": F.exists(_found(t, PASSWORD, 1), real) | F.exists(_found(t, PASSWORD_IS, 1), lambda v: real(v) & v.rlike("[0-9!@#$%^&*?]")),
+            "ssn": (t.contains("-") & F.exists(_found(t, DASHED_RUN), lambda r: r.rlike(SSN) & ~r.rlike(NO_SSN))) | (_has(t, SSN_WORDS) & t.rlike(SSN_LABEL)),
+            "token": _has(t, TOKEN_WORDS) & t.rlike(TOKEN),
+            "assignment": _has(t, ASSIGNMENT_WORDS) & F.exists(_found(_lines_with(lines, ASSIGNMENT_WORDS, (":", "=")), ASSIGNMENT, 1), random),
+            "password": _has(t, PASSWORD_WORDS)
+            & bound_once(told, lambda x: F.exists(_found(x, PASSWORD, 1), real) | F.exists(_found(x, PASSWORD_IS, 1), lambda v: real(v) & v.rlike("[0-9!@#$%^&*?]"))),
             "table": _has_table(t),
-            "seed": F.exists(F.split(t, "\n"), lambda x: x.rlike(SEED) & (F.size(F.array_distinct(bare(x))) >= F.size(bare(x)) - 1)),
-            "key-block": t.rlike(KEY_BLOCK),
+            "seed": F.exists(lines, lambda x: x.rlike(SEED) & (F.size(F.array_distinct(bare(x))) >= F.size(bare(x)) - 1)),
+            "key-block": _has(t, BLOCK_WORDS) & t.rlike(KEY_BLOCK),
         }
         return F.filter(F.array(*[F.when(hits[kind], F.lit(kind)) for kind in KINDS]), lambda k: k.isNotNull())
 
-    return bound_once(scannable(text), of)
+    # a digit beyond ASCII is folded to 0, so its true value is lost and no check digit can be tested
+    sure = lambda x: _is_ascii(x) | ~x.rlike(r"[\p{Nd}&&[^0-9]]")
+    read = lambda t: F.struct(t.alias("t"), F.split(t, "\n").alias("lines"), sure(whole).alias("sure"))
+    return bound_once(bound_once(scannable(text), read), lambda s: of(s["t"], s["lines"], s["sure"]))
 
 
 def sections(text: Column) -> Column:
@@ -171,7 +201,7 @@ def judged_sections(text: Column) -> Column:
 def withheld(text: Column) -> Column:
     """Struct of the text that may be shown (null where it is held whole), the number of lines, of withheld lines and of sections with secrets, and all kinds.
 
-    A text without a secret stays as it is. It is held whole where the secret is in no section alone, where more than MOST_HELD of its lines would be
+    A text without a secret stays as it is, and none of its sections has any: no pattern reaches over the newline before a heading. It is held whole where the secret is in no section alone, where more than MOST_HELD of its lines would be
     withheld, and where what is left still holds one. Numbers of lines stay.
     """
     bad = lambda s: F.size(s["kinds"]) > 0
@@ -211,13 +241,20 @@ def withheld(text: Column) -> Column:
     def decided(kinds: Column) -> Column:
         def of(j: Column) -> Column:
             partly = (j["bad"] > 0) & (j["held"] <= MOST_HELD * j["lines"]) & (F.size(secret_kinds(j["shown"])) == 0)
-            free = F.size(kinds) == 0
-            left = F.when(free, F.coalesce(text, F.lit(""))).when(partly, j["shown"])
-            return F.struct(left.alias("text"), j["lines"].alias("n_lines"), F.when(left.isNull(), j["lines"]).when(free, F.lit(0)).otherwise(j["held"]).alias("n_held"), j["bad"].alias("n_bad"), kinds.alias("kinds"))
+            told = lambda left: F.struct(left.alias("text"), j["lines"].alias("n_lines"), F.when(left.isNull(), j["lines"]).otherwise(j["held"]).alias("n_held"), j["bad"].alias("n_bad"), kinds.alias("kinds"))
+            return bound_once(F.when(partly, j["shown"]), told)
 
         return bound_once(bound_once(bound_once(judged_sections(text), edges), judged), of)
 
-    return bound_once(secret_kinds(text), decided)
+    def unless_free(kinds: Column) -> Column:
+        whole = F.coalesce(text, F.lit(""))
+        newlines = F.length(whole) - F.length(F.replace(whole, F.lit("\n"), F.lit("")))
+        zero = F.lit(0).cast("long")
+        n = F.when(whole == "", zero).otherwise(newlines.cast("long") + 1)
+        free = F.struct(whole.alias("text"), n.alias("n_lines"), zero.alias("n_held"), zero.alias("n_bad"), kinds.alias("kinds"))
+        return F.when(F.size(kinds) == 0, free).otherwise(decided(kinds))
+
+    return bound_once(secret_kinds(text), unless_free)
 
 
 def without_secrets(rows: DataFrame, text: str = "text") -> DataFrame:
@@ -252,15 +289,36 @@ def payload_kinds(payload: Column, depth: int = 4) -> Column:
     """
     empty = F.array().cast("array<string>")
     nests = lambda v: v.rlike(r"^\s*[{\[]") & F.try_parse_json(v).isNotNull()
-    texts, level = empty, F.array(payload)
-    for _ in range(depth):
+    every = F.array(*map(F.lit, KINDS))
+
+    def read(level: Column) -> Column:
+        """Keys, and the values with whether they nest, of all objects and arrays of a level; each is parsed once."""
         objects = F.filter(level, lambda v: F.ltrim(v).startswith("{"))
         lists = F.filter(level, lambda v: F.ltrim(v).startswith("["))
-        members = F.flatten(F.transform(objects, lambda v: F.coalesce(F.map_entries(F.from_json(v, "map<string,string>")), F.array().cast("array<struct<key:string,value:string>>"))))
+        entries = F.flatten(F.transform(objects, lambda v: F.coalesce(F.map_entries(F.from_json(v, "map<string,string>")), F.array().cast("array<struct<key:string,value:string>>"))))
         items = F.flatten(F.transform(lists, lambda v: F.coalesce(F.from_json(v, "array<string>"), empty)))
-        below = F.transform(F.filter(members, lambda e: ~e["key"].isin(*MACHINE_KEYS)), lambda e: e["value"])
-        values = F.filter(F.concat(below, items), lambda v: v.isNotNull())
-        texts = F.concat(texts, F.transform(members, lambda e: e["key"]), F.filter(values, lambda v: ~nests(v)))
-        level = F.filter(values, nests)
-    found = F.flatten(F.transform(F.concat(texts, level), secret_kinds))
-    return F.when(nests(payload), F.filter(F.array(*map(F.lit, KINDS)), lambda k: F.array_contains(found, k)))
+
+        def of(members: Column) -> Column:
+            below = F.transform(F.filter(members, lambda e: ~e["key"].isin(*MACHINE_KEYS)), lambda e: e["value"])
+            values = F.filter(F.concat(below, items), lambda v: v.isNotNull())
+            return F.struct(F.transform(members, lambda e: e["key"]).alias("keys"), F.transform(values, lambda v: F.struct(v.alias("v"), nests(v).alias("nests"))).alias("values"))
+
+        return bound_once(entries, of)
+
+    def found(texts: Column, level: Column, left: int) -> Column:
+        if not left:
+            return F.flatten(F.transform(F.concat(texts, level), secret_kinds))
+
+        def of(r: Column) -> Column:
+            leaves = F.transform(F.filter(r["values"], lambda x: ~x["nests"]), lambda x: x["v"])
+            nested = F.transform(F.filter(r["values"], lambda x: x["nests"]), lambda x: x["v"])
+            parts = F.struct(F.concat(texts, r["keys"], leaves).alias("texts"), nested.alias("level"))
+            return bound_once(parts, lambda s: found(s["texts"], s["level"], left - 1))
+
+        return bound_once(read(level), of)
+
+    def kinds(whole: Column) -> Column:
+        all_ = bound_once(found(empty, F.array(whole), depth), lambda got: F.filter(every, lambda k: F.array_contains(got, k)))
+        return F.when(nests(whole), all_)
+
+    return bound_once(payload, kinds)

@@ -121,3 +121,27 @@ def test_payloads_and_paths(spark):
     rows = spark.createDataFrame([(p,) for p in paths], "p string").select("p", S.path_has_secret(F.col("p")).alias("h"), S.redacted_path(F.col("p")).alias("r"))
     assert {r.p: r.r for r in rows.collect()} == paths
     assert {r.p for r in rows.collect() if r.h} == {p for p, q in paths.items() if p != q}
+
+
+def test_each_level_of_a_payload_is_parsed_once(spark):
+    rows = spark.createDataFrame([('{"a": {"b": ["password: hunter2", "{\\"id\\": \\"password: hunter2\\", \\"x\\": 1}"]}}',)], "p string").select(S.payload_kinds(F.col("p")).alias("k"))
+    assert rows.first().k == ["password"] and rows._jdf.queryExecution().analyzed().toString().count("from_json(") <= 2 * 4
+
+
+def test_many_rows_of_digits_cost_time_in_proportion(spark):
+    import time
+
+    text = "\n".join(["1111 1111 1111 1111"] * 20_000)
+    rows = spark.createDataFrame([(text, text + "\n# a\npassword: hunter2")], "t string, w string").repartition(1)
+    rows.select(S.secret_kinds(F.lit("x"))).collect()
+    begin = time.perf_counter()
+    got = rows.select(S.secret_kinds(F.col("t")).alias("k"), S.withheld(F.col("w"))["n_bad"].alias("n")).first()
+    assert (got.k, got.n) == ([], 1) and time.perf_counter() - begin < 20
+
+
+def test_guards_lose_no_match(spark):
+    hit = {"token": "glpat-" + "a1" * 12, "assignment": "x\nAPI_KEY\t: a1b2c3d4e5f6g7h8j9", "password": "\npin = 4821", "ssn": "a\nssn: 123456789\nb", "key-block": "MII" + "a1" * 30, "seed": "x\n" + " ".join(a + "bcd" for a in "abcdefghijkl") + "\ny"}
+    rows = spark.createDataFrame(list(hit.items()), "kind string, t string").select("kind", S.secret_kinds(F.col("t")).alias("k")).collect()
+    assert {r.kind: r.k for r in rows} == {k: [k] for k in hit}
+    same = spark.createDataFrame([("a\n# b\nc",), ("",), (None,), ("\n# a",)], "t string").select(S.withheld(F.col("t")).alias("w")).collect()
+    assert [(r.w.text, r.w.n_lines, r.w.n_held, r.w.n_bad) for r in same] == [("a\n# b\nc", 3, 0, 0), ("", 0, 0, 0), ("", 0, 0, 0), ("\n# a", 2, 0, 0)]
