@@ -15,7 +15,14 @@ REQUEST = "tionand the ofthe eronth anation with thering blens"
 CONTEXT = ["the ention ofer", "whing thand"]
 
 
+#: Bytes of an Arrow batch, where the session doesn't say otherwise: both sides of a Python function hold whole batches.
+BATCH_BYTES, BATCH_SETTING, SPARKS_OWN = 4 << 20, "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b"
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table of the folder. Bounds the session's Arrow batches by BATCH_BYTES unless it has a bound of its own."""
+    if spark.conf.get(BATCH_SETTING) == SPARKS_OWN:
+        spark.conf.set(BATCH_SETTING, str(BATCH_BYTES))
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

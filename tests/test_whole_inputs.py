@@ -52,3 +52,18 @@ def test_answers_with_a_value_above_one_fail_by_their_total(spark, tmp_path):
 
     spark.createDataFrame([(14896, "x"), (17381, "x")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     assert {(r.doc_id, r.kind, r.problem) for r in p3_answer_problems(spark, str(tmp_path)).collect()} == {(14896, "choice", "total"), (17381, "score", "total")}
+
+
+def test_arrow_batches_are_bounded_by_their_bytes(spark, tmp_path):
+    from sievecraft.queries.documents import BATCH_BYTES, table
+
+    spark.range(3000).selectExpr("id AS doc_id", "repeat('x', 5000) AS text").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+
+    def sizes(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            yield pa.RecordBatch.from_pydict({"n": [b.num_rows]})
+
+    counts = [r.n for r in table(spark, str(tmp_path), "documents").mapInArrow(sizes, "n long").collect()]
+    assert sum(counts) == 3000 and max(counts) * 5000 < 2 * BATCH_BYTES
