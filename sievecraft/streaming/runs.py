@@ -8,11 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def file_stream(spark: SparkSession, path: str, schema, files: int = 1) -> DataFrame:
-    """The Parquet files of a folder as a stream, ``files`` a batch, in the order in which they came. A folder that isn't there yet is made."""
+def file_stream(spark: SparkSession, path: str, schema, files: int | None = None) -> DataFrame:
+    """The Parquet files of a folder as a stream, all that have come in a batch, or ``files`` of them in the order in which they came. A folder that isn't there yet is made."""
     where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).mkdirs(where)
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(path)
+    reader = spark.readStream.schema(schema)
+    return (reader if files is None else reader.option("maxFilesPerTrigger", files)).parquet(path)
 
 
 def run_batches(stream: DataFrame, folder: str, mode: str = "append") -> None:
@@ -43,11 +44,11 @@ def append_journal(stream: DataFrame, path: str, folder: str) -> None:
 
 
 def in_arrivals(rows: DataFrame, order: str, path: str, arrivals: int, between: Callable[[int], None]) -> None:
-    """Write the rows as files that arrive one after the other, cut by equal stretches of ``order`` (a timestamp); ``between`` runs after each arrival."""
+    """Write the rows in arrivals, one after the other, cut by equal stretches of ``order`` (a timestamp); ``between`` runs after each, which has as many files as the rows have partitions."""
     seconds = F.col(order).cast("timestamp").cast("double")
     low, high = rows.agg(F.min(seconds), F.max(seconds)).first()
     stretch = ((high or 0) - (low or 0)) / arrivals + 1
     for k in range(arrivals):
         part = rows.where(F.floor((seconds - F.lit(low or 0)) / F.lit(stretch)) == k)
-        part.coalesce(1).write.mode("append").parquet(path)
+        part.write.mode("append").parquet(path)
         between(k)

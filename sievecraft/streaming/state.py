@@ -28,7 +28,7 @@ def current_runs(events: DataFrame) -> DataFrame:
         state.update((winner, wins))
         yield pd.DataFrame({"key": [key[0]], "winner": [winner], "wins": [wins]})
 
-    return events.groupBy("key").applyInPandasWithState(fold, "key string, winner string, wins long", "winner string, wins long", "update", GroupStateTimeout.NoTimeout)
+    return events.select("key", "seq", "kind", "winner", "partial").groupBy("key").applyInPandasWithState(fold, "key string, winner string, wins long", "winner string, wins long", "update", GroupStateTimeout.NoTimeout)
 
 
 def admissions(requests: DataFrame) -> DataFrame:

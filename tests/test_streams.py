@@ -62,3 +62,12 @@ def test_late_outcomes_leave_their_traces_without_a_label(spark, tmp_path):
         R.run_batches(found, str(tmp_path / "run"))
     got = {r.lookup_id: r.result for r in R.batches(spark, str(tmp_path / "run"), found.schema).where("lookup_id < 9").collect()}
     assert got == {1: "right", 2: None, 3: "right", 4: None}
+
+
+def test_an_arrival_of_many_files_is_one_batch(spark, tmp_path):
+    rows = spark.range(600).selectExpr("cast(id % 7 AS string) AS key", "lpad(cast(id AS string), 5, '0') AS seq", "'lookup' AS kind", "'a' AS winner", "false AS partial", "timestamp_seconds(id) AS ts").repartition(4)
+    found = S.current_runs(R.file_stream(spark, str(tmp_path / "in"), rows.schema))
+    R.in_arrivals(rows, "ts", str(tmp_path / "in"), 3, lambda _: R.run_batches(found, str(tmp_path / "run"), "update"))
+    told = R.batches(spark, str(tmp_path / "run"), found.schema)
+    assert len(list((tmp_path / "in").glob("*.parquet"))) > 3 and told.select("batch").distinct().count() == 3
+    assert {(r.key, r.wins) for r in R.latest(told, "key").collect()} == {(str(k), len(range(k, 600, 7))) for k in range(7)}
