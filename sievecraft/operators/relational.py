@@ -9,11 +9,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from sievecraft.functions.text import catalog_key, phrase_key
+from sievecraft.functions.text import bound_once, catalog_key, phrase_key
 from sievecraft.plans.lineage import cut
 
 #: Phrases that are broadcast, of about 100 bytes each; more are joined by a shuffle.
 MOST_PHRASES = 200_000
+#: Phrases up to which their words are looked up in the row of a text.
+FEW_PHRASES = 2_000
 
 
 def assign_ids(records: DataFrame, pos: str = "pos") -> DataFrame:
@@ -111,17 +113,27 @@ def triggers(catalog: DataFrame) -> DataFrame:
 def phrase_hits(requests: DataFrame, phrases: DataFrame) -> DataFrame:
     """Requests (request_id, text) that hold a phrase (id, phrase) as whole words: request_id, id, phrase.
 
-    Only positions of a phrase's longest word are met, and there the whole phrase is compared: no runs of words are built from the texts.
+    Only positions of a phrase's longest word are met, and there the whole phrase is compared. A position carries the words around it, as many as the longest
+    phrase has, and not its text; of few phrases the words are looked up in the row of the text, so no other position leaves it.
     """
     of_phrase = F.split("phrase", " ")
     longest = F.array_max(F.transform(of_phrase, lambda w, i: F.struct(F.length(w).alias("size"), (-i).alias("minus"), w.alias("word"))))
     sought = phrases.where("phrase <> ''").select("id", "phrase", F.size(of_phrase).alias("n"), longest.alias("l")).distinct()
     sought = cut(sought.select("id", "phrase", "n", F.col("l.word").alias("word"), (-F.col("l.minus")).alias("offset")))
     words = F.split(phrase_key(F.col("text")), " ")
-    placed = requests.select("request_id", words.alias("w")).select("request_id", "w", F.posexplode("w").alias("at", "word"))
-    met = placed.join(F.broadcast(sought) if sought.count() <= MOST_PHRASES else sought, "word")
+    count, span = sought.agg(F.count(F.lit(1)), F.coalesce(F.max("n"), F.lit(1))).first()
+    listed = [r.word for r in sought.select("word").distinct().collect()] if count <= FEW_PHRASES else None
+
+    def positions(w: Column) -> Column:
+        every = F.transform(w, lambda x, i: F.struct(i.alias("at"), x.alias("word")))
+        few = every if listed is None else F.filter(every, lambda p: p["word"].isin(listed))
+        first = lambda p: F.greatest(p["at"] - span, F.lit(0))
+        return F.transform(few, lambda p: F.struct(p["at"].alias("at"), p["word"].alias("word"), first(p).alias("first"), F.slice(w, first(p) + 1, F.lit(2 * span)).alias("near")))
+
+    placed = requests.select("request_id", F.explode(bound_once(words, positions)).alias("p")).select("request_id", "p.*")
+    met = placed.join(F.broadcast(sought) if count <= MOST_PHRASES else sought, "word")
     begin = F.col("at") - F.col("offset")
-    same = F.array_join(F.slice("w", F.greatest(begin, F.lit(0)) + 1, F.col("n")), " ") == F.col("phrase")
+    same = F.array_join(F.slice("near", F.greatest(begin - F.col("first"), F.lit(0)) + 1, F.col("n")), " ") == F.col("phrase")
     return met.where((begin >= 0) & same).select("request_id", "id", "phrase").distinct()
 
 

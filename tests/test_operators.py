@@ -149,3 +149,19 @@ def test_connected_whole_reads_all_of_lineitem(spark):
         old = {group[m] for m in members}
         group = {m: min(old) if g in old else g for m, g in group.items()}
     assert {r.member: r.group for r in Q.d7_connected(spark, sf).collect()} == group
+
+
+def test_phrase_hits_carry_no_texts(spark, monkeypatch):
+    import random
+
+    from sievecraft.operators import relational as J
+
+    r = random.Random(8)
+    texts = [(k, " ".join(r.choice(["ab", "cde", "f", "ghij"]) for _ in range(30))) for k in range(20)]
+    phrases = [(k, " ".join(r.choice(["ab", "cde", "f", "ghij"]) for _ in range(r.randint(1, 5)))) for k in range(40)]
+    want = {(t, p, phrase) for t, text in texts for p, phrase in phrases if f" {phrase} " in f" {text} "}
+    a, b = spark.createDataFrame(texts, "request_id int, text string"), spark.createDataFrame(phrases, "id int, phrase string")
+    for few in (2_000, 0):
+        monkeypatch.setattr(J, "FEW_PHRASES", few)
+        hits = J.phrase_hits(a, b)
+        assert {tuple(x) for x in hits.collect()} == want and "posexplode(w" not in hits._jdf.queryExecution().analyzed().toString()
