@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from sievecraft.operators.views import strictness
 from sievecraft.operators.windows import NUMBERS
+from sievecraft.plans.lineage import cut
 
 #: What \\b means over ASCII, whatever the Java version.
 EDGE = r"(?:(?<![A-Za-z0-9_])(?=[A-Za-z0-9_])|(?<=[A-Za-z0-9_])(?![A-Za-z0-9_]))"
@@ -174,9 +175,9 @@ def window_facts(windows: DataFrame, key: str = "window_id") -> DataFrame:
 
     A null text or draft counts as empty; a window without lines has no facts. ``key`` names a window: rows that repeat it are one window.
     """
-    drafts = windows.groupBy(key).agg(F.min(F.coalesce("draft", F.lit(""))).alias("draft"))
-    texts = windows.groupBy(key).agg(F.min(F.coalesce("text", F.lit(""))).alias("text"))
-    lines = cited_lines(texts, key)
+    whole = windows.groupBy(key).agg(F.min(F.coalesce("draft", F.lit(""))).alias("draft"), F.min(F.coalesce("text", F.lit(""))).alias("text"))
+    # all families read both, some several times
+    drafts, lines = cut(whole.select(key, "draft")), cut(cited_lines(whole.select(key, "text"), key))
     found = reduce(DataFrame.unionByName, [f for family in (delete_facts, cadence_facts, table_facts, merge_facts) for f in family(lines, drafts, key)])
     first = found.groupBy(key, "sentence").agg(F.min(F.struct("step", "order", "family")).alias("f"))
     place = F.row_number().over(Window.partitionBy(key).orderBy("f.step", "f.order", "sentence"))

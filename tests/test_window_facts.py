@@ -45,3 +45,11 @@ def test_claims_that_facts_contradict(spark):
         got.setdefault(row.place, []).append(row.rule)
         assert row.run == "r" and row.reason
     assert {c: sorted(got.get(k, [])) for k, c in enumerate(CLAIMS)} == CLAIMS
+
+
+def test_lines_are_made_once_for_all_families(spark):
+    from sievecraft.operators import window_facts as W
+
+    rows = spark.createDataFrame([("w", "a\n#12 merged", "all PRs merged")], "window_id string, text string, draft string")
+    plan = W.window_facts(rows)._jdf.queryExecution().analyzed().toString()
+    assert "posexplode(split" not in plan and "LogicalRDD" in plan
