@@ -14,9 +14,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 from sievecraft.operators.word_search import words
+from sievecraft.plans.lineage import cut
 
 K1, B = 1.2, 0.75
 SHORTLIST = 200
+#: Sought words up to which they are broadcast.
+MOST_SOUGHT = 100_000
 
 
 @dataclass
@@ -102,7 +105,10 @@ def shortlist(index: Index, query: DataFrame, sets: list[str], people: list[str]
     """
     files = scoped(index.files, sets, people)
     numbers = files.agg(F.count(F.lit(1)).alias("n"), F.avg("size").alias("average")).first()
-    hits = index.postings.join(query.distinct(), "word").join(files.select("path", "size"), "path")
+    # a semi-join on the word alone, where it is broadcast, goes below the counting of postings, so words that nobody asks for are not shuffled
+    sought = cut(query.select("word").distinct())
+    asked = index.postings.join(F.broadcast(sought) if sought.count() <= MOST_SOUGHT else sought, "word", "left_semi")
+    hits = asked.join(query.distinct(), "word").join(files.select("path", "size"), "path")
     hits = hits.groupBy("path", "size", "term").agg(F.sum("n").alias("tf"))
     df = hits.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     idf = F.log(1 + (F.lit(numbers.n) - F.col("df") + 0.5) / (F.col("df") + 0.5))
