@@ -12,8 +12,9 @@ of all pieces have is not ranked in one task.
 from __future__ import annotations
 
 import re
+import struct
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -43,37 +44,55 @@ LETTER, NUMBER = "a-zA-Z\u00aa\u00b5\u00ba\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00f
 WORDS = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{LETTER}]+|[{NUMBER}]|[^\t-\r \u0085 {LETTER}{NUMBER}]+")
 
 
-class _Ids(dict):
-    """Token ids of a text without spaces and line breaks, as little-endian bytes."""
+#: Characters by which the tokenizer's vocabulary has bytes: printable ones are themselves, the others follow from 256 on.
+PRINTABLE = {*range(33, 127), *range(161, 173), *range(174, 256)}
+BYTE_LEVEL = {b: 256 + k for k, b in enumerate(b for b in range(256) if b not in PRINTABLE)}
+
+
+def _packed(ids: list[int]) -> bytes:
+    return struct.pack(f"<{len(ids)}I", *ids)
+
+
+class _Memory(dict):
+    """What ``make`` gives for a text, remembered for ``most`` texts."""
+
+    def __init__(self, make: Callable[[str], bytes], most: int):
+        self.make, self.most = make, most
+
+    def __missing__(self, text: str) -> bytes:
+        if len(self) > self.most:
+            self.clear()
+        made = self[text] = self.make(text)
+        return made
+
+
+class _Ids:
+    """Token ids of a text as little-endian bytes."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
+        self.words, self.chunks = _Memory(self.encode_word, REMEMBER), _Memory(self.encode, REMEMBER // 4)
 
     def encode(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        return _packed(self.tokenizer.encode(text, add_special_tokens=False).ids)
 
-    def __missing__(self, word: str) -> bytes:
-        if len(self) > REMEMBER:
-            self.clear()
-        made = self[word] = self.encode(word)
-        return made
-
-    def words(self, text: str) -> list[str]:
-        """Parts of the text that the tokenizer encodes each for itself: its own words, or what stands between white
-        space, which it drops and never joins across."""
-        try:
-            text.encode("latin-1")
-        except UnicodeEncodeError:
-            return text.replace("\n", " ").split(" ")
-        return WORDS.findall(text.lower())
+    def encode_word(self, word: str) -> bytes:
+        """Ids of a word of WORDS: nothing is left to normalise or to cut, so its bytes go to the merges at once."""
+        return _packed([t.id for t in self.model.tokenize(word.encode().decode("latin-1").translate(BYTE_LEVEL))])
 
     def of(self, text: str) -> bytes:
-        """Ids of the whole text. One that holds a special token's string is encoded as it stands."""
+        """Ids of the whole text, by parts that the tokenizer encodes each for itself: its own words, or what stands between white
+        space, which it drops and never joins across. A text that holds a special token's string is encoded as it stands."""
         if "<|" in text:
             return self.encode(text)
-        return b"".join(map(self.__getitem__, self.words(text)))
+        try:
+            text.encode("latin-1")
+        except UnicodeEncodeError:
+            return b"".join(map(self.chunks.__getitem__, text.replace("\n", " ").split(" ")))
+        return b"".join(map(self.words.__getitem__, WORDS.findall(text.lower())))
 
 
 def pieces(docs: DataFrame, capacity: int = CAPACITY, tokenizer: str = TOKENIZER) -> DataFrame:

@@ -53,6 +53,13 @@ def test_words_have_the_ids_of_the_whole_text():
             assert ids.of(text) == ids.encode(text), repr(text)
 
 
+def test_words_go_to_the_merges_without_the_rest_of_the_tokenizer(monkeypatch):
+    text = "It's l'Élan, naïve 42% \x1f\x7f\u00ad!!ÿ\u00a0\u00b5 ofthedannt"
+    want = _Ids(TOKENIZER).encode(text)
+    monkeypatch.setattr(_Ids, "encode", lambda *_: 1 / 0)
+    assert _Ids(TOKENIZER).of(text) == want
+
+
 def test_pieces_and_places(spark):
     texts = [None, "", "Hello World", "it's  been\tA long\u00a0day\n", "x<|endoftext|> y", "e\u0301 É ǅ İ", "word " * 900, "é" * 50, "same text"] + ["same text"] * 40
     r = random.Random(3)
