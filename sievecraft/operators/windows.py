@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sievecraft.plans.spread import spread
+
 # Headers of sections and marks of composed windows.
 CURRENT, RECEIPTS, REPORTS, PREV_REPORTS, CONTRIBUTED, UNKNOWN = "current", "receipts", "reports", "prev_reports", "contributed", "unknown"
 HEADERS = {
@@ -32,6 +34,8 @@ RANKS = {PREV_REPORTS: -0.5, RECEIPTS: 0.0, REPORTS: 1.0, CURRENT: 2.0}
 #: Sections whose every line is a piece, and that hold reports only. All others hold items between rules.
 LINEWISE, REPORTED = (RECEIPTS, CONTRIBUTED), (REPORTS, PREV_REPORTS)
 RULE = r"^(?:={3,}|-{3,})$"
+#: Bytes of windows whose lines a task sorts.
+TEXT_OF_TASK = 2 << 20
 
 
 def _prev_number(header: Column) -> Column:
@@ -57,7 +61,9 @@ def window_lines(windows: DataFrame, key: str = "window_id", text: str = "text")
     behind a blank line; from a cut mark on all is one piece of mixed origin. Blank lines and rules at the end of a piece are glue, and a piece
     without any other line is none. A rule that shares its blank line with a rule before it is content. Null and empty texts have no lines.
     """
-    rows = windows.where(F.col(text) != "").select(F.col(key), F.posexplode(F.split(F.col(text), "\n", -1)).alias("line", "raw"))
+    # texts are dealt, not lines, into partitions of a bounded size: each task sorts the lines of its windows in several orders
+    texts = spread(windows.where(F.col(text) != "").select(key, text), [key], TEXT_OF_TASK, F.octet_length(text))
+    rows = texts.select(F.col(key), F.posexplode(F.split(F.col(text), "\n", -1)).alias("line", "raw"))
     w = Window.partitionBy(key).orderBy("line")
     before = w.rowsBetween(Window.unboundedPreceding, -1)
     so_far = w.rowsBetween(Window.unboundedPreceding, 0)
