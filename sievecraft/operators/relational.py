@@ -11,11 +11,14 @@ from pyspark.sql import functions as F
 
 from sievecraft.functions.text import bound_once, catalog_key, phrase_key
 from sievecraft.plans.lineage import cut
+from sievecraft.plans.spread import spread
 
 #: Phrases that are broadcast, of about 100 bytes each; more are joined by a shuffle.
 MOST_PHRASES = 200_000
 #: Phrases up to which their words are looked up in the row of a text.
 FEW_PHRASES = 2_000
+#: Rows of sets and paths that a task groups.
+PAIRS_OF_TASK = 500_000
 
 
 def assign_ids(records: DataFrame, pos: str = "pos") -> DataFrame:
@@ -178,12 +181,16 @@ def snapshot_changes(before: DataFrame, now: DataFrame) -> DataFrame:
 
 def coverage(expected: DataFrame, held: DataFrame) -> DataFrame:
     """For each set (set, path): complete if every path is held by any set, and the other sets it borrows from, of which there are few."""
-    holders = held.select("path", F.col("set").alias("holder")).distinct()
-    rows = expected.join(holders, "path", "left").withColumn("own", F.coalesce(F.col("set") == F.col("holder"), F.lit(False)))
-    per_path = rows.groupBy("set", "path").agg(F.bool_or("own").alias("own"), (F.count("holder") > 0).alias("held"))
-    complete = per_path.groupBy("set").agg(F.bool_and("held").alias("complete"))
-    foreign = per_path.where("held and not own").select("set", "path").join(holders, "path").select("set", "holder").distinct()
-    borrowed = foreign.groupBy("set").agg(F.array_join(F.array_sort(F.collect_list("holder")), ",").alias("borrows"))
+    one = lambda rows, is_expected: rows.select("path", "set", F.lit(is_expected).alias("expected"), F.lit(not is_expected).alias("held"))
+    both = one(expected, True).unionByName(one(held.where(F.col("path").isNotNull() & F.col("set").isNotNull()), False))
+    pairs = spread(both, ["path", "set"], PAIRS_OF_TASK)
+    pairs = cut(pairs.groupBy("path", "set").agg(F.bool_or("expected").alias("expected"), F.bool_or("held").alias("held")))
+    # only paths that a set lacks meet their holders
+    holders = pairs.where("held").select("path", F.col("set").alias("holder"))
+    lacked = cut(pairs.where("expected and not held").select("set", "path").join(holders, "path", "left").select("set", "holder").distinct())
+    found = pairs.where("expected").select("set", F.lit(True).alias("found")).unionByName(lacked.select("set", F.col("holder").isNotNull().alias("found")))
+    complete = found.groupBy("set").agg(F.bool_and("found").alias("complete"))
+    borrowed = lacked.groupBy("set").agg(F.array_join(F.array_sort(F.collect_list("holder")), ",").alias("borrows"))
     return complete.join(borrowed, "set", "left").select("set", "complete", F.coalesce("borrows", F.lit("")).alias("borrows"))
 
 

@@ -1,6 +1,6 @@
 """Steps whose tasks hold no more when their input grows."""
 
-from sievecraft.operators import windows
+from sievecraft.operators import relational, windows
 from sievecraft.queries.evidence_windows import p31_lines
 
 
@@ -19,3 +19,17 @@ def test_lines_of_windows_are_made_once(spark, tmp_path):
     spark.createDataFrame([(1, 1, "user", "a\nb")], "conv_id long, turn long, role string, text string").write.parquet(str(tmp_path / "conversations.parquet"))
     plan = p31_lines(spark, str(tmp_path))._jdf.queryExecution().optimizedPlan().toString()
     assert "Union" not in plan
+
+
+def test_coverage_joins_only_what_a_set_lacks(spark, monkeypatch):
+    # a path that all sets hold, one of another set, one of nobody, and rows of null names
+    held = [(f"s{k}", 1) for k in range(40)] + [("s1", 2), ("s3", 2), (None, 3), ("s0", None)]
+    expected = [(f"s{k}", 1) for k in range(40)] * 2 + [("s0", 2), ("s1", 2), ("s2", 3), ("s4", None), (None, 2), (None, 4)]
+    kind = "set string, path long"
+    dealt, spread = [], relational.spread
+    monkeypatch.setattr(relational, "PAIRS_OF_TASK", 10)
+    monkeypatch.setattr(relational, "spread", lambda *a: dealt.append(spread(*a)) or dealt[-1])
+    got = {r.set: (r.complete, r.borrows) for r in relational.coverage(spark.createDataFrame(expected, kind), spark.createDataFrame(held, kind)).collect()}
+    want = {f"s{k}": (True, "") for k in range(40)} | {"s0": (True, "s1,s3"), "s2": (False, ""), "s4": (False, ""), None: (False, "")}
+    assert got == want
+    assert dealt[0].rdd.getNumPartitions() == -(-(len(expected) + len(held) - 2) // 10)
