@@ -18,6 +18,7 @@ Words are compared by 64-bit hashes, contexts by two of them.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -250,21 +251,18 @@ def _repeated(suffixes: DataFrame, least: int, leaves: int, kind: str, scratch:
     """(anchor, context, window) of the suffixes that also begin in a smaller document."""
     lengths = [n for n in (2, 6, 18) if n < least] + [least]
     prefix = lambda n: F.xxhash64(F.lit(n), F.substring("words", 1, 8 * n))
-    rows, left, group, whole = suffixes, suffixes, F.lit(None).cast("long"), False
-    told: list[tuple[Column, Column]] = []
+    parts, left = [], suffixes
     for n in lengths:
-        # only suffixes whose shorter prefixes have too many are counted by the next
-        full = left.groupBy(prefix(n).alias(f"prefix{n}")).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > leaves).select(f"prefix{n}")
+        full = left.groupBy(prefix(n).alias("prefix")).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > leaves).select("prefix")
         full = scratch.store(full)
-        rows = rows.join(full, prefix(n) == F.col(f"prefix{n}"), "left")
-        told.append((F.col(f"prefix{n}").isNull(), prefix(n)))
         if full.isEmpty():
+            parts.append(left.withColumn("group", prefix(n)))
+            left = None
             break
-        left = left.join(full, prefix(n) == F.col(f"prefix{n}"), "left_semi")
-        whole = n == least
-    for ends, key in reversed(told):
-        group = F.when(ends, key).otherwise(group)
-    rows = rows.select(*suffixes.columns, group.alias("group"))
+        # a suffix whose prefix has few is done with; only the others meet the next, longer prefixes
+        parts.append(left.join(full, prefix(n) == F.col("prefix"), "left_anti").withColumn("group", prefix(n)))
+        left = scratch.store(left.join(full, prefix(n) == F.col("prefix"), "left_semi"))
+    rows = reduce(DataFrame.unionByName, parts)
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -291,13 +289,12 @@ def _repeated(suffixes: DataFrame, least: int, leaves: int, kind: str, scratch:
         if size:
             yield from done(True)
 
-    together = rows.where("group is not null").repartition("group").sortWithinPartitions("group", "words")
+    together = rows.repartition("group").sortWithinPartitions("group", "words")
     found = together.mapInArrow(made, "anchor bigint, context bigint, window int")
-    if not whole:
+    if left is None:
         return found
-    hot = scratch.store(rows.where("group is null"))
-    first = scratch.store(hot.groupBy("words").agg(F.min("doc_id").alias("first")))
-    later = hot.join(first, "words").where("first is not null and (doc_id is null or doc_id > first)")
+    first = scratch.store(left.groupBy("words").agg(F.min("doc_id").alias("first")))
+    later = left.join(first, "words").where("first is not null and (doc_id is null or doc_id > first)")
     return found.unionByName(later.select("anchor", "context", "window"))
 
 

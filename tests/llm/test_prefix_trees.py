@@ -124,3 +124,17 @@ def test_query_over_the_driver_tables(spark):
     rows = without_repeated_words(base).select("doc_id", "n_words", "n_removed", "kept")
     assert sorted(map(tuple, rows.collect()), key=repr) == plain([tuple(x) for x in base.collect()], 13)
     assert rows.agg(F.sum("n_removed")).first()[0] > 0
+
+
+def test_only_suffixes_of_full_prefixes_meet_the_next(spark):
+    # 12 of 30 begin alike, so the others are done with after the first prefix
+    word = lambda k: k.to_bytes(8, "big")
+    rows = [(k, k, k, 0, word(1) * 2 + word(k % 2) * 6) for k in range(12)] + [(k, k, k, 0, word(k) * 8) for k in range(20, 38)]
+    suffixes = spark.createDataFrame(rows, "doc_id long, anchor long, context long, window int, words binary")
+    scratch = prefix_trees.Scratch(spark, "words")
+    found = prefix_trees._repeated(suffixes, 8, 4, "bigint", scratch)
+    assert sorted(r.anchor for r in found.collect()) == list(range(2, 12))
+    assert "LeftOuter" not in found._jdf.queryExecution().optimizedPlan().toString()
+    # the tables of full prefixes of 2, 6 and 8 words with the suffixes below each: 12, 12 and 12 of 30
+    assert [spark.read.parquet(f"{scratch.path}/{k}").count() for k in (2, 4, 6)] == [12, 12, 12]
+    scratch.drop()
