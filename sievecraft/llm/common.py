@@ -28,6 +28,11 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def release(spark: SparkSession) -> None:
+    """A hint to collect the driver's garbage: only then Spark deletes the shuffle files of steps that were cut."""
+    spark.sparkContext._jvm.System.gc()
+
+
 class Scratch:
     """Parquet tables in the shared folder, for what is wide or read in parts, until ``drop``."""
 

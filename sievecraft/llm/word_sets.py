@@ -99,8 +99,8 @@ def _sized(a: str, b: str):
     return 5 * F.least(a, b) >= 4 * F.greatest(a, b)
 
 
-#: Shingles with over this share of all postings, at most as many as its inverse, meet their counts by a broadcast.
-HOT_SHARE = 1e-4
+#: Counters by which shingles are ordered, of 8 bytes each. A count is of all shingles of a counter, so never too small; whatever it is, the order is one for all sets, which is all that exactness asks.
+COUNTERS = 1 << 20
 
 
 def prefix_pairs(sets: DataFrame) -> DataFrame:
@@ -108,19 +108,36 @@ def prefix_pairs(sets: DataFrame) -> DataFrame:
     return joined_prefixes(prefixes(sets))
 
 
-def prefixes(sets: DataFrame) -> DataFrame:
-    """Postings (h, fp, c, n, short, i) of the first fifth of each set in the order of frequency: i is the place, short the end of the first ninth."""
-    rows = sets.select("fp", "c", F.size("hashes").alias("n"), F.explode("hashes").alias("h"))
-    df = cut(rows.groupBy("h").agg(F.count(F.lit(1)).alias("df")).where("df > 1"))
-    total = df.agg(F.sum("df").alias("s")).first().s or 0
-    hot = F.broadcast(df.where(F.col("df") > total * HOT_SHARE))
-    rest = df.where(F.col("df") <= total * HOT_SHARE)
-    cold = rows.join(hot.select("h"), "h", "left_anti").join(rest, "h", "left")  # a shingle that no other set has is the rarest
-    ordered = rows.join(hot, "h").unionByName(cold.withColumn("df", F.coalesce("df", F.lit(1))))
-    ordered = ordered.groupBy("fp", "c", "n").agg(F.array_sort(F.collect_list(F.struct("df", "h"))).alias("s"))
-    long, short = F.col("n") - F.ceil(F.col("n") * 4 / 5) + 1, F.col("n") - F.ceil(F.col("n") * 8 / 9) + 1
-    first = ordered.select("fp", "c", "n", short.alias("short"), F.posexplode(F.slice("s", F.lit(1), long.cast("int"))).alias("i", "t")).where("t.df > 1")
-    return first.select("fp", "c", "n", "short", "i", F.col("t.h").alias("h"))
+def prefixes(sets: DataFrame, counters: int = COUNTERS) -> DataFrame:
+    """Postings (h, fp, c, n, short, i) of the first fifth of each set in the order of frequency: i is the place, short the end of the first ninth.
+
+    Shingles are counted in a table of ``counters``, which every task has, and each set is ordered where it lies: no row is made for a shingle but those of the prefix that another set may have.
+    """
+    spark = sets.sparkSession
+    counted = sets.select(F.explode("hashes").alias("h")).groupBy(F.pmod("h", F.lit(counters)).cast("int").alias("at")).agg(F.count(F.lit(1)).alias("df"))
+    many = counted.where("df > 1").toArrow()  # a row for each counter at most
+    df = np.ones(counters, np.int64)
+    df[many.column("at").to_numpy()] = many.column("df").to_numpy()
+    table = spark.sparkContext.broadcast(df)
+
+    def ordered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in in_slices(batches):
+            sizes, ends, places, found = [], [], [], []
+            for h in batch.column(2).to_pylist():
+                h, n = np.array(h, np.int64), len(h)
+                often = table.value[h % counters]
+                first = np.lexsort((h, often))[: n - -(-4 * n // 5) + 1]
+                at = np.flatnonzero(often[first] > 1)  # a shingle that no other set has is the rarest
+                sizes.append(n)
+                ends.append(n - -(-8 * n // 9) + 1)
+                places.append(at)
+                found.append(h[first[at]])
+            lists = [pa.array(places, pa.list_(pa.int64())), pa.array(found, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sizes, pa.int32()), pa.array(ends, pa.int32()), *lists], ["fp", "c", "n", "short", "i", "h"])
+
+    kind = {x: sets.schema[x].dataType.simpleString() for x in ("fp", "c")}
+    first = sets.select("fp", "c", "hashes").mapInArrow(ordered, f"fp {kind['fp']}, c {kind['c']}, n int, short int, i array<bigint>, h array<bigint>")
+    return first.select("fp", "c", "n", "short", F.inline(F.arrays_zip("i", "h")))
 
 
 def prefix_stars(first: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from sievecraft.llm import word_sets as ws
 from sievecraft.llm.common import shared_dir
+from sievecraft.llm.components import components
 from sievecraft.llm.decontaminate import contamination, near_phrases
 from sievecraft.llm.repeated_spans import without_repeats
 
@@ -30,6 +31,33 @@ def test_prefix_pairs_hold_every_similar_pair(spark):
     assert one == 0 and ws.prefix_pairs(rows.limit(0)).count() == 0
 
 
+def test_prefixes_of_any_order_hold_every_similar_pair(spark):
+    r = random.Random(9)
+    bases = [r.sample(range(4000), 40) for _ in range(8)]
+    sets = [sorted({*r.sample(b, 37), *r.sample(range(5000, 5200), 2), -k - 1}) for k, b in enumerate(bases * 4)]
+    rows = spark.createDataFrame([(k, k, s) for k, s in enumerate(sets)], "fp long, c long, hashes array<long>").repartition(4)
+    alike = {(i, j) for j in range(len(sets)) for i in range(j) if len(set(sets[i]) & set(sets[j])) * 10 >= len(set(sets[i]) | set(sets[j])) * 8}
+    for counters in (1, 7, 1 << 20):  # one counter for all shingles, crowded ones, and nearly one each
+        first = ws.prefixes(rows, counters)
+        assert alike and alike <= {(x.u, x.v) for x in ws.joined_prefixes(first).collect()}
+        assert "Join" not in first._jdf.queryExecution().executedPlan().toString()
+
+
+def test_components_of_few_and_of_many_edges(spark):
+    r = random.Random(10)
+    edges = [(k, k + 1) for k in range(0, 60)] + [(100 + r.randrange(80), 100 + r.randrange(80)) for _ in range(50)] + [(-5, 300), (300, 301)]
+    edges = [(u, v) for u, v in edges if u != v]
+    least = {x: x for e in edges for x in e}
+    for _ in least:
+        for u, v in edges:
+            least[u] = least[v] = min(least[u], least[v])
+    rows = spark.createDataFrame(edges, "u long, v long").repartition(3)
+    for few in (0, 30, 1000):  # all rounds dealt, then some, then none
+        got = components(rows, few)
+        assert {x.vertex: x.root for x in got.collect()} == {x: m for x, m in least.items() if x != m}
+    assert got.rdd.getNumPartitions() == 1 and components(rows.limit(0)).count() == 0
+
+
 def plain_near(words, phrase, rarest, reach):
     for at, w in enumerate(words):
         if w == rarest and all(words[max(0, at - reach) : at + reach + 1].count(p) >= phrase.count(p) for p in phrase):
