@@ -85,11 +85,14 @@ def folder_units(files: DataFrame, least: int = 5) -> DataFrame:
 def connected(members: DataFrame) -> DataFrame:
     """Members (member, key) that share keys, directly or not: member, group (the smallest member).
 
-    Labels pass along keys until stable. A label also takes the label of the member it names, and hands its own smaller
-    label to that member, so the rounds don't follow the length of a chain.
+    A key links all of its members to the smallest of them, so these links, each once, stand for the keys: all rows are shuffled twice
+    and not in every round. Labels pass along the links until stable. A label also takes the label of the member it names, and hands its
+    own smaller label to that member, so the rounds don't follow the length of a chain.
     """
-    labels = members.select("member").distinct().withColumn("group", F.col("member"))
-    pairs = cut(members.select("member", "key").distinct())
+    heads = members.groupBy("key").agg(F.min("member").alias("head"))
+    # one row for each key, so hashing it spares sorting all rows
+    pairs = cut(members.join(heads.hint("shuffle_hash"), "key").select("member", F.col("head").alias("key")).where("member is not null").distinct())
+    labels = pairs.groupBy("member").agg(F.min("key").alias("group"))
     while True:
         of_key = pairs.join(labels, "member").groupBy("key").agg(F.min("group").alias("group"))
         near = pairs.join(of_key, "key").groupBy("member").agg(F.min("group").alias("near"))

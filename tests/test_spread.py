@@ -1,6 +1,6 @@
 """Steps whose tasks hold no more when their input grows."""
 
-from sievecraft.operators import relational, windows
+from sievecraft.operators import graph, relational, windows
 from sievecraft.queries.evidence_windows import p31_lines
 
 
@@ -33,3 +33,20 @@ def test_coverage_joins_only_what_a_set_lacks(spark, monkeypatch):
     want = {f"s{k}": (True, "") for k in range(40)} | {"s0": (True, "s1,s3"), "s2": (False, ""), "s4": (False, ""), None: (False, "")}
     assert got == want
     assert dealt[0].rdd.getNumPartitions() == -(-(len(expected) + len(held) - 2) // 10)
+
+
+def test_rounds_of_connected_pass_over_links_and_not_over_all_rows(spark, monkeypatch):
+    # every key lists all members of its class: 2 classes of 10 members, 60 keys each, besides a chain through keys of two members, against the order of their ids
+    full = [(10 * c + m, f"{c}/{k}") for c in range(2) for k in range(60) for m in range(10)]
+    chain = [(100 - k + d, f"chain/{k}") for k in range(4) for d in (0, 1)]
+    rows = spark.createDataFrame(full * 2 + chain + [(7, None), (500, None), (501, "alone")], "member long, key string")
+    sizes, cut = [], graph.cut
+    monkeypatch.setattr(graph, "cut", lambda df: sizes.append((done := cut(df)).count()) or done)
+    got = {r.member: r.group for r in graph.connected(rows).collect()}
+    assert got == {m: m // 10 * 10 for m in range(20)} | dict.fromkeys(range(97, 102), 97) | {501: 501}
+    assert max(sizes) <= 2 * len(got)
+
+
+def test_connected_ends_where_members_are_null(spark):
+    rows = spark.createDataFrame([(1, "x"), (2, "x"), (None, "x"), (None, "nobody")], "member long, key string")
+    assert {r.member: r.group for r in graph.connected(rows).collect()} == {1: 1, 2: 1}
