@@ -13,6 +13,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
+from sievecraft.functions.text import bound_once
 from sievecraft.operators.word_search import words
 from sievecraft.plans.lineage import cut
 
@@ -28,11 +29,26 @@ class Index:
     postings: DataFrame
 
 
+def counted(w: Column) -> Column:
+    """A map from the different words of an array to the number of times each occurs, by one sort of the array."""
+
+    def of(s: Column) -> Column:
+        starts = F.filter(F.sequence(F.lit(1), F.size(s)), lambda i: (i == 1) | (F.get(s, i - 1) != F.get(s, i - 2)))
+
+        def runs(at: Column) -> Column:
+            ends = F.concat(F.slice(at, F.lit(2), F.size(at)), F.array(F.size(s) + 1))
+            return F.zip_with(at, ends, lambda a, z: F.struct(F.get(s, a - 1), (z - a).cast("long")))
+
+        return F.when(F.size(s) > 0, bound_once(starts, runs))
+
+    return F.map_from_entries(bound_once(F.sort_array(w), of))
+
+
 def index_files(files: DataFrame) -> Index:
-    """Index of files (path, set, person, sha, text, passages). Null text has no words."""
+    """Index of files (path, set, person, sha, text, passages), each path once. Null text has no words. Words are counted where the text lies, so postings are not shuffled."""
     w = words(F.coalesce("text", F.lit("")))
     listed = files.select("path", "set", F.coalesce("person", F.lit("")).alias("person"), "sha", "passages", F.size(w).cast("long").alias("size"))
-    return Index(listed, files.select("path", F.explode(w).alias("word")).groupBy("path", "word").agg(F.count(F.lit(1)).alias("n")))
+    return Index(listed, files.select("path", F.explode(counted(w)).alias("word", "n")))
 
 
 def updated(index: Index, changed: DataFrame, gone: DataFrame) -> Index:

@@ -1,6 +1,8 @@
 """Steps whose tasks hold no more when their input grows."""
 
-from sievecraft.operators import graph, relational, windows
+from pyspark.sql import functions as F
+
+from sievecraft.operators import graph, relational, search_index, windows
 from sievecraft.queries.evidence_windows import p31_lines
 
 
@@ -50,3 +52,17 @@ def test_rounds_of_connected_pass_over_links_and_not_over_all_rows(spark, monkey
 def test_connected_ends_where_members_are_null(spark):
     rows = spark.createDataFrame([(1, "x"), (2, "x"), (None, "x"), (None, "nobody")], "member long, key string")
     assert {r.member: r.group for r in graph.connected(rows).collect()} == {1: 1, 2: 1}
+
+
+def test_postings_are_counted_in_the_row_of_their_file(spark):
+    texts = {"a": "One two, one\ntwo ONE 3", "b": None, "c": "", "d": " ,; ", "e": "x", "f": "four 3"}
+    files = spark.createDataFrame([(k, "s", None, k, t, 1) for k, t in texts.items()], "path string, set string, person string, sha string, text string, passages int")
+    index = search_index.index_files(files)
+    assert "Exchange" not in index.postings._jdf.queryExecution().executedPlan().toString()
+    want = {("a", "one", 3), ("a", "two", 2), ("a", "3", 1), ("e", "x", 1), ("f", "four", 1), ("f", "3", 1)}
+    assert sorted(map(tuple, index.postings.collect())) == sorted(want)
+    new = search_index.updated(index, files.where("path = 'a'").withColumn("text", F.lit("two five")), files.where("path = 'f'"))
+    assert {tuple(r) for r in search_index.vocabulary(new.postings).collect()} == {("x", 1), ("two", 1), ("five", 1)}
+    # files that changed or went are left out before their words are made
+    below = new.postings._jdf.queryExecution().optimizedPlan().toString()
+    assert below.index("Generate") < below.index("LeftAnti")
