@@ -11,12 +11,13 @@ from sievecraft.sources import records as S
 
 
 def s1_read_records(spark, sf_dir):
-    """Documents as lines of JSON, some without id, written as a run and read as records."""
+    """Documents as lines of JSON, some without id, written as a run and read as records; those without text are rows too."""
     key = F.col("doc_id")
-    rows = table(spark, sf_dir, "documents").select(F.when(digit("id", key, 9) > 0, key.cast("string")).alias("id"), "text", F.struct("lang").alias("meta"))
+    meta = F.when(F.col("lang").isNotNull(), F.struct("lang"))
+    rows = table(spark, sf_dir, "documents").select(F.when(digit("id", key, 9) > 0, key.cast("string")).alias("id"), "text", meta.alias("meta"))
     with scratch(spark) as folder:
         S.write_run({"records": rows}, folder)
-        return cut(S.read_records(spark, f"{folder}/records").select("id", F.md5("text").alias("text_md5"), "meta"))
+        return cut(S.read_records(spark, f"{folder}/records", need_text=False).select("id", F.md5("text").alias("text_md5"), "meta"))
 
 
 def s3_read_catalog(spark, sf_dir):

@@ -2,18 +2,22 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from sievecraft.functions.text import bound_once
 from sievecraft.plans.lineage import cut
 
+# Spark's JSON parser takes strings of 20,000,000 characters by itself.
+MOST_CHARS = str(2**31 - 1)
+RECORD = "id variant, text variant, meta variant, _corrupt string"
 CATALOG = "id string, text string, utterances array<string>, negatives array<string>, tags array<string>, _corrupt string"
 EVENT = "runId string, timestamp string, type string, step bigint, data string, _corrupt string"
 
 
 def _json(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    return spark.read.schema(schema).option("columnNameOfCorruptRecord", "_corrupt").option("mode", "PERMISSIVE").json(path)
+    return spark.read.schema(schema).option("columnNameOfCorruptRecord", "_corrupt").option("mode", "PERMISSIVE").option("maxStringLen", MOST_CHARS).json(path)
 
 
 def checked(rows: DataFrame, wrong, what: str) -> DataFrame:
@@ -21,15 +25,22 @@ def checked(rows: DataFrame, wrong, what: str) -> DataFrame:
     return rows.where(F.when(wrong, F.raise_error(F.lit(what)).cast("boolean")).otherwise(True))
 
 
-def read_records(spark: SparkSession, path: str) -> DataFrame:
-    """id, text, meta of a JSON-lines file. A bad line, one without text, or an id that is no string fails the job; blank lines are passed over."""
-    lines = spark.read.text(path).where(F.trim("value") != "").select("value", F.try_parse_json("value").alias("v"))
-    kind = lambda name: F.schema_of_variant(F.try_variant_get("v", f"$.{name}", "variant"))
-    told = F.col("v").isNotNull() & (kind("text") == "STRING") & (F.trim(F.try_variant_get("v", "$.text", "string")) != "")
-    rows = checked(lines, ~F.coalesce(told, F.lit(False)), "a record is not valid JSON or has no text")
-    rows = checked(rows, ~F.coalesce(kind("id").isin("STRING", "VOID"), F.lit(True)), "the id of a record is not a string")
-    field = lambda name: F.try_variant_get("v", f"$.{name}", "string").alias(name)
-    return rows.select(field("id"), field("text"), F.to_json(F.try_variant_get("v", "$.meta", "variant")).alias("meta"))
+def read_records(spark: SparkSession, path: str, need_text: bool = True) -> DataFrame:
+    """id, text, meta of a JSON-lines file. A bad line or an id that is no string fails the job, with ``need_text`` also one without text; blank lines are passed over."""
+    field = lambda v: F.try_variant_get(v, "$", "string")
+    refused = lambda what: F.raise_error(F.lit(what)).cast("struct<id:string,text:string,meta:string>")
+
+    def told(r: Column) -> Column:
+        is_text = F.schema_of_variant(r["text"]) == "STRING"
+        told = F.coalesce(is_text & (F.trim(field(r["text"])) != ""), F.lit(False)) if need_text else F.coalesce(is_text, F.lit(True))
+        named = F.coalesce(F.schema_of_variant(r["id"]).isin("STRING", "VOID"), F.lit(True))
+        record = F.struct(field(r["id"]).alias("id"), field(r["text"]).alias("text"), F.to_json(r["meta"]).alias("meta"))
+        bad = ~F.ltrim("value").startswith("{") | r["_corrupt"].isNotNull() | ~told
+        return F.when(bad, refused("a record is not valid JSON or has no text")).when(~named, refused("the id of a record is not a string")).otherwise(record)
+
+    read = F.from_json("value", RECORD, {"columnNameOfCorruptRecord": "_corrupt", "maxStringLen": MOST_CHARS})
+    lines = spark.read.text(path).where(F.trim("value") != "").select(bound_once(read, told).alias("r"))
+    return lines.where(F.col("r").isNotNull()).select("r.*")  # the filter, so that a bad line fails any job over the rows
 
 
 def numbered(rows: DataFrame) -> DataFrame:

@@ -5,6 +5,7 @@ import pytest
 
 import __spark_entry__
 from sievecraft.operators import relational as J
+from sievecraft.sources import records as S
 
 SF = "/root/testdata/sf0.001"
 
@@ -67,3 +68,33 @@ def test_arrow_batches_are_bounded_by_their_bytes(spark, tmp_path):
 
     counts = [r.n for r in table(spark, str(tmp_path), "documents").mapInArrow(sizes, "n long").collect()]
     assert sum(counts) == 3000 and max(counts) * 5000 < 2 * BATCH_BYTES
+
+
+def odd_documents_as_sql(spark, folder, name, documents):
+    """The query over documents (text, lang), each with many ids, equals its SQL."""
+    rows = [(k * len(documents) + i, text, lang, "src1", 0) for k in range(20) for i, (text, lang) in enumerate(documents)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").coalesce(1).write.parquet(f"{folder}/documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{folder}/documents.parquet/*.parquet'")
+    want = con.execute(__spark_entry__.oracle_sql()[name])
+    got = __spark_entry__.queries()[name](spark, str(folder)).select(*[c[0] for c in want.description])
+    assert sorted(map(repr, map(tuple, got.collect()))) == sorted(map(repr, want.fetchall()))
+
+
+def test_documents_without_text_are_records_too(spark, tmp_path):
+    odd_documents_as_sql(spark, tmp_path, "s1_read_records", [(None, "en"), ("", "en"), ("  ", "de"), ("a\r\nb\0", None), (None, None)])
+
+
+def test_long_texts_are_records_too(spark, tmp_path):
+    text = "x" * 20_000_001
+    S.write_run({"records": spark.createDataFrame([("1", text)], "id string, text string")}, str(tmp_path / "run"))
+    assert [len(r.text) for r in S.read_records(spark, str(tmp_path / "run/records")).collect()] == [len(text)]
+    assert [len(r.text) for r in S.read_catalog(spark, str(tmp_path / "run/records")).collect()] == [len(text)]
+
+
+def test_records_that_are_no_objects_fail(spark, tmp_path):
+    for k, line in enumerate(['[{"text": "a"}]', '"text"', '{"text": 5}', '{"text": "a"', '{"text": "a", "id": {"b": 1}}']):
+        (tmp_path / f"{k}.jsonl").write_text('{"text": "good"}\n' + line)
+        for need_text in (True, False):
+            with pytest.raises(Exception, match="a record is not valid JSON or has no text|the id of a record is not a string"):
+                S.read_records(spark, str(tmp_path / f"{k}.jsonl"), need_text).count()
