@@ -18,6 +18,7 @@ from sievecraft.operators.secrets import FENCE, MARK, secret_kinds
 
 PARTS = "array<struct<name:string,start:int,end:int,doc:string,calls:array<string>>>"
 # What starts a part in each kind of file, and sizes of what is shown.
+BLANKS = " \u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u202f\u205f\u3000"  # Unicode's space separators
 HEADING = r"(?d)^#{1,6}[^\S\n]+(.*\S)"
 SHELL = r"^\s*(?:function\s+([A-Za-z_][\w:.-]*)\s*(?:\(\s*\))?|([A-Za-z_][\w:.-]*)\s*\(\s*\))\s*\{?\s*$"
 SHELL_WORDS = ("if", "for", "while", "case")
@@ -37,6 +38,10 @@ def file_kind(path: Column) -> Column:
     return kind
 
 
+def _trim(line: Column) -> Column:
+    return F.btrim(line, F.lit(BLANKS))
+
+
 def _lines(text: Column) -> Column:
     return F.split(F.coalesce(text, F.lit("")), "\n", -1)
 
@@ -73,7 +78,7 @@ def text_parts(text: Column) -> Column:
 
         def with_intro(found: Column) -> Column:
             first = F.get(found, F.lit(0))["start"]
-            intro = F.exists(F.slice(ls, F.lit(1), F.greatest(first - 1, F.lit(0))), lambda x: F.trim(F.translate(x, MARK, "")) != "")
+            intro = F.exists(F.slice(ls, F.lit(1), F.greatest(first - 1, F.lit(0))), lambda x: _trim(F.translate(x, MARK, "")) != "")
             return F.when((first > 1) & intro, F.concat(F.array(F.struct(F.lit("<intro>").alias("name"), F.lit(1).alias("start"))), found)).otherwise(found)
 
         return _ranges(bound_once(heads, with_intro), ls)
@@ -95,8 +100,8 @@ def script_parts(text: Column) -> Column:
 
 def text_purpose(text: Column) -> Column:
     """The first line with text that is no heading."""
-    lines = F.filter(_lines(text), lambda x: (F.trim(x) != "") & ~x.rlike(HEADING))
-    return F.coalesce(F.substring(F.trim(F.get(lines, F.lit(0))), 1, LINE_CHARS), F.lit(""))
+    lines = F.filter(_lines(text), lambda x: (_trim(x) != "") & ~x.rlike(HEADING))
+    return F.coalesce(F.substring(_trim(F.get(lines, F.lit(0))), 1, LINE_CHARS), F.lit(""))
 
 
 def top_comment(text: Column, *marks: str) -> Column:
@@ -138,8 +143,11 @@ def python_contents(text: str) -> tuple[str, list[dict]] | None:
     return first(ast.get_docstring(tree)), sorted(parts, key=lambda p: p["start"])
 
 
-def contents(files: DataFrame) -> DataFrame:
-    """(path, purpose, parts) of files (path, text). Null texts are empty; rows are returned each, whatever their paths. Long texts cost time in proportion."""
+def contents(files: DataFrame, parse_python: bool = True) -> DataFrame:
+    """(path, purpose, parts) of files (path, text). Null texts are empty; rows are returned each, whatever their paths. Long texts cost time in proportion.
+
+    Without ``parse_python`` Python files go by their headings, as those do that can't be parsed.
+    """
     kind = F.col("kind")
     rows = files.select("path", F.coalesce("text", F.lit("")).alias("text"), file_kind(F.col("path")).alias("kind"))
 
@@ -156,6 +164,8 @@ def contents(files: DataFrame) -> DataFrame:
     text = F.col("text")
     parts = F.when(kind == "shell", shell_parts(text)).when(kind == "script", script_parts(text)).otherwise(text_parts(text))
     purpose = F.when(kind == "shell", top_comment(text, "#")).when(kind == "script", top_comment(text, "//", "/*")).otherwise(text_purpose(text))
+    if not parse_python:
+        return rows.select("path", purpose.alias("purpose"), parts.alias("parts"))
     return rows.where(kind != "python").select("path", purpose.alias("purpose"), parts.alias("parts")).unionByName(told)
 
 

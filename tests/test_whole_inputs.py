@@ -98,3 +98,9 @@ def test_records_that_are_no_objects_fail(spark, tmp_path):
         for need_text in (True, False):
             with pytest.raises(Exception, match="a record is not valid JSON or has no text|the id of a record is not a string"):
                 S.read_records(spark, str(tmp_path / f"{k}.jsonl"), need_text).count()
+
+
+@pytest.mark.parametrize("name", ["f15_parts", "f16_pages"])
+def test_documents_that_happen_to_be_python_go_by_lines(spark, tmp_path, name):
+    texts = ["Word### more%%% of\n# Head it\ny = 2", "def f():\n    pass\n# Two words", '"""Doc."""\n# Head it', "Word\nwords)\nOther", "\t", None, " \n # a\nb　\n## c"]
+    odd_documents_as_sql(spark, tmp_path, name, [(text, "en") for text in texts])
