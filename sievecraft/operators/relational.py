@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from sievecraft.functions.text import bound_once, catalog_key, phrase_key
 from sievecraft.plans.lineage import cut
-from sievecraft.plans.spread import spread
+from sievecraft.plans.spread import partitions_for, spread
 
 #: Phrases that are broadcast, of about 100 bytes each; more are joined by a shuffle.
 MOST_PHRASES = 200_000
@@ -19,6 +19,8 @@ MOST_PHRASES = 200_000
 FEW_PHRASES = 2_000
 #: Rows of sets and paths that a task groups.
 PAIRS_OF_TASK = 500_000
+#: Sets of a path in one row; names of holders, with repeats, that a task groups.
+SETS_OF_LIST, NAMES_OF_TASK = 256, 1_000_000
 
 
 def assign_ids(records: DataFrame, pos: str = "pos") -> DataFrame:
@@ -180,18 +182,36 @@ def snapshot_changes(before: DataFrame, now: DataFrame) -> DataFrame:
 
 
 def coverage(expected: DataFrame, held: DataFrame) -> DataFrame:
-    """For each set (set, path): complete if every path is held by any set, and the other sets it borrows from, of which there are few."""
-    one = lambda rows, is_expected: rows.select("path", "set", F.lit(is_expected).alias("expected"), F.lit(not is_expected).alias("held"))
-    both = one(expected, True).unionByName(one(held.where(F.col("path").isNotNull() & F.col("set").isNotNull()), False))
-    pairs = spread(both, ["path", "set"], PAIRS_OF_TASK)
-    pairs = cut(pairs.groupBy("path", "set").agg(F.bool_or("expected").alias("expected"), F.bool_or("held").alias("held")))
-    # only paths that a set lacks meet their holders
-    holders = pairs.where("held").select("path", F.col("set").alias("holder"))
-    lacked = cut(pairs.where("expected and not held").select("set", "path").join(holders, "path", "left").select("set", "holder").distinct())
-    found = pairs.where("expected").select("set", F.lit(True).alias("found")).unionByName(lacked.select("set", F.col("holder").isNotNull().alias("found")))
-    complete = found.groupBy("set").agg(F.bool_and("found").alias("complete"))
-    borrowed = lacked.groupBy("set").agg(F.array_join(F.array_sort(F.collect_list("holder")), ",").alias("borrows"))
-    return complete.join(borrowed, "set", "left").select("set", "complete", F.coalesce("borrows", F.lit("")).alias("borrows"))
+    """For each set (set, path): complete if every path is held by any set, and the other sets it borrows from, of which there are few.
+
+    Rows are dealt once by path, and the sets of a path are listed, SETS_OF_LIST at most in a row. What goes to a set that lacks a path is a list of its holders and no row for each.
+    """
+    one = lambda rows, is_held: rows.select("path", "set", F.lit(is_held).alias("held"))
+    both = one(expected, False).unionByName(one(held.where(F.col("path").isNotNull() & F.col("set").isNotNull()), True))
+    pairs = spread(both, ["path"], PAIRS_OF_TASK).groupBy("path", "set").agg(F.bool_or("held").alias("held"), F.bool_or(~F.col("held")).alias("expected"))
+    nth = F.row_number().over(W.partitionBy("path").orderBy("set"))
+    lacks = F.col("expected") & ~F.col("held")
+    lists = pairs.withColumn("list", F.floor((nth - 1) / SETS_OF_LIST)).groupBy("path", "list").agg(
+        F.collect_list(F.when(F.col("held"), F.col("set"))).alias("holders"),
+        F.collect_list(F.when(lacks, F.col("set"))).alias("lacking"),
+        F.bool_or(F.col("set").isNull()).alias("nameless"),
+        F.count(F.lit(1)).alias("n"),
+    )
+    no_name = F.array(F.lit(None).cast(pairs.schema["set"].dataType))
+    lists = lists.withColumn("lacking", F.when(F.col("nameless"), F.concat("lacking", no_name)).otherwise(F.col("lacking")))
+    alone = (F.col("list") == 0) & (F.col("n") < SETS_OF_LIST)
+    lists = cut(lists.where(~alone | (F.size("lacking") > 0)).select("path", "holders", "lacking", alone.alias("alone")))
+    # lists of one path meet where it has several
+    of_many = lists.where(~F.col("alone"))
+    met = of_many.where(F.size("lacking") > 0).select("path", "lacking").join(of_many.where(F.size("holders") > 0).select("path", "holders"), "path", "left")
+    met = lists.where("alone").select("lacking", "holders").unionByName(met.select("lacking", "holders"))
+    met = met.withColumn("missing", F.coalesce(F.size("holders"), F.lit(0)) < 1)
+    tasks = partitions_for(met, NAMES_OF_TASK, F.size("lacking") * (F.greatest(F.size("holders"), F.lit(0)) + 1))
+    sets = expected.select("set").distinct().select("set", F.lit(None).cast(met.schema["holders"].dataType).alias("holders"), F.lit(False).alias("missing"))
+    found = met.select(F.explode("lacking").alias("set"), "holders", "missing").unionByName(sets).repartition(tasks, "set")
+    borrowed = found.select("set", "missing", F.explode_outer("holders").alias("holder")).groupBy("set", "holder").agg(F.bool_or("missing").alias("missing"))
+    borrows = F.when(F.col("set").isNotNull(), F.array_join(F.array_sort(F.collect_list("holder")), ",")).otherwise("")
+    return borrowed.groupBy("set").agg((~F.bool_or("missing")).alias("complete"), borrows.alias("borrows"))
 
 
 def with_neighbours(selected: DataFrame, chunks: DataFrame) -> DataFrame:

@@ -1,5 +1,7 @@
 """Steps whose tasks hold no more when their input grows."""
 
+import random
+
 from pyspark.sql import functions as F
 
 from sievecraft.operators import graph, relational, search_index, windows
@@ -66,3 +68,36 @@ def test_postings_are_counted_in_the_row_of_their_file(spark):
     # files that changed or went are left out before their words are made
     below = new.postings._jdf.queryExecution().optimizedPlan().toString()
     assert below.index("Generate") < below.index("LeftAnti")
+
+
+def test_coverage_hands_on_lists_and_no_row_for_each_holder(spark, monkeypatch):
+    # 30 paths of 20 holders, which 10 other sets lack
+    held = [(f"h{k}", path) for path in range(30) for k in range(20)]
+    expected = held + [(f"l{k}", path) for path in range(30) for k in range(10)]
+    sizes, cut = [], relational.cut
+    monkeypatch.setattr(relational, "cut", lambda df: sizes.append((done := cut(df)).count()) or done)
+    kind = "set string, path long"
+    rows = relational.coverage(spark.createDataFrame(expected, kind), spark.createDataFrame(held, kind))
+    got = {r.set: (r.complete, r.borrows) for r in rows.collect()}
+    assert got == {f"h{k}": (True, "") for k in range(20)} | {f"l{k}": (True, ",".join(sorted(f"h{j}" for j in range(20)))) for k in range(10)}
+    assert sum(sizes) <= 30
+
+
+def test_coverage_of_paths_with_several_lists_matches_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(relational, "SETS_OF_LIST", 4, raising=False)
+    r = random.Random(5)
+    draw = lambda n: [(r.choice([None, *(f"s{k}" for k in range(30))]), r.choice([None, 1, 1, 1, *range(2, 12)])) for _ in range(n)]
+    for size in (20, 150, 600):
+        expected, held = draw(size), draw(size)
+        holders = {}
+        for s, path in held:
+            if s is not None and path is not None:
+                holders.setdefault(path, set()).add(s)
+        want = {}
+        for s in {s for s, _ in expected}:
+            paths = {path for x, path in expected if x == s}
+            others = {h for path in paths for h in holders.get(path, ()) if s not in holders[path]}
+            want[s] = (all(holders.get(path) for path in paths), ",".join(sorted(others)) if s is not None else "")
+        kind = "set string, path long"
+        rows = relational.coverage(spark.createDataFrame(expected, kind), spark.createDataFrame(held, kind)).collect()
+        assert {x.set: (x.complete, x.borrows) for x in rows} == want and len(rows) == len(want)
